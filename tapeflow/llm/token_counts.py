@@ -49,16 +49,19 @@ class PieceCounter:
 
     def merge(self, text: str) -> list[str]:
         """Symbols of a pre-token after all merges: the best pair first, the leftmost of equals."""
-        parts, ranks = list(text), self.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        parts, rank, never = list(text), self.ranks.get, float("inf")
+        pairs = [rank(a + b, never) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            best = min(pairs)
+            if best == never:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            pairs.pop(i)
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], never)
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], never)
         return parts
 
     def _length(self, parts: list[str]) -> int:
