@@ -7,9 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_automaton import encode_digests
 from .common import table
+from .decontamination import contamination
 from .token_counts import count_tokens
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -18,6 +23,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op6_bpe_automaton, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op6_bpe_automaton, op9_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
