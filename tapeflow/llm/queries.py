@@ -9,6 +9,7 @@ from .bpe_automaton import encode_digests
 from .common import table
 from .decontamination import contamination
 from .token_counts import count_tokens
+from .toxicity import toxicity
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op6_bpe_automaton, op9_token_counts)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op6_bpe_automaton, op9_token_counts, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
