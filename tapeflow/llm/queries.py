@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_automaton import encode_digests
 from .common import table
 from .decontamination import contamination
+from .importance import resample
 from .token_counts import count_tokens
 from .toxicity import toxicity
 
@@ -16,6 +17,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -28,6 +33,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op6_bpe_automaton, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_importance_resampling, op6_bpe_automaton, op9_token_counts, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
