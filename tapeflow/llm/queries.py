@@ -9,6 +9,7 @@ from .bpe_automaton import encode_digests
 from .common import table
 from .decontamination import contamination
 from .importance import resample
+from .near_dup import near_duplicates
 from .token_counts import count_tokens
 from .toxicity import toxicity
 
@@ -25,6 +26,10 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -33,6 +38,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_importance_resampling, op6_bpe_automaton, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_importance_resampling, op6_bpe_automaton, op8_near_duplicates, op9_token_counts, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
