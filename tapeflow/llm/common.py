@@ -61,5 +61,5 @@ def mapped(df: DataFrame, column: str, make: Callable, schema: str, most: int =
 
 _ARROW = {
     "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary(),
-    "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()),
+    "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()),
 }
