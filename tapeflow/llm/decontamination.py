@@ -24,6 +24,8 @@ from .common import mapped, stored
 BLOCK_WORDS = 1_000_000
 #: Candidates that a task intersects at a time.
 MOST_CANDIDATES = 1_000_000
+#: Keys up to this number are sent to all tasks; more are joined by shuffle.
+MOST_BROADCAST = 300_000
 _SHIFT = 36
 
 #: Lower-cases A-Z and turns every ASCII byte that is no digit or letter into a space; bytes over 7F stay.
@@ -222,6 +224,19 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
     )
 
 
+def without_items(docs: DataFrame, items: DataFrame, size: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the rows that hold a window of a test item: same columns, texts whole.
+
+    Windows are those of match_items of `size` words; items of fewer words are too common to tell, and are left out.
+    Rows of a null key stay; they can't be named.
+    """
+    long = items.where(F.size(F.regexp_extract_all("text", F.lit(r"[0-9A-Za-z\x80-\x{10FFFF}]+"), 0)) >= size)
+    found = match_items(docs, long, size, 0, key, text)
+    hit = stored(found.where((F.length("hits") > 0) & F.col(key).isNotNull()).select(key).distinct(), "contaminated")
+    few = hit.count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(hit) if few else hit, key, "left_anti").select(docs.columns)
+
+
 def item_digest(names: list[str]) -> str:
     """What items_sha256 holds for a list of item keys."""
     return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()

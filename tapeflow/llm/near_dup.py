@@ -222,7 +222,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of docs whose key is the least of its group: same columns, texts whole.  Rows of a null key stay."""
     found = stored(near_duplicates(docs, key=key, **options).select(F.col(key).alias(key), "class_id"), "neardup-groups")
     dropped = stored(found.where(F.col(key) != F.col("class_id")).select(key).distinct(), "neardup-dropped")
-    kept = among(docs, dropped, key, "left_anti")
+    kept = among(docs, dropped, key, "left_anti").select(docs.columns)
     repeated = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count()
     if not repeated:
         return kept

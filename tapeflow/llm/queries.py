@@ -16,6 +16,7 @@ from .near_dup import near_duplicates
 from .ppm import fold, score_texts
 from .token_counts import count_tokens
 from .toxicity import toxicity
+from .warc import archive_pages
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), fold() != 2)
 
@@ -57,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_decontamination, op2_html_text, op3_importance_resampling, op5_ppm_scoring, op6_bpe_automaton,
+        op1_decontamination, op2_html_text, op3_importance_resampling, op4_warc_archive, op5_ppm_scoring, op6_bpe_automaton,
         op7_cover_tree_top_k, op8_near_duplicates, op9_token_counts, op10_toxicity,
     )
 }

@@ -284,3 +284,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, key: st
     field = fit(docs, labels.where(~held_out(key)), key=key)
     found = score_documents(docs, field, key)
     return found.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_toxic_words", "starts", "ends")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs whose score stays under threshold: same columns, texts whole; nothing is shuffled.
+
+    The field is fitted to the labelled rows among docs that are not held out; null and empty texts stay.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.where(~held_out(key)), key=key, text=text))
+
+    @F.pandas_udf("boolean")
+    def clean(texts):
+        import pandas as pd
+
+        field, out = held.value, []
+        for i in range(0, len(texts), 500):
+            out += list(field.documents(field.summary(*field.tokens(list(texts[i : i + 500])))) < threshold)
+        return pd.Series(out, dtype=bool)
+
+    return docs.where(clean(F.col(text)))
