@@ -8,9 +8,9 @@ with the probability of their weighted Jaccard similarity.  Throwing stops at th
 have darts, so it costs about k log k darts and one look at each element, whatever the weights.
 
 Texts with equal element sets form classes first, and one of each class goes on.  In every bucket of a band, members are
-linked to the bucket's leader; groups are then closed, and only members outside of their leader's group are compared with
-the bucket's other members, again only across groups.  So no link between groups is missed, and no group of near copies
-is ever paired out.
+linked to the bucket's leader, and groups are closed.  While many members stand outside of their bucket's largest group,
+each bucket compares them with another leader.  In the end those still outside are compared with all members of their
+bucket that belong to other groups.  So no link between groups is missed, and no group of near copies is ever paired out.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .common import mapped, stored
 from .decontamination import words_of
 
 BANDS, ROWS = 30, 5
+#: Rounds of comparisons after the first; the last one compares whatever is left in full.
+MOST_TURNS = 6
 #: Keys up to this number are sent to all tasks; more are joined by shuffle.
 MOST_BROADCAST = 300_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -182,6 +184,15 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def _named(members: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members with their group's label; each bucket's largest group, members, and members outside of that group."""
+    named = members.select("bucket", "doc_id", "n").join(label.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    named = stored(named, "neardup-named")
+    sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("size"))
+    modes = sizes.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("most"), F.sum("size").alias("members"))
+    return named, stored(modes.select("bucket", F.col("most.label").alias("mode"), "members", (F.col("members") - F.col("most.size")).alias("apart")), "neardup-modes")
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, weight: str = "set", bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, class_id (the least key of its group), n_shingles of every row.
 
@@ -201,18 +212,26 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, weight:
     first = members.where((F.col("doc_id") != F.col("lead")) & fits(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     edges = stored(verified(stored(first, "neardup-pairs"), rows_, size, weight, least), "neardup-links")
     label = components(edges)
-    # Members outside of their leader's group, against the others of their bucket.
-    named = members.join(label.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    led = label.select(F.col("node").alias("lead"), F.col("label").alias("lead_label"))
-    named = stored(named.join(led, "lead", "left").withColumn("lead_label", F.coalesce("lead_label", "lead")), "neardup-named")
-    apart = named.where("label <> lead_label").select("bucket", F.col("doc_id").alias("x"), F.col("label").alias("x_label"), F.col("n").alias("x_n"))
-    others = named.where("doc_id <> lead").select("bucket", F.col("doc_id").alias("y"), F.col("label").alias("y_label"), F.col("n").alias("y_n"))
-    across = apart.join(others, "bucket").where((F.col("x_label") != F.col("y_label")) & fits(F.col("x_n"), F.col("y_n")))
-    second = stored(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "neardup-pairs")
-    if second.limit(1).count():
-        more = stored(verified(second, rows_, size, weight, least), "neardup-links")
+    for turn in range(MOST_TURNS):
+        named, modes = _named(members, label)
+        n_members, n_pairs = modes.agg(F.sum("members"), F.sum(F.col("members") * F.col("apart"))).first()
+        if not n_pairs:
+            break
+        whole = turn == MOST_TURNS - 1 or n_pairs <= 2 * n_members
+        if whole:  # what is outside of its bucket's largest group, against all others there
+            one = named.join(modes.where("apart > 0"), "bucket").where("label <> mode").select("bucket", F.col("doc_id").alias("x"), F.col("label").alias("x_label"), F.col("n").alias("x_n"))
+        else:  # another leader in each bucket first: most members find their group so
+            pick = F.min(F.struct(F.xxhash64("doc_id", "bucket", F.lit(turn)).alias("h"), "doc_id", "label", "n")).alias("pick")
+            one = named.groupBy("bucket").agg(pick).select("bucket", F.col("pick.doc_id").alias("x"), F.col("pick.label").alias("x_label"), F.col("pick.n").alias("x_n"))
+        two = named.select("bucket", F.col("doc_id").alias("y"), F.col("label").alias("y_label"), F.col("n").alias("y_n"))
+        across = one.join(two, "bucket").where((F.col("x_label") != F.col("y_label")) & fits(F.col("x_n"), F.col("y_n")))
+        pairs = stored(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "neardup-pairs")
+        more = stored(verified(pairs, rows_, size, weight, least), "neardup-links")
         if more.limit(1).count():
-            label = components(edges.unionByName(more))
+            edges = edges.unionByName(more)
+            label = components(edges)
+        if whole:
+            break
     grouped = classes.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("d1", "d2", "n", F.coalesce("label", "rep").alias("class_id"))
     found = signed.select("doc_id", "n", "d1", "d2").join(grouped, ["d1", "d2", "n"], "left")
     return found.select(F.col("doc_id").alias(key), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.col("n").alias("n_shingles"))
