@@ -117,10 +117,8 @@ def norm_cdf(x: Column) -> Column:
 def norm_ppf(p: Column) -> Column:
     """Inverse of the normal distribution function, by Newton steps from a logistic start; null outside of (0, 1)."""
     start = F.log(p / (1 - p)) / 1.702
-    x = start
-    for _ in range(4):
-        x = clip(x - (norm_cdf(x) - p) / F.greatest(norm_pdf(x), F.lit(1e-12)), -8.0, 8.0)
-    return F.when((p > 0) & (p < 1), x)
+    step = lambda x, _: clip(x - (norm_cdf(x) - p) / F.greatest(norm_pdf(x), F.lit(1e-12)), -8.0, 8.0)
+    return F.when((p > 0) & (p < 1), F.aggregate(F.sequence(F.lit(1), F.lit(6)), start, step))
 
 
 def sigmoid(x: Column) -> Column:

@@ -42,7 +42,7 @@ def _layers(layers: list[list[str]]) -> str:
 
 
 #: What every SQL counterpart may read.
-PREFIX = f"WITH ticks AS ({_layers(TICKS)}), steps AS ({_layers(STEPS)}), bars AS ({BARS_SQL})"
+PREFIX = f"WITH RECURSIVE ticks AS ({_layers(TICKS)}), steps AS MATERIALIZED ({_layers(STEPS)}), bars AS ({BARS_SQL})"
 
 
 def _view(spark: SparkSession, sf_dir: str, layers: list[list[str]]) -> DataFrame:
