@@ -1,0 +1 @@
+"""Readers and writers of tapes and logs."""

@@ -1,0 +1 @@
+"""Structured Streaming jobs over NDJSON trades and bars."""
