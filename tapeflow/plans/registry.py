@@ -38,7 +38,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["flagship_gate_metrics"](spark, sf_dir)
 
 
-for _module in ("bars_plans", "window_plans", "log_plans", "join_plans", "scalar_plans", "gate_plans", "fold_plans", "model_plans"):
+for _module in ("bars_plans", "window_plans", "log_plans", "join_plans", "scalar_plans", "gate_plans", "fold_plans", "model_plans", "tower_plans"):
     try:
         importlib.import_module(f"tapeflow.plans.{_module}")
     except ModuleNotFoundError as e:
