@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Rows of a candidate block and of a query block.
 CANDIDATES, QUERIES = 4096, 2048
 _LEAF = 32
+#: Centres of a level after which a node is judged.
+PROBES = 8
 
 
 class Node:
@@ -28,29 +30,41 @@ class Node:
 
 
 def build(x: np.ndarray, points: np.ndarray) -> Node:
-    """A cover tree of the points; nodes of few or equal points are leaves."""
-    centers = [points[0]]
-    root_far = np.sqrt(((x[points] - x[centers[0]]) ** 2).sum(1))
-    made: list[Node] = []
-    todo = [(points, centers[0], root_far, None)]
+    """A cover tree of the points.
+
+    Leaves hold few points, equal ones, or such as lie apart: where the first PROBES centres of the next level cover
+    hardly more than themselves, a level would be a node for each point and tell nothing.
+    """
+    c = points[0]
+    todo = [(points, c, np.sqrt(((x[points] - x[c]) ** 2).sum(1)), None)]
+    root = None
     while todo:  # no recursion: trees of many copies at growing distances are deep
         own, c, far, parent = todo.pop()
         radius = float(far.max())
         node = Node(x[c], radius, own if len(own) <= _LEAF or radius == 0 else None, [])
-        if parent is not None:
+        if parent is None:
+            root = node
+        else:
             parent.children.append(node)
-        made.append(node)
         if node.points is not None:
             continue
-        left, center, near = own, c, far
+        parts, left, center, near = [], own, c, far
+        sub = x[own]
+        norms = (sub**2).sum(1)
         while len(left):
             inside = near <= radius / 2
-            todo.append((left[inside], center, near[inside], node))
-            left = left[~inside]
+            parts.append((left[inside], center, near[inside], node))
+            left, sub, norms = left[~inside], sub[~inside], norms[~inside]
+            if len(parts) == PROBES and len(own) - len(left) < 2 * PROBES:
+                node.points = own
+                break
             if len(left):
                 center = left[0]
-                near = np.sqrt(((x[left] - x[center]) ** 2).sum(1))
-    return made[0]
+                near = np.sqrt(np.maximum(norms + norms[0] - 2 * (sub @ sub[0]), 0))
+                near[0] = 0.0
+        if node.points is None:
+            todo += parts
+    return root
 
 
 class Search:
@@ -82,7 +96,8 @@ class Search:
             if bound < self._worst(a):
                 continue
             if a.points is not None and b.points is not None:
-                self._compare(a.points, b.points)
+                for i in range(0, len(b.points), 1024):
+                    self._compare(a.points, b.points[i : i + 1024])
             elif b.points is not None or a.points is None and a.radius > b.radius:
                 todo += sorted(((self._bound(c, b), c, b) for c in a.children), key=lambda t: t[0])
             else:
