@@ -104,8 +104,8 @@ def with_originals(pages: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(groups) if groups.count() <= MOST_BROADCAST else groups, "digest", "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
 
 
-def with_shards(rows: DataFrame, shard_bytes: int) -> DataFrame:
-    """rows with the column shard: ranges of page_id that hold about equal shares of payload bytes.
+def with_shards(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """rows with the column shard, ranges of page_id that hold about equal shares of payload bytes, and their number.
 
     Ranges are weighed in at most CELLS cells of equal width; rows without a key come first.
     """
@@ -121,7 +121,7 @@ def with_shards(rows: DataFrame, shard_bytes: int) -> DataFrame:
         before += w
     spark = rows.sparkSession
     table = spark.createDataFrame(shards, "cell int, shard long")
-    return rows.withColumn("cell", cell).join(F.broadcast(table), "cell").drop("cell").withColumn("shards", F.lit(n))
+    return rows.withColumn("cell", cell).join(F.broadcast(table), "cell").drop("cell"), n
 
 
 def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -132,7 +132,7 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
     """
     fs, path = _split_path(folder)
     fs.create_dir(path, recursive=True)
-    rows = with_shards(with_originals(pages), shard_bytes)
+    rows, n = with_shards(with_originals(pages), shard_bytes)
 
     def write(batches):
         writer, done = None, []
@@ -150,7 +150,7 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("path", pa.string()), ("shard", pa.int64()), ("part", pa.int64()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
     order = ["shard", "page_id", "url", "digest"]
-    dealt = rows.select("shard", "page_id", "url", "digest", "html", "first", "revisit").repartition("shard").sortWithinPartitions(*order)
+    dealt = rows.select("shard", "page_id", "url", "digest", "html", "first", "revisit").repartition(n, "shard").sortWithinPartitions(*order)
     manifest = dealt.mapInArrow(write, _MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
