@@ -10,13 +10,14 @@ expected number of toxic words and the number of words, and neighbouring words o
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, stored, text_slices
+from .common import mapped, stored, text_slices, worker_cache
 
 #: Labelled documents that a model is fitted to, at most so many of each label (those whose key hashes lowest).
 MOST_LABELLED = 3000
@@ -98,23 +99,23 @@ def log_odds(grid: np.ndarray, mask: np.ndarray, start: float, trans: np.ndarray
 
 
 class Field:
-    """Weights of the field and of the document score; cached scores of words."""
+    """Weights of the field and of the document score; scores of words are cached in the worker."""
 
     def __init__(self, weights: dict[bytes, float], bias: float, start: float, trans: np.ndarray, final: np.ndarray):
         self.weights, self.bias, self.start, self.trans, self.final = weights, bias, start, trans, final
-        self.known: dict[bytes, float] = {}
+        self.name = f"toxicity-{uuid.uuid4().hex}"
 
     def score(self, word: bytes) -> float:
-        if len(self.known) > 300_000:
-            self.known.clear()
-        found = self.bias + sum(self.weights.get(f, 0.0) for f in features(word))
-        self.known[word] = found
+        known = worker_cache(self.name, dict)
+        if len(known) > 200_000:
+            known.clear()
+        found = known[word] = self.bias + sum(self.weights.get(f, 0.0) for f in features(word))
         return found
 
     def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Number of words of each text, log odds of every word."""
         words = [words_of(t) for t in texts]
-        known, score = self.known.get, self.score
+        known, score = worker_cache(self.name, dict).get, self.score
         lengths = np.array([len(w) for w in words], np.int64)
         scores = np.fromiter((s if (s := known(w)) is not None else score(w) for own in words for w in own), float, int(lengths.sum()))
         grid, mask, at = chains(lengths, scores)
@@ -168,55 +169,81 @@ def feature_counts(sample: DataFrame) -> DataFrame:
     return found.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= LEAST_DOCS)
 
 
+def training_runs(sample: DataFrame, toxic: set[bytes], used: dict[bytes, int], length: int) -> DataFrame:
+    """h, places, features, hits of runs of `length` words: those with toxic tokens, and one of each document.
+
+    places and features list the numbered features of a run's words; hits are the places of toxic tokens, and size is
+    the run's number of words.
+    """
+    held = sample.sparkSession.sparkContext.broadcast((toxic, used))
+
+    def run(batches):
+        import pyarrow as pa
+
+        kind = pa.schema([("h", pa.int64()), ("size", pa.int32()), *[(c, pa.list_(pa.int32())) for c in ("places", "features", "hits")]])
+        toxic, used = held.value
+        for batch in text_slices(batches, "text"):
+            out = []
+            for m, t in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = words_of(t)
+                pick = zlib.crc32(b" ".join(words[:8])) % max(1, -(-len(words) // length)) * length
+                for i in range(0, len(words), length):
+                    own = [features(w) for w in words[i : i + length]]
+                    hits = [k for k, fs in enumerate(own) if m == 1 and any(f in toxic for f in fs)]
+                    if hits or i == pick:
+                        pairs = [(k, used[f]) for k, fs in enumerate(own) for f in fs if f in used]
+                        out.append({"h": zlib.crc32(b" ".join(words[i : i + length])), "size": len(own), "places": [k for k, _ in pairs], "features": [f for _, f in pairs], "hits": hits})
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    return sample.select("label", "text").mapInArrow(run, "h long, size int, places array<int>, features array<int>, hits array<int>")
+
+
+def summaries(sample: DataFrame, field: Field) -> tuple[np.ndarray, np.ndarray]:
+    """The field's summary and the label of every row of a bounded sample."""
+    held = sample.sparkSession.sparkContext.broadcast(field)
+
+    def make(batch):
+        field = held.value
+        rows = field.summary(*field.tokens(batch.column("text").to_pylist()))
+        return {"label": batch.column("label"), "text": [None] * len(rows), **{f"x{i}": rows[:, i] for i in range(rows.shape[1])}}
+
+    found = mapped(sample.select("label", "text"), "text", make, "label int,text string,x0 double,x1 double,x2 double,x3 double").drop("text").orderBy("label", "x1", "x2", "x3").collect()
+    return np.array([[r[f"x{i}"] for i in range(4)] for r in found]), np.array([r["label"] for r in found])
+
+
+#: Runs of words that the field is fitted to at most, those whose words hash lowest.
+MOST_RUNS, RUN = 12_000, 16
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Field:
-    """A field fitted to at most `most` labelled documents of each label; near copies among them count once."""
-    sample = stored(labelled_sample(docs, labels, most, key, text, label), "toxicity-sample")
-    rows = sorted(sample.select("label", "text").collect(), key=lambda r: (r["label"], r["text"] or ""))
-    own = [words_of(r["text"]) for r in rows]
-    mark = np.array([r["label"] for r in rows], np.int64)
-    if not len(mark) or mark.min() == mark.max():  # nothing to tell apart: the share of toxic rows, for every text
-        share = (mark.sum() + 1) / (len(mark) + 2)
+    """A field fitted to at most `most` labelled documents of each label; near copies among them count once.
+
+    Texts stay in the tasks: what reaches the driver are feature counts, MOST_RUNS runs and a row for each document.
+    """
+    sample = stored(labelled_sample(docs, labels, most, key, text, label).where(F.col("text").isNotNull()), "toxicity-sample")
+    n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:  # nothing to tell apart: the share of toxic rows, for every text
+        share = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
         return Field({}, -20.0, 0.0, np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0]))
-    counts = {bytes(f): (c, t) for f, c, t in feature_counts(sample).collect()}
-    n = [len(mark) - mark.sum(), mark.sum()]
-    toxic = {f for f, (c, t) in counts.items() if t >= LEAST_DOCS and t / n[1] >= LEAST_SHARE * (t / n[1] + c / n[0])}
-    used = {f: i for i, f in enumerate(sorted(counts))}
-    weight, bias, start, trans = _fit_chain(own, mark, toxic, used)
-    found = Field({f: weight[i] for f, i in used.items() if abs(weight[i]) > 1e-3}, bias, start, trans, np.zeros(4))
-    parts = []
-    for i in range(0, len(own), 500):
-        lengths = np.array([len(w) for w in own[i : i + 500]])
-        scores = np.array([found.score(w) for words in own[i : i + 500] for w in words])
-        grid, mask, at = chains(lengths, scores)
-        parts.append(found.summary(lengths, log_odds(grid, mask, start, trans)[at]))
-    found.final = _logistic(np.concatenate(parts), mark)
-    found.known = {}
+    counts = feature_counts(sample).collect()
+    toxic = {bytes(f) for f, c, t in counts if t >= LEAST_DOCS and t / n[1] >= LEAST_SHARE * (t / n[1] + c / n[0])}
+    used = {f: i for i, f in enumerate(sorted(bytes(r["feature"]) for r in counts))}
+    del counts
+    runs = training_runs(sample, toxic, used, RUN).orderBy("h", "places", "features").limit(MOST_RUNS).collect()
+    weight, bias, start, trans = _fit_chain(runs, len(used))
+    found = Field({f: float(weight[i]) for f, i in used.items() if abs(weight[i]) > 1e-3}, float(bias), float(start), trans, np.zeros(4))
+    found.final = _logistic(*summaries(sample, found))
     return found
 
 
-def _fit_chain(own, mark, toxic, used, most_runs: int = 6000, rounds: int = 80):
-    """Maximum likelihood with a small ridge, by resilient steps, on runs around toxic tokens and as many clean ones."""
-    runs, hits = [], []
-    for words, m in zip(own, mark, strict=True):
-        for i in range(0, len(words), 16):
-            run = words[i : i + 16]
-            hit = [m == 1 and any(f in toxic for f in features(w)) for w in run]
-            if any(hit) or i == (zlib.crc32(run[0]) % max(1, -(-len(words) // 16))) * 16:
-                runs.append(run)
-                hits.append(hit)
-    order = np.argsort([zlib.crc32(b" ".join(r)) for r in runs], kind="stable")[: 2 * most_runs]
-    length = 16
-    grid_of, feat_of, y, mask = [], [], np.zeros((len(order), length), bool), np.zeros((len(order), length), bool)
-    for k, r in enumerate(order):
-        y[k, : len(runs[r])], mask[k, : len(runs[r])] = hits[r], True
-        for t, w in enumerate(runs[r]):
-            for f in features(w):
-                if f in used:
-                    grid_of.append(k * length + t)
-                    feat_of.append(used[f])
-    grid_of, feat_of = np.array(grid_of, np.int64), np.array(feat_of, np.int64)
-    size = len(used)
-    p = np.zeros(size + 6)  # weights, bias, start, transitions
+def _fit_chain(runs: list, size: int, rounds: int = 80):
+    """Maximum likelihood with a small ridge by resilient steps: weights, bias, start and transitions."""
+    y, mask = np.zeros((len(runs), RUN), bool), np.zeros((len(runs), RUN), bool)
+    for k, r in enumerate(runs):
+        y[k, r["hits"]], mask[k, : r["size"]] = True, True
+    grid_of = np.concatenate([k * RUN + np.array(r["places"], np.int64) for k, r in enumerate(runs)] or [np.zeros(0, np.int64)])
+    feat_of = np.concatenate([np.array(r["features"], np.int64) for r in runs] or [np.zeros(0, np.int64)])
+    p = np.zeros(size + 6)
     p[size] = -4.0
     pair_seen = np.array([[(mask[:, 1:] & (y[:, :-1] == i) & (y[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)])
     step, old = np.full(len(p), 0.1), np.zeros(len(p))
