@@ -111,3 +111,19 @@ def direction_features(df: DataFrame, value: str, lags: int, horizon: int, dead:
     ahead = F.lead(price, horizon).over(w) / F.col(price) - 1
     out = df.select("symbol", "seq", *[F.lag(value, i).over(w).alias(f"x{i}") for i in range(lags)], F.when(ahead > dead, 2).when(ahead < -dead, 0).when(ahead.isNotNull(), 1).alias("label"))
     return out.na.drop()
+
+
+def weights_by_group(df: DataFrame, group: str, features: list[str], label: str, groups: list[str], rate: float = 0.5, l2: float = 0.01, rounds: int = 10) -> DataFrame:
+    """group, feature, weight: logistic weights of each group by full gradients, one aggregate a round; clipped to [-5, 5].
+
+    groups are the few labels to fit; the gradients of all of them come from one pass.
+    """
+    w = {g: [0.0] * len(features) for g in groups}
+    for _ in range(rounds):
+        z = F.lit(None).cast("double")
+        for g in groups:
+            z = F.when(F.col(group) == g, sum((F.col(c) * x for c, x in zip(features, w[g])), F.lit(0.0))).otherwise(z)
+        miss = F.col(label) - 1 / (1 + F.exp(-z))
+        for r in df.where(F.col(group).isin(groups)).groupBy(group).agg(*[F.avg(miss * F.col(c)).alias(c) for c in features]).collect():
+            w[r[group]] = [max(-5.0, min(5.0, x + rate * ((r[c] or 0.0) - l2 * x))) for x, c in zip(w[r[group]], features)]
+    return df.sparkSession.createDataFrame([(g, c, float(x)) for g in groups for c, x in zip(features, w[g])], "group string, feature string, weight double")

@@ -112,3 +112,45 @@ def f24(spark, sf_dir):
 def k18(spark, sf_dir):
     df = sp.standardised_score(steps(spark, sf_dir).select("symbol", "ts", "seq", "ell"), "ell", 100, 50)
     return df.select("symbol", "seq", "z", sp.adaptive_threshold("z", 0.1, 100, 20, 2.0).alias("threshold"))
+
+
+@query("f27_component_tracking")
+def f27(spark, sf_dir):
+    from tapeflow.functions import binning
+    from tapeflow.operators.tracking import track
+
+    df = steps(spark, sf_dir).where("acceptable").select("symbol", F.floor(F.col("t") / 20).alias("slice"), binning.histogram(F.col("ell"), 0.0, 1.0, 20).alias("bin"))
+    return track(df, "slice", "bin").select("symbol", F.col("ts").alias("slice"), "alive", "born", "ended", "lasted")
+
+
+@query("k17_live_legitimacy", "SELECT symbol, seq, least(1.0, (t + 1) * 0.01) AS schedule FROM steps", "schedule")
+def k17(spark, sf_dir):
+    from tapeflow.operators.tracking import live_legitimacy
+
+    return steps(spark, sf_dir).select("symbol", "seq", live_legitimacy("schedule").alias("schedule"))
+
+
+@query("k17_live_modes")
+def k17_modes(spark, sf_dir):
+    from tapeflow.operators.tracking import live_legitimacy
+
+    return steps(spark, sf_dir).select("symbol", "seq", live_legitimacy("vol").alias("vol"), live_legitimacy("spread", column="ell").alias("spread"))
+
+
+@query("h4_contract_problems", "SELECT 'bars' AS target, 'missing vwap' AS problem UNION ALL SELECT 'bars', 'no gate entry' UNION ALL SELECT 'click', 'gate closed'")
+def h4(spark, sf_dir):
+    from tapeflow.operators.tracking import contract_problems
+
+    s = steps(spark, sf_dir)
+    gates = s.where("symbol = 'click'").select(F.col("symbol").alias("target"), F.struct("ts", "seq").alias("ts"), F.lit(False).alias("open"))
+    from .fixtures import bars
+
+    return contract_problems({"bars": bars(spark, sf_dir), "click": s.where("symbol = 'click'")}, {"bars": ["close", "vwap"], "click": ["ell"]}, 1, gates)
+
+
+@query("m6_weights_by_group")
+def m6(spark, sf_dir):
+    from tapeflow.operators.models import weights_by_group
+
+    df = steps(spark, sf_dir).withColumn("y", F.col("acceptable").cast("double"))
+    return weights_by_group(df, "symbol", ["ell", "p_bad"], "y", ["click", "view"])
