@@ -21,7 +21,7 @@ import unicodedata
 import regex
 from pyspark.sql import DataFrame
 
-from .common import mapped
+from .common import mapped, worker_cache
 
 #: Transitions and cached words that a Python worker keeps; beyond that it starts its tables anew.
 MOST_TRANSITIONS, MOST_WORDS = 1_200_000, 250_000
@@ -219,14 +219,9 @@ class _Words(dict):
         return found
 
 
-_LOADED: dict[str, WordBpe] = {}
-
-
 def loaded(path: str) -> WordBpe:
     """One compiled automaton for each Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
+    return worker_cache(f"bpe {path}", lambda: WordBpe(path))
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:

@@ -14,6 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 4_000_000
 
 
+_HELD: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable):
+    """The cache of one operator in a Python worker; making it drops what an operator before it has left there."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+        pa.default_memory_pool().release_unused()
+    return _HELD[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

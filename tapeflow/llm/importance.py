@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, stored, text_slices
+from .common import mapped, stored, text_slices, worker_cache
 
 #: Labelled documents of each label that the target model and the limit are fitted to, those whose key hashes lowest.
 MOST_LABELLED = 8000
@@ -27,15 +27,12 @@ _TOKENS = re.compile(r"\w+|[^\w\s]+")
 
 class _Hashes(dict):
     def __missing__(self, token: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[token] = zlib.crc32(token.encode("utf-8", "surrogatepass"))
         return found
 
 
-_HASHES = _Hashes()
-
-
 def grams(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Number of n-grams of each text, and the bucket of each token, then of each pair within a text, in text order.
 
@@ -43,7 +40,8 @@ def grams(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray
     """
     tokens = [_TOKENS.findall(t.lower()) if t else [] for t in texts]
     n = np.array([len(x) for x in tokens], np.int64)
-    h = np.fromiter((_HASHES[x] for own in tokens for x in own), np.uint64, int(n.sum()))
+    hashes = worker_cache("importance", _Hashes)
+    h = np.fromiter((hashes[x] for own in tokens for x in own), np.uint64, int(n.sum()))
     one = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
     second = np.zeros(len(h), bool)
     second[1:] = True

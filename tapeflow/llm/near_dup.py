@@ -8,24 +8,29 @@ with the probability of their weighted Jaccard similarity.  Throwing stops at th
 have darts, so it costs about k log k darts and one look at each element, whatever the weights.
 
 Texts with equal element sets form classes first, and one of each class goes on.  In every bucket of a band, members are
-linked to the bucket's leader, and groups are closed.  While many members stand outside of their bucket's largest group,
-each bucket compares them with another leader.  In the end those still outside are compared with all members of their
-bucket that belong to other groups.  So no link between groups is missed, and no group of near copies is ever paired out.
+linked to the bucket's leader, and groups are closed.  Where many members stand outside of their bucket's largest group,
+they are compared with another leader.  In the end those still outside are compared with all members of their bucket that
+belong to other groups, first by sketches of two bits a coordinate, then exactly.  So no group of near copies
+is ever paired out, and no link between groups is missed but by the chance that the docstrings name.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, stored
+from .common import mapped, stored, worker_cache
 from .decontamination import words_of
 
 BANDS, ROWS = 30, 5
-#: Rounds of comparisons after the first; the last one compares whatever is left in full.
-MOST_TURNS = 6
+#: Coordinates of a signature: the first BANDS * ROWS make the bands, two bits of each make the sketch.
+COORDINATES = 512
+#: Members outside of a bucket's largest group from which on another leader is tried before all are compared.
+CROWD = 4
 #: Keys up to this number are sent to all tasks; more are joined by shuffle.
 MOST_BROADCAST = 300_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -40,18 +45,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
 
 
-_HASHES = _Hashes()
-
-
 def shingles(words: list[bytes], size: int = 5) -> np.ndarray:
     """Hashes of all runs of `size` words, in text order; a shorter text is one run, an empty one none."""
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(worker_cache("near_dup", _Hashes).__getitem__, words), np.uint64, len(words))
     if not len(h):
         return h
     size = min(size, len(h))
@@ -120,17 +122,38 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """(texts x k / 32) of 64-bit words: the first half holds one bit of every coordinate's dart, the second another."""
+    h = mix(signature.view(np.uint64))
+    planes = [np.packbits(((h >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for b in (0, 1)]
+    return np.concatenate(planes, axis=1)
+
+
+def least_agreement(least: float, k: int = COORDINATES) -> int:
+    """Sketch coordinates in which a pair of similarity `least` agrees at least, but for one such pair in 100,000."""
+    p = least + (1 - least) / 4
+    return int(k * p - 4.3 * np.sqrt(k * p * (1 - p)))
+
+
+def agreement(x: str, y: str, k: int = COORDINATES) -> Column:
+    """Coordinates in which both bits of two sketches agree; columns x_s0, x_s1 .. and y_s0 .."""
+    n = k // 64
+    differ = [F.col(f"{x}_s{i}").bitwiseXOR(F.col(f"{y}_s{i}")).bitwiseOR(F.col(f"{x}_s{n + i}").bitwiseXOR(F.col(f"{y}_s{n + i}"))) for i in range(n)]
+    return F.lit(k) - functools.reduce(lambda a, b: a + b, [F.bit_count(d) for d in differ])
+
+
 def sign(docs: DataFrame, size: int, weight: str, bands: int, rows: int) -> DataFrame:
-    """doc_id, n (elements), d1 and d2 (hashes of the element set), keys (of the bands; none for empty texts)."""
+    """doc_id, n (elements), d1 and d2 (hashes of the element set), keys (of the bands; none for empty texts), sketch."""
 
     def make(batch):
         sets = [elements(t, size, weight) for t in batch.column("text").to_pylist()]
-        keys = band_keys(signatures(sets, bands * rows), bands, rows)
+        signature = signatures(sets, COORDINATES)
+        keys, sketch = band_keys(np.ascontiguousarray(signature[:, : bands * rows]), bands, rows), sketches(signature)
         d1 = [int(mix(e + w.astype(np.uint64) * _A).sum().view(np.int64)) if len(e) else 0 for e, w in sets]
         d2 = [int(mix(e * _B + w.astype(np.uint64)).sum().view(np.int64)) if len(e) else 0 for e, w in sets]
-        return {"doc_id": batch.column("doc_id"), "n": [len(e) for e, _ in sets], "d1": d1, "d2": d2, "keys": [list(k) if len(e) else [] for k, (e, _) in zip(keys, sets, strict=True)]}
+        return {"doc_id": batch.column("doc_id"), "n": [len(e) for e, _ in sets], "d1": d1, "d2": d2, "keys": [list(k) if len(e) else [] for k, (e, _) in zip(keys, sets, strict=True)], "sketch": list(sketch)}
 
-    return mapped(docs, "text", make, "doc_id long,n long,d1 long,d2 long,keys array<long>", most=2_000_000)
+    return mapped(docs, "text", make, "doc_id long,n long,d1 long,d2 long,keys array<long>,sketch array<long>", most=1_000_000)
 
 
 def among(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
@@ -172,16 +195,33 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, weight: str, least: f
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node of each connected component; by least neighbours and pointer jumping."""
     both = stored(edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to"))).distinct(), "neardup-edges")
-    label = stored(both.groupBy("node").agg(F.least("node", F.min("to")).alias("label")), "neardup-labels")
+    label = both.groupBy("node").agg(F.least("node", F.min("to")).alias("label"))
     while True:
         seen = both.join(label.select(F.col("node").alias("to"), "label"), "to").select("node", "label").unionByName(label)
-        least = stored(seen.groupBy("node").agg(F.min("label").alias("label")), "neardup-labels")
+        least = seen.groupBy("node").agg(F.min("label").alias("label"), F.max("label").alias("high"))
         jump = least.join(least.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left")
-        new = stored(jump.select("node", F.least("label", F.coalesce("next", "label")).alias("label")), "neardup-labels")
-        changed = new.join(label.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-        label = new
-        if not changed:
-            return label
+        label = stored(jump.select("node", F.least("label", F.coalesce("next", "label")).alias("label"), (F.col("label") != F.col("high")).alias("moved")), "neardup-labels")
+        # A component is done once all labels that meet at each of its nodes are equal.
+        if not label.where("moved").limit(1).count():
+            return label.drop("moved")
+        label = label.drop("moved")
+
+
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label after more links: only the groups that links tie are put together anew."""
+    of = lambda x: label.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    ties = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+    ties = stored(ties, "neardup-ties")
+    groups = components(ties.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    every = label.unionByName(ties.select(F.col("a").alias("node"), F.col("la").alias("label"))).unionByName(ties.select(F.col("b").alias("node"), F.col("lb").alias("label"))).distinct()
+    return stored(every.join(groups, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "neardup-labels")
+
+
+def _met_before() -> Column:
+    """Whether x and y share a bucket of a band before this row's."""
+    both = F.arrays_zip(F.col("x_keys").alias("a"), F.col("y_keys").alias("b"))
+    first = F.array_position(F.transform(both, lambda z: (z["a"] == z["b"]).cast("int")), 1).cast("int")
+    return F.element_at("x_keys", first) != F.shiftrightunsigned("bucket", 33).cast("int")
 
 
 def _named(members: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -208,30 +248,35 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, weight:
     buckets = full.join(classes.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "n", "doc_id"]).select("doc_id", "n", F.explode("keys").alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.min(F.struct("doc_id", "n")).alias("lead"), F.max("doc_id").alias("last")).where("lead.doc_id < last")
     members = stored(buckets.join(leaders.select("bucket", F.col("lead.doc_id").alias("lead"), F.col("lead.n").alias("lead_n")), "bucket"), "neardup-members")
+    traits = [F.transform("keys", lambda k: F.shiftrightunsigned(k, 33).cast("int")).alias("keys"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(COORDINATES // 32)]]
+    traits = stored(full.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", *traits).dropDuplicates(["doc_id"]), "neardup-traits")
     fits = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-9 if weight == "set" else F.lit(True)
     first = members.where((F.col("doc_id") != F.col("lead")) & fits(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     edges = stored(verified(stored(first, "neardup-pairs"), rows_, size, weight, least), "neardup-links")
     label = components(edges)
-    for turn in range(MOST_TURNS):
-        named, modes = _named(members, label)
-        n_members, n_pairs = modes.agg(F.sum("members"), F.sum(F.col("members") * F.col("apart"))).first()
-        if not n_pairs:
-            break
-        whole = turn == MOST_TURNS - 1 or n_pairs <= 2 * n_members
-        if whole:  # what is outside of its bucket's largest group, against all others there
-            one = named.join(modes.where("apart > 0"), "bucket").where("label <> mode").select("bucket", F.col("doc_id").alias("x"), F.col("label").alias("x_label"), F.col("n").alias("x_n"))
-        else:  # another leader in each bucket first: most members find their group so
-            pick = F.min(F.struct(F.xxhash64("doc_id", "bucket", F.lit(turn)).alias("h"), "doc_id", "label", "n")).alias("pick")
-            one = named.groupBy("bucket").agg(pick).select("bucket", F.col("pick.doc_id").alias("x"), F.col("pick.label").alias("x_label"), F.col("pick.n").alias("x_n"))
-        two = named.select("bucket", F.col("doc_id").alias("y"), F.col("label").alias("y_label"), F.col("n").alias("y_n"))
-        across = one.join(two, "bucket").where((F.col("x_label") != F.col("y_label")) & fits(F.col("x_n"), F.col("y_n")))
-        pairs = stored(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "neardup-pairs")
-        more = stored(verified(pairs, rows_, size, weight, least), "neardup-links")
-        if more.limit(1).count():
-            edges = edges.unionByName(more)
-            label = components(edges)
-        if whole:
-            break
+    columns = ("doc_id", "label", "n", "keys", *[f"s{i}" for i in range(COORDINATES // 32)])
+    side = lambda df, x: df.join(traits, "doc_id").select("bucket", *[F.col(c).alias(f"{x}_{c}") for c in columns])
+    # Sketches tell most pairs below the limit; a pair that meets in several buckets counts in its first one.
+    near = (F.col("x_label") != F.col("y_label")) & fits(F.col("x_n"), F.col("y_n")) & (agreement("x", "y") >= least_agreement(least))
+
+    def compare(label: DataFrame, one: DataFrame, two: DataFrame, condition: Column) -> DataFrame:
+        across = side(one, "x").join(side(two, "y"), "bucket").where(condition)
+        pairs = across.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
+        links = stored(verified(stored(pairs, "neardup-pairs"), rows_, size, weight, least), "neardup-links")
+        return merged(label, links) if links.limit(1).count() else label
+
+    named, modes = _named(members, label)
+    crowded = modes.where(F.col("apart") > CROWD)
+    if crowded.limit(1).count():  # another leader first: most members of such a bucket find their group so
+        there = named.join(crowded.select("bucket"), "bucket", "left_semi")
+        pick = F.min(F.struct(F.xxhash64("doc_id", "bucket").alias("h"), "doc_id", "label", "n")).alias("pick")
+        leads = there.groupBy("bucket").agg(pick).select("bucket", "pick.doc_id", "pick.label", "pick.n")
+        label = compare(label, leads, there, near)
+        still = modes.where("apart > 0").select("bucket")
+        named, modes = _named(members.join(still, "bucket", "left_semi"), label)
+    # What is outside of its bucket's largest group, against all others there.
+    parted = named.join(modes.where("apart > 0").select("bucket", "mode"), "bucket")
+    label = compare(label, parted.where("label <> mode"), parted, near & ~_met_before())
     grouped = classes.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("d1", "d2", "n", F.coalesce("label", "rep").alias("class_id"))
     found = signed.select("doc_id", "n", "d1", "d2").join(grouped, ["d1", "d2", "n"], "left")
     return found.select(F.col("doc_id").alias(key), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.col("n").alias("n_shingles"))

@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from .common import mapped
+from .common import mapped, worker_cache
 
 SPACE = "▁"
 MOST_WORDS = 400_000
@@ -129,13 +129,9 @@ class _Counts(dict):
         return n
 
 
-_LOADED: dict[str, PieceCounter] = {}
-
-
 def loaded(path: str) -> PieceCounter:
-    if path not in _LOADED:
-        _LOADED[path] = PieceCounter(path)
-    return _LOADED[path]
+    """One counter for each Python worker."""
+    return worker_cache(f"pieces {path}", lambda: PieceCounter(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
