@@ -17,13 +17,13 @@ def ohlcv(ticks: DataFrame, every: str = "1 second", price: str = "price", qty:
 
 def rollup(bars: DataFrame, every: str) -> DataFrame:
     """Longer bars from shorter ones, with range, signed return, realised volatility and direction persistence."""
-    r = bars.withColumn("_r", F.log(F.col("close") / F.col("open")))
+    r = bars.withColumn("_r", F.log(F.try_divide("close", "open")))
     found = r.groupBy("symbol", F.window("ts", every).start.alias("bucket")).agg(
         F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"), F.sum("trades").alias("trades"),
         F.sqrt(F.sum(F.col("_r") * F.col("_r"))).alias("realised_vol"), F.abs(F.sum(F.signum("_r"))).alias("_s"), F.count("*").alias("bars"),
     )
     return found.select(
-        "symbol", F.col("bucket").alias("ts"), "open", "high", "low", "close", "volume", "trades", (F.col("high") - F.col("low")).alias("range"), (F.col("close") / F.col("open") - 1).alias("ret"),
+        "symbol", F.col("bucket").alias("ts"), "open", "high", "low", "close", "volume", "trades", (F.col("high") - F.col("low")).alias("range"), (F.try_divide("close", "open") - 1).alias("ret"),
         "realised_vol", (F.col("_s") / F.col("bars")).alias("persistence"), (F.col("bars") < 2).alias("unknown"),
     )
 
@@ -33,6 +33,6 @@ def resample(bars: DataFrame, every: str, fill: str = "ffill") -> DataFrame:
     first = bars.groupBy("symbol", F.window("ts", every).start.alias("bucket")).agg(F.min_by("close", F.struct("ts", "seq")).alias("close"), F.min_by("volume", F.struct("ts", "seq")).alias("volume"))
     span = first.groupBy("symbol").agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
     grid = span.select("symbol", F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {every}"))).alias("bucket"))
-    w = Window.partitionBy("symbol").orderBy("bucket")
-    pick = (lambda c: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))) if fill == "ffill" else (lambda c: F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    w, back = (Window.partitionBy("symbol").orderBy(o) for o in (F.asc("bucket"), F.desc("bucket")))
+    pick = (lambda c: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))) if fill == "ffill" else (lambda c: F.last(c, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     return grid.join(first, ["symbol", "bucket"], "left").select("symbol", F.col("bucket").alias("ts"), pick("close").alias("close"), pick("volume").alias("volume")).where("close IS NOT NULL")

@@ -82,7 +82,7 @@ def confusion(df: DataFrame, *keys: str) -> DataFrame:
 def pnl_audit(df: DataFrame, start_equity: float = 1.0) -> DataFrame:
     w = tape()
     eq = df.withColumn("_e", F.col("pnl") + start_equity)
-    eq = eq.withColumns({"_r": F.coalesce(F.col("_e") / F.lag("_e").over(w) - 1, F.lit(0.0)), "_dd": F.col("_e") - F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    eq = eq.withColumns({"_r": F.coalesce(F.try_divide(F.col("_e"), F.lag("_e").over(w)) - 1, F.lit(0.0)), "_dd": F.col("_e") - F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, 0))})
     found = eq.groupBy("symbol").agg(
         F.max_by("pnl", F.struct("ts", "seq")).alias("pnl_net"), F.min("_dd").alias("max_dd"), F.sum(F.abs("fill")).alias("turnover"), F.count_if(F.col("fill") != 0).alias("trades"), F.sum(F.coalesce("fee", F.lit(0.0))).alias("fees"),
         F.sum(F.abs("slippage")).alias("impact"), F.avg("_r").alias("mean_ret"), F.stddev_samp("_r").alias("std_ret"),
@@ -91,7 +91,7 @@ def pnl_audit(df: DataFrame, start_equity: float = 1.0) -> DataFrame:
 
 
 def return_splits(df: DataFrame) -> DataFrame:
-    ahead = df.withColumn("_f", F.lead("price").over(tape()) / F.col("price") - 1)
+    ahead = df.withColumn("_f", F.try_divide(F.lead("price").over(tape()), F.col("price")) - 1)
     part = lambda c: F.avg(F.when(c, F.col("_f")))
     act = F.col("action") != 0
     return ahead.groupBy("symbol").agg(F.avg("_f").alias("ret_all"), part(act).alias("ret_engaged"), part(~act).alias("ret_flat"), part(F.col("bad_flag")).alias("ret_bad"), part(~F.col("bad_flag")).alias("ret_good"))

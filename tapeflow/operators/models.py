@@ -108,7 +108,7 @@ def direction_features(df: DataFrame, value: str, lags: int, horizon: int, dead:
     from .windows import tape
 
     w = tape()
-    ahead = F.lead(price, horizon).over(w) / F.col(price) - 1
+    ahead = F.try_divide(F.lead(price, horizon).over(w), F.col(price)) - 1
     out = df.select("symbol", "seq", *[F.lag(value, i).over(w).alias(f"x{i}") for i in range(lags)], F.when(ahead > dead, 2).when(ahead < -dead, 0).when(ahead.isNotNull(), 1).alias("label"))
     return out.na.drop()
 

@@ -12,6 +12,12 @@ def tape(*more: str) -> WindowSpec:
     return Window.partitionBy(KEY, *more).orderBy(*ORDER)
 
 
+def next_known(value: Column, *more: str) -> Column:
+    """The first non-null value from this row on; read backwards, as a frame that ends with the tape costs its square."""
+    back = Window.partitionBy(KEY, *more).orderBy(*[F.desc(c) for c in ORDER])
+    return F.last(value, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
+
+
 def trailing(n: int, end: int = 0) -> WindowSpec:
     """The n rows that end `end` rows from the current one."""
     return tape().rowsBetween(end - n + 1, end)
@@ -19,7 +25,7 @@ def trailing(n: int, end: int = 0) -> WindowSpec:
 
 def returns(price: str = "price", log: bool = False) -> Column:
     before = F.lag(price).over(tape())
-    return F.log(F.col(price)) - F.log(before) if log else F.col(price) / before - 1
+    return F.log(F.col(price)) - F.log(before) if log else F.try_divide(F.col(price), before) - 1
 
 
 def full(value: Column, column: str, n: int) -> Column:
@@ -87,8 +93,8 @@ def first_exit(df: DataFrame, good: str = "acceptable", out: str = "exit_in") ->
     """Rows until the next one that isn't good (0 for such a row itself), null if none comes."""
     at = F.row_number().over(tape())
     numbered = df.withColumn("_at", at)
-    bad = F.first(F.when(~F.col(good), F.col("_at")), ignorenulls=True).over(tape().rowsBetween(0, Window.unboundedFollowing))
-    return numbered.withColumn(out, bad - F.col("_at")).drop("_at")
+    bad = numbered.withColumn("_bad", F.when(~F.col(good), F.col("_at")))
+    return bad.withColumn(out, next_known(F.col("_bad")) - F.col("_at")).drop("_at", "_bad")
 
 
 def since_last(df: DataFrame, happened: Column, out: str) -> DataFrame:
@@ -116,7 +122,7 @@ def structural_stress(df: DataFrame, window: int = 100, vol_z: float = 1.5, flip
     w = tape()
     out = df.withColumn("_r", F.coalesce(returns(price), F.lit(0.0)))
     out = out.withColumn("_v", full(F.stddev_samp("_r").over(trailing(window)), "_r", window))
-    out = out.withColumn("_v", F.coalesce("_v", F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0)))
+    out = out.withColumn("_v", F.coalesce("_v", next_known(F.col("_v")), F.lit(0.0)))
     middle = out.groupBy(KEY).agg(F.percentile("_v", F.lit(0.5)).alias("_m"))
     out = out.join(middle, KEY)
     spread = out.groupBy(KEY).agg((F.percentile(F.abs(F.col("_v") - F.col("_m")), F.lit(0.5)) + 1e-9).alias("_mad"))

@@ -24,8 +24,8 @@ def e1(spark, sf_dir):
 
 
 _ROLL = """SELECT symbol, date_trunc('{unit}', ts) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close,
-    CAST(sum(volume) AS BIGINT) AS volume, CAST(sum(trades) AS BIGINT) AS trades, max(high) - min(low) AS "range", arg_max(close, ts) / arg_min(open, ts) - 1 AS ret,
-    sqrt(sum(ln(close / open) * ln(close / open))) AS realised_vol, abs(sum(sign(ln(close / open)))) / count(*) AS persistence, count(*) < 2 AS unknown
+    CAST(sum(volume) AS BIGINT) AS volume, CAST(sum(trades) AS BIGINT) AS trades, max(high) - min(low) AS "range", arg_max(close, ts) / nullif(arg_min(open, ts), 0) - 1 AS ret,
+    sqrt(sum(ln(nullif(close / nullif(open, 0), 0)) * ln(nullif(close / nullif(open, 0), 0)))) AS realised_vol, abs(sum(sign(ln(nullif(close / nullif(open, 0), 0))))) / count(*) AS persistence, count(*) < 2 AS unknown
     FROM {src} GROUP BY 1, 2"""
 
 
@@ -58,7 +58,7 @@ def e3_back(spark, sf_dir):
 
 @query(
     "flagship_gate_metrics",
-    f"""|r AS (SELECT *, close / lag(close) {_W} - 1 AS ret FROM bars),
+    f"""|r AS (SELECT *, close / nullif(lag(close) {_W}, 0) - 1 AS ret FROM bars),
     s AS (SELECT *, CASE WHEN ret > 0.05 THEN 1 WHEN ret < -0.05 THEN -1 ELSE 0 END AS state FROM r),
     c AS (SELECT *, CASE WHEN state IS DISTINCT FROM lag(state) {_W} OR row_number() {_W} = 1 THEN 1 ELSE 0 END AS ch FROM s),
     i AS (SELECT *, sum(ch) {_W} AS island FROM c),

@@ -46,12 +46,12 @@ def e31(spark, sf_dir):
 
 @query(
     "e32_shadow_report",
-    f"""|r AS (SELECT *, lead(price, 5) {_W} / price - 1 AS f FROM steps), n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ell, seq) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS c FROM r WHERE f IS NOT NULL)
+    f"""|r AS (SELECT *, lead(price, 5) {_W} / nullif(price, 0) - 1 AS f FROM steps), n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ell, seq) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS c FROM r WHERE f IS NOT NULL)
     SELECT symbol, CAST(floor(k * 5 / c) AS BIGINT) AS bucket, avg(f) AS mean_forward, avg(CAST(sign(f) = state AS INT)) AS sign_accuracy, corr(ell, f) AS corr, avg(CAST(action <> 0 AS INT)) AS activation FROM n GROUP BY 1, 2""",
     "mean_forward sign_accuracy corr activation",
 )
 def e32(spark, sf_dir):
-    df = steps(spark, sf_dir).withColumn("f", F.lead("price", 5).over(w.tape()) / F.col("price") - 1).where("f IS NOT NULL")
+    df = steps(spark, sf_dir).withColumn("f", F.try_divide(F.lead("price", 5).over(w.tape()), F.col("price")) - 1).where("f IS NOT NULL")
     k = F.row_number().over(Window.partitionBy("symbol").orderBy("ell", "seq")) - 1
     df = df.withColumns({"k": k, "c": F.count("*").over(Window.partitionBy("symbol"))})
     return df.groupBy("symbol", F.floor(F.col("k") * 5 / F.col("c")).alias("bucket")).agg(F.avg("f").alias("mean_forward"), logs.share(F.signum("f") == F.col("state")).alias("sign_accuracy"), F.corr("ell", "f").alias("corr"), logs.share(F.col("action") != 0).alias("activation"))

@@ -106,7 +106,7 @@ def e10(spark, sf_dir):
 
 @query(
     "e11_pnl_audit",
-    f"""|q AS (SELECT *, pnl + 1 AS e FROM steps), r AS (SELECT *, coalesce(e / lag(e) {_W} - 1, 0) AS r, e - max(e) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS dd FROM q),
+    f"""|q AS (SELECT *, pnl + 1 AS e FROM steps), r AS (SELECT *, coalesce(e / nullif(lag(e) {_W}, 0) - 1, 0) AS r, e - max(e) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS dd FROM q),
     a AS (SELECT symbol, arg_max(pnl, (ts, seq)) AS pnl_net, min(dd) AS max_dd, sum(abs(fill)) AS turnover, CAST(count_if(fill <> 0) AS BIGINT) AS trades, sum(fee) AS fees, sum(abs(slippage)) AS impact, avg(r) AS mean_ret, stddev_samp(r) AS std_ret FROM r GROUP BY 1)
     SELECT *, pnl_net + fees AS pnl_gross, pnl_net / nullif(turnover, 0) AS edge_per_turnover FROM a""",
     "pnl_net max_dd turnover fees impact mean_ret std_ret pnl_gross edge_per_turnover",
@@ -117,7 +117,7 @@ def e11(spark, sf_dir):
 
 @query(
     "e12_return_splits",
-    f"""|f AS (SELECT *, lead(price) {_W} / price - 1 AS f FROM steps) SELECT symbol, avg(f) AS ret_all, avg(f) FILTER (action <> 0) AS ret_engaged, avg(f) FILTER (action = 0) AS ret_flat, avg(f) FILTER (bad_flag) AS ret_bad, avg(f) FILTER (NOT bad_flag) AS ret_good FROM f GROUP BY 1""",
+    f"""|f AS (SELECT *, lead(price) {_W} / nullif(price, 0) - 1 AS f FROM steps) SELECT symbol, avg(f) AS ret_all, avg(f) FILTER (action <> 0) AS ret_engaged, avg(f) FILTER (action = 0) AS ret_flat, avg(f) FILTER (bad_flag) AS ret_bad, avg(f) FILTER (NOT bad_flag) AS ret_good FROM f GROUP BY 1""",
     "ret_all ret_engaged ret_flat ret_bad ret_good",
 )
 def e12(spark, sf_dir):

@@ -35,7 +35,7 @@ def m1(spark, sf_dir):
 
 @query(
     "m2_direction_features",
-    """|f AS (SELECT symbol, seq, ell AS x0, lag(ell, 1) OVER w AS x1, lag(ell, 2) OVER w AS x2, CASE WHEN lead(price, 5) OVER w / price - 1 > 0.1 THEN 2 WHEN lead(price, 5) OVER w / price - 1 < -0.1 THEN 0 WHEN lead(price, 5) OVER w IS NOT NULL THEN 1 END AS label FROM steps WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)) SELECT * FROM f WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND label IS NOT NULL""",
+    """|f AS (SELECT symbol, seq, ell AS x0, lag(ell, 1) OVER w AS x1, lag(ell, 2) OVER w AS x2, CASE WHEN lead(price, 5) OVER w / nullif(price, 0) - 1 > 0.1 THEN 2 WHEN lead(price, 5) OVER w / nullif(price, 0) - 1 < -0.1 THEN 0 WHEN lead(price, 5) OVER w IS NOT NULL THEN 1 END AS label FROM steps WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)) SELECT * FROM f WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND label IS NOT NULL""",
     "x0 x1 x2",
 )
 def m2(spark, sf_dir):

@@ -193,7 +193,7 @@ def c33(spark, sf_dir):
     return steps(spark, sf_dir).select("symbol", "seq", gate.alias("gated"), s.predicted_edge(F.col("actionability"), F.col("action"), F.col("ell"), F.lit(0.0)).alias("edge"), F.when(allowed == -1, 0.0).when(allowed == 0, 0.5).otherwise(1.0).alias("permitted"))
 
 
-@query("c35_regret_reward", f"SELECT symbol, seq, (coalesce(lag(action) {_W}, 0) - 1) * (ln(price) - ln(lag(price) {_W})) - 0.001 * abs(action - coalesce(lag(action) {_W}, 0)) AS reward FROM steps", "reward")
+@query("c35_regret_reward", f"SELECT symbol, seq, (coalesce(lag(action) {_W}, 0) - 1) * (ln(nullif(price, 0)) - ln(nullif(lag(price) {_W}, 0))) - 0.001 * abs(action - coalesce(lag(action) {_W}, 0)) AS reward FROM steps", "reward")
 def c35(spark, sf_dir):
     before = F.coalesce(F.lag("action").over(_w()), F.lit(0))
     step = F.log("price") - F.log(F.lag("price").over(_w()))
@@ -202,7 +202,7 @@ def c35(spark, sf_dir):
 
 @query(
     "c31_feature_trits",
-    f"""|r AS (SELECT symbol, ts, seq, t, price / lag(price) {_W} - 1 AS r FROM steps), z AS (SELECT *, avg(r) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m, stddev_samp(r) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS sd FROM r),
+    f"""|r AS (SELECT symbol, ts, seq, t, price / nullif(lag(price) {_W}, 0) - 1 AS r FROM steps), z AS (SELECT *, avg(r) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m, stddev_samp(r) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS sd FROM r),
     q AS (SELECT symbol, quantile_cont(sd, 0.75) AS q FROM z WHERE t >= 20 GROUP BY 1)
     SELECT symbol, seq, CAST(sign(r) AS INT) AS ret_trit, CASE WHEN (r - m) / sd > 0.5 THEN 1 WHEN (r - m) / sd < -0.5 THEN -1 ELSE 0 END AS z_trit, CASE WHEN sd > q THEN 1 ELSE 0 END AS stress_trit FROM z JOIN q USING (symbol) WHERE t >= 20""",
 )

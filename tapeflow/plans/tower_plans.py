@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeflow.operators import spectral as sp
@@ -73,16 +72,16 @@ def f2(spark, sf_dir):
 
 @query(
     "f10_synthetic_bad",
-    f"""|r AS (SELECT *, coalesce(price / lag(price) {_W} - 1, 0) AS r, max(pnl) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) - pnl AS dd FROM steps),
+    f"""|r AS (SELECT *, coalesce(price / nullif(lag(price) {_W}, 0) - 1, 0) AS r, max(pnl) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) - pnl AS dd FROM steps),
     s AS (SELECT *, CASE WHEN t >= 49 THEN stddev_samp(r) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) END AS sd, coalesce(dd - lag(dd) {_W}, 0) AS slope FROM r),
-    b AS (SELECT *, coalesce(sd, first_value(sd IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS sg FROM s) SELECT symbol, seq, abs(r) > 3 * sg OR slope > 0.001 AS bad FROM b""",
+    b AS (SELECT *, coalesce(sd, first_value(sd IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS sg FROM s) SELECT symbol, seq, abs(r) > 3 * sg OR slope > 0.00151 AS bad FROM b""",
 )
 def f10(spark, sf_dir):
     v = w.tape()
     df = w.drawdown(steps(spark, sf_dir), "pnl").withColumns({"r": F.coalesce(w.returns(), F.lit(0.0)), "dd": -F.col("drawdown")})
     df = w.rolling(df, "r", 50, "sd").withColumn("slope", F.coalesce(F.col("dd") - F.lag("dd").over(v), F.lit(0.0)))
-    sg = F.coalesce("sd", F.first("sd", ignorenulls=True).over(v.rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0))
-    return df.select("symbol", "seq", ((F.abs("r") > 3 * sg) | (F.col("slope") > 0.001)).alias("bad"))
+    sg = F.coalesce("sd", w.next_known(F.col("sd")), F.lit(0.0))
+    return df.select("symbol", "seq", ((F.abs("r") > 3 * sg) | (F.col("slope") > 0.00151)).alias("bad"))
 
 
 @query("f22_goal_probability")

@@ -58,14 +58,14 @@ def f3(spark, sf_dir):
     return df.select("symbol", "seq", "ret_std", "ell_mean", "hold_share", F.when(F.count("price").over(middle) == 5, F.avg("price").over(middle)).alias("price_centred"))
 
 
-@query("c4_returns", f"SELECT symbol, seq, price / lag(price) {_W} - 1 AS simple, ln(price) - ln(lag(price) {_W}) AS logged, price - lag(price) {_W} AS delta FROM steps", "simple logged delta")
+@query("c4_returns", f"SELECT symbol, seq, price / nullif(lag(price) {_W}, 0) - 1 AS simple, ln(nullif(price, 0)) - ln(nullif(lag(price) {_W}, 0)) AS logged, price - lag(price) {_W} AS delta FROM steps", "simple logged delta")
 def c4(spark, sf_dir):
     return steps(spark, sf_dir).select("symbol", "seq", w.returns().alias("simple"), w.returns(log=True).alias("logged"), (F.col("price") - F.lag("price").over(w.tape())).alias("delta"))
 
 
-@query("c5_forward_return", f"SELECT symbol, seq, CASE WHEN lead(price, 3) {_W} IS NOT NULL THEN greatest(-0.5, least(0.5, lead(price, 3) {_W} / price - 1)) END AS forward FROM steps", "forward")
+@query("c5_forward_return", f"SELECT symbol, seq, CASE WHEN lead(price, 3) {_W} IS NOT NULL THEN greatest(-0.5, least(0.5, lead(price, 3) {_W} / nullif(price, 0) - 1)) END AS forward FROM steps", "forward")
 def c5(spark, sf_dir):
-    ahead = F.lead("price", 3).over(w.tape()) / F.col("price") - 1
+    ahead = F.try_divide(F.lead("price", 3).over(w.tape()), F.col("price")) - 1
     return steps(spark, sf_dir).select("symbol", "seq", F.when(ahead.isNotNull(), F.greatest(F.lit(-0.5), F.least(F.lit(0.5), ahead))).alias("forward"))
 
 
@@ -181,7 +181,7 @@ def f29(spark, sf_dir):
 
 @query(
     "f9_structural_stress",
-    f"""|r AS (SELECT *, coalesce(price / lag(price) {_W} - 1, 0) AS r, CASE WHEN state IS DISTINCT FROM lag(state) {_W} OR t = 0 THEN 1.0 ELSE 0.0 END AS f FROM steps),
+    f"""|r AS (SELECT *, coalesce(price / nullif(lag(price) {_W}, 0) - 1, 0) AS r, CASE WHEN state IS DISTINCT FROM lag(state) {_W} OR t = 0 THEN 1.0 ELSE 0.0 END AS f FROM steps),
     v AS (SELECT *, CASE WHEN t >= 99 THEN stddev_samp(r) {_frame(-99)} END AS v0, CASE WHEN t >= 99 THEN avg(f) {_frame(-99)} ELSE 0 END AS fr FROM r),
     b AS (SELECT *, coalesce(v0, first_value(v0 IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS v FROM v),
     m AS (SELECT symbol, quantile_cont(v, 0.5) AS m FROM b GROUP BY 1),
