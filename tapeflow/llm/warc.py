@@ -150,7 +150,7 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("path", pa.string()), ("shard", pa.int64()), ("part", pa.int64()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
     order = ["shard", "page_id", "url", "digest"]
-    dealt = rows.select("shard", "page_id", "url", "digest", "html", "first", "revisit").repartition(n, "shard").sortWithinPartitions(*order)
+    dealt = rows.select("shard", "page_id", "url", "digest", "html", "first", "revisit").repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions(*order)
     manifest = dealt.mapInArrow(write, _MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
