@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import mapped, worker_cache
 
 #: Transitions and cached words that a Python worker keeps; beyond that it starts its tables anew.
-MOST_TRANSITIONS, MOST_WORDS = 1_200_000, 250_000
+MOST_TRANSITIONS, MOST_WORDS = 500_000, 60_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -75,7 +75,7 @@ class MergeAutomaton:
                 break
             else:
                 state = self.parent[state]
-        if len(self._memo) > 2_000_000:
+        if len(self._memo) > 150_000:
             self._memo.clear()
         self._memo[key] = found
         return found

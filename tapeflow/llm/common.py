@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,8 +24,11 @@ def worker_cache(name: str, make: Callable):
     """The cache of one operator in a Python worker; making it drops what an operator before it has left there."""
     if name not in _HELD:
         _HELD.clear()
-        _HELD[name] = make()
+        gc.collect()
         pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can hand free memory back
+            ctypes.CDLL(None).malloc_trim(0)
+        _HELD[name] = make()
     return _HELD[name]
 
 
