@@ -6,7 +6,9 @@ escape, estimated as half its distinct symbols over its total (the other halves
 symbols of the context escaped from are excluded from the shorter one's totals.  Below order 0 the bytes never seen are
 equally likely.  A text ends with the byte FF, which UTF-8 never uses and which also stands before each text.
 
-Counts are made in tasks and summed by Spark; every text then adds up the costs of its bytes from the trained trie.
+Counts are made in tasks and summed by Spark.  What a byte costs follows from the run of ORDER + 1 bytes that ends at it, so
+every text adds up the costs of its runs: those of the most frequent runs go to every task, all others are joined.  Costs
+are made in groups of runs whose contexts end alike, each from all counts that they depend on.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from pyspark.sql import functions as F
 from .common import mapped, stored, text_slices, worker_cache
 
 ORDER = 5
-#: Nodes of a trie that goes to every task; of a larger one those of the fewest occurrences are left out, so that their
-#: bytes are coded in shorter contexts.
+#: Byte runs whose costs go to every task, the most frequent ones; all others are looked up by a join.
 MOST_NODES = 4_000_000
+#: Groups that runs are dealt to by the last two bytes of their contexts.
+GROUPS = 1024
 #: Words whose counts go to every task, the most frequent ones; all others are looked up by a join.
 HEAD_WORDS = 200_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -131,6 +134,8 @@ class Trie:
         for m in range(ORDER, -1, -1):
             if not len(self.contexts[m]):
                 continue
+            if not live.any():
+                break
             own = gram & np.uint64((1 << 8 * (m + 1)) - 1)
             i = np.minimum(np.searchsorted(self.contexts[m], own >> np.uint64(8)), len(self.contexts[m]) - 1)
             seen = live & (self.contexts[m][i] == own >> np.uint64(8))
@@ -146,26 +151,30 @@ class Trie:
         return out
 
     def table(self) -> tuple[np.ndarray, np.ndarray, np.uint64]:
-        """Costs of the longest runs as an open-addressing hash table: keys, costs, shift."""
-        keys = self.grams[ORDER]
-        bits = max(4, int(len(keys) * 2).bit_length())
-        slots, costs = np.full(1 << bits, _EMPTY), np.zeros(1 << bits, np.float32)
-        shift = np.uint64(64 - bits)
-        at, left = (keys * _SPREAD) >> shift, np.arange(len(keys))
-        values = self.cost(keys).astype(np.float32)
-        while len(left):
-            place = at[left]
-            free = slots[place] == _EMPTY
-            slots[place[free]] = keys[left[free]]  # of those that meet in a slot the last one stays
-            put = slots[place] == keys[left]
-            costs[place[put]] = values[left[put]]
-            left = left[~put]
-            at[left] = (at[left] + np.uint64(1)) & np.uint64((1 << bits) - 1)
-        return slots, costs, shift
+        """Costs of the longest runs as a hash table."""
+        return hashed(self.grams[ORDER], self.cost(self.grams[ORDER]))
 
 
-def lookup(trie: Trie, table: tuple, gram: np.ndarray) -> np.ndarray:
-    """trie.cost by the table; runs that it lacks are coded once each."""
+def hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+    """An open-addressing hash table of distinct keys: keys, values, shift."""
+    bits = max(4, int(len(keys) * 2).bit_length())
+    slots, costs = np.full(1 << bits, _EMPTY), np.zeros(1 << bits, np.float32)
+    shift = np.uint64(64 - bits)
+    at, left = (keys * _SPREAD) >> shift, np.arange(len(keys))
+    values = values.astype(np.float32)
+    while len(left):
+        place = at[left]
+        free = slots[place] == _EMPTY
+        slots[place[free]] = keys[left[free]]  # of those that meet in a slot the last one stays
+        put = slots[place] == keys[left]
+        costs[place[put]] = values[left[put]]
+        left = left[~put]
+        at[left] = (at[left] + np.uint64(1)) & np.uint64((1 << bits) - 1)
+    return slots, costs, shift
+
+
+def probe(table: tuple, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The costs of runs by a table, and the places of those that it lacks (cost 0)."""
     slots, costs, shift = table
     out = np.zeros(len(gram))
     at, left, missing = (gram * _SPREAD) >> shift, np.arange(len(gram)), []
@@ -179,42 +188,58 @@ def lookup(trie: Trie, table: tuple, gram: np.ndarray) -> np.ndarray:
         missing.append(left[gone])
         left = left[~(hit | gone)]
         at[left] = (at[left] + np.uint64(1)) & last
-    absent = np.concatenate(missing) if missing else left
+    return out, np.concatenate(missing) if missing else left
+
+
+def lookup(trie: Trie, table: tuple, gram: np.ndarray) -> np.ndarray:
+    """trie.cost by the table; runs that it lacks are coded once each."""
+    out, absent = probe(table, gram)
     if len(absent):
         every, where = np.unique(gram[absent], return_inverse=True)
         out[absent] = trie.cost(every)[where]
     return out
 
 
-def build_trie(counts: DataFrame, most: int = MOST_NODES) -> Trie:
-    """The trie of training_counts' byte runs.
+def group_trie(pairs: tuple[np.ndarray, np.ndarray], gram: np.ndarray, n: np.ndarray) -> Trie:
+    """The trie of runs whose contexts end alike.
 
-    Counts of all orders cover all runs; then the nodes seen at least as often as fits `most` nodes are taken.  A run is
-    never more frequent than its ending, so a node that stays has its endings in the trie.
+    pairs: the counts of all runs of two bytes, for orders 0 and 1.  A longer context shares its last two bytes with all of
+    its own endings of two bytes or more, so the group's runs make up all that the orders above depend on.
     """
-    longest = counts.where("gram IS NOT NULL").select("gram", "n")
-    parts = [longest.select(F.lit(m).alias("m"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (m + 1)) - 1)).alias("gram"), "n") for m in range(ORDER + 1)]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    nodes = stored(every.groupBy("m", "gram").agg(F.sum("n").alias("n")), "ppm-nodes")
+    levels = [_summed([(pairs[0] & np.uint64(0xFF), pairs[1])]), _summed([pairs])]
+    levels += [_summed([(gram & np.uint64((1 << 8 * (m + 1)) - 1), n)]) for m in range(2, ORDER + 1)]
+    return Trie([g for g, _ in levels], [c for _, c in levels])
+
+
+def run_costs(longest: DataFrame, asked: DataFrame) -> DataFrame:
+    """gram, cost of every run of asked (distinct), by the model of longest (gram, n: all runs of the training texts)."""
+    found = longest.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    pairs = longest.sparkSession.sparkContext.broadcast((found.column("gram").to_numpy().astype(np.uint64), found.column("n").to_numpy()))
+    schema = pa.schema([("gram", pa.int64()), ("cost", pa.float64())])
+
+    def make(group: pa.Table) -> pa.Table:
+        gram, known = group.column("gram").to_numpy().view(np.uint64), group.column("n").is_valid().to_numpy()
+        trie = group_trie(pairs.value, gram[known], group.column("n").drop_null().to_numpy().astype(np.int64))
+        own = gram[~known]
+        return pa.table([own.view(np.int64), trie.cost(own)], schema=schema)
+
+    every = longest.select("gram", "n").unionByName(asked.select("gram", F.lit(None).cast("long").alias("n")))
+    ending = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
+    return every.withColumn("ending", F.pmod(F.hash(ending), F.lit(GROUPS))).groupBy("ending").applyInArrow(make, "gram long, cost double")
+
+
+def head_costs(longest: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs and their costs: all that are seen at least as often as fits `most` runs."""
     least = 1
-    frequencies = nodes.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect()
+    frequencies = longest.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect()
     held = 0
     for r in frequencies:
         held += r["count"]
         if held > most:
             least = r["n"] + 1
             break
-    found = nodes.where(F.col("n") >= least).toArrow()
-    m, gram, n = (found.column(c).to_numpy() for c in ("m", "gram", "n"))
-    grams, sums = [], []
-    for order in range(ORDER + 1):
-        own = gram[m == order].astype(np.uint64)
-        sort = np.argsort(own)
-        grams.append(own[sort])
-        sums.append(n[m == order][sort])
-    return Trie(grams, sums)
+    found = run_costs(longest, longest.where(F.col("n") >= least)).select("gram", F.col("cost").cast("float").alias("cost")).toArrow()
+    return found.column("gram").to_numpy().astype(np.uint64), found.column("cost").to_numpy()
 
 
 def score_texts(docs: DataFrame, training, order_nodes: int = MOST_NODES, head: int = HEAD_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -222,7 +247,8 @@ def score_texts(docs: DataFrame, training, order_nodes: int = MOST_NODES, head:
 
     training: a condition on docs that marks the rows to learn from.  Words are what stands between ASCII white space,
     A-Z lower-cased, and each text has one end more; base_score adds up the words' log10 (c + 1) / (N + V + 1), score is
-    the log10 probability of the lower-cased text's bytes and end.  Null texts are empty; repeated rows count each.
+    the log10 probability of the lower-cased text's bytes and end.  Null texts are empty; repeated rows count each.  order_nodes
+    and head bound what goes to every task, not what is counted.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), (~F.coalesce(training, F.lit(True))).alias("held_out"))
@@ -233,14 +259,14 @@ def score_texts(docs: DataFrame, training, order_nodes: int = MOST_NODES, head:
     ends = frequent.pop(b"", None)
     if ends is None:
         ends = words.where(F.length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    trie = build_trie(counts, order_nodes)
-    model = spark.sparkContext.broadcast((trie, {w: float(np.log10(n + 1)) for w, n in frequent.items()}))
+    longest = counts.where("gram IS NOT NULL").select("gram", "n")
+    model = spark.sparkContext.broadcast((*head_costs(longest, order_nodes), {w: float(np.log10(n + 1)) for w, n in frequent.items()}))
     stamp = f"ppm-{uuid.uuid4().hex}"
     end_value, end_known = float(np.log10(ends + 1)), int(ends > 0)
 
     def make(batch):
-        trie, common = model.value
-        costs = worker_cache(stamp, trie.table)
+        keys, values, common = model.value
+        costs = worker_cache(stamp, lambda: hashed(keys, values))
         texts = [lowered(t) for t in batch.column("text").to_pylist()]
         n, known, base, rare = [], [], [], []
         find = common.get
@@ -254,19 +280,30 @@ def score_texts(docs: DataFrame, training, order_nodes: int = MOST_NODES, head:
             rare.append(odd)
         gram, begin, end = runs(texts)
         keep = coded(begin, end, len(gram))
-        cost = lookup(trie, costs, gram[keep])
+        gram = gram[keep]
+        cost, absent = probe(costs, gram)
         lengths = end - begin + 1
         score = -np.add.reduceat(cost, np.cumsum(lengths) - lengths)
+        of = np.repeat(np.arange(len(texts)), lengths)[absent]
+        sort = np.lexsort((gram[absent], of))
+        of, own = of[sort], gram[absent][sort]
+        first = np.nonzero(np.append(True, (of[1:] != of[:-1]) | (own[1:] != own[:-1])))[0] if len(own) else np.zeros(0, np.int64)
+        offsets = pa.array(np.searchsorted(of[first], np.arange(len(texts) + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (own[first].view(np.int64), np.diff(np.append(first, len(own))).astype(np.int64))]
         out = {c: batch.column(c) for c in ("row", "doc_id", "held_out")}
-        return out | {"n_tokens": n, "known": known, "base": base, "score": score, "rare": rare}
+        return out | {"n_tokens": n, "known": known, "base": base, "score": score, "rare": rare, "gram": lists[0], "times": lists[1]}
 
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    scored = stored(mapped(numbered, "text", make, "row long,doc_id long,held_out boolean,n_tokens long,known long,base double,score double,rare array<binary>", most=1_000_000), "ppm-scored")
+    scored = stored(mapped(numbered, "text", make, "row long,doc_id long,held_out boolean,n_tokens long,known long,base double,score double,rare array<binary>,gram array<long>,times array<long>", most=1_000_000), "ppm-scored")
     found = scored.select("row", F.explode("rare").alias("word")).join(words, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count("*").alias("more_known"))
+    pairs = scored.select("row", F.explode(F.arrays_zip("gram", "times")).alias("p")).select("row", "p.gram", "p.times")
+    costs = run_costs(longest, pairs.select("gram").distinct())
+    rest = pairs.join(costs, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("cost")).alias("rest"))
     log_all = float(np.log10(n_all + n_kinds + 1))
-    return scored.drop("rare").join(found, "row", "left").select(
+    return scored.drop("rare", "gram", "times").join(found, "row", "left").join(rest, "row", "left").select(
         F.col("doc_id").alias(key), "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(log_all)).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(log_all)).alias("base_score"),
+        (F.col("score") - F.coalesce("rest", F.lit(0.0))).alias("score"),
     )
 
 

@@ -88,3 +88,11 @@ def test_smaller_trie_and_no_training_rows(spark):
     assert {(r["train_tokens"], r["n_known"], r["base_score"]) for r in none} == {(0, 0, 0.0)}
     assert math.isclose(next(r["score"] for r in none if r["doc_id"] == 6), -8 * math.log10(256), rel_tol=1e-6)
     assert score_texts(docs.limit(0), fold() != 2).count() == 0
+
+
+def test_rare_runs_score_as_with_the_whole_table(spark):
+    docs = spark.createDataFrame(TEXTS, SCHEMA).repartition(3)
+    model = Naive([lower(t).encode() for i, t, _ in TEXTS if zlib.crc32(str(i).encode()) % 7 != 2])
+    for most in (0, 1, 60):
+        for r in score_texts(docs, fold() != 2, order_nodes=most).collect():
+            assert math.isclose(r["score"], model.score(lower(dict(t[:2] for t in TEXTS)[r["doc_id"]]).encode()), rel_tol=1e-5, abs_tol=1e-4)
