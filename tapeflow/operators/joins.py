@@ -45,23 +45,25 @@ def cross_lag_pairs(summaries: DataFrame, max_lag: int, window: str = "window_in
     return late.join(early, "at").select("target", "source", "at", "lag", (F.col("target_value") - F.col("source_value")).alias("delta"), (F.col("target_value") * F.col("source_value")).alias("product"))
 
 
-def aligned(df: DataFrame, value: str, symbols: list[str], on: str = "ts") -> DataFrame:
-    """One column for each symbol, rows where all have a value."""
-    return df.groupBy(on).pivot("symbol", symbols).agg(F.first(value)).na.drop(subset=symbols)
+def aligned(df: DataFrame, value: str, on: str = "ts") -> DataFrame:
+    """on, symbol, value: one row for each symbol, at the times at which all symbols of df have a value."""
+    rows = df.where(F.col("symbol").isNotNull())
+    one = rows.groupBy(on, "symbol").agg(F.first(value).alias(value)).na.drop(subset=[value])
+    every = rows.agg(F.countDistinct("symbol")).first()[0]
+    return one.join(one.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") == every).select(on), on, "left_semi")
 
 
-def lagged_correlations(df: DataFrame, value: str, symbols: list[str], lags: list[int], on: str = "ts", blocks: int = 64) -> DataFrame:
+def lagged_correlations(df: DataFrame, value: str, lags: list[int], on: str = "ts", blocks: int = 64) -> DataFrame:
     """target, source, lag, n, score: correlation of target with source `lag` rows before on the aligned grid.
 
     Rows of the grid are numbered by blocks, so numbering needs no single task; the lag is then an equi-join on numbers.
     """
-    grid = aligned(df, value, symbols, on)
-    dealt = grid.repartitionByRange(blocks, on).withColumn("_b", F.spark_partition_id())
+    grid = aligned(df, value, on)
+    dealt = grid.select(on).distinct().repartitionByRange(blocks, on).withColumn("_b", F.spark_partition_id())
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     numbered = dealt.join(F.broadcast(sizes), "_b").withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(on)) + F.col("_off"))
-    pack = F.explode(F.map_from_arrays(F.array(*[F.lit(s) for s in symbols]), F.array(*symbols)))
-    long = numbered.select(F.col("_i"), pack.alias("name", "v"))
+    long = grid.join(numbered.select(on, "_i"), on).select("_i", F.col("symbol").alias("name"), F.col(value).alias("v"))
     source = long.select(F.col("name").alias("source"), F.col("v").alias("sv"), F.col("_i").alias("_j"), F.explode(F.array(*[F.lit(x) for x in lags])).alias("lag")).withColumn("_i", F.col("_j") + F.col("lag"))
     pairs = long.select(F.col("name").alias("target"), F.col("v").alias("tv"), "_i").join(source, "_i").where("target <> source")
     return pairs.groupBy("target", "source", "lag").agg(F.count("*").alias("n"), F.corr("tv", "sv").alias("score"))

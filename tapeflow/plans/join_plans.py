@@ -72,10 +72,6 @@ def d5(spark, sf_dir):
     return j.cross_lag_pairs(s, 4)
 
 
-def _symbols(df):
-    return [r[0] for r in df.select("symbol").distinct().orderBy("symbol").limit(50).collect()]
-
-
 _DAILY = "d AS (SELECT symbol, date_trunc('day', ts) AS ts, arg_max(close, ts) AS close FROM bars GROUP BY 1, 2)"
 
 
@@ -85,11 +81,8 @@ def _daily(spark, sf_dir):
 
 @query("d6_inner_alignment", f"|{_DAILY}, n AS (SELECT count(DISTINCT symbol) AS k FROM d), g AS (SELECT ts FROM d, n GROUP BY ts, k HAVING count(*) = k) SELECT d.symbol, avg(close) AS mean_close, count(*) AS n FROM d JOIN g USING (ts) GROUP BY 1", "mean_close")
 def d6(spark, sf_dir):
-    d = _daily(spark, sf_dir)
-    names = _symbols(d)
-    grid = j.aligned(d, "close", names)
-    long = grid.select(F.explode(F.map_from_arrays(F.array(*[F.lit(s) for s in names]), F.array(*names))).alias("symbol", "v"))
-    return long.groupBy("symbol").agg(F.avg("v").alias("mean_close"), F.count("*").alias("n"))
+    grid = j.aligned(_daily(spark, sf_dir), "close")
+    return grid.groupBy("symbol").agg(F.avg("close").alias("mean_close"), F.count("*").alias("n"))
 
 
 @query(
@@ -99,8 +92,7 @@ def d6(spark, sf_dir):
     "score",
 )
 def d7(spark, sf_dir):
-    d = _daily(spark, sf_dir)
-    return j.lagged_correlations(d, "close", _symbols(d), [1, 2])
+    return j.lagged_correlations(_daily(spark, sf_dir), "close", [1, 2])
 
 
 @query("d8_trade_entry_step", "|t AS (SELECT symbol, t AS exit_step, t - 3 AS entry_step FROM steps WHERE action <> 0 AND t >= 3) SELECT t.symbol, t.entry_step, t.exit_step, s.price AS entry_price, s.ell AS entry_ell FROM t JOIN (SELECT *, row_number() OVER (PARTITION BY symbol, t ORDER BY seq) AS rn FROM steps) s ON s.symbol = t.symbol AND s.t = t.entry_step AND rn = 1", "entry_price entry_ell")
