@@ -2,8 +2,7 @@
 
 Labels mark documents, so tokens get theirs first: a word or word beginning that stands in many labelled toxic documents
 and in hardly any clean one marks its tokens as toxic.  The field (two states, features: word and its first 3 to 6
-letters) is fitted to these labelled tokens.  In every document, forward-backward over runs of at most SEGMENT words
-gives each word's probability to be toxic; a document's score is a logistic function of the largest log odds, the
+letters) is fitted to these labelled tokens.  In every document, which is one chain, forward-backward gives each word's probability to be toxic; a document's score is a logistic function of the largest log odds, the
 expected number of toxic words and the number of words, and neighbouring words over one half are its offending spans.
 """
 
@@ -21,7 +20,7 @@ from .common import mapped, stored, text_slices, worker_cache
 
 #: Labelled documents that a model is fitted to, at most so many of each label (those whose key hashes lowest).
 MOST_LABELLED = 3000
-#: Words of a chain; longer texts are several chains.
+#: Words of a piece of a chain: pieces run side by side, and what one hands to the next is carried between them.
 SEGMENT = 64
 #: A feature marks toxic tokens if it has this many toxic documents and this share of toxic ones, classes weighted alike.
 LEAST_DOCS, LEAST_SHARE = 5, 0.9
@@ -85,11 +84,60 @@ def forward_backward(grid: np.ndarray, mask: np.ndarray, start: float, trans: np
     return (a[:, 1] + b[:, 1] - a[:, 0] - b[:, 0]).T, pairs, log_z
 
 
-def log_odds(grid: np.ndarray, mask: np.ndarray, start: float, trans: np.ndarray) -> np.ndarray:
-    """forward_backward's first result, by recursion on log odds alone: two terms for each place and direction."""
+def carried(grid: np.ndarray, mask: np.ndarray, owner: np.ndarray, start: float, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What log_odds needs of the pieces around each: log odds before its first place, and of all after its last one.
+
+    owner: the text of each piece.  A piece acts on the two states' weights as a matrix, made for all pieces at once; then
+    one vector goes along each text, forth and back.
+    """
+    before, after = np.full(len(grid), float(start)), np.zeros(len(grid))
+    joined = owner[1:] == owner[:-1]
+    long = np.nonzero(np.append(joined, False) | np.append(False, joined))[0]
+    if not len(long):
+        return before, after
+    step = np.exp(trans - trans.max())
+    up, down = np.exp(np.minimum(grid[long], 0)), np.exp(-np.maximum(grid[long], 0))
+    c = np.zeros((len(long), 2, 2))
+    c[:, 0, 0], c[:, 1, 1] = down[:, 0], up[:, 0]
+    for t in range(1, grid.shape[1]):
+        new = (c.reshape(-1, 2) @ step).reshape(c.shape)
+        new[:, :, 0] *= down[:, t, None]
+        new[:, :, 1] *= up[:, t, None]
+        new /= new.max(axis=(1, 2), keepdims=True)
+        c = np.where(mask[long, t, None, None], new, c)
+    forth, back = (c @ step).tolist(), (step @ c).tolist()
+    odds = lambda v: float(np.log(v[1]) - np.log(v[0]))
+    first = [min(1.0, np.exp(-start)), min(1.0, np.exp(start))]
+    own, v = owner[long].tolist(), first
+    for k in range(1, len(own)):
+        if own[k] == own[k - 1]:
+            m = forth[k - 1]
+            v = [v[0] * m[0][0] + v[1] * m[1][0], v[0] * m[0][1] + v[1] * m[1][1]]
+            v = [v[0] / (v[0] + v[1]), v[1] / (v[0] + v[1])]
+            before[long[k]] = odds(v)
+        else:
+            v = first
+    v = [1.0, 1.0]
+    for k in range(len(own) - 2, -1, -1):
+        if own[k] == own[k + 1]:
+            m = back[k + 1]
+            v = [m[0][0] * v[0] + m[0][1] * v[1], m[1][0] * v[0] + m[1][1] * v[1]]
+            v = [v[0] / (v[0] + v[1]), v[1] / (v[0] + v[1])]
+            after[long[k]] = odds(v)
+        else:
+            v = [1.0, 1.0]
+    return before, after
+
+
+def log_odds(grid: np.ndarray, mask: np.ndarray, start: float | np.ndarray, trans: np.ndarray, after: float | np.ndarray = 0.0) -> np.ndarray:
+    """forward_backward's first result, by recursion on log odds alone: two terms for each place and direction.
+
+    start, after: log odds that each run begins with, and those of what follows its last place if it is full.
+    """
     ratio = lambda x, to: np.logaddexp(trans[0, to], x + trans[1, to])
     f, b = np.zeros(grid.shape), np.zeros(grid.shape)
     f[:, 0] = grid[:, 0] + start
+    b[:, -1] = after
     for t in range(1, grid.shape[1]):
         f[:, t] = grid[:, t] + ratio(f[:, t - 1], 1) - ratio(f[:, t - 1], 0)
     for t in range(grid.shape[1] - 2, -1, -1):
@@ -119,7 +167,10 @@ class Field:
         lengths = np.array([len(w) for w in words], np.int64)
         scores = np.fromiter((s if (s := known(w)) is not None else score(w) for own in words for w in own), float, int(lengths.sum()))
         grid, mask, at = chains(lengths, scores)
-        return lengths, (log_odds(grid, mask, self.start, self.trans)[at] if len(scores) else scores)
+        if not len(scores):
+            return lengths, scores
+        before, after = carried(grid, mask, np.repeat(np.arange(len(texts)), -(-lengths // SEGMENT)), self.start, self.trans)
+        return lengths, log_odds(grid, mask, before, self.trans, after)[at]
 
     def summary(self, lengths: np.ndarray, odds: np.ndarray) -> np.ndarray:
         """(texts x 4): 1, the largest log odds, logs of one more than the expected toxic words and the words."""
@@ -215,10 +266,10 @@ def summaries(sample: DataFrame, field: Field) -> tuple[np.ndarray, np.ndarray]:
 MOST_RUNS, RUN = 12_000, 16
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Field:
-    """A field fitted to at most `most` labelled documents of each label; near copies among them count once.
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, key: str = "doc_id", text: str = "text", label: str = "toxic", most_runs: int = MOST_RUNS) -> Field:
+    """A field fitted to at most `most` labelled documents of each label and `most_runs` runs; near copies count once.
 
-    Texts stay in the tasks: what reaches the driver are feature counts, MOST_RUNS runs and a row for each document.
+    Texts stay in the tasks: what reaches the driver are feature counts, most_runs runs and a row for each document.
     """
     sample = stored(labelled_sample(docs, labels, most, key, text, label).where(F.col("text").isNotNull()), "toxicity-sample")
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -229,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, key: str
     toxic = {bytes(f) for f, c, t in counts if t >= LEAST_DOCS and t / n[1] >= LEAST_SHARE * (t / n[1] + c / n[0])}
     used = {f: i for i, f in enumerate(sorted(bytes(r["feature"]) for r in counts))}
     del counts
-    runs = training_runs(sample, toxic, used, RUN).orderBy("h", "places", "features").limit(MOST_RUNS).collect()
+    runs = training_runs(sample, toxic, used, RUN).orderBy("h", "places", "features").limit(most_runs).collect()
     weight, bias, start, trans = _fit_chain(runs, len(used))
     found = Field({f: float(weight[i]) for f, i in used.items() if abs(weight[i]) > 1e-3}, float(bias), float(start), trans, np.zeros(4))
     found.final = _logistic(*summaries(sample, found))

@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 import pytest
 
-from tapeflow.llm.toxicity import SEGMENT, chains, forward_backward, log_odds, toxicity
+from tapeflow.llm.toxicity import SEGMENT, Field, chains, forward_backward, log_odds, toxicity
 
 
 def test_marginals_equal_enumeration():
@@ -32,6 +32,22 @@ def test_chains_keep_texts_apart():
     assert mask.sum(1).tolist() == [3, SEGMENT, 1] and grid[at].tolist() == list(np.arange(1.0, SEGMENT + 5))
 
 
+def test_a_text_is_one_chain():
+    rng = np.random.default_rng(4)
+    weights = {b"w%d$" % i: float(w) for i, w in enumerate(rng.normal(scale=3, size=9))}
+    trans, start, bias = rng.normal(size=(2, 2)) + 2 * np.eye(2), 1.5, -0.5
+    field = Field(weights, bias, start, trans, np.zeros(4))
+    texts = [[int(i) for i in rng.integers(9, size=n)] for n in (5, 3 * SEGMENT + 7, 0, 2 * SEGMENT, SEGMENT, SEGMENT + 1, 40 * SEGMENT + 3)]
+    lengths, odds = field.tokens([" ".join(f"w{i}" for i in own) for own in texts])
+    assert lengths.tolist() == [len(own) for own in texts]
+    at = 0
+    for own in texts:
+        if own:
+            grid = np.array([[bias + weights[b"w%d$" % i] for i in own]])
+            assert np.allclose(odds[at : at + len(own)], forward_backward(grid, np.ones(grid.shape, bool), start, trans)[0][0])
+        at += len(own)
+
+
 def test_finds_toxic_words_and_spans(spark):
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
