@@ -227,14 +227,15 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
 def without_items(docs: DataFrame, items: DataFrame, size: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that hold a window of a test item: same columns, texts whole.
 
-    Windows are those of match_items of `size` words; items of fewer words are too common to tell, and are left out.
-    Rows of a null key stay; they can't be named.
+    Windows are those of match_items of `size` words, so a shorter item is one window of all its words.  Rows are judged
+    one by one, whatever their key.
     """
-    long = items.where(F.size(F.regexp_extract_all("text", F.lit(r"[0-9A-Za-z\x80-\x{10FFFF}]+"), 0)) >= size)
-    found = match_items(docs, long, size, 0, key, text)
-    hit = stored(found.where((F.length("hits") > 0) & F.col(key).isNotNull()).select(key).distinct(), "contaminated")
+    columns = docs.columns
+    docs = stored(docs.withColumn("_number", F.monotonically_increasing_id()), "decontamination-rows")
+    found = match_items(docs, items, size, 0, "_number", text)
+    hit = stored(found.where(F.length("hits") > 0).select("_number"), "contaminated")
     few = hit.count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(hit) if few else hit, key, "left_anti").select(docs.columns)
+    return docs.join(F.broadcast(hit) if few else hit, "_number", "left_anti").select(columns)
 
 
 def item_digest(names: list[str]) -> str:

@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from tapeflow.llm.decontamination import contamination, item_digest
+from tapeflow.llm.decontamination import contamination, item_digest, without_items
 
 DOCS = "doc_id long, text string, items string"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -73,3 +73,12 @@ def test_empty_tables(spark):
     assert contamination(docs, items).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert rows(contamination(one, items)) == brute([(1, "a b")], [], 10)
+
+
+def test_rows_that_hold_short_items_go(spark):
+    items = [("a", "one two three four five"), ("b", " ".join(f"w{i}" for i in range(12))), ("c", None), ("d", "...")]
+    texts = [(1, "zero One, two three four FIVE six"), (2, "one two three four"), (None, "x w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 y"), (None, "clean"), (3, "one two three four five"), (3, "clean too"), (4, None)]
+    docs = spark.createDataFrame([(i, t, "") for i, t in texts], DOCS)
+    found = without_items(docs, spark.createDataFrame(items, "item_id string, text string"))
+    assert found.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=str) == sorted([texts[1], texts[3], texts[5], texts[6]], key=str)
