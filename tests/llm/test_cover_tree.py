@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeflow.llm import cover_tree
-from tapeflow.llm.cover_tree import Search, top_k
+from tapeflow.llm.cover_tree import Search, Tree, top_k
 
 
 def brute(rows, asks, k):
@@ -34,19 +34,63 @@ def test_equals_brute_force(spark, monkeypatch, block):
     assert found == brute(rows, lambda i: i % 10 == 0, 7)
 
 
-def test_prunes_far_groups():
+def searched(q, q_ids, x, x_ids, k, floor=None):
+    return Search(Tree(q, q_ids, 16, True), Tree(x, x_ids), k, floor)
+
+
+def best(x, queries, k):
+    scores = (x[queries] @ x.T).astype(float)
+    scores[np.arange(len(queries)), queries] = -np.inf
+    return {int(q): sorted(zip(-s, range(len(x))))[:k] for q, s in zip(queries, scores)}
+
+
+def found_by(search):
+    out = {}
+    for q, i, s in zip(*search.results()):
+        out.setdefault(int(q), []).append((-float(s), int(i)))
+    return {q: sorted(v) for q, v in out.items()}
+
+
+@pytest.mark.parametrize("kind", ["groups", "copies", "uniform", "chain"])
+def test_search_is_exact(kind):
     rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(scale=5, size=(500, 4)) + 1000 * c for c in np.eye(4)]).astype(np.int64)
-    found = Search(x[:20], np.arange(20), x, np.arange(2000), 3)
-    assert found.pairs < 20 * 2000 / 2
-    scores = (x[:20] @ x.T).astype(float)
-    scores[np.arange(20), np.arange(20)] = -np.inf
-    assert (found.scores == -np.sort(-scores, axis=1)[:, :3]).all()
+    n, d = 1200, 12
+    if kind == "groups":
+        x = np.concatenate([rng.normal(scale=20, size=(n // 4, d)) + 1000 * c for c in np.eye(d)[:4]])
+    elif kind == "copies":  # equal and near copies of a few vectors among others that lie apart
+        x = rng.normal(scale=300, size=(n, d))
+        x[100:600], x[600:1000] = x[7], x[8] + rng.normal(scale=2, size=(400, d))
+    elif kind == "chain":
+        x = np.eye(d)[0] * 2.0 ** (-np.arange(n) / 40)[:, None] * 1e6
+    else:
+        x = rng.normal(scale=300, size=(n, d))
+    x = np.floor(x).astype(np.int64)
+    queries = np.arange(0, n, 9)
+    search = searched(x[queries], queries, x, np.arange(n), 7)
+    want = best(x, queries, 7)
+    assert found_by(search) == want
+    if kind in ("groups", "copies"):
+        assert search.pairs < search.whole / 2
+    # k-th scores known beforehand change no result and save work.
+    floor = np.array([-want[int(q)][-1][0] for q in search.a.ids])
+    again = Search(search.a, search.b, 7, floor)
+    assert found_by(again) == want and again.pairs <= search.pairs
+
+
+def test_tree_holds_every_row_within_its_radii():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(scale=50, size=(300, 3)), rng.normal(size=(200, 3))]).astype(np.int64)
+    for gather in (False, True):
+        tree = Tree(x, np.arange(len(x)), 8, gather)
+        assert sorted(tree.ids.tolist()) == list(range(len(x)))
+        rows_of = lambda i: list(range(tree.low[i], tree.high[i])) if tree.kids[i] == tree.kids_end[i] else [r for j in range(tree.kids[i], tree.kids_end[i]) for r in rows_of(j)]
+        for i in range(len(tree.center)):
+            assert (np.sqrt(((tree.x[rows_of(i)] - tree.x[tree.center[i]]) ** 2).sum(1)) <= tree.radius[i] + 1e-6).all()
 
 
 def test_large_integers_are_exact():
     x = np.array([[2**28 + i, 1] for i in range(50)], np.int64)
-    found = Search(x[:1], np.array([0]), x, np.arange(50), 2)
+    found = searched(x[:1], np.array([0]), x, np.arange(50), 2)
     assert found.scores[0].tolist() == [2**28 * (2**28 + 49) + 1, 2**28 * (2**28 + 48) + 1]
 
 
