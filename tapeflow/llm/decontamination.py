@@ -15,6 +15,7 @@ import hashlib
 import itertools
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +72,8 @@ def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
 
         total = np.zeros(n_terms, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, np.int32), minlength=n_terms)
+            term, n = np.unique(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int32), return_counts=True)
+            total[term] += n
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_pydict({"term": at, "n": total[at]})
 
@@ -82,10 +83,10 @@ def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
     return counts
 
 
-def windows_of(items: list[tuple[str, list[bytes]]], size: int, terms: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(windows x size) term numbers, -1 beyond a short item's end, and each window's item."""
+def windows_of(items: list[tuple[int, list[bytes]]], size: int, terms: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(windows x size) term numbers, -1 beyond a short item's end, and the number of each window's item."""
     rows, owner, seen = [], [], set()
-    for i, (_, words) in enumerate(items):
+    for i, words in items:
         ids = [terms[w] for w in words]
         for start in range(max(1, len(ids) - size + 1) if ids else 0):
             window = tuple(ids[start : start + size])
@@ -141,8 +142,11 @@ class Searcher:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def search(index: DataFrame, searcher: Searcher, names: list[str]) -> DataFrame:
-    """For every index row: its key, n_words, hit word positions (int32 bytes), items hit, and items near."""
+def search(index: DataFrame, searcher: Searcher, names: list[str | None]) -> DataFrame:
+    """For every index row: its key, n_words, hit word positions (int32 bytes), items hit, and items near.
+
+    names: those of the items by number; an item without a name is in neither list of items.
+    """
     held = index.sparkSession.sparkContext.broadcast((searcher, names))
 
     def make(batch):
@@ -164,7 +168,8 @@ def search(index: DataFrame, searcher: Searcher, names: list[str]) -> DataFrame:
         for pick in (exact, np.ones(len(exact), bool)):
             owned: list[list[str]] = [[] for _ in n_words]
             for d, i in np.unique(np.stack([doc[pick], searcher.owner[window[pick]]]), axis=1).T:
-                owned[d].append(names[i])
+                if names[i] is not None:
+                    owned[d].append(names[i])
             sets.append(owned)
         hits = [np.nonzero(hit[b + gap : b + gap + n])[0].astype(np.int32).tobytes() for b, n in zip(base, n_words, strict=False)]
         return {"doc_id": batch.column("doc_id"), "n_words": n_words, "hits": hits, "items": sets[0], "near": sets[1]}
@@ -175,27 +180,29 @@ def search(index: DataFrame, searcher: Searcher, names: list[str]) -> DataFrame:
 def match_items(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 2, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """For every row of docs: key, n_words, hits (int32 positions as bytes), items (exact), near (within slop).
 
-    Windows are `size` consecutive words of an item, or all words of a shorter one; an item without words has none.
+    Windows are `size` consecutive words of an item, or all words of a shorter one; an item without words has none.  Rows of
+    one item key are one item, each text with windows of its own; rows without a key hit words, but name no item.
     Null texts have no words.  Test items are taken to the tasks in blocks of at most block_words words, each with an
     index of its terms, so their number isn't bounded; blocks are joined by row number in the end.
     """
     spark = docs.sparkSession
-    rows = items.select(F.col(item_key).cast("string").alias("name"), F.col(item_text).alias("text")).where("name IS NOT NULL AND text IS NOT NULL")
+    rows = items.select(F.col(item_key).cast("string").alias("name"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     n_words = rows.agg(F.sum(F.size(F.regexp_extract_all("text", F.lit("[0-9A-Za-z\\x80-\\x{10FFFF}]+"), 0)))).first()[0] or 0
     blocks = max(1, -(-n_words // block_words))
     if blocks > 1:  # rows need a number that holds for all passes
         docs = stored(docs.select(key, text).withColumn("_row", F.monotonically_increasing_id()), "decontamination-docs")
     found = []
     for b in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b)
-        own = [(r["name"], words_of(r["text"])) for r in part.collect()]
+        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == b)
+        number: dict[str | None, int] = {}
+        own = [(number.setdefault(r["name"], len(number)), words_of(r["text"])) for r in part.collect()]
         terms = {w: i for i, w in enumerate(dict.fromkeys(w for _, words in own for w in words))}
         if blocks == 1:
             index = stored(build_index(docs, terms, key, text), "postings")
         else:
             index = stored(build_index(docs, terms, "_row", text), "postings")
         windows, owner = windows_of(own, size, terms)
-        found.append(search(index, Searcher(windows, owner, term_counts(index, len(terms)), slop), [name for name, _ in own]))
+        found.append(search(index, Searcher(windows, owner, term_counts(index, len(terms)), slop), list(number)))
     if blocks == 1:
         return found[0].withColumnRenamed("doc_id", key)
     every = found[0]
@@ -205,14 +212,18 @@ def match_items(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 2
         F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"),
     )
-    join = F.udf(lambda xs: np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in xs])).astype(np.int32).tobytes(), "binary")
-    merged = merged.withColumn("hits", join("hits")).withColumnRenamed("doc_id", "_row")
+
+    @F.pandas_udf("binary")
+    def united(hits: pd.Series) -> pd.Series:
+        return hits.map(lambda xs: np.unique(np.frombuffer(b"".join(xs), np.int32)).tobytes())
+
+    merged = merged.withColumn("hits", united("hits")).withColumnRenamed("doc_id", "_row")
     return docs.select("_row", key).join(merged, "_row").drop("_row")
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 2, key: str = "doc_id") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 2, key: str = "doc_id", **options) -> DataFrame:
     """key, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items of every row of docs; see match_items."""
-    found = match_items(docs, items, size, slop, key)
+    found = match_items(docs, items, size, slop, key, **options)
     return found.select(
         key,
         "n_words",
