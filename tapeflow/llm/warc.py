@@ -1,6 +1,6 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Rows are dealt into shards by ranges of their key, cut where the payload bytes reach equal shares, and sorted within a
+Rows are dealt into shards by ranges of their key, cut at quantiles weighted by payload bytes, and sorted within a
 shard, so the same rows always make the same files, whatever the cluster.  A shard's files roll when their compressed
 size reaches a limit.  Headers and digests are made anew.  Each file is written under a temporary name and renamed when
 complete; the manifest, written last, lists the files that count.  A task that is run again writes the same bytes under
@@ -13,6 +13,8 @@ import hashlib
 import uuid
 import zlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, stored
 
-#: Payload bytes of a shard, compressed bytes at which a file rolls, and ranges of keys that are weighed for the cuts.
-SHARD_BYTES, ROLL_BYTES, CELLS = 8_000_000, 64_000_000, 16_384
+#: Payload bytes of a shard, and shards at most (of a larger table they are larger).
+SHARD_BYTES, MOST_SHARDS = 8_000_000, 8192
+#: A file rolls when its compressed bytes reach this share of its shard's, within these limits.
+ROLL_SHARE, ROLL_LEAST, ROLL_MOST = 1 / 8, 1_000_000, 1_000_000_000
+#: Ranges of keys that are weighed at a time to find the shards' limits.
+CELLS = 16_384
+_LEAST = -(2**63)
+#: Tasks that read archives back at most.
+MOST_TASKS = 100_000
 #: Smaller payloads are never revisits.
 LEAST_REVISIT = 100
 #: Duplicate groups up to this number are sent to all tasks; more are joined by shuffle.
@@ -104,35 +113,104 @@ def with_originals(pages: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(groups) if groups.count() <= MOST_BROADCAST else groups, "digest", "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
 
 
-def with_shards(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """rows with the column shard, ranges of page_id that hold about equal shares of payload bytes, and their number.
+def _located(starts: list[tuple[int, int]]):
+    """A function of id and hash columns: the number of starts, sorted pairs, that a pair doesn't come before."""
+    ids, hashes = (np.array(x, np.int64) for x in zip(*starts, strict=True)) if starts else (np.zeros(0, np.int64),) * 2
 
-    Ranges are weighed in at most CELLS cells of equal width; rows without a key come first.
+    def at(own: np.ndarray, h: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+        for i in np.unique(low[high > low]):  # ids at which several starts lie, or one within the id
+            rows = (low == i) & (high > low)
+            low[rows] += np.searchsorted(hashes[i : high[rows][0]], h[rows], "right")
+        return low
+
+    return at
+
+
+def _cells(sizes: DataFrame, heavy: int) -> list[tuple[tuple[int, int], int]]:
+    """((id, hash) a cell starts with, its bytes), sorted: cells of at most `heavy` bytes, unless all their rows are alike.
+
+    Ranges of ids are split into cells of equal width, and those that are heavy again, till they are one id; the rows of a
+    heavy id are split by their hash.  A round counts one job's cells, CELLS and a few more, on the driver.
     """
-    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    low, width = (low or 0), max(1, -(-((high or 0) - (low or 0) + 1) // CELLS))
-    cell = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("int")
-    weights = sorted(tuple(r) for r in rows.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("html") + 500)).collect())
-    total = sum(w for _, w in weights)
+    low, high = sizes.agg(F.min("id"), F.max("id")).first()
+    if low is None:
+        return []
+    done, by_hash, pending = [], [], [(low, high)]
+    while pending:
+        parts = max(2, CELLS // len(pending))
+        begin = [(a, _LEAST) for a, _ in pending]
+        first = np.array([a for a, _ in pending], np.int64)
+        last, width = np.array([b for _, b in pending], np.int64), np.array([-(-(b - a + 1) // parts) for a, b in pending], np.uint64)
+        at = _located(begin)
+
+        @F.pandas_udf("long")
+        def cell(own: pd.Series) -> pd.Series:
+            x = own.to_numpy(np.int64)
+            i = np.maximum(at(x, np.zeros(len(x), np.int64)) - 1, 0)  # noqa: B023
+            inside = (x >= first[i]) & (x <= last[i])  # noqa: B023
+            step = (x.view(np.uint64) - first[i].view(np.uint64)) // width[i]  # noqa: B023
+            return pd.Series(np.where(inside, i * parts + step.astype(np.int64), -1))  # noqa: B023
+
+        found = sizes.withColumn("cell", cell("id")).where("cell >= 0").groupBy("cell").agg(F.sum("bytes")).collect()
+        nearer = []
+        for c, weight in found:
+            a, b = pending[c // parts]
+            start = a + c % parts * int(width[c // parts])
+            end = min(b, start + int(width[c // parts]) - 1)
+            if weight <= heavy:
+                done.append(((start, _LEAST), weight))
+            elif end > start:
+                nearer.append((start, end))
+            else:
+                by_hash.append(start)
+        pending = nearer
+    if by_hash:
+        ids = sizes.sparkSession.createDataFrame([(i,) for i in by_hash], "id long")  # at most one for each `heavy` bytes
+        share = F.shiftright("hash", 64 - 10).alias("share")
+        for i, c, weight in sizes.join(F.broadcast(ids), "id").groupBy("id", share).agg(F.sum("bytes")).collect():
+            done.append(((i, c << (64 - 10)), weight))
+    return sorted(done)
+
+
+def with_shards(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int, int]:
+    """rows with the column shard, their number, and the bytes of a shard.
+
+    Shards are ranges of page_id, rows without one first, that hold about equal shares of payload bytes, whatever the ids.
+    There are MOST_SHARDS at most, which are larger where the table is.
+    """
+    own, h = F.coalesce("page_id", F.lit(_LEAST)).alias("id"), F.xxhash64("url", "digest").alias("hash")
+    sizes = stored(rows.select(own, h, (F.octet_length("html") + 500).alias("bytes")), "warc-sizes")
+    total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))
     n = max(1, -(-total // shard_bytes))
-    shards, before = [], 0
-    for c, w in weights:
-        shards.append((c, min(n - 1, (2 * before + w) * n // (2 * total))))
-        before += w
-    spark = rows.sparkSession
-    table = spark.createDataFrame(shards, "cell int, shard long")
-    return rows.withColumn("cell", cell).join(F.broadcast(table), "cell").drop("cell"), n
+    starts, before, shard = [], 0, 0
+    for start, weight in _cells(sizes, max(1, shard_bytes // 8)) if n > 1 else []:
+        own_shard = min(n - 1, (2 * before + weight) * n // (2 * total))
+        if own_shard > shard:
+            starts.append(start)
+            shard = own_shard
+        before += weight
+    at = _located(starts)
+
+    @F.pandas_udf("long")
+    def of(own: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(at(own.to_numpy(np.int64), h.to_numpy(np.int64)))
+
+    return rows.withColumn("shard", of(own, h)), len(starts) + 1, shard_bytes
 
 
-def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int | None = None) -> DataFrame:
     """The manifest, as written to folder/manifest: path, shard, part, records, bytes, sha256 of every file.
 
     pages: page_id, url, html; null html is an empty payload, a null url gives a record without target, a null page_id
     one without number.  Rows of the least page_id of equal payloads are all responses, should there be several.
+    roll_bytes: compressed bytes at which a file rolls; None takes ROLL_SHARE of a shard.
     """
     fs, path = _split_path(folder)
     fs.create_dir(path, recursive=True)
-    rows, n = with_shards(with_originals(pages), shard_bytes)
+    rows, n, shard_bytes = with_shards(with_originals(pages), shard_bytes)
+    roll = roll_bytes or int(min(ROLL_MOST, max(ROLL_LEAST, shard_bytes * ROLL_SHARE)))
 
     def write(batches):
         writer, done = None, []
@@ -142,7 +220,7 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
                     if writer is not None:
                         writer.close()
                         done += writer.done
-                    writer = _ShardWriter(folder, r["shard"], roll_bytes)
+                    writer = _ShardWriter(folder, r["shard"], roll)
                 writer.add(page_record(r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), r["digest"], r["first"], r["revisit"]))
         if writer is not None:
             writer.close()
@@ -222,7 +300,8 @@ def read_archives(manifest: DataFrame, payload: bool = False) -> DataFrame:
                     raise ValueError(f"{path}: {n} records, the manifest has {records}")
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    spread = manifest.select("path", "records").repartition(F.col("path"))
+    files = manifest.count()
+    spread = manifest.select("path", "records").repartition(max(1, min(files, MOST_TASKS)), "path")  # a number: AQE leaves it as it is
     return spread.mapInArrow(read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payload)
 
 

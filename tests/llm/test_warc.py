@@ -1,7 +1,10 @@
 import gzip
 import hashlib
 
-from tapeflow.llm.warc import archive_pages, read_archives, write_archives
+import pytest
+
+from tapeflow.llm import warc
+from tapeflow.llm.warc import archive_pages, read_archives, with_originals, with_shards, write_archives
 
 SCHEMA = "page_id long, url string, html string, digest string"
 BIG = "<p>" + "ü text " * 40
@@ -53,3 +56,34 @@ def test_payloads_come_back(spark, tmp_path):
 
 def test_empty_table(spark):
     assert archive_pages(pages(spark, ROWS).limit(0)).count() == 0
+
+
+IDS = {
+    "outlier": [*range(500), 10**15, -(10**15)],
+    "no ids": [None] * 300 + list(range(200)),
+    "one id": [7] * 300 + list(range(200)),
+    "both ends": [-(2**63), 2**63 - 1, *range(-250, 250)],
+}
+
+
+@pytest.mark.parametrize("kind", IDS)
+def test_shards_are_even_for_any_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(warc, "CELLS", 64)
+    made = [(i, f"http://h/{n}", f"page {n} " * 20) for n, i in enumerate(IDS[kind])]
+    dealt, n, _ = with_shards(with_originals(pages(spark, made).repartition(3)), 50_000)
+    held = {r["shard"]: (r["rows"], r["low"], r["high"]) for r in dealt.groupBy("shard").agg(warc.F.count("*").alias("rows"), warc.F.min(warc.F.coalesce("page_id", warc.F.lit(-(2**63)))).alias("low"), warc.F.max(warc.F.coalesce("page_id", warc.F.lit(-(2**63)))).alias("high")).collect()}
+    assert n > 3 and sorted(held) == list(range(n)) and max(x for x, *_ in held.values()) < 2 * len(made) / n
+    assert all(held[k][2] <= held[k + 1][1] for k in range(n - 1))
+    assert rows(archive_pages(pages(spark, made), shard_bytes=50_000)) == brute(made)
+
+
+def test_large_tables_have_large_shards(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_SHARDS", 3)
+    dealt, n, size = with_shards(with_originals(pages(spark, ROWS)), 1000)
+    assert n <= 3 and size > 1000 and dealt.select("shard").distinct().count() == n
+
+
+def test_files_are_read_by_many_tasks(spark, tmp_path):
+    manifest = write_archives(pages(spark, ROWS), f"file://{tmp_path}/w", shard_bytes=4000, roll_bytes=800)
+    files = manifest.count()
+    assert files > 8 and read_archives(manifest).rdd.getNumPartitions() == files
