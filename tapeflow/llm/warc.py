@@ -164,7 +164,7 @@ def _cells(sizes: DataFrame, heavy: int) -> list[tuple[tuple[int, int], int]]:
                 nearer.append((start, end))
             else:
                 by_hash.append(start)
-        pending = nearer
+        pending = sorted(nearer)
     if by_hash:
         ids = sizes.sparkSession.createDataFrame([(i,) for i in by_hash], "id long")  # at most one for each `heavy` bytes
         share = F.shiftright("hash", 64 - 10).alias("share")
