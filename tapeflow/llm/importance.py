@@ -176,19 +176,30 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = 0.5, seed: int =
     return rows.withColumn("sampled", F.col("gumbel_key") >= F.lit(float("inf") if least is None else least)).withColumnRenamed("doc_id", key)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are candidates, as they are: same columns, texts whole; nothing is shuffled."""
+def keep_good(docs: DataFrame, labels: DataFrame, share: float = 1.0, seed: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that resample draws, as they are: same columns, texts whole.
+
+    With a share of 1 the draw takes every candidate, so no Gumbel keys are needed and nothing is shuffled; with less, rows
+    without a key are judged by the same noise.  Equal keys at the k-th place all stay.
+    """
     model = fit(docs, labels, key=key, text=text)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def good(texts):
+    @F.pandas_udf("double")
+    def weight_of(texts):
         import pandas as pd
 
         model, out = held.value, []
         for i in range(0, len(texts), 500):
             n, weight = model.weights(list(texts[i : i + 500]))
-            out += list((n > 0) & (weight >= model.limit * n))
-        return pd.Series(out, dtype=bool)
-
-    return docs.where(good(F.col(text)))
+            out += list(np.where((n > 0) & (weight >= model.limit * n), weight, np.nan))
+        return pd.Series(out, dtype=float)
+
+    weight = weight_of(F.col(text))  # null for rows that are no candidates
+    if share >= 1:
+        return docs.where(weight.isNotNull())
+    noise = gumbel_key(key, seed) - F.col("log_weight")
+    drawn = docs.select(F.struct("*").alias("row"), F.col(key), weight.alias("log_weight")).where("log_weight IS NOT NULL")
+    drawn = stored(drawn.withColumn("gumbel_key", F.col("log_weight") + noise), "quality-drawn")
+    least = kth_largest(drawn, "gumbel_key", round(share * drawn.count()))
+    return drawn.where(F.col("gumbel_key") >= F.lit(float("inf") if least is None else least)).select("row.*")

@@ -33,6 +33,10 @@ COORDINATES = 512
 CROWD = 4
 #: Keys up to this number are sent to all tasks; more are joined by shuffle.
 MOST_BROADCAST = 300_000
+#: Rows of one key that a join puts into one task; the rows of larger keys are dealt to several.
+PORTION = 1000
+#: Copies of the mapped side where a mapping is too large to be sent to all tasks.
+SALTS = 16
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -161,6 +165,15 @@ def among(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, column, how)
 
 
+def mapped_by(df: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
+    """df left joined to mapping (one row for each value of column); values may be as frequent as they like in df."""
+    if mapping.count() <= MOST_BROADCAST:
+        return df.join(F.broadcast(mapping), column, "left")
+    salted = mapping.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, [column, "_salt"], "left").drop("_salt")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, weight: str, least: float) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity over whole texts is `least` or more."""
     ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "neardup-ids")
@@ -173,6 +186,11 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, weight: str, least: f
     sets = stored(sets.dropDuplicates(["doc_id"]), "neardup-sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb"))
+    # A leader of many pairs is copied for each PORTION of them, so its pairs and its elements spread over tasks.
+    leading = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / PORTION).alias("portions")).where("portions > 1"), "neardup-leading")
+    portions = F.coalesce("portions", F.lit(1))
+    pairs = mapped_by(pairs, leading, "a").select("a", "b", F.pmod(F.xxhash64("b"), portions).alias("portion"))
+    one = mapped_by(one, leading, "a").withColumn("portion", F.explode(F.sequence(F.lit(0).cast("long"), portions - 1))).drop("portions")
 
     def alike(batch):
         keep = []
@@ -189,7 +207,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, weight: str, least: f
         a, b = (batch.column(c).to_numpy(zero_copy_only=False)[np.array(keep, bool)] for c in ("a", "b"))
         return {"a": a, "b": b}
 
-    return mapped(pairs.join(one, "a").join(two, "b"), "ea", alike, "a long,b long")
+    return mapped(pairs.join(one, ["a", "portion"]).join(two, "b"), "ea", alike, "a long,b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,8 +216,11 @@ def components(edges: DataFrame) -> DataFrame:
     label = both.groupBy("node").agg(F.least("node", F.min("to")).alias("label"))
     while True:
         seen = both.join(label.select(F.col("node").alias("to"), "label"), "to").select("node", "label").unionByName(label)
-        least = seen.groupBy("node").agg(F.min("label").alias("label"), F.max("label").alias("high"))
-        jump = least.join(least.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left")
+        least = stored(seen.groupBy("node").agg(F.min("label").alias("label"), F.max("label").alias("high")), "neardup-least")
+        # A label's own label, once for each label, however many nodes bear it.
+        moving = least.where("node <> label").select(F.col("node").alias("label"), F.col("label").alias("next"))
+        moving = stored(moving.join(least.select("label").distinct(), "label", "left_semi"), "neardup-moving")
+        jump = mapped_by(least, moving, "label")
         label = stored(jump.select("node", F.least("label", F.coalesce("next", "label")).alias("label"), (F.col("label") != F.col("high")).alias("moved")), "neardup-labels")
         # A component is done once all labels that meet at each of its nodes are equal.
         if not label.where("moved").limit(1).count():
@@ -214,7 +235,7 @@ def merged(label: DataFrame, links: DataFrame) -> DataFrame:
     ties = stored(ties, "neardup-ties")
     groups = components(ties.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
     every = label.unionByName(ties.select(F.col("a").alias("node"), F.col("la").alias("label"))).unionByName(ties.select(F.col("b").alias("node"), F.col("lb").alias("label"))).distinct()
-    return stored(every.join(groups, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "neardup-labels")
+    return stored(mapped_by(every, stored(groups.where("label <> to"), "neardup-groups"), "label").select("node", F.coalesce("to", "label").alias("label")), "neardup-labels")
 
 
 def _met_before() -> Column:
@@ -244,8 +265,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, weight:
     rows_ = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stored(sign(rows_, size, weight, bands, rows), "neardup-signed")
     full = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "neardup-classes")
-    buckets = full.join(classes.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "n", "doc_id"]).select("doc_id", "n", F.explode("keys").alias("bucket"))
+    classes = stored(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "neardup-classes")
+    buckets = full.join(classes.drop("size").withColumnRenamed("rep", "doc_id"), ["d1", "d2", "n", "doc_id"]).select("doc_id", "n", F.explode("keys").alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.min(F.struct("doc_id", "n")).alias("lead"), F.max("doc_id").alias("last")).where("lead.doc_id < last")
     members = stored(buckets.join(leaders.select("bucket", F.col("lead.doc_id").alias("lead"), F.col("lead.n").alias("lead_n")), "bucket"), "neardup-members")
     traits = [F.transform("keys", lambda k: F.shiftrightunsigned(k, 33).cast("int")).alias("keys"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(COORDINATES // 32)]]
@@ -260,7 +281,12 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, weight:
     near = (F.col("x_label") != F.col("y_label")) & fits(F.col("x_n"), F.col("y_n")) & (agreement("x", "y") >= least_agreement(least))
 
     def compare(label: DataFrame, one: DataFrame, two: DataFrame, condition: Column) -> DataFrame:
-        across = side(one, "x").join(side(two, "y"), "bucket").where(condition)
+        # A bucket's first side is dealt to portions, each of which meets a copy of the second side.
+        large = stored(one.groupBy("bucket").agg(F.ceil(F.count("*") / PORTION).alias("portions")).where("portions > 1"), "neardup-large")
+        portions = F.coalesce("portions", F.lit(1))
+        left = mapped_by(side(one, "x"), large, "bucket").withColumn("portion", F.pmod(F.xxhash64("x_doc_id"), portions)).drop("portions")
+        right = mapped_by(side(two, "y"), large, "bucket").withColumn("portion", F.explode(F.sequence(F.lit(0).cast("long"), portions - 1))).drop("portions")
+        across = left.join(right, ["bucket", "portion"]).where(condition)
         pairs = across.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
         links = stored(verified(stored(pairs, "neardup-pairs"), rows_, size, weight, least), "neardup-links")
         return merged(label, links) if links.limit(1).count() else label
@@ -277,8 +303,14 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, weight:
     # What is outside of its bucket's largest group, against all others there.
     parted = named.join(modes.where("apart > 0").select("bucket", "mode"), "bucket")
     label = compare(label, parted.where("label <> mode"), parted, near & ~_met_before())
-    grouped = classes.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("d1", "d2", "n", F.coalesce("label", "rep").alias("class_id"))
-    found = signed.select("doc_id", "n", "d1", "d2").join(grouped, ["d1", "d2", "n"], "left")
+    grouped = classes.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("d1", "d2", "n", "size", F.coalesce("label", "rep").alias("class_id"))
+    # Classes of a hundred-thousandth of all rows or more, which are a hundred thousand at most, go to every task; so no
+    # class is a hot key of the join of the others.  Texts without words have no class.
+    frequent = F.col("size") >= max(PORTION, signed.count() // 100_000)
+    own, on = signed.select("doc_id", "n", "d1", "d2"), ["d1", "d2", "n"]
+    found = own.where("n > 0").join(F.broadcast(grouped.where(frequent).drop("size").withColumnRenamed("class_id", "large")), on, "left")
+    rest = found.where("large IS NULL").drop("large").join(grouped.where(~frequent).drop("size"), on, "left").select("doc_id", "n", "class_id")
+    found = rest.unionByName(found.where("large IS NOT NULL").select("doc_id", "n", F.col("large").alias("class_id"))).unionByName(own.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("class_id")))
     return found.select(F.col("doc_id").alias(key), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.col("n").alias("n_shingles"))
 
 

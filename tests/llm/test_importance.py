@@ -60,6 +60,8 @@ def test_keeps_good_rows_only_and_samples_top_keys(spark):
     assert sorted(r[0] for r in kept.collect()) == sorted([i for i, q in labels if q] + [902, 902])
     found = resample(docs, marks, share=0.25).collect()
     assert len(found) == 302
+    drawn = keep_good(docs, marks, share=0.25)
+    assert drawn.columns == docs.columns and sorted(r[0] for r in drawn.collect()) == sorted(r["doc_id"] for r in found if r["sampled"])
     keys = sorted((r["gumbel_key"] for r in found), reverse=True)
     assert {r["gumbel_key"] for r in found if r["sampled"]} == {x for x in keys if x >= keys[round(0.25 * 302) - 1]}
 
