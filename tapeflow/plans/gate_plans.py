@@ -90,11 +90,12 @@ def e35(spark, sf_dir):
     )
 
 
-@query("e36_transition_buckets", f"|d AS (SELECT *, CASE WHEN p_bad > 0.8 THEN 'stress' WHEN state > 0 THEN 'long' WHEN state < 0 THEN 'short' ELSE 'flat' END AS label, CAST(floor(ell * 4) AS BIGINT) * 10 + ban AS bucket, lead(ell) {_W} AS nxt FROM steps), n AS (SELECT bucket, label, count(*) AS n, avg(nxt) AS mean_next FROM d WHERE nxt IS NOT NULL GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY bucket) AS total FROM n) SELECT bucket, label, n, n / total AS p, mean_next FROM t WHERE total >= 12", "p mean_next")
+@query("e36_transition_buckets", f"|d AS (SELECT *, CASE WHEN p_bad > 0.8 THEN 'stress' WHEN state > 0 THEN 'long' WHEN state < 0 THEN 'short' ELSE 'flat' END AS label, CAST(floor(ell * 4) AS BIGINT) * 10 + ban AS bucket, lead(CAST(round(ell * 100) AS BIGINT)) {_W} AS nxt FROM steps), n AS (SELECT bucket, label, count(*) AS n, avg(nxt) AS mean_next FROM d WHERE nxt IS NOT NULL GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY bucket) AS total FROM n) SELECT bucket, label, n, n / total AS p, mean_next FROM t WHERE total >= 12", "p mean_next")
 def e36(spark, sf_dir):
     label = F.when(F.col("p_bad") > 0.8, "stress").when(F.col("state") > 0, "long").when(F.col("state") < 0, "short").otherwise("flat")
     df = steps(spark, sf_dir).withColumns({"label": label, "bucket": F.floor(F.col("ell") * 4) * 10 + F.col("ban")})
-    return g.transition_table(df, "bucket", "label", "ell")
+    # Whole hundredths: sums are exact in any order.
+    return g.transition_table(df.withColumn("ell", F.round(F.col("ell") * 100).cast("long")), "bucket", "label", "ell")
 
 
 @query("e37_prefit_pool", "SELECT symbol, seq, ell FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS rn FROM steps WHERE acceptable AND ell IS NOT NULL) WHERE rn <= 50", "ell")

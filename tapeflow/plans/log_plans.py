@@ -51,13 +51,14 @@ def e5(spark, sf_dir):
 
 @query(
     "e6_posture_segments",
-    _STEPPED + f""", c AS (SELECT *, CASE WHEN posture IS DISTINCT FROM lag(posture) {_W} OR t = 0 THEN 1 ELSE 0 END AS ch FROM p), i AS (SELECT *, CAST(sum(ch) {_W} AS BIGINT) AS island FROM c),
-    s AS (SELECT symbol, island, first(posture) AS posture, min(t) AS start, max(t) AS "end", count(*) AS n, sum(pnl_step) AS ret_sum, avg(pnl_step) AS ret_mean FROM i GROUP BY 1, 2)
-    SELECT *, sum(ret_sum) OVER (PARTITION BY symbol ORDER BY island) AS cum_all, sum(ret_sum) OVER (PARTITION BY symbol, posture ORDER BY island) AS cum_posture FROM s""",
-    "ret_sum ret_mean cum_all cum_posture",
+    _STEPPED.replace("coalesce(pnl - lag(pnl)", "CAST(round(1e6 * coalesce(pnl - lag(pnl)").replace(", 0) AS pnl_step", ", 0)) AS BIGINT) AS pnl_step") + f""", c AS (SELECT *, CASE WHEN posture IS DISTINCT FROM lag(posture) {_W} OR t = 0 THEN 1 ELSE 0 END AS ch FROM p), i AS (SELECT *, CAST(sum(ch) {_W} AS BIGINT) AS island FROM c),
+    s AS (SELECT symbol, island, first(posture) AS posture, min(t) AS start, max(t) AS "end", count(*) AS n, CAST(sum(pnl_step) AS BIGINT) AS ret_sum, avg(pnl_step) AS ret_mean FROM i GROUP BY 1, 2)
+    SELECT *, CAST(sum(ret_sum) OVER (PARTITION BY symbol ORDER BY island) AS BIGINT) AS cum_all, CAST(sum(ret_sum) OVER (PARTITION BY symbol, posture ORDER BY island) AS BIGINT) AS cum_posture FROM s""",
+    "ret_mean",
 )
 def e6(spark, sf_dir):
-    return logs.posture_segments(_stepped(spark, sf_dir))
+    """Steps in whole millionths, so that sums are exact in any order."""
+    return logs.posture_segments(_stepped(spark, sf_dir).withColumn("pnl_step", F.round(F.col("pnl_step") * 1e6).cast("long")))
 
 
 @query(
@@ -206,12 +207,15 @@ def e16_entropy(spark, sf_dir):
 
 @query(
     "e17_vector_field",
-    f"""|d AS (SELECT *, lead(ell) {_W} - ell AS dx0, lead(actionability) {_W} - actionability AS dy0, {_hist('ell', 0.0, 1.0, 5)} AS x_bin, {_hist('actionability', 0.0, 1.0, 5)} AS y_bin FROM steps)
+    f"""|h AS (SELECT * REPLACE (CAST(round(ell * 100) AS BIGINT) AS ell, CAST(round(actionability * 100) AS BIGINT) AS actionability) FROM steps),
+    d AS (SELECT *, lead(ell) {_W} - ell AS dx0, lead(actionability) {_W} - actionability AS dy0, {_hist('ell', 0.0, 100.0, 5)} AS x_bin, {_hist('actionability', 0.0, 100.0, 5)} AS y_bin FROM h)
     SELECT x_bin, y_bin, avg(dx0) AS dx, avg(dy0) AS dy, avg(CAST(acceptable AS INT)) AS acceptable, count(*) AS n FROM d WHERE dx0 IS NOT NULL AND dy0 IS NOT NULL AND x_bin IS NOT NULL AND y_bin IS NOT NULL GROUP BY 1, 2""",
     "dx dy acceptable",
 )
 def e17(spark, sf_dir):
-    return logs.vector_field(steps(spark, sf_dir), "ell", "actionability", (0.0, 1.0), (0.0, 1.0), 5)
+    """In whole hundredths, so that sums are exact in any order."""
+    whole = steps(spark, sf_dir).withColumns({c: F.round(F.col(c) * 100).cast("long") for c in ("ell", "actionability")})
+    return logs.vector_field(whole, "ell", "actionability", (0.0, 100.0), (0.0, 100.0), 5)
 
 
 _DECILE = """|e AS (SELECT list_distinct(quantile_cont({by}, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS edges FROM {src} WHERE {by} IS NOT NULL AND {value} IS NOT NULL),

@@ -7,13 +7,8 @@ from pyspark.sql import functions as F
 
 TRADE = "type string, symbol string, ts_ms long, price double, qty double"
 OHLC = "type string, symbol string, ts_ms long, open double, high double, low double, close double, volume double, trades long"
-#: Column names that price files use, by our name.
-ALIASES = {"ts": ["Date", "Data", "Datetime", "timestamp", "Price"], "open": ["Open", "Otwarcie"], "high": ["High", "Najwyzszy"], "low": ["Low", "Najnizszy"], "close": ["Close", "Zamkniecie"], "volume": ["Volume", "Wolumen"]}
-
-
-def aliased(df: DataFrame, names: list[str]) -> Column | None:
-    found = [F.col(f"`{c}`") for n in names for c in df.columns if c.lower() == n.lower()]
-    return F.coalesce(*found) if found else None
+#: The column names that price files use, in lower case, by our name.
+ALIASES = {"ts": ["date", "data", "datetime", "timestamp", "price"], "close": ["close", "zamkniecie"], "volume": ["volume", "wolumen"]}
 
 
 def source_tag(path: Column) -> Column:
@@ -21,17 +16,41 @@ def source_tag(path: Column) -> Column:
     return F.concat_ws(":", F.regexp_extract(path, r"([^/]+)/[^/]+$", 1), F.regexp_extract(path, r"([^/]+?)(?:\.[^./]+)*$", 1))
 
 
+def _cells(line: Column) -> Column:
+    """The fields of a CSV line."""
+    return F.transform(F.split(F.regexp_replace(line, "[\r\ufeff]", ""), r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
+
+
+def layouts(lines: DataFrame) -> DataFrame:
+    """file, head (the number of its header line), and the places (from 1) of ts, close and volume: 0 where absent.
+
+    lines: _file, _start (of the split), value.  The header is the first line, or the third one where the first names no
+    close.  Only the first splits of files are read.
+    """
+    from pyspark.sql import Window
+
+    first = lines.where("_start = 0").withColumn("_id", F.monotonically_increasing_id())
+    numbered = first.withColumn("_n", F.row_number().over(Window.partitionBy("_file").orderBy("_id"))).where("_n <= 3")
+    names = F.transform(_cells(F.col("value")), F.lower)
+    place = lambda k: F.coalesce(*[F.nullif(F.array_position("_names", n), F.lit(0)) for n in ALIASES[k]], F.lit(0)).cast("int").alias(k)
+    heads = numbered.where("_n <> 2").select("_file", "_n", names.alias("_names")).select("_file", "_n", *[place(k) for k in ALIASES]).where("close > 0")
+    return heads.groupBy("_file").agg(F.min_by(F.struct(F.col("_n").alias("head"), *ALIASES), "_n").alias("at")).select("_file", "at.*")
+
+
 def prices(spark: SparkSession, path: str, least_rows: int = 10) -> DataFrame:
     """symbol, ts, close, volume, seq from price CSVs below a folder.
 
-    Header names are aliased; rows without a date or a close, ticker rows among them, go; a volume that isn't positive is
-    the file's median positive one, 1e6 without any; files of fewer than least_rows rows go.
+    Every file has its own header, whose names are aliased; files without a close go.  Rows without a close, or without a
+    date where the file has dates, go, header and ticker rows among them; a volume that isn't positive is the file's median
+    positive one, 1e6 without any; files of fewer than least_rows rows go.
     """
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path).withColumn("_file", F.col("_metadata.file_path"))
-    pick = {k: aliased(raw, v) for k, v in ALIASES.items()}
-    volume = pick["volume"].try_cast("double") if pick["volume"] is not None else F.lit(None).cast("double")
-    df = raw.select(source_tag(F.col("_file")).alias("symbol"), F.try_to_timestamp(pick["ts"]).alias("ts"), pick["close"].try_cast("double").alias("close"), F.when(volume > 0, volume).alias("volume"))
-    df = df.where("ts IS NOT NULL AND close IS NOT NULL AND NOT isnan(close)")
+    meta = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path).select("value", *meta)
+    cell = lambda k: F.when(F.col(k) > 0, F.get("_cells", F.col(k) - 1))
+    raw = lines.drop("_start").join(layouts(lines), "_file").withColumn("_cells", _cells(F.col("value")))
+    volume = cell("volume").try_cast("double")
+    df = raw.select(source_tag(F.col("_file")).alias("symbol"), F.try_to_timestamp(cell("ts")).alias("at"), (F.col("ts") > 0).alias("dated"), cell("close").try_cast("double").alias("close"), F.when(volume > 0, volume).alias("volume"))
+    df = df.where("close IS NOT NULL AND NOT isnan(close) AND (at IS NOT NULL OR NOT dated)").withColumnRenamed("at", "ts").drop("dated")
     usual = df.groupBy("symbol").agg(F.coalesce(F.percentile("volume", F.lit(0.5)), F.lit(1e6)).alias("_v"), F.count("*").alias("_n"))
     return df.join(usual, "symbol").where(F.col("_n") >= least_rows).select("symbol", "ts", "close", F.coalesce("volume", "_v").alias("volume"), F.xxhash64("ts", "close").alias("seq"))
 
@@ -79,6 +98,40 @@ def surface(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("_ok", ok).where(F.col("_ok").isNull()).drop("_ok")
 
 
+def open_interest(spark: SparkSession, path: str) -> DataFrame:
+    """ts, open_interest, open_value, supply from arrays of open-interest snapshots; numbers that don't parse are null."""
+    raw = spark.read.schema("timestamp long, sumOpenInterest string, sumOpenInterestValue string, CMCCirculatingSupply string").option("multiLine", True).json(path)
+    number = lambda c, name: F.col(c).try_cast("double").alias(name)
+    return raw.where("timestamp IS NOT NULL").select(F.col("timestamp").alias("ts"), number("sumOpenInterest", "open_interest"), number("sumOpenInterestValue", "open_value"), number("CMCCirculatingSupply", "supply"))
+
+
+def instruments(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each instrument list: ts (the latest creation in it), instruments, calls, puts, strike_mean,
+    expiry_days_mean and expiry_days_median of its active instruments; lists without any give no row."""
+    raw = spark.read.schema("result array<struct<option_type:string,strike:double,expiration_timestamp:long,creation_timestamp:long,is_active:boolean>>").option("multiLine", True).json(path)
+    latest = F.array_max(F.transform("result", lambda r: F.coalesce(r["creation_timestamp"], F.lit(0))))
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), latest.alias("ts"), F.explode("result").alias("r")).where("coalesce(r.is_active, true)")
+    days = (F.coalesce("r.expiration_timestamp", F.lit(0)) - F.col("ts")) / 86_400_000
+    return rows.groupBy("file", "ts").agg(
+        F.count("*").alias("instruments"), F.count_if(F.col("r.option_type") == "call").alias("calls"), F.count_if(F.col("r.option_type") == "put").alias("puts"),
+        F.avg("r.strike").alias("strike_mean"), F.avg(days).alias("expiry_days_mean"), F.percentile(days, F.lit(0.5)).alias("expiry_days_median"),
+    ).drop("file")
+
+
+#: The columns of a feature tape after symbol and ts.
+QFEAT = ("vol_ratio", "curvature", "drawdown", "burstiness", "acorr_1", "var_ratio")
+
+
+def feature_tape(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
+    """symbol, ts, the six features and ell of a stored tape, as doubles; rows: how many of a symbol's first ones."""
+    from pyspark.sql import Window
+
+    raw = spark.read.parquet(path).select("symbol", "ts", *[F.col(c).cast("double").alias(c) for c in (*QFEAT, "ell")])
+    if rows is None:
+        return raw
+    return raw.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy("ts"))).where(F.col("_n") <= rows).drop("_n")
+
+
 def premium(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema("time long, markPrice string, indexPrice string, lastFundingRate string").option("multiLine", True).json(path)
     mark, index = F.col("markPrice").try_cast("double"), F.col("indexPrice").try_cast("double")

@@ -15,6 +15,27 @@ def test_prices(spark, tmp_path):
     assert len(rows) == 11 and {r["symbol"] for r in rows} == {"stooq:spy"} and rows[2]["volume"] == 6.5
 
 
+def test_prices_of_many_layouts(spark, tmp_path):
+    """Every file has a header of its own: other names, another order, a header below two lines of tickers, no volume."""
+    days = [f"2024-01-{i:02d}" for i in range(1, 16)]
+    files = {
+        "a.csv": ["Date,Open,High,Low,Close,Volume"] + [f"{d},1,2,0.5,{i + 1},{i}" for i, d in enumerate(days)],
+        "b.csv": ["Wolumen,Zamkniecie,Najnizszy,Najwyzszy,Otwarcie,Data"] + [f"{i},{i + 1},0.5,2,1,{d}" for i, d in enumerate(days)],
+        "c.csv": ["Price,Close,High,Low,Open,Volume", "Ticker,SPY,SPY,SPY,SPY,SPY", "Date,,,,,"] + [f'{d},"{i + 1}",2,0.5,1,{i}' for i, d in enumerate(days)],
+        "d.csv": ["some,title", "another,line", "\ufeffclose,datetime\r"] + [f"{i + 1},{d}\r" for i, d in enumerate(days)],
+        "e.csv": ["x,y", "1,2"] * 10,
+        "f.csv": ["close"] + [str(i + 1) for i in range(15)],
+    }
+    for name, rows in files.items():
+        (tmp_path / name).write_text("\n".join(rows) + "\n")
+    found = readers.prices(spark, str(tmp_path)).collect()
+    by = {k: sorted((r["close"], str(r["ts"]), r["volume"]) for r in found if r["symbol"].endswith(f":{k}")) for k in "abcdef"}
+    assert len(found) == 75 and by["e"] == [] and by["a"] == by["b"] == by["c"]
+    assert by["a"] == [(float(i + 1), f"{d} 00:00:00", float(i or 7.5)) for i, d in enumerate(days)]
+    assert by["d"] == [(float(i + 1), f"{d} 00:00:00", 1e6) for i, d in enumerate(days)]
+    assert by["f"] == [(float(i + 1), "None", 1e6) for i in range(15)]
+
+
 def test_ndjson_and_decisions(spark, tmp_path):
     p = tmp_path / "d.json"
     p.write_text('{"symbol":"A","timestamp":1700000000000,"direction":-2,"x":0.5}\nbroken\n{"symbol":"A","ts":1700000001,"d":0,"target":1,"m":1}\n{"symbol":"A"}\n')
@@ -53,6 +74,23 @@ def test_vendor_files(spark, tmp_path):
     assert [(r["ont"], r["name"], r["pos"], r["w"]) for r in readers.weights(spark, str(tmp_path / "w.json")).collect()] == [("T", "score", 0, 0.1), ("T", "score", 1, 0.2)]
 
 
+def test_interest_and_instruments(spark, tmp_path):
+    (tmp_path / "o.json").write_text(json.dumps([{"timestamp": 5, "sumOpenInterest": "10.5", "sumOpenInterestValue": "x"}, {"timestamp": 6, "sumOpenInterest": "11"}]))
+    day = 86_400_000
+    item = lambda kind, strike, days, **k: {"option_type": kind, "strike": strike, "expiration_timestamp": 10 * day + days * day, "creation_timestamp": 10 * day, **k}
+    (tmp_path / "i.json").write_text(json.dumps({"result": [item("call", 10, 1), item("put", 20, 3), item("put", 60, 8, is_active=True), item("call", 999, 99, is_active=False)]}))
+    (tmp_path / "n.json").write_text(json.dumps({"result": []}))
+    assert [tuple(r) for r in readers.open_interest(spark, str(tmp_path / "o.json")).orderBy("ts").collect()] == [(5, 10.5, None, None), (6, 11.0, None, None)]
+    assert [tuple(r) for r in readers.instruments(spark, str(tmp_path / "[in].json")).collect()] == [(10 * day, 3, 1, 2, 30.0, 4.0, 3.0)]
+
+
+def test_feature_tape(spark, tmp_path):
+    columns = ", ".join(f"CAST(id AS FLOAT) AS {c}" for c in (*readers.QFEAT, "ell"))
+    spark.range(5).selectExpr("'A' AS symbol", "id AS ts", columns.split(", ", 1)[0], *columns.split(", ")[1:], "1 AS other").write.parquet(str(tmp_path / "q"))
+    tape = readers.feature_tape(spark, str(tmp_path / "q"), rows=3)
+    assert tape.columns == ["symbol", "ts", *readers.QFEAT, "ell"] and sorted(r["ell"] for r in tape.collect()) == [0.0, 1.0, 2.0]
+
+
 def test_json_safe(spark, tmp_path):
     df = spark.createDataFrame([(math.nan, [1.0, math.inf], {"a": -math.inf}, (math.nan, 1))], "x double, l array<double>, m map<string,double>, s struct<y:double,z:int>")
     r = writers.json_safe(df).first()
