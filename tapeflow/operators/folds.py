@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import tape
+from .windows import islands, tape
 
 _SPARK_TO_ARROW = {"int": "int32", "long": "int64", "bigint": "int64", "double": "float64", "string": "string", "boolean": "bool_"}
 
@@ -233,113 +233,176 @@ def ontology_gate(df: DataFrame, probabilities: dict[str, str], holding: str, st
     return fold(df, lambda: (start, 0), step, "ontology string,switched boolean")
 
 
-def veto_gate(df: DataFrame, direction: str, ell_bin: str, result: str, hazard: str, cooldown: int = 5, ring: int = 1024, least: int = 50, kappa: float = 1.0, most_hazard: float = 0.95) -> DataFrame:
-    """allowed, reason: a hazard veto, a pause after any veto, and a veto by the mean less kappa deviations of earlier
-    results in the same (direction, bin), kept for allowed rows only; the first reason that applies counts."""
+def veto_gate(
+    df: DataFrame, direction: str, ell_bin: str, result: str, hazard: str, instrument: str | None = None, state: str | None = None, cooldown: int = 5, ring: int = 1024, least: int = 50,
+    mode: str = "mean", kappa: float = 1.0, alpha: float = 0.05, epsilon: float = 0.0, most_hazard: float = 0.95,
+) -> DataFrame:
+    """allowed, reason: the first veto that applies to a row, "" if none does.
 
-    def step(state, row):
-        pause, rings = state
-        d = row[direction] or 0
-        if d == 0:
-            return (max(0, pause - 1), rings), (False, "hold")
-        if (row[hazard] or 0.0) > most_hazard:
-            return (cooldown, rings), (False, "hazard")
+    Rows of a pause are held back and leave no trace.  Other rows with a direction add their signed result to the history of
+    (direction, bin, instrument), after they are judged by it: by mean - kappa deviations of all of it (mode "mean"), which
+    must be over 0, or by the mean of the worst alpha of the last `ring` results ("cvar"), which must reach -epsilon.
+    Less than `least` results veto too.  Vetoes for the market or the history start a pause.
+    """
+    pausing = {"collapse", "hazard", "tail"}
+
+    def judged(h, d, now, own):
+        rules = (("collapse", h > 2 * most_hazard), ("paradox", now == -3), ("unknown", now == -2), ("flat", d == 0), ("hazard", h > most_hazard), ("few", own[0] < least))
+        found = next((why for why, applies in rules if applies), "")
+        if found:
+            return found
+        if mode == "mean":
+            n, total, squares = own[:3]
+            spread = math.sqrt(max(0.0, (squares - total * total / n) / (n - 1))) if n > 1 else 0.0
+            return "tail" if total / n - kappa * spread <= 0 else ""
+        last = sorted(own[3])
+        worst = last[max(0, math.floor(alpha * len(last)) - 1)]
+        tail = [x for x in last if x <= worst]
+        return "tail" if math.fsum(tail) / len(tail) < -epsilon else ""
+
+    def step(held, row):
+        pause, history = held
         if pause > 0:
-            return (pause - 1, rings), (False, "cooldown")
-        own = rings.setdefault((d, row[ell_bin]), deque(maxlen=ring))
-        if len(own) >= least:
-            mean = math.fsum(own) / len(own)
-            if mean - kappa * math.sqrt(math.fsum((x - mean) ** 2 for x in own) / len(own)) < -1.0:
-                return (cooldown, rings), (False, "tail")
-        if row[result] is not None:
-            own.append(row[result])
-        return (0, rings), (True, "")
+            return (pause - 1, history), (False, "cooldown")
+        d = row[direction] or 0
+        own = history.setdefault((d, row[ell_bin], row[instrument] if instrument else None), [0, 0.0, 0.0, deque(maxlen=ring)])
+        why = judged(row[hazard] or 0.0, d, row[state] if state else 0, own)
+        if d != 0 and row[result] is not None and math.isfinite(row[result]):
+            x = row[result] * d
+            own[:3] = own[0] + 1, own[1] + x, own[2] + x * x
+            own[3].append(x)
+        return (cooldown if why in pausing else 0, history), (not why, why)
 
     return fold(df, lambda: (0, {}), step, "allowed boolean,reason string")
 
 
+#: A thesis' strength, 0 to 2, after a push of -1, 0 or 1, and its doubt after a row without and with adverse evidence.
+_STRENGTH = {-1: (0, 0, 1), 0: (0, 1, 2), 1: (1, 2, 2)}
+_DOUBT = {False: (0, 0, 1), True: (1, 2, 2)}
+_PUSHED = {-1: "weaken", 0: "hold", 1: "reinforce"}
+
+
 def thesis_memory(df: DataFrame, sign: str, promote: str, p_bad: str, stress: str, flips: str, a_max: int = 50, cooldown: int = 5, low: float = 0.3, high: float = 0.7) -> DataFrame:
-    """thesis, strength, age, event, why: a direction held on evidence, left when invalid, faded or too old."""
+    """thesis, strength, age, event, why: a direction held on evidence, left when invalid, faded or too old.
+
+    What evidence a row gives but for its side is a column; the fold looks up what side, strength and doubt become of it.
+    """
+    bad, tense = F.coalesce(p_bad, F.lit(0.0)), F.coalesce(stress, F.lit(0.0))
+    risk = F.when((bad >= high) | (tense >= high), -1).when((bad <= low) & (tense <= low), 1).otherwise(0)
+    calm = F.when(F.coalesce(flips, F.lit(0)) > 1, -1).otherwise(1)
+    known = df.withColumns({"_risk": risk, "_calm": calm, "_opens": F.coalesce(promote, F.lit(False)) & (calm > 0) & (risk >= 0) & (F.coalesce(sign, F.lit(0)) != 0)})
 
     def step(state, row):
-        d, strength, age, pause, doubt = state
-        now = row[sign] or 0
-        lead = d or now
-        alpha = 0 if now == 0 else 1 if now == lead else -1
-        beta = -1 if (row[flips] or 0) > 1 else 1
-        bad, tense = row[p_bad] or 0.0, row[stress] or 0.0
-        rho = -1 if bad >= high or tense >= high else 1 if bad <= low and tense <= low else 0
-        pause = max(0, pause - 1)
-        if d == 0:
-            if pause == 0 and row[promote] and beta >= 0 and rho >= 0 and lead != 0:
-                return (lead, 1, 0, 0, 0), (lead, 1, 0, "enter", "promote")
-            return (0, 0, 0, pause, 0), (0, 0, 0, "none", "")
-        push = max(-1, min(1, alpha + beta + rho))
-        strength, age = max(0, min(2, strength + push)), age + 1
-        doubt = min(2, doubt + 1) if -1 in (alpha, beta, rho) else max(0, doubt - 1)
-        why = "invalidated" if doubt == 2 else "decay" if strength == 0 else "timeout" if age >= a_max else ""
-        if why:
-            return (0, 0, 0, cooldown, 0), (0, 0, 0, "exit", why)
-        return (d, strength, age, pause, doubt), (d, strength, age, "update", {1: "reinforce", -1: "weaken", 0: "hold"}[push])
+        thesis, strength, age, pause, doubt = state
+        side, pause = row[sign] or 0, max(0, pause - 1)
+        if not thesis:
+            opens = row["_opens"] and not pause
+            kept = (side, 1, 0) if opens else (0, 0, 0)
+            return (*kept, pause, 0), (*kept, *(("enter", "promote") if opens else ("none", "")))
+        evidence = (side * thesis, row["_calm"], row["_risk"])
+        push = max(-1, min(1, sum(evidence)))
+        strength, age, doubt = _STRENGTH[push][strength], age + 1, _DOUBT[-1 in evidence][doubt]
+        ends = [why for why, applies in (("invalidated", doubt == 2), ("decay", strength == 0), ("timeout", age >= a_max)) if applies]
+        if ends:
+            return (0, 0, 0, cooldown, 0), (0, 0, 0, "exit", ends[0])
+        return (thesis, strength, age, pause, doubt), (thesis, strength, age, "update", _PUSHED[push])
+
+    return fold(known, lambda: (0, 0, 0, 0, 0), step, "thesis int,strength int,age int,event string,why string").drop("_risk", "_calm", "_opens")
+
 
-    return fold(df, lambda: (0, 0, 0, 0, 0), step, "thesis int,strength int,age int,event string,why string")
+#: What a counter of -1 (unknown), 0, 1 or 2 becomes by a row's evidence for its side.
+_COUNTER = {"cleared": (0, 0, 0, 0), "lost": (-1, -1, -1, -1), "against": (0, 0, 0, 1), "neither": (0, 0, 1, 2), "for": (1, 1, 2, 2)}
+#: Labels by the counter for long (rows: -1, 0, 1, 2) and for short (columns likewise).
+_BELIEF = (("unk", "unk", "s1", "s2"), ("unk", "flat", "s1", "s2"), ("l1", "l1", "l1", "s2"), ("l2", "l2", "l2", "conflict"))
 
 
 def belief(df: DataFrame, sign: str, steady: str, allowed: str) -> DataFrame:
-    """b_plus, b_minus, belief: two counters from 0 to 2, -1 for unknown, and the label of the pair."""
-
-    def moved(b, delta, alpha, beta, perm):
-        if perm == -1:
-            return 0
-        if alpha == 0 and beta == -1:
-            return -1
-        return max(0, delta) if b == -1 else max(0, min(2, b + delta))
-
-    def label(p, m):
-        if p == m:
-            return {-1: "unk", 0: "flat", 2: "conflict"}.get(p, "l1")
-        if p == 2:
-            return "l2"
-        if m == 2:
-            return "s2"
-        return "l1" if p == 1 and m <= 1 else "s1" if m == 1 and p <= 1 else "unk"
+    """b_plus, b_minus, belief: two counters from 0 to 2, -1 for unknown, and the label of the pair; see the tables above."""
+    side = F.coalesce(F.col(sign), F.lit(0))
+    evidence = lambda own: F.when(F.col(allowed) == -1, "cleared").when((side == 0) & ~F.coalesce(steady, F.lit(False)), "lost").when(side == 0, "neither").when(side == own, "for").otherwise("against")
+    known = df.withColumns({"_long": evidence(1), "_short": evidence(-1)})
 
-    def step(state, row):
-        now, beta, perm = row[sign] or 0, 1 if row[steady] else -1, row[allowed]
-        p, m = moved(state[0], now, now, beta, perm), moved(state[1], -now, now, beta, perm)
-        return (p, m), (p, m, label(p, m))
+    def step(counters, row):
+        p, m = (_COUNTER[row[c]][b + 1] for c, b in zip(("_long", "_short"), counters, strict=True))
+        return (p, m), (p, m, _BELIEF[p + 1][m + 1])
+
+    return fold(known, lambda: (0, 0), step, "b_plus int,b_minus int,belief string").drop("_long", "_short")
 
-    return fold(df, lambda: (0, 0), step, "b_plus int,b_minus int,belief string")
 
+def intents(
+    df: DataFrame, state: str = "state", conf: str = "ell", on: str = "tau_on", off: str = "tau_off", posture: str | None = None, collapse: str | None = None, risk_stop: str | None = None, neutral_exit: str | None = None,
+    base: float = 1.0, ramp: float = 20.0, keys: tuple[str, ...] = (),
+) -> DataFrame:
+    """direction, target, urgency, holds, actionability, reason of every row, by windows alone.
 
-def run_strategy(df: DataFrame, state: str = "state", conf: str = "ell", price: str = "price", on: str = "tau_on", off: str = "tau_off", base: float = 1.0, ramp: float = 20.0, least: float = 0.02, fee: float = 0.0005, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """direction, target, reason, exposure, filled, equity: intents from states with hysteresis in confidence, filled by a
-    dead-band follower and marked to market.  Unknown states (-2) keep the position, flat ones close it."""
+    States: 1, 0, -1, -2 unknown, -3 paradox.  Postures UNWIND and OBSERVE, a collapse and a paradox override a row and leave
+    no trace: the others see the tape without it.  Of these, flat and unknown states and confident ones settle whether the
+    strategy holds, less confident ones leave it as it is; so the last one that settles it counts.  The direction that is
+    held follows likewise, and a state's age is the distance to its last change.
+    """
+    w = tape(*keys)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    flag = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)) if c else F.lit(False)
+    mode = F.coalesce(F.col(posture), F.lit("TRADE_NORMAL")) if posture else F.lit("TRADE_NORMAL")
+    s, c = F.coalesce(F.col(state), F.lit(0)), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(conf, F.lit(0.0))))
+    override = F.when(mode == "UNWIND", "unwind").when(mode == "OBSERVE", "observe").when(flag(collapse) | (s == -3), "collapse")
+    d = df.withColumns({"_s": s, "_c": c, "_why": override, "_live": override.isNull()})
+    d = d.withColumns({"_last": F.last(F.when(F.col("_live"), F.col("_s")), ignorenulls=True).over(before), "_n": F.count_if("_live").over(upto)})
+    same = F.col("_live") & ~F.col("_s").isin(0, -2) & F.col("_s").eqNullSafe(F.col("_last"))
+    d = d.withColumn("_age", F.col("_n") - F.last(F.when(F.col("_live") & ~same, F.col("_n")), ignorenulls=True).over(upto))
+    stopped = (F.col("_s") == -2) & (flag(risk_stop) | flag(neutral_exit))
+    settles = F.when(~F.col("_live"), None).when((F.col("_s") == 0) | stopped, False).when(F.col("_s") == -2, True).when(F.col("_c") >= F.col(on), False)
+    d = d.withColumn("_settles", settles)
+    d = d.withColumn("_held", F.coalesce(F.last("_settles", ignorenulls=True).over(before), F.lit(False)))
+    why = (
+        F.when(~F.col("_live"), F.col("_why")).when(F.col("_s") == 0, "flat")
+        .when(F.col("_s") == -2, F.when(flag(risk_stop), "risk_stop").when(flag(neutral_exit), "neutral_exit").otherwise("unknown"))
+        .when(F.col("_held") & (F.col("_c") < F.col(on)), "suspended").when(~F.col("_held") & (F.col("_c") < F.col(off)), "prohibited")
+        .otherwise(F.when(mode == "TRADE_CONVEX", "active_convex").otherwise("active"))
+    )
+    d = d.withColumn("_why", why).withColumn("_on", F.col("_why").startswith("active"))
+    size = base * F.when(F.col("_why") == "active_convex", 2.0).otherwise(1.0) * (1 - F.exp(-F.col("_age") / ramp)) * F.col("_c")
+    d = d.withColumn("_size", F.when(F.col("_on"), F.least(F.lit(1.0), size)).otherwise(0.0))
+    holds = F.col("_why").isin("observe", "unknown", "suspended")
+    thesis = F.when(~F.col("_live") | holds, None).otherwise(F.when(F.col("_size") > 0, F.col("_s")).otherwise(0))
+    d = d.withColumn("_thesis", F.coalesce(F.last(thesis, ignorenulls=True).over(before), F.lit(0)))
+    urgency = F.when(F.col("_on"), F.least(F.lit(1.0), (0.3 + 0.1 * F.col("_age")) * F.col("_c"))).when(F.col("_why").isin("unwind", "collapse"), 1.0).when(F.col("_why").isin("flat", "neutral_exit"), 0.5).when(F.col("_why").isin("risk_stop", "prohibited"), 0.2).otherwise(0.0)
+    out = d.withColumns({
+        "direction": F.when(holds, F.col("_thesis")).when(F.col("_on"), F.col("_s")).otherwise(0).cast("int"), "target": F.col("_size"), "urgency": urgency, "holds": holds,
+        "actionability": F.when(F.col("_live"), F.col("_c")).otherwise(0.0), "reason": F.col("_why"),
+    })
+    return out.drop("_s", "_c", "_why", "_live", "_last", "_n", "_age", "_settles", "_held", "_on", "_size", "_thesis")
+
+
+def executed(df: DataFrame, price: str = "price", direction: str = "direction", target: str = "target", holds: str = "holds", least: float = 0.02, fee: float = 0.0005, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """exposure_out, filled, equity: intents filled by a dead-band follower and marked to market."""
 
-    def step(s, row):
-        before, age, holding, side, exposure, equity, last = s
-        now, c, p = row[state] or 0, max(0.0, min(1.0, row[conf] or 0.0)), row[price]
+    def step(state, row):
+        exposure, equity, last = state
+        p = row[price]
         if last and p:
             equity *= 1 + exposure * (p / last - 1)
-        age = age + 1 if now not in (0, -2) and now == before else 0
-        allowed = (1 if c >= row[on] else 0) if holding else (-1 if c < row[off] else 1)
-        direction, target, hold = 0, 0.0, False
-        if now == 0:
-            why = "flat"
-        elif now == -2:
-            direction, hold, why = side, True, "unknown"
-        elif allowed == 0:
-            direction, hold, why = side, True, "suspended"
-        elif allowed == -1:
-            why = "prohibited"
-        else:
-            direction, target, why = now, min(1.0, base * (1 - math.exp(-age / ramp)) * c), "active"
-        move = 0.0 if hold else target * direction - exposure
-        if abs(move) < least:
-            move = 0.0
-        exposure += move
-        equity -= abs(move) * fee
-        side = direction if hold or target > 0 else 0
-        return (now, age, hold, side, exposure, equity, p or last), (direction, target, why, exposure, move, equity)
+        move = 0.0 if row[holds] else row[target] * row[direction] - exposure
+        move = move if abs(move) >= least else 0.0
+        return (exposure + move, equity - abs(move) * fee, p or last), (exposure + move, move, equity - abs(move) * fee)
+
+    return fold(df, lambda: (0.0, 1.0, None), step, "exposure_out double,filled double,equity double", keys)
+
 
-    return fold(df, lambda: (0, 0, False, 0, 0.0, 1.0, None), step, "direction int,target double,reason string,exposure_out double,filled double,equity double", keys)
+def run_strategy(df: DataFrame, price: str = "price", keys: tuple[str, ...] = ("symbol",), least: float = 0.02, fee: float = 0.0005, **options) -> DataFrame:
+    """A bar log: intents and what comes of them, for each symbol and point of a grid; options are those of intents."""
+    found = intents(df, keys=tuple(k for k in keys if k != "symbol"), **options)
+    return executed(found, price, least=least, fee=fee, keys=keys)
+
+
+def trade_ledger(df: DataFrame, held: str = "held", price: str = "price", realized: str = "realized") -> DataFrame:
+    """symbol, trade, side, entry_seq, exit_seq, rows, most, entry_price, exit_price, gain, close_reason: one row for each run
+    of positions on one side; it ends by closing, by a flip to the other side, or is open at the end of the tape."""
+    w = tape()
+    sided = df.withColumn("_side", F.signum(held).cast("int")).withColumns({"_next": F.lead(F.signum(held).cast("int")).over(w), "_next_price": F.lead(price).over(w), "_next_seq": F.lead("seq").over(w), "_gain": F.lead(realized).over(w), "_had": F.coalesce(F.lag(realized).over(w), F.lit(0.0))})
+    at = F.struct("ts", "seq")
+    runs = islands(sided, "_side", "trade").where("_side <> 0").groupBy("symbol", "trade").agg(
+        F.first("_side").alias("side"), F.min("seq").alias("entry_seq"), F.max_by("_next_seq", at).alias("exit_seq"), F.count("*").alias("rows"), F.max(F.abs(held)).alias("most"), F.min_by(price, at).alias("entry_price"),
+        F.max_by("_next_price", at).alias("exit_price"), (F.max_by(F.coalesce("_gain", realized), at) - F.min_by("_had", at)).alias("gain"), F.max_by(F.when(F.col("_next").isNull(), "open").when(F.col("_next") == 0, "close").otherwise("flip"), at).alias("close_reason"),
+    )
+    return runs.withColumn("trade", F.row_number().over(Window.partitionBy("symbol").orderBy("trade")))

@@ -68,3 +68,29 @@ def test_chunks_do_not_change_ewma(spark):
     df = tape(spark, [(float(i % 7) if i % 5 else None,) for i in range(200)], "x double")
     whole, cut = (values(k.ewma(df, "x", 0.1, "z", chunk=c), "z") for c in (1000, 7))
     assert [round(a[0], 9) for a in whole] == [round(b[0], 9) for b in cut]
+
+
+def test_veto_history_is_kept_by_instrument_and_judged_by_its_tail(spark):
+    rows = [(1, "a", -0.5), (1, "b", 1.0), (1, "a", -0.6), (1, "b", 1.0), (1, "a", 1.0), (1, "b", 1.0), (0, "b", 1.0), (1, "b", 1.0)]
+    df = tape(spark, [(d, 0, r, 0.0, i) for d, i, r in rows], "d int, bin int, r double, h double, inst string")
+    for mode in ("mean", "cvar"):
+        got = values(k.veto_gate(df, "d", "bin", "r", "h", "inst", cooldown=1, least=2, mode=mode, alpha=0.5, epsilon=0.1), "allowed", "reason")
+        assert got == [(False, "few"), (False, "few"), (False, "few"), (False, "few"), (False, "tail"), (False, "cooldown"), (False, "flat"), (True, "")]
+
+
+def test_postures_leave_no_trace(spark):
+    """Overridden rows don't count: the others get what they get on a tape without them."""
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, -1, 0, -2]), rng.random(), rng.choice(["TRADE_NORMAL", "TRADE_NORMAL", "TRADE_CONVEX", "OBSERVE", "UNWIND"]), 0.6, 0.3) for _ in range(200)]
+    columns, out = "state int, ell double, posture string, tau_on double, tau_off double", ("seq", "direction", "target", "urgency", "holds", "reason")
+    whole = tape(spark, rows, columns)
+    got = values(k.intents(whole, posture="posture"), *out)
+    rest = values(k.intents(whole.where("posture NOT IN ('OBSERVE', 'UNWIND')"), posture="posture"), *out)
+    assert [g for g in got if g[-1] not in ("observe", "unwind")] == rest
+    assert all(g[1:5] == (0, 0.0, 1.0, False) for g in got if g[-1] == "unwind") and all(g[4] and g[2] == 0 for g in got if g[-1] == "observe")
+
+
+def test_belief_tables(spark):
+    rows = [(1, True, 1), (1, True, 1), (-1, True, 1), (0, False, 0), (-1, True, 0), (-1, True, -1)]
+    got = values(k.belief(tape(spark, rows, "s int, steady boolean, perm int"), "s", "steady", "perm"), "b_plus", "b_minus", "belief")
+    assert got == [(1, 0, "l1"), (2, 0, "l2"), (1, 1, "l1"), (-1, -1, "unk"), (0, 1, "s1"), (0, 0, "flat")]
