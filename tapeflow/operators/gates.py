@@ -25,7 +25,7 @@ def permutation_null(df: DataFrame, x: str, ret: str, replicates: int = 20, kapp
     rho = (F.sum(F.col("_x0") * F.col("_r")) / (F.sum(kappa * F.abs(F.col("_x") - F.col("_x0"))) + 1e-12)).alias("rho")
     rows = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     in_order = rows.withColumn("_j", F.row_number().over(Window.partitionBy("symbol", "rep").orderBy("_i"))).drop("_r")
-    dealt = rows.withColumn("_j", F.row_number().over(Window.partitionBy("symbol", "rep").orderBy(F.xxhash64("rep", "_i"), "_i"))).select("symbol", "rep", "_j", "_r")
+    dealt = rows.withColumn("_j", F.row_number().over(Window.partitionBy("symbol", "rep").orderBy(F.md5(F.concat_ws("/", "rep", "_i")), "_i"))).select("symbol", "rep", "_j", "_r")
     null = in_order.join(dealt, ["symbol", "rep", "_j"]).groupBy("symbol", "rep").agg(rho).groupBy("symbol").agg(F.percentile("rho", F.lit(0.5)).alias("null_median"))
     return base.groupBy("symbol").agg(rho).join(null, "symbol").withColumn("delta", F.col("rho") - F.col("null_median"))
 

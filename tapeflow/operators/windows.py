@@ -134,43 +134,71 @@ def structural_stress(df: DataFrame, window: int = 100, vol_z: float = 1.5, flip
     return out.drop("_r", "_v", "_m", "_mad", "_f")
 
 
+def block_frames(df: DataFrame, n: int, number: str, sums: dict[str, Column], lows: dict[str, Column] | None = None, highs: dict[str, Column] | None = None, fall: Column | None = None) -> DataFrame:
+    """Adds sums, minima and maxima over the trailing n rows, as columns of the dicts' names; right where n rows are there.
+
+    With fall, the column `fall` is the largest drop from a row of the frame to a later one.  Tapes are cut into blocks of n
+    rows (number: the row's number in its tape, from 0); a frame is the end of one block and the start of the next, so what
+    grows from a block's start and what grows from its end makes up every frame, at a cost that doesn't depend on n.
+    """
+    from functools import reduce
+
+    w = tape()
+    held = df.withColumn("_b", F.floor(F.col(number) / n))
+    key = Window.partitionBy(KEY, "_b")
+    up = key.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    down = key.orderBy(*[F.desc(c) for c in ORDER]).rowsBetween(Window.unboundedPreceding, 0)
+    parts = [(k, c, F.sum, lambda a, b: a + b) for k, c in sums.items()] + [(k, c, F.min, F.least) for k, c in (lows or {}).items()] + [(k, c, F.max, F.greatest) for k, c in (highs or {}).items()]
+    if fall is not None:
+        parts += [("_most", fall, F.max, F.greatest), ("_least", fall, F.min, F.least)]
+    held = held.withColumns({f"_x{k}": c for k, c, *_ in parts})
+    held = held.withColumns({f"_u{k}": f(f"_x{k}").over(up) for k, _, f, _ in parts})
+    if fall is not None:
+        held = held.withColumn("_ufall", F.max(F.col("_u_most") - F.col("_x_most")).over(up))
+    held = held.withColumns({f"_d{k}": f(f"_x{k}").over(down) for k, _, f, _ in parts})
+    if fall is not None:
+        held = held.withColumn("_dfall", F.max(F.col("_x_most") - F.col("_d_least")).over(down))
+    whole = F.col(number) % n == n - 1
+    before = lambda c: F.lag(c, n - 1).over(w)
+    out = {k: F.when(whole, F.col(f"_u{k}")).otherwise(join(before(f"_d{k}"), F.col(f"_u{k}"))) for k, _, _, join in parts if not k.startswith("_most") and not k.startswith("_least")}
+    if fall is not None:
+        out["fall"] = F.when(whole, F.col("_ufall")).otherwise(reduce(F.greatest, [before("_dfall"), F.col("_ufall"), before("_d_most") - F.col("_u_least")]))
+    names = [k for k, *_ in parts]
+    return held.withColumns(out).drop("_b", "_ufall", "_dfall", *[f"_{x}{k}" for k in names for x in "xud"])
+
+
 def quotient_features(df: DataFrame, w1: int = 64, w2: int = 256, eps: float = 1e-6, price: str = "price") -> DataFrame:
     """Adds vol_ratio, curvature, drawdown, burstiness, acorr_1, var_ratio of the last w2 log returns; zeros before.
 
-    All come from frame aggregates but the drawdown, which folds over the frame's cumulative sums.
+    All come from sums over frames of w1 and w2 rows; a frame's first rows are taken off where a shorter one is meant.
     """
     w = tape()
-    p = F.greatest(F.col(price), F.lit(eps))
-    out = df.withColumn("_p", F.log(p))
-    out = out.withColumn("_r", F.col("_p") - F.lag("_p").over(w)).withColumn("_n", F.row_number().over(w) - 1)
-    out = out.withColumn("_r1", F.lag("_r").over(w)).withColumn("_d2", F.col("_r") - 2 * F.lag("_r", 1).over(w) + F.lag("_r", 2).over(w))
-    f, tail, tail2 = trailing(w2), trailing(w2 - 1), trailing(w2 - 2)
-    mean = F.avg("_r").over(f)
-    rx = F.col("_r") * F.col("_r1")
-    out = out.withColumns(
-        {
-            "_mean": mean, "_var": F.var_pop("_r").over(f), "_lo": F.min("_r").over(f), "_hi": F.max("_r").over(f), "_v1": F.var_pop("_r").over(trailing(w1)),
-            "_l1": F.sum(F.abs("_r")).over(f), "_l2": F.sum(F.col("_r") * F.col("_r")).over(f), "_d2v": F.var_pop("_d2").over(tail2),
-            "_sx": F.sum(rx).over(tail), "_sa": F.sum("_r1").over(tail), "_sb": F.sum("_r").over(tail), "_qa": F.sum(F.col("_r1") * F.col("_r1")).over(tail), "_qb": F.sum(F.col("_r") * F.col("_r")).over(tail),
-            "_c": F.collect_list("_p").over(f),
-        }
-    )
-    m, n = F.col("_mean"), w2 - 1
-    s01 = F.col("_sx") - m * (F.col("_sa") + F.col("_sb")) + n * m * m
-    s00 = F.col("_qa") - 2 * m * F.col("_sa") + n * m * m
-    s11 = F.col("_qb") - 2 * m * F.col("_sb") + n * m * m
+    known = lambda c: F.coalesce(c, F.lit(0.0))
+    lag = lambda c, n=1: F.lag(c, n).over(w)
+    out = df.withColumn("_p", F.log(F.greatest(F.col(price), F.lit(eps))))
+    out = out.withColumns({"_r": F.col("_p") - lag("_p"), "_n": F.row_number().over(w) - 1})
+    out = out.withColumns({"_rx": known(F.col("_r") * lag("_r")), "_c": known(F.col("_r") - 2 * lag("_r") + lag("_r", 2)), "_r": known(F.col("_r"))})
+    r, c = F.col("_r"), F.col("_c")
+    out = block_frames(out, w2, "_n", {"_t": r, "_l1": F.abs(r), "_q": r * r, "_tx": F.col("_rx"), "_tc": c, "_qc": c * c}, {"_lo": r}, {"_hi": r}, F.col("_p"))
+    out = block_frames(out, w1, "_n", {"_t1": r, "_q1": r * r})
+    first = {k: lag(k, w2 - 1) for k in ("_r", "_rx", "_c", "_p")}
+    out = out.withColumns({f"{k}0": v for k, v in first.items()} | {"_c1": lag("_c", w2 - 2)})
+    spread = lambda total, squares, n: F.greatest(squares / n - (total / n) * (total / n), F.lit(0.0))
+    mean, n = F.col("_t") / w2, w2 - 1
+    var, var1 = spread(F.col("_t"), F.col("_q"), w2), spread(F.col("_t1"), F.col("_q1"), w1)
+    bend = spread(F.col("_tc") - F.col("_c0") - F.col("_c1"), F.col("_qc") - F.col("_c0") * F.col("_c0") - F.col("_c1") * F.col("_c1"), w2 - 2)
+    early, late = F.col("_t") - r, F.col("_t") - F.col("_r0")
+    s01 = F.col("_tx") - F.col("_rx0") - mean * (early + late) + n * mean * mean
+    s00 = F.col("_q") - r * r - 2 * mean * early + n * mean * mean
+    s11 = F.col("_q") - F.col("_r0") * F.col("_r0") - 2 * mean * late + n * mean * mean
     scale = F.sqrt(F.greatest(s00 * s11, F.lit(0.0)))
-    worst = F.aggregate("_c", F.struct(F.lit(float("-inf")).alias("peak"), F.lit(0.0).alias("gap")), lambda a, x: F.struct(F.greatest(a["peak"], x).alias("peak"), F.greatest(a["gap"], F.greatest(a["peak"], x) - x).alias("gap")), lambda a: a["gap"])
-    moved = F.abs(F.element_at("_c", -1) - F.element_at("_c", 1)) + eps
-    ready = F.col("_n") >= w2
-    zero = F.lit(0.0)
     found = {
-        "vol_ratio": F.sqrt(F.col("_var") + eps) / (F.col("_hi") - F.col("_lo") + eps),
-        "curvature": F.log1p(F.sqrt(F.col("_d2v") + eps)),
-        "drawdown": worst / moved,
-        "burstiness": F.col("_l1") / (F.sqrt("_l2") + eps),
-        "acorr_1": F.when(scale > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s01 / scale))).otherwise(zero),
-        "var_ratio": F.sqrt(F.col("_v1") + eps) / (F.sqrt(F.col("_var") + eps) + eps),
+        "vol_ratio": F.sqrt(var + eps) / (F.col("_hi") - F.col("_lo") + eps),
+        "curvature": F.log1p(F.sqrt(bend + eps)),
+        "drawdown": F.col("fall") / (F.abs(F.col("_p") - F.col("_p0")) + eps),
+        "burstiness": F.col("_l1") / (F.sqrt("_q") + eps),
+        "acorr_1": F.when(scale > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s01 / scale))).otherwise(0.0),
+        "var_ratio": F.sqrt(var1 + eps) / (F.sqrt(var + eps) + eps),
     }
-    out = out.withColumns({k: F.when(ready, v).otherwise(zero) for k, v in found.items()})
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+    out = out.withColumns({k: F.when(F.col("_n") >= w2, v).otherwise(F.lit(0.0)) for k, v in found.items()})
+    return out.drop("fall", *[x for x in out.columns if x.startswith("_")])

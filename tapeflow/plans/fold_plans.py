@@ -179,7 +179,16 @@ def k8(spark, sf_dir):
     return k.thin(df, 7200.0).select("symbol", "seq")
 
 
-@query("e27_horizon_sweep")
+@query(
+    "e27_horizon_sweep",
+    "|" + _folded(
+        "-1e18::DOUBLE AS kept; false AS keep; 0.0::DOUBLE AS exposure; 0 AS m", ["at_s - b_kept >= least_s AS due"], "CASE WHEN due THEN at_s ELSE b_kept END, due, exposure, CASE WHEN action <> 0 THEN 1 ELSE 0 END", "1", "g", "symbol, least_s",
+        "g AS (SELECT s.*, epoch(ts) AS at_s, least_s FROM steps s, (SELECT unnest([600, 3600, 14400])::DOUBLE AS least_s))",
+    ).lstrip("|").replace("SELECT symbol, least_s, seq, 1 FROM o", """, l AS (SELECT *, lag(exposure) OVER w AS x0, lag(m) OVER w AS m0 FROM o WHERE keep WINDOW w AS (PARTITION BY symbol, least_s ORDER BY t)),
+    r AS (SELECT symbol, least_s, sum(x0 * (m - m0)) AS e, sum(0.001 * m * abs(exposure - x0)) AS c, CAST(sum(m) AS BIGINT) AS n_support FROM l WHERE m0 IS NOT NULL GROUP BY 1, 2)
+    SELECT symbol, least_s, e / (c + 1e-12) AS rho, n_support, CASE WHEN n_support < 10 THEN 'sparse_support' WHEN e / (c + 1e-12) < 1 THEN 'below_thresh' WHEN e / (c * 1.25 + 1e-12) < 1 OR e / (c * 0.75 + 1e-12) < 1 THEN 'cost_sensitivity' ELSE 'ok' END AS reason FROM r"""),
+    "rho",
+)
 def e27(spark, sf_dir):
     df = k.over_grid(steps(spark, sf_dir), least_s=[600.0, 3600.0, 14400.0]).withColumns({"ts_s": F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, "m": (F.col("action") != 0).cast("int")})
     thinned = k.thin(df, None, keys=("symbol", "least_s"))

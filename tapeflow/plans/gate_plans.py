@@ -21,7 +21,17 @@ def e28(spark, sf_dir):
     return g.block_decimation(steps(spark, sf_dir), 5)
 
 
-@query("e29_permutation_null")
+_RHO = "sum(x0 * r) / (sum(0.001 * abs(x - x0)) + 1e-12)"
+
+
+@query(
+    "e29_permutation_null",
+    f"""|b AS (SELECT * FROM (SELECT symbol, t + 1 AS i, lag(exposure) {_W} AS x0, exposure AS x, coalesce(ret, 0) AS r FROM steps) WHERE x0 IS NOT NULL), k AS (SELECT b.*, unnest(range(1, 21)) AS rep FROM b),
+    o AS (SELECT symbol, rep, x0, x, row_number() OVER (PARTITION BY symbol, rep ORDER BY i) AS j FROM k), d AS (SELECT symbol, rep, r, row_number() OVER (PARTITION BY symbol, rep ORDER BY md5(rep || '/' || i), i) AS j FROM k),
+    n AS (SELECT o.symbol, rep, {_RHO} AS rho FROM o JOIN d USING (symbol, rep, j) GROUP BY 1, 2), m AS (SELECT symbol, quantile_cont(rho, 0.5) AS null_median FROM n GROUP BY 1), w AS (SELECT symbol, {_RHO} AS rho FROM b GROUP BY 1)
+    SELECT symbol, rho, null_median, rho - null_median AS delta FROM w JOIN m USING (symbol)""",
+    "rho null_median delta",
+)
 def e29(spark, sf_dir):
     return g.permutation_null(steps(spark, sf_dir), "exposure", "ret")
 
@@ -159,7 +169,14 @@ def e46(spark, sf_dir):
     return df.where("p_bad > 0.9 AND state <> 0").select("symbol", F.col("state").alias("direction")).distinct().join(last, "symbol").select("symbol", "direction", (F.col("ell") > 0).alias("escalate"))
 
 
-@query("e47_readiness_row")
+@query(
+    "e47_readiness_row",
+    f"""|a AS (SELECT *, CASE WHEN action <> 0 THEN 1 ELSE 0 END AS m FROM steps QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, seq DESC) <= 100), l AS (SELECT *, lag(exposure) {_W} AS x0, lag(m) {_W} AS m0 FROM a),
+    r AS (SELECT symbol, sum(x0 * (m - m0)) AS e, sum(0.001 * m * abs(exposure - x0)) AS c, CAST(sum(m) AS BIGINT) AS n_support, sum(m) / count(*) AS activity FROM l WHERE m0 IS NOT NULL GROUP BY 1),
+    v AS (SELECT *, e / (c + 1e-12) AS rho, CASE WHEN n_support < 10 THEN 'sparse_support' WHEN e / (c + 1e-12) < 1 THEN 'below_thresh' WHEN e / (c * 1.25 + 1e-12) < 1 OR e / (c * 0.75 + 1e-12) < 1 THEN 'cost_sensitivity' ELSE 'ok' END AS reason FROM r)
+    SELECT symbol, reason = 'ok' AS ready, reason, rho, n_support, activity FROM v""",
+    "rho activity",
+)
 def e47(spark, sf_dir):
     last = w.latest(steps(spark, sf_dir), "symbol", n=100).withColumn("m", (F.col("action") != 0).cast("int"))
     return logs.robustness(logs.edge_density(last)).select("symbol", (F.col("reason") == "ok").alias("ready"), "reason", "rho", "n_support", "activity")
@@ -251,6 +268,6 @@ def g5(spark, sf_dir):
     return df.join(last, "symbol").where(F.col("ts") >= F.col("m") - F.expr("INTERVAL 1 DAY")).select("symbol", "seq")
 
 
-@query("g6_bounded_sample")
+@query("g6_bounded_sample", "SELECT symbol, seq FROM steps ORDER BY md5(CAST(seq AS VARCHAR) || '/7'), seq LIMIT 100")
 def g6(spark, sf_dir):
-    return steps(spark, sf_dir).orderBy(F.xxhash64("seq", F.lit(7)), "seq").limit(100).select("symbol", "seq")
+    return steps(spark, sf_dir).orderBy(F.md5(F.concat(F.col("seq").cast("string"), F.lit("/7"))), "seq").limit(100).select("symbol", "seq")

@@ -82,7 +82,22 @@ def c10_back(spark, sf_dir):
     return packs.select("symbol", "pack", "code", at.alias("i")).select("symbol", (F.col("pack") * 3 + F.col("i")).alias("t"), (F.floor(F.col("code") / F.pow(F.lit(3), F.col("i"))) % 3 - 1).cast("int").alias("state"))
 
 
-@query("c11_normal_tail")
+_ERF_T = "(1 / (1 + 0.3275911 * (abs({0}) / 1.4142135623730951)))"
+_TAIL = f"((((1.061405429 * {_ERF_T} - 1.453152027) * {_ERF_T} + 1.421413741) * {_ERF_T} - 0.284496736) * {_ERF_T} + 0.254829592) * {_ERF_T} * exp(-(abs({{0}}) / 1.4142135623730951) * (abs({{0}}) / 1.4142135623730951))"
+#: The normal distribution function of an expression.
+CDF = f"CASE WHEN {{0}} >= 0 THEN 1 - ({_TAIL}) / 2 ELSE ({_TAIL}) / 2 END"
+_PDF = "exp(-{0} * {0} / 2) / sqrt(2 * pi())"
+
+
+def _inverse() -> str:
+    """Newton's steps, one query each."""
+    inner = "SELECT symbol, seq, ret, ell, ln(ell / (1 - ell)) / 1.702 AS x FROM steps WHERE ell > 0 AND ell < 1"
+    for _ in range(6):
+        inner = f"SELECT symbol, seq, ret, ell, greatest(-8.0, least(8.0, x - (({CDF.format('x')}) - ell) / greatest({_PDF.format('x')}, 1e-12))) AS x FROM ({inner})"
+    return inner
+
+
+@query("c11_normal_tail", f"|i AS ({_inverse()}) SELECT s.symbol, s.seq, CASE WHEN s.ret IS NOT NULL THEN {CDF.format('s.ret')} END AS cdf, {_PDF.format('s.ret')} AS pdf, i.x AS ppf FROM steps s LEFT JOIN i ON i.symbol = s.symbol AND i.seq = s.seq", "cdf pdf ppf")
 def c11(spark, sf_dir):
     return steps(spark, sf_dir).select("symbol", "seq", s.norm_cdf(F.col("ret")).alias("cdf"), s.norm_pdf(F.col("ret")).alias("pdf"), s.norm_ppf(F.col("ell")).alias("ppf"))
 

@@ -9,7 +9,10 @@ from tapeflow.operators import tower as tw
 from tapeflow.operators import windows as w
 
 from .fixtures import steps, ticks
+from .fold_plans import _folded
 from .registry import query
+from .scalar_plans import CDF
+from .window_plans import quotients
 
 _W = "OVER (PARTITION BY symbol ORDER BY ts, seq)"
 _FLAGS = "seq % 5 = 0 AS abstain, seq % 2 = 0 AS ready, seq % 7 <> 0 AS ledger, seq % 3 = 0 AS horizon, seq % 11 <> 1 AS fixed, (seq % 6) AS state_age"
@@ -39,14 +42,30 @@ def c22(spark, sf_dir):
     return tw.violations(df).groupBy("symbol", "rule").agg(F.count("*").alias("n"))
 
 
-@query("c29_tape_legitimacy")
+@query(
+    "c29_tape_legitimacy",
+    quotients(16, 64) + """ SELECT symbol, seq, greatest(0.0, least(1.0, exp(-(0.5 * ln(1 + vol_ratio) + 0.5 * ln(1 + drawdown) + 0.2 * ln(1 + abs(burstiness - 1)) + 0.3 * (1 - abs(acorr_1)) + 0.1 * curvature)))) AS ell FROM q""",
+    "ell",
+)
 def c29(spark, sf_dir):
     df = w.quotient_features(steps(spark, sf_dir).select("symbol", "ts", "seq", "price"), 16, 64)
     penalty = 0.5 * F.log1p("vol_ratio") + 0.5 * F.log1p("drawdown") + 0.2 * F.log1p(F.abs(F.col("burstiness") - 1)) + 0.3 * (1 - F.abs("acorr_1")) + 0.1 * F.col("curvature")
     return df.select("symbol", "seq", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.exp(-penalty))).alias("ell"))
 
 
-@query("c26_size_bucket")
+_UNIT = "greatest(0.0, least(1.0, {0}))"
+
+
+@query(
+    "c26_size_bucket",
+    _folded(
+        "0.0::DOUBLE AS ema; 0.0::DOUBLE AS size",
+        ["(1 - 2 / 9.0) * b_ema + 2 / 9.0 * action * ell AS e1", f"{_UNIT.format('0.65 * ' + _UNIT.format('abs(coalesce(ret, 0))') + ' + 0.35 * ' + _UNIT.format('(e1 + 1) / 2'))} * (1 - 0.6 * p_bad) AS z"],
+        "e1, CASE WHEN action = 0 OR z < 0.25 THEN 0.0 WHEN z < 0.75 THEN 0.5 ELSE 1.0 END",
+        "size",
+    ),
+    "size",
+)
 def c26(spark, sf_dir):
     from tapeflow.operators.folds import ewma
 
@@ -57,7 +76,18 @@ def c26(spark, sf_dir):
     return df.select("symbol", "seq", F.when((F.col("action") == 0) | (z < 0.25), 0.0).when(z < 0.75, 0.5).otherwise(1.0).alias("size"))
 
 
-@query("e43_density_gate")
+@query(
+    "e43_density_gate",
+    """|h AS (SELECT symbol AS target, weekofyear(ts) AS iteration, CASE WHEN seq % 2 = 0 THEN 'T' ELSE 'R' END AS ont, user_id % 3 AS bin, count(*) AS n, quantile_cont(price, 0.5) AS med FROM ticks GROUP BY ALL),
+    r AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY target ORDER BY iteration DESC) AS k FROM h) WHERE k <= 3),
+    s AS (SELECT *, CASE WHEN n >= 1 AND med <> 0 THEN sign(med) END AS sg FROM r),
+    f AS (SELECT *, last_value(sg IGNORE NULLS) OVER (PARTITION BY target, ont, bin ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM s),
+    b AS (SELECT target, ont, bin, count_if(n >= 1) AS hits, sum(CASE WHEN sg <> b THEN 1 ELSE 0 END) AS flips, arg_max(n, iteration) AS n, arg_max(med, iteration) AS med FROM f GROUP BY 1, 2, 3),
+    g AS (SELECT *, hits >= 2 AND flips <= 1 AND n >= 1 AS good FROM b),
+    o AS (SELECT target, ont, sum(n) AS rows, count_if(good) AS bins, min(n) FILTER (good) AS lo, max(n) FILTER (good) AS hi, max(med) FILTER (good) - min(med) FILTER (good) AS effect FROM g GROUP BY 1, 2),
+    w AS (SELECT target, CASE WHEN rows < 5 THEN ont || ' rows' WHEN bins < 2 THEN ont || ' bins' WHEN lo / hi < 0.2 THEN ont || ' balance' WHEN effect < 0.0005 THEN ont || ' effect' END AS r FROM o)
+    SELECT target, count(r) = 0 AS open, coalesce(string_agg(r, ',' ORDER BY r), '') AS reasons FROM w GROUP BY 1""",
+)
 def e43(spark, sf_dir):
     df = ticks(spark, sf_dir).select(F.col("symbol").alias("target"), F.weekofyear("ts").alias("iteration"), F.when(F.col("seq") % 2 == 0, "T").otherwise("R").alias("ont"), (F.col("user_id") % 3).alias("bin"), "price")
     history = df.groupBy("target", "iteration", "ont", "bin").agg(F.count("*").alias("count"), F.percentile("price", F.lit(0.5)).alias("median"))
@@ -84,7 +114,13 @@ def f10(spark, sf_dir):
     return df.select("symbol", "seq", ((F.abs("r") > 3 * sg) | (F.col("slope") > 0.00151)).alias("bad"))
 
 
-@query("f22_goal_probability")
+@query(
+    "f22_goal_probability",
+    f"""|d AS (SELECT *, coalesce(pnl - lag(pnl) {_W}, 0) AS d, count(*) OVER (PARTITION BY symbol) - t - 1 AS togo FROM steps), m AS (SELECT *, avg(d) OVER f AS mu, stddev_pop(d) OVER f AS sd FROM d WINDOW f AS (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)),
+    g AS (SELECT *, pnl + mu * togo AS mean, sd * sqrt(togo) AS std FROM m), x AS (SELECT *, (0.5 - mean) / std AS x FROM g)
+    SELECT symbol, seq, CASE WHEN std > 0 THEN 1 - {CDF.format('x')} ELSE CAST(mean >= 0.5 AS DOUBLE) END AS goal_prob, greatest(0.0, 0.5 - mean) AS shortfall FROM x""",
+    "goal_prob shortfall",
+)
 def f22(spark, sf_dir):
     return sp.goal_probability(steps(spark, sf_dir).select("symbol", "ts", "seq", "pnl"), "pnl", 0.5).select("symbol", "seq", "goal_prob", "shortfall")
 
@@ -107,7 +143,14 @@ def f24(spark, sf_dir):
     return df.groupBy("symbol").agg(F.sum("gain").alias("total"), F.avg((F.col("gain") > 0).cast("int")).alias("hit"), F.sum("traded").alias("trades"))
 
 
-@query("k18_adaptive_threshold")
+@query(
+    "k18_adaptive_threshold",
+    """|p AS (SELECT avg(ell) AS pm, stddev_pop(ell) AS ps FROM steps), o AS (SELECT symbol, ts, seq, ell, pm, ps, count(ell) OVER f AS n, avg(ell) OVER f AS m, stddev_pop(ell) OVER f AS s FROM steps, p WINDOW f AS (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)),
+    k AS (SELECT *, least(1.0, n / 50) AS k FROM o), z AS (SELECT *, (ell - (k * coalesce(m, pm) + (1 - k) * pm)) / greatest(k * coalesce(s, ps) + (1 - k) * ps, 0.001) AS z FROM k),
+    l AS (SELECT *, list_sort(list(z) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)) AS seen FROM z)
+    SELECT symbol, seq, z, CASE WHEN len(seen) >= 20 THEN seen[greatest(1, CAST(round(0.9 * (len(seen) - 1)) AS INT) + 1)] ELSE 2.0 END AS threshold FROM l""",
+    "z threshold",
+)
 def k18(spark, sf_dir):
     df = sp.standardised_score(steps(spark, sf_dir).select("symbol", "ts", "seq", "ell"), "ell", 100, 50)
     return df.select("symbol", "seq", "z", sp.adaptive_threshold("z", 0.1, 100, 20, 2.0).alias("threshold"))
@@ -129,7 +172,11 @@ def k17(spark, sf_dir):
     return steps(spark, sf_dir).select("symbol", "seq", live_legitimacy("schedule").alias("schedule"))
 
 
-@query("k17_live_modes")
+@query(
+    "k17_live_modes",
+    "|f AS (SELECT symbol, seq, ell, stddev_pop(ret) OVER w AS sd, avg(ell) OVER w AS m FROM steps WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)) SELECT symbol, seq, coalesce(exp(-sd), 1.0) AS vol, coalesce(1 / (1 + (ell - m) * (ell - m)), 1.0) AS spread FROM f",
+    "vol spread",
+)
 def k17_modes(spark, sf_dir):
     from tapeflow.operators.tracking import live_legitimacy
 

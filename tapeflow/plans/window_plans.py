@@ -194,19 +194,20 @@ def f9(spark, sf_dir):
     return w.structural_stress(steps(spark, sf_dir)).select("symbol", "seq", "p_stress", "stressed")
 
 
-@query(
-    "f1_quotient_features",
-    f"""|p AS (SELECT symbol, ts, seq, t, ln(greatest(price, 1e-6)) AS p FROM steps),
+def quotients(w1: int, w2: int, source: str = "steps", price: str = "price") -> str:
+    """Queries that end with q: symbol, ts, seq, t and the six features of a source with these columns and t."""
+    return f"""|p AS (SELECT symbol, ts, seq, t, ln(greatest({price}, 1e-6)) AS p FROM {source}),
     r AS (SELECT *, p - lag(p) {_W} AS r FROM p),
     d AS (SELECT *, lag(r) {_W} AS r1, r - 2 * lag(r) {_W} + lag(r, 2) {_W} AS d2 FROM r),
-    a AS (SELECT *, avg(r) {_frame(-31)} AS m, var_pop(r) {_frame(-31)} AS v, max(r) {_frame(-31)} - min(r) {_frame(-31)} AS span, var_pop(r) {_frame(-7)} AS v1, sum(abs(r)) {_frame(-31)} AS l1, sum(r * r) {_frame(-31)} AS l2,
-        var_pop(d2) {_frame(-29)} AS dv, list(p) {_frame(-31)} AS ps, list(r) {_frame(-31)} AS rs FROM d),
-    z AS (SELECT *, list_sum([(x[1] - m) * (x[2] - m) for x in list_zip(rs[1:31], rs[2:32])]) AS s01, list_sum([(x - m) * (x - m) for x in rs[1:31]]) AS s00, list_sum([(x - m) * (x - m) for x in rs[2:32]]) AS s11,
-        list_max([list_max(ps[1:i]) - ps[i] for i in range(1, 33)]) AS dd FROM a WHERE t >= 32)
-    SELECT symbol, seq, sqrt(v + 1e-6) / (span + 1e-6) AS vol_ratio, ln(1 + sqrt(dv + 1e-6)) AS curvature, dd / (abs(ps[32] - ps[1]) + 1e-6) AS drawdown, l1 / (sqrt(l2) + 1e-6) AS burstiness,
+    a AS (SELECT *, avg(r) {_frame(1 - w2)} AS m, var_pop(r) {_frame(1 - w2)} AS v, max(r) {_frame(1 - w2)} - min(r) {_frame(1 - w2)} AS span, var_pop(r) {_frame(1 - w1)} AS v1, sum(abs(r)) {_frame(1 - w2)} AS l1, sum(r * r) {_frame(1 - w2)} AS l2,
+        var_pop(d2) {_frame(3 - w2)} AS dv, list(p) {_frame(1 - w2)} AS ps, list(r) {_frame(1 - w2)} AS rs FROM d),
+    z AS (SELECT *, list_sum([(x[1] - m) * (x[2] - m) for x in list_zip(rs[1:{w2 - 1}], rs[2:{w2}])]) AS s01, list_sum([(x - m) * (x - m) for x in rs[1:{w2 - 1}]]) AS s00, list_sum([(x - m) * (x - m) for x in rs[2:{w2}]]) AS s11,
+        list_max([list_max(ps[1:i]) - ps[i] for i in range(1, {w2 + 1})]) AS dd FROM a WHERE t >= {w2}),
+    q AS (SELECT symbol, ts, seq, t, sqrt(v + 1e-6) / (span + 1e-6) AS vol_ratio, ln(1 + sqrt(dv + 1e-6)) AS curvature, dd / (abs(ps[{w2}] - ps[1]) + 1e-6) AS drawdown, l1 / (sqrt(l2) + 1e-6) AS burstiness,
         CASE WHEN s00 * s11 > 0 THEN greatest(-1, least(1, s01 / sqrt(s00 * s11))) ELSE 0 END AS acorr_1, sqrt(v1 + 1e-6) / (sqrt(v + 1e-6) + 1e-6) AS var_ratio FROM z
-    UNION ALL SELECT symbol, seq, 0, 0, 0, 0, 0, 0 FROM p WHERE t < 32""",
-    "vol_ratio curvature drawdown burstiness acorr_1 var_ratio",
-)
+    UNION ALL SELECT symbol, ts, seq, t, 0, 0, 0, 0, 0, 0 FROM p WHERE t < {w2})"""
+
+
+@query("f1_quotient_features", quotients(8, 32) + " SELECT symbol, seq, vol_ratio, curvature, drawdown, burstiness, acorr_1, var_ratio FROM q", "vol_ratio curvature drawdown burstiness acorr_1 var_ratio")
 def f1(spark, sf_dir):
     return w.quotient_features(steps(spark, sf_dir), 8, 32).select("symbol", "seq", "vol_ratio", "curvature", "drawdown", "burstiness", "acorr_1", "var_ratio")
