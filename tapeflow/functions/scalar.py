@@ -55,6 +55,36 @@ def permission(p_bad: Column, caution: float = 0.4, ban: float = 0.7) -> Column:
     return F.when(p_bad >= ban, -1).when(p_bad >= caution, 0).otherwise(1)
 
 
+def actionability(allowed: Column, p_bad: Column) -> Column:
+    """1 where permitted, a half where suspended, and what is left of 1 less p_bad where prohibited."""
+    return F.when(allowed == 1, 1.0).when(allowed == 0, 0.5).otherwise(clip(1 - p_bad, 0.0, 1.0))
+
+
+def decision_kind(allowed: Column, direction: Column, edge: Column, action: Column, veto: Column, leaving: Column) -> Column:
+    """flat for a veto, a prohibition or an exit; long or short where permitted and direction and edge agree; else unknown."""
+    agrees = (allowed == 1) & (direction != 0) & (direction == edge)
+    return F.when(veto | leaving | (allowed == -1), "flat").when(agrees & (action > 0), "long").when(agrees & (action < 0), "short").otherwise("unknown")
+
+
+def phase_class(rho: Column, robust: Column) -> Column:
+    """false without an edge over cost, else boundary-stable or boundary-unstable."""
+    return F.when(rho <= 0, "false").when(robust, "boundary-stable").otherwise("boundary-unstable")
+
+
+#: Weights of z-scored traits in the utilities of the instruments (option, perp, spot), those of the query below; any may be given.
+UTILITY = {
+    "option": {"iv": 0.5, "hazard": 0.4, "funding_abs": 0.3, "basis": 0.2, "option_oi": 0.1, "option_volume": 0.1, "imbalance": 0.1, "margin": 0.2},
+    "perp": {"confidence": 0.6, "carry": 0.4, "open_interest": 0.2, "iv": -0.2, "hazard": -0.3, "margin": 0.2},
+    "spot": {"funding_abs": -0.2, "basis": -0.2, "hazard": -0.2},
+}
+
+
+def utilities(traits: dict[str, Column], weights: dict[str, dict[str, float]] = UTILITY, spot_base: float = 0.1) -> dict[str, Column]:
+    """Utility of each instrument: weighted traits that are given, others count nothing; spot starts from its base."""
+    total = lambda own: functools.reduce(lambda a, b: a + b, [F.lit(w) * traits[t] for t, w in own.items() if t in traits], F.lit(0.0))
+    return {name: total(own) + (spot_base if name == "spot" else 0.0) for name, own in weights.items()}
+
+
 def controller(direction: Column, edge: Column, allowed: Column, pressure: Column) -> Column:
     """The direction if it is allowed, agrees with the edge, and capital isn't short."""
     stop = (allowed != 1) | ((pressure == -1) & (allowed != 1)) | (direction == 0) | (edge == 0) | (direction != edge)

@@ -28,11 +28,21 @@ def rollup(bars: DataFrame, every: str) -> DataFrame:
     )
 
 
+#: Buckets of a resampling grid that are made from one row.
+_CHUNK = 4096
+
+
 def resample(bars: DataFrame, every: str, fill: str = "ffill") -> DataFrame:
     """A row for every bucket between a symbol's first and last: the first bar in it, gaps filled from before or after."""
     first = bars.groupBy("symbol", F.window("ts", every).start.alias("bucket")).agg(F.min_by("close", F.struct("ts", "seq")).alias("close"), F.min_by("volume", F.struct("ts", "seq")).alias("volume"))
     span = first.groupBy("symbol").agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
-    grid = span.select("symbol", F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {every}"))).alias("bucket"))
+    # The grid is made in chunks: no row ever holds more than a chunk of a symbol's buckets.
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    step = F.expr(f"unix_micros(timestamp'1970-01-01 00:00:00 UTC' + INTERVAL {every})")
+    last = ((micros("b") - micros("a")) / step).cast("long")
+    chunks = span.withColumn("n", last).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / _CHUNK))))
+    numbers = F.sequence(F.col("c") * _CHUNK, F.least(F.col("n"), (F.col("c") + 1) * _CHUNK - 1))
+    grid = chunks.withColumn("k", F.explode(numbers)).select("symbol", (F.col("a") + F.col("k") * F.expr(f"INTERVAL {every}")).alias("bucket"))
     w, back = (Window.partitionBy("symbol").orderBy(o) for o in (F.asc("bucket"), F.desc("bucket")))
     pick = (lambda c: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))) if fill == "ffill" else (lambda c: F.last(c, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     return grid.join(first, ["symbol", "bucket"], "left").select("symbol", F.col("bucket").alias("ts"), pick("close").alias("close"), pick("volume").alias("volume")).where("close IS NOT NULL")

@@ -104,8 +104,11 @@ def ewma(df: DataFrame, column: str, alpha: float, out: str, chunk: int = 10_000
 
     part = fold(numbered, lambda: None, replay(False), "_z double", ("symbol", "_c"))
     ends = part.groupBy("symbol", "_c").agg(F.max_by("_z", F.struct("ts", "seq")).alias("b"), F.pow(F.lit(1 - alpha), F.count(column)).alias("a"))
-    pairs = F.collect_list(F.struct("_c", "a", "b")).over(Window.partitionBy("symbol").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
-    begin = ends.select("symbol", "_c", F.aggregate(pairs, F.lit(start), lambda z, x: x["a"] * z + x["b"]).alias("_start"))
+
+    def after(z, row):
+        return row["a"] * z + row["b"], (z,)
+
+    begin = fold(ends, lambda: start, after, "_start double", order=("_c",)).select("symbol", "_c", "_start")
     # z at a row of a chunk: what the chunk alone gives, and its start faded by the values so far.
     inside = Window.partitionBy("symbol", "_c").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     found = part.join(begin, ["symbol", "_c"])

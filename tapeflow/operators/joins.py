@@ -73,7 +73,7 @@ def nearest(left: DataFrame, right: DataFrame, features: list[str], k: int, id_c
     """left_id, right_id, distance, rank: the k nearest right rows of each left row, by blocks of left rows.
 
     left is the stated query set: it is cut into blocks that are joined to blocks of right rows, and each pair of
-    blocks keeps its k best before results meet.
+    blocks keeps its k best before results meet.  A row is no neighbour of its own; equal distances go to the least id.
     """
     import numpy as np
     import pandas as pd
@@ -88,13 +88,19 @@ def nearest(left: DataFrame, right: DataFrame, features: list[str], k: int, id_c
         if not len(x) or not len(y):
             return pd.DataFrame({"left_id": [], "right_id": [], "distance": []})
         y = y.sort_values(id_column)
-        p, q, ids = x[features].to_numpy(float), y[features].to_numpy(float), y[id_column].to_numpy()
-        out = []
-        for i, row in zip(x[id_column], p):
-            d = np.sqrt(((q - row) ** 2).sum(1))
-            at = np.argsort(d, kind="stable")[:k]
-            out.append(pd.DataFrame({"left_id": i, "right_id": ids[at], "distance": d[at]}))
-        return pd.concat(out)
+        p, q, own, ids = x[features].to_numpy(float), y[features].to_numpy(float), x[id_column].to_numpy(), y[id_column].to_numpy()
+        picks, far = [], []
+        for i in range(len(p)):
+            d = np.sqrt(((q - p[i]) ** 2).sum(1))
+            d[ids == own[i]] = np.inf
+            near = np.argpartition(d, k)[: k + 1] if len(d) > k + 1 else np.arange(len(d))
+            near = np.nonzero(d <= d[near].max())[0] if len(d) > k + 1 else near  # all ties of the last one
+            at = near[np.argsort(d[near], kind="stable")][:k]
+            at = at[np.isfinite(d[at])]
+            picks.append(at)
+            far.append(d[at])
+        n = [len(a) for a in picks]
+        return pd.DataFrame({"left_id": np.repeat(own, n), "right_id": ids[np.concatenate(picks)], "distance": np.concatenate(far)})
 
     kind = dict(left.dtypes)[id_column]
     found = a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInPandas(best, f"left_id {kind}, right_id {kind}, distance double")

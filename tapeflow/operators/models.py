@@ -67,7 +67,7 @@ def pair_rank_loss(df: DataFrame, score: str, target: str, key: str, seed: int =
     """One row: pairs, loss, gradient with respect to a scale of the score; rows are paired by a hashed order in buckets."""
     from pyspark.sql import Window
 
-    h = F.xxhash64(key, F.lit(seed))
+    h = F.conv(F.substring(F.md5(F.concat_ws("/", key, F.lit(seed))), 1, 12), 16, 10).cast("long")
     rows = df.select(key, F.col(score).alias("s"), F.col(target).alias("t"), h.alias("h")).withColumn("b", F.pmod("h", F.lit(4096)))
     w = Window.partitionBy("b").orderBy("h", key)
     pairs = rows.withColumns({"k": F.row_number().over(w), "s2": F.lead("s").over(w), "t2": F.lead("t").over(w)}).where("k % 2 = 1 AND t2 IS NOT NULL AND t <> t2")
@@ -113,6 +113,14 @@ def direction_features(df: DataFrame, value: str, lags: int, horizon: int, dead:
     return out.na.drop()
 
 
+def labels_of(df: DataFrame, group: str, most: int = 1000) -> list:
+    """The values of a column of labels; more than `most` of them are keys, not labels, and an error."""
+    found = [r[0] for r in df.where(F.col(group).isNotNull()).select(group).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{group} has more than {most} values")
+    return sorted(found)
+
+
 def weights_by_group(df: DataFrame, group: str, features: list[str], label: str, groups: list[str], rate: float = 0.5, l2: float = 0.01, rounds: int = 10) -> DataFrame:
     """group, feature, weight: logistic weights of each group by full gradients, one aggregate a round; clipped to [-5, 5].
 

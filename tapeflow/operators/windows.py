@@ -119,19 +119,20 @@ def structural_stress(df: DataFrame, window: int = 100, vol_z: float = 1.5, flip
 
     The first `window` volatilities are filled from the first full one; the first row counts as a flip.
     """
-    w = tape()
-    out = df.withColumn("_r", F.coalesce(returns(price), F.lit(0.0)))
-    out = out.withColumn("_v", full(F.stddev_samp("_r").over(trailing(window)), "_r", window))
-    out = out.withColumn("_v", F.coalesce("_v", next_known(F.col("_v")), F.lit(0.0)))
-    middle = out.groupBy(KEY).agg(F.percentile("_v", F.lit(0.5)).alias("_m"))
-    out = out.join(middle, KEY)
-    spread = out.groupBy(KEY).agg((F.percentile(F.abs(F.col("_v") - F.col("_m")), F.lit(0.5)) + 1e-9).alias("_mad"))
-    out = out.join(spread, KEY)
+    w, whole = tape(), Window.partitionBy(KEY)
     flip = (~F.col(state).eqNullSafe(F.lag(state).over(w)) | (F.row_number().over(w) == 1)).cast("double")
-    out = out.withColumn("_f", flip).withColumn("_f", F.coalesce(full(F.avg("_f").over(trailing(window)), "_f", window), F.lit(0.0)))
+    out = df.withColumns({"_r": F.coalesce(returns(price), F.lit(0.0)), "_flip": flip, "_n": F.row_number().over(w) - 1})
+    out = block_frames(out, window, "_n", {"_t": F.col("_r"), "_q": F.col("_r") * F.col("_r"), "_fs": F.col("_flip")})
+    ready = F.col("_n") >= window - 1
+    spread = F.sqrt(F.greatest(F.col("_q") - F.col("_t") * F.col("_t") / window, F.lit(0.0)) / (window - 1))
+    out = out.withColumns({"_v": F.when(ready, spread), "_f": F.when(ready, F.col("_fs") / window).otherwise(0.0)})
+    out = out.withColumn("_v", F.coalesce("_v", next_known(F.col("_v")), F.lit(0.0)))
+    # Over whole tapes, which the windows above have brought together already: nothing is evaluated twice.
+    out = out.withColumn("_m", F.percentile("_v", F.lit(0.5)).over(whole))
+    out = out.withColumn("_mad", F.percentile(F.abs(F.col("_v") - F.col("_m")), F.lit(0.5)).over(whole) + 1e-9)
     score = F.greatest((F.col("_v") - F.col("_m")) / F.col("_mad") / vol_z, F.lit(0.0)) + F.abs("_r") / (F.col("_v") + 1e-9) + F.col("_f") / flips
     out = out.withColumn("p_stress", score / (1 + score)).withColumn("stressed", F.col("p_stress") > 0.7)
-    return out.drop("_r", "_v", "_m", "_mad", "_f")
+    return out.drop("_r", "_v", "_m", "_mad", "_f", "_flip", "_fs", "_n", "_t", "_q")
 
 
 def block_frames(df: DataFrame, n: int, number: str, sums: dict[str, Column], lows: dict[str, Column] | None = None, highs: dict[str, Column] | None = None, fall: Column | None = None) -> DataFrame:

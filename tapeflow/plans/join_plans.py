@@ -106,14 +106,14 @@ def d8(spark, sf_dir):
 @query(
     "d9_nearest_entries",
     """|z AS (SELECT c_custkey AS id, c_nationkey, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () AS a, (c_custkey % 97 - avg(c_custkey % 97) OVER ()) / stddev_pop(c_custkey % 97) OVER () AS b FROM customer),
-    p AS (SELECT l.id AS left_id, r.id AS right_id, sqrt((l.a - r.a) * (l.a - r.a) + (l.b - r.b) * (l.b - r.b)) AS distance FROM z l JOIN z r ON l.id % 20 = 0 AND r.id % 20 <> 0),
+    p AS (SELECT l.id AS left_id, r.id AS right_id, sqrt((l.a - r.a) * (l.a - r.a) + (l.b - r.b) * (l.b - r.b)) AS distance FROM z l JOIN z r ON l.id % 20 = 0 AND r.id <> l.id),
     k AS (SELECT *, CAST(row_number() OVER (PARTITION BY left_id ORDER BY distance, right_id) AS INT) AS rank FROM p) SELECT left_id, rank, right_id, distance FROM k WHERE rank <= 3""",
     "distance",
 )
 def d9(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("a"), (F.col("c_custkey") % 97).cast("double").alias("b"))
     z = j.z_scored(c, ["a", "b"])
-    return j.nearest(z.where("id % 20 = 0"), z.where("id % 20 <> 0"), ["a", "b"], 3).select("left_id", "rank", "right_id", "distance")
+    return j.nearest(z.where("id % 20 = 0"), z, ["a", "b"], 3).select("left_id", "rank", "right_id", "distance")
 
 
 @query(

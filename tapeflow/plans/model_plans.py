@@ -72,12 +72,25 @@ def m4(spark, sf_dir):
     return scored.crossJoin(F.broadcast(mid)).select("symbol", "seq", F.exp(-F.log(F.lit(2.0)) * F.col("e") / F.greatest("mid", F.lit(1e-9))).alias("ell_hat"))
 
 
-@query("m5_pair_rank_loss")
+@query(
+    "m5_pair_rank_loss",
+    """|h AS (SELECT seq, ell AS s, p_bad AS t, CAST('0x' || substr(md5(seq || '/0'), 1, 12) AS BIGINT) AS h FROM steps), p AS (SELECT *, row_number() OVER w AS k, lead(s) OVER w AS s2, lead(t) OVER w AS t2 FROM h WINDOW w AS (PARTITION BY h % 4096 ORDER BY h, seq)),
+    d AS (SELECT CASE WHEN t > t2 THEN s - s2 ELSE s2 - s END AS d FROM p WHERE k % 2 = 1 AND t2 IS NOT NULL AND t <> t2) SELECT count(*) AS pairs, avg(ln(1 + exp(-d))) AS loss, avg(-d / (1 + exp(d))) AS gradient FROM d""",
+    "loss gradient",
+)
 def m5(spark, sf_dir):
     return m.pair_rank_loss(steps(spark, sf_dir), "ell", "p_bad", "seq")
 
 
-@query("m7_size_weights")
+def _median_rounds(n: int) -> str:
+    out = "|m AS (SELECT l_returnflag AS ontology, CAST(floor(l_quantity / 15) AS INT) AS size, quantile_cont(l_discount, 0.5) AS m FROM lineitem GROUP BY 1, 2), w0 AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY ontology) AS w, count(*) OVER (PARTITION BY ontology) AS k FROM m)"
+    for i in range(n):
+        out += f""", u{i} AS (SELECT a.ontology, a.size, any_value(a.m) AS m, any_value(a.k) AS k, greatest(0.05, least(0.8, any_value(a.w) + 0.1 * sum(sign(a.m - b.m) / (1 + exp(sign(a.m - b.m) * (a.w - b.w)))) / any_value(a.k))) AS v FROM w{i} a JOIN w{i} b ON a.ontology = b.ontology GROUP BY 1, 2),
+        w{i + 1} AS (SELECT ontology, size, m, k, v / sum(v) OVER (PARTITION BY ontology) AS w FROM u{i})"""
+    return out
+
+
+@query("m7_size_weights", _median_rounds(20) + " SELECT ontology, size, w AS weight FROM w20", "weight")
 def m7(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("ontology"), F.floor(F.col("l_quantity") / 15).cast("int").alias("size"), "l_discount")
     return m.weights_from_medians(li, "ontology", "size", "l_discount")

@@ -228,3 +228,47 @@ def c31(spark, sf_dir):
     z = steps(spark, sf_dir).withColumn("r", returns()).withColumns({"m": F.avg("r").over(f), "sd": F.stddev_samp("r").over(f)}).where("t >= 20")
     q = z.groupBy("symbol").agg(F.percentile("sd", F.lit(0.75)).alias("q"))
     return z.join(q, "symbol").select("symbol", "seq", F.signum("r").cast("int").alias("ret_trit"), s.ternary_sign((F.col("r") - F.col("m")) / F.col("sd"), 0.5).alias("z_trit"), F.when(F.col("sd") > F.col("q"), 1).otherwise(0).alias("stress_trit"))
+
+
+_PERM = "CASE WHEN p_bad >= 0.7 THEN -1 WHEN p_bad >= 0.4 THEN 0 ELSE 1 END"
+_EDGE = "CASE WHEN seq % 3 = 0 THEN -state ELSE state END"
+
+
+@query(
+    "c34_decision_kind",
+    f"""|d AS (SELECT *, {_PERM} AS perm, {_EDGE} AS edge FROM steps) SELECT symbol, seq, CASE perm WHEN 1 THEN 1.0 WHEN 0 THEN 0.5 ELSE greatest(0.0, least(1.0, 1 - p_bad)) END AS act,
+    CASE WHEN bad_flag OR perm = -1 THEN 'flat' WHEN seq % 17 = 0 THEN 'flat' WHEN perm = 0 THEN 'unknown' WHEN state = 0 OR edge = 0 OR state <> edge THEN 'unknown' WHEN action > 0 THEN 'long' WHEN action < 0 THEN 'short' ELSE 'unknown' END AS kind FROM d""",
+    "act",
+)
+def c34(spark, sf_dir):
+    df = steps(spark, sf_dir)
+    perm = s.permission(F.col("p_bad"))
+    kind = s.decision_kind(perm, F.col("state"), F.expr(_EDGE), F.col("action"), F.col("bad_flag"), F.col("seq") % 17 == 0)
+    return df.select("symbol", "seq", s.actionability(perm, F.col("p_bad")).alias("act"), kind.alias("kind"))
+
+
+@query("c23_phase_class", "SELECT symbol, seq, CASE WHEN ret <= 0 THEN 'false' WHEN NOT acceptable THEN 'boundary-unstable' ELSE 'boundary-stable' END AS phase FROM steps WHERE ret IS NOT NULL")
+def c23(spark, sf_dir):
+    return steps(spark, sf_dir).where("ret IS NOT NULL").select("symbol", "seq", s.phase_class(F.col("ret"), F.col("acceptable")).alias("phase"))
+
+
+_TRAITS = ("ell", "p_bad", "exposure")
+
+
+@query(
+    "c25_instrument_utilities",
+    """|z AS (SELECT symbol, seq, state, (ell - avg(ell) OVER ()) / stddev_pop(ell) OVER () AS a, (p_bad - avg(p_bad) OVER ()) / stddev_pop(p_bad) OVER () AS b, (exposure - avg(exposure) OVER ()) / stddev_pop(exposure) OVER () AS c FROM steps),
+    u AS (SELECT *, 0.5 * a + 0.4 * b + 0.3 * c + 0.2 * a AS s_option, 0.6 * a - 0.4 * c * state - 0.2 * a - 0.3 * b + 0.2 * a AS s_perp, 0.1 - 0.2 * c - 0.2 * b AS s_spot FROM z),
+    e AS (SELECT *, exp((s_option - greatest(s_option, s_perp, s_spot)) / 0.7) AS eo, exp((s_perp - greatest(s_option, s_perp, s_spot)) / 0.7) AS ep, exp((s_spot - greatest(s_option, s_perp, s_spot)) / 0.7) AS es FROM u)
+    SELECT symbol, seq, s_spot, s_perp, s_option, es / (es + ep + eo) AS p_spot, ep / (es + ep + eo) AS p_perp, eo / (es + ep + eo) AS p_option FROM e""",
+    "s_spot s_perp s_option p_spot p_perp p_option",
+)
+def c25(spark, sf_dir):
+    from tapeflow.operators.joins import z_scored
+
+    z = z_scored(steps(spark, sf_dir), list(_TRAITS))
+    a, b, c = (F.col(x) for x in _TRAITS)
+    found = s.utilities({"iv": a, "hazard": b, "funding_abs": c, "margin": a, "confidence": a, "carry": -c * F.col("state")})
+    names = ("spot", "perp", "option")
+    probabilities = s.softmax([found[n] for n in names], 0.7)
+    return z.select("symbol", "seq", *[found[n].alias(f"s_{n}") for n in names], *[p.alias(f"p_{n}") for n, p in zip(names, probabilities)])
