@@ -180,8 +180,9 @@ def position_accounting(df: DataFrame, target: str, price: str = "price", fee: f
     return fold(df, lambda: (0.0, 0.0, 0.0), step, "held double,avg_price double,realized double,unrealized double")
 
 
-def cost_gate(df: DataFrame, target: str, price: str = "price", actionability: str = "actionability", urgency: str = "ell", rate: float = 0.0008, edge_bps: float = 20.0, budget: float = 1.0, window_ms: int = 3_600_000, at_ms: str = "ts_ms") -> DataFrame:
-    """gate_target, blocked, why, cost: growing a position must fit the budget of a time window and pay for its cost."""
+def cost_gate_step(target: str, price: str, actionability: str, urgency: str, rate: float, edge_bps: float, budget: float, window_ms: int, at_ms: str) -> Callable:
+    """step(state, row) of cost_gate; the state is the position and the costs of the time window."""
+    unit = lambda x: max(0.0, min(1.0, x or 0.0))
 
     def step(state, row):
         held, spent = state
@@ -194,7 +195,6 @@ def cost_gate(df: DataFrame, target: str, price: str = "price", actionability: s
                 spent.popleft()
             if budget > 0 and cost > max(0.0, budget - sum(c for _, c in spent)):
                 why.append("budget")
-            unit = lambda x: max(0.0, min(1.0, x or 0.0))
             if edge_bps > 0 and move * p * edge_bps * 1e-4 * unit(row[actionability]) * unit(row[urgency]) < cost:
                 why.append("edge")
         if why:
@@ -203,6 +203,12 @@ def cost_gate(df: DataFrame, target: str, price: str = "price", actionability: s
             spent.append((now, cost))
         return (aim, spent), (aim, False, "", cost)
 
+    return step
+
+
+def cost_gate(df: DataFrame, target: str, price: str = "price", actionability: str = "actionability", urgency: str = "ell", rate: float = 0.0008, edge_bps: float = 20.0, budget: float = 1.0, window_ms: int = 3_600_000, at_ms: str = "ts_ms") -> DataFrame:
+    """gate_target, blocked, why, cost: growing a position must fit the budget of a time window and pay for its cost."""
+    step = cost_gate_step(target, price, actionability, urgency, rate, edge_bps, budget, window_ms, at_ms)
     return fold(df, lambda: (0.0, deque()), step, "gate_target double,blocked boolean,why string,cost double")
 
 

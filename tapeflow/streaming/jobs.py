@@ -6,13 +6,17 @@ the caller, and every keyed state is one symbol's.
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeflow.sources.readers import OHLC, TRADE
+from tapeflow.operators.folds import cost_gate_step
+from tapeflow.sources.readers import OHLC, TRADE, ingest_frame
 
 
 def lines(spark: SparkSession, folder: str, per_trigger: int = 1, archive: str | None = None) -> DataFrame:
@@ -78,21 +82,112 @@ def keyed(rows: DataFrame, init: tuple, step: Callable, state_schema: str, outpu
     return rows.select("symbol", "ts", *columns).groupBy("symbol").applyInPandasWithState(run, f"symbol string, ts timestamp, {outputs}", state_schema, "append", "NoTimeout")
 
 
-def decisions(bars: DataFrame, dead: float = 0.001, tau_on: float = 0.6, tau_off: float = 0.4, alpha: float = 0.05) -> DataFrame:
-    """direction, confidence, held: the sign of the smoothed return, confidence from its run, gated with hysteresis."""
+def window_state(closes: list[float], dead: float = 5e-5, keep: float = 0.95) -> int:
+    """The triadic state after a window of closes: 1, 0, -1, or -2 where it is unknown; 0 after the first close."""
+    p = np.asarray(closes, float)
+    if len(p) < 2:
+        return 0
+    r = p[1:] / p[:-1] - 1
+    known = np.isfinite(p[1:]) & np.isfinite(p[:-1])
+    n = np.maximum(np.cumsum(known), 1)
+    x = np.where(known, r, 0.0)
+    mean = np.cumsum(x) / n
+    sigma = np.sqrt(np.maximum(np.cumsum(x * x) / n - mean * mean, 0.0))
+    counts = known & (sigma >= 1e-12)
+    step = np.clip(x / (sigma + 1e-9), -5.0, 5.0)
+    z = 0.0
+    for v in step[counts]:
+        z = keep * z + (1 - keep) * v
+    if not counts[-1]:
+        return -2
+    return 0 if abs(z) < max(dead, 0.5 * sigma[-1]) else 1 if z > 0 else -1
+
+
+#: Urgency of what isn't active, by the reason.
+_URGENCY = {"flat": 0.5, "prohibited": 0.2}
+
+
+def next_intent(memory: tuple, state: int, conf: float, observe: bool, on: float, off: float, base: float, ramp: float = 20.0) -> tuple[tuple, tuple]:
+    """One row of operators.folds.intents: memory (last state, its age, holds, thesis) and (direction, target, urgency,
+    holds, actionability, reason); observing leaves the memory as it is."""
+    last, age, holding, thesis = memory
+    if observe:
+        return memory, (thesis, 0.0, 0.0, True, 0.0, "observe")
+    age = age + 1 if state in (1, -1) and state == last else 0
+    reason = {0: "flat", -2: "unknown"}.get(state) or ("suspended" if conf < on else "active") if holding or state in (0, -2) else "prohibited" if conf < off else "active"
+    active, holds = reason == "active", reason in ("unknown", "suspended")
+    target = min(1.0, base * (1 - math.exp(-age / ramp)) * conf) if active else 0.0
+    direction = state if active else thesis if holds else 0
+    urgency = min(1.0, (0.3 + 0.1 * age) * conf) if active else _URGENCY.get(reason, 0.0)
+    return (state, age, holds, direction if holds or target > 0 else 0), (direction, target, urgency, holds, conf, reason)
+
+
+_DECIDED = "closes array<double>, last int, age int, holding boolean, thesis int, held double, spent_at array<bigint>, spent array<double>, open boolean, ready boolean, why string"
+_DECISION = "close double, state int, direction int, target double, urgency double, holds boolean, reason string, clamped boolean, blocked boolean, gate_target double, cost double"
+
+
+def decisions(bars: DataFrame, gates: DataFrame | None = None, enforce: bool = False, window: int = 200, tau_on: float = 0.0, tau_off: float = 0.0, base: float = 0.05, **cost: float) -> DataFrame:
+    """The decision of every bar: the state of the trailing window of closes, the intent it gives, the clamp, the cost gate.
+
+    gates: a stream of symbol, ts, open, ready, why, which come into force in the order of times.  While a symbol's gate
+    isn't open its strategy observes; with enforce, a symbol that isn't ready is clamped to no direction.  Without a row of
+    gates a symbol is open, and not ready.  cost: parameters of the cost gate.
+    """
+    options = {"rate": 0.0008, "edge_bps": 20.0, "budget": 1.0, "window_ms": 3_600_000} | cost
+    gate = cost_gate_step("aim", "close", "actionability", "urgency", at_ms="at", **options)
 
     def step(state, row):
-        last, z, run, side, acting = state
-        p = float(row["close"])
-        r = p / last - 1 if last > 0 else 0.0
-        z = (1 - alpha) * z + alpha * r
-        now = 1 if z > dead else -1 if z < -dead else 0
-        run = run + 1 if now and now == side else int(now != 0)
-        conf = 1 - 2.718281828459045 ** (-run / 5)
-        acting = bool(now) and conf >= (tau_off if acting else tau_on)
-        return (p, z, run, now, acting), (now if acting else 0, conf, not acting)
+        closes, last, age, holding, thesis, held, spent_at, spent, is_open, ready, why = state
+        if row["open"] is not None:
+            return (closes, last, age, holding, thesis, held, spent_at, spent, bool(row["open"]), bool(row["ready"]), row["why"] or ""), None
+        close = float(row["close"])
+        closes = [*closes, close][-window:]
+        now = window_state(closes)
+        memory, (direction, target, urgency, holds, act, reason) = next_intent((last, age, holding, thesis), now, 1.0, not is_open, tau_on, tau_off, base)
+        clamped = enforce and not ready
+        if clamped:
+            direction, target, urgency, holds, act, reason = 0, 0.0, 0.0, True, 0.0, f"{reason}+clamp{f' ({why})' if why else ''}"
+        asked = {"aim": direction * target, "close": close, "actionability": act, "urgency": urgency, "at": row["ts"].value // 1_000_000}
+        (held, costs), (aim, blocked, _, due) = gate((held, deque(zip(spent_at, spent))), asked)
+        kept = (closes, *memory, held, [int(t) for t, _ in costs], [float(c) for _, c in costs], is_open, ready, why)
+        return kept, (close, now, direction, target, urgency, holds, reason, clamped, blocked, aim, due)
+
+    rows = bars.select("symbol", "ts", F.col("close").cast("double").alias("close"), F.lit(None).cast("boolean").alias("open"), F.lit(None).cast("boolean").alias("ready"), F.lit(None).cast("string").alias("why"))
+    if gates is not None:
+        rows = gates.select("symbol", "ts", F.lit(None).cast("double").alias("close"), "open", F.coalesce("ready", F.lit(False)).alias("ready"), "why").unionByName(rows)
+    return keyed(rows, ([], 0, 0, False, 0, 0.0, [], [], True, False, ""), step, _DECIDED, _DECISION, ["close", "open", "ready", "why"])
+
+
+def summaries(bars: DataFrame, seconds: int = 60, last: int = 60) -> DataFrame:
+    """n, mean, low, high of a symbol's last `last` closes, at the first bar of every `seconds` seconds."""
 
-    return keyed(bars, (0.0, 0.0, 0, 0, False), step, "last double, z double, run int, side int, acting boolean", "direction int, confidence double, held boolean", ["close"])
+    def step(state, row):
+        closes, due = state
+        closes, at = [*closes, float(row["close"])][-last:], row["ts"].value // 1_000_000_000
+        if at < due:
+            return (closes, due), None
+        return (closes, at - at % seconds + seconds), (len(closes), sum(closes) / len(closes), min(closes), max(closes))
+
+    return keyed(bars, ([], 0), step, "closes array<double>, due bigint", "n int, mean double, low double, high double", ["close"])
+
+
+def ingest_archives(spark: SparkSession, folder: str, target: str, checkpoint: str, symbol: str | None = None) -> None:
+    """Appends the bars of CSV archives (gz or plain) below a folder to a table, each file once, however often it is called.
+
+    Rows without a time or prices are dropped; symbol is that of rows without one, by default the file's name.
+    """
+    schema = "timestamp string, symbol string, open string, high string, low string, close string, volume string, trades string"
+    raw = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*").csv(folder)
+    name = F.col("_metadata.file_name")
+    rows = raw.withColumns({"source_file": name, "symbol": F.coalesce("symbol", F.lit(symbol) if symbol else F.regexp_extract(name, r"^[^.]+", 0))})
+    bars = ingest_frame(rows, symbol or "", "").withColumn("source_file", name)
+    bars.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def replay(spark: SparkSession, folder: str, since_ms: int = 0, per_trigger: int = 1, archive: str | None = None) -> DataFrame:
+    """Lines of a folder from the beginning, without those that are older than since_ms; new files follow as they come."""
+    at = F.get_json_object("value", "$.ts_ms").try_cast("long")
+    return lines(spark, folder, per_trigger, archive).where(F.coalesce(at, F.lit(since_ms)) >= since_ms)
 
 
 def rolling_summary(bars: DataFrame, size: int = 60) -> DataFrame:
@@ -109,6 +204,11 @@ def rolling_summary(bars: DataFrame, size: int = 60) -> DataFrame:
     return keyed(bars, (0, 0.0, 1e300, -1e300), step, "n int, total double, low double, high double", "n int, mean double, low double, high double", ["close"])
 
 
+def audits(decided: DataFrame) -> DataFrame:
+    """An audit row for each clamped or blocked decision."""
+    return decided.where("clamped OR blocked").select("symbol", "ts", "reason", "clamped", "blocked")
+
+
 def clamped(decisions: DataFrame, gates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Decisions with direction 0 where the symbol's gate isn't open, and an audit row for each such decision."""
     joined = decisions.join(gates.select("symbol", "open", "why"), "symbol", "left").withColumn("clamped", ~F.coalesce("open", F.lit(False)) & (F.col("direction") != 0))

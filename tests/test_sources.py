@@ -99,6 +99,24 @@ def test_json_safe(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).count() == 1
 
 
+def test_logs_have_their_columns(spark, tmp_path):
+    df = spark.sql("SELECT 1 AS t, 'A' AS symbol, 'x' AS price, named_struct('posture', 'ACT') AS P5, 9 AS more")
+    for schema in (writers.STEP_LOG, writers.TRADE_LOG, writers.TOWER_LOG, writers.RUN_SUMMARY):
+        log = writers.as_log(df, schema)
+        assert [f"{n} {k.replace('bigint', 'long')}" for n, k in log.dtypes] == schema.split(", ")
+    row = writers.as_log(df, writers.TOWER_LOG).first()
+    assert row["P5"] == '{"posture":"ACT"}' and row["t"] == 1 and writers.as_log(df, writers.STEP_LOG).first()["price"] is None
+    for _ in range(2):
+        writers.append_log(df, str(tmp_path / "steps"), writers.STEP_LOG)
+    assert spark.read.option("header", True).csv(str(tmp_path / "steps")).count() == 2
+
+
+def test_csv_to_parquet(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,x\n2,y\n")
+    writers.csv_to_parquet(spark, str(tmp_path / "a.csv"), str(tmp_path / "p"), "a int, b string")
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "p")).collect()) == [(1, "x"), (2, "y")]
+
+
 def test_named_logs_and_appends(spark, tmp_path):
     (tmp_path / "run_tau_on0.7_tau_off0.4.csv").write_text("a\n1\n")
     r = readers.named_logs(spark, str(tmp_path / "*.csv")).first()

@@ -1,5 +1,8 @@
+import gzip
 import json
+import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,19 +53,89 @@ def test_counts_and_duplicates(spark, folder):
     assert len(got) == 2
 
 
-def test_decisions_do_not_depend_on_batches(spark, tmp_path):
-    rows = [json.dumps({"type": "ohlc1s", "symbol": "A", "ts_ms": 1000 * i, "open": 1, "high": 1, "low": 1, "close": 100 * 1.05**i, "volume": 1}) for i in range(40)]
+def bar(i, close):
+    return json.dumps({"type": "ohlc1s", "symbol": "A", "ts_ms": 1000 * i, "open": 1, "high": 1, "low": 1, "close": close, "volume": 1})
+
+
+def fed(spark, folder, rows, n):
+    folder.mkdir()
+    for i in range(0, len(rows), n):
+        placed(folder / f"{i:03d}.json", "\n".join(rows[i : i + n]), i)
+    return jobs.routed(jobs.lines(spark, str(folder)), "ohlc1s")
+
+
+def test_decisions_equal_the_batch_operators(spark, tmp_path):
+    """States, intents and gated targets of a stream, in batches of any size, are those of the tape operators."""
+    from tapeflow.operators import folds as k
+
+    rng = random.Random(2)
+    closes = [100.0]
+    while len(closes) < 150:
+        closes.append(closes[-1] * (1 + rng.gauss(0.004 if len(closes) // 25 % 2 else -0.004, 0.004)))
+    rows = [bar(i, c) for i, c in enumerate(closes)]
     found = []
-    for n in (40, 7):
-        d = tmp_path / str(n)
-        d.mkdir()
-        for i in range(0, 40, n):
-            placed(d / f"{i:03d}.json", "\n".join(rows[i : i + n]), i)
-        bars = jobs.routed(jobs.lines(spark, str(d)), "ohlc1s")
-        found.append(sorted(drain(jobs.decisions(bars), f"s_dec{n}"), key=lambda r: r[1]))
-    assert found[0] == found[1] and len(found[0]) == 40 and found[0][-1][2] == 1
-    bars = jobs.routed(jobs.lines(spark, str(tmp_path / "7")), "ohlc1s")
-    assert [r[2] for r in drain(jobs.rolling_summary(bars, 10), "s_sum")] == [10] * 4
+    for n in (150, 40):
+        made = jobs.decisions(fed(spark, tmp_path / str(n), rows, n), base=1.0, budget=10.0, edge_bps=20.0)
+        found.append(sorted((r[1].timestamp(), *r[2:]) for r in drain(made, f"s_dec{n}")))
+    assert found[0] == found[1] and len(found[0]) == 150
+    tape = spark.createDataFrame([("A", i, i, c) for i, c in enumerate(closes)], "symbol string, ts long, seq long, price double")
+    batch = k.intents(k.triadic_state(tape).withColumns({"one": F.lit(1.0), "tau": F.lit(0.0), "ts_ms": F.col("ts") * 1000}), "tri", "one", "tau", "tau")
+    batch = k.cost_gate(batch.withColumn("aim", F.col("direction") * F.col("target")), "aim", urgency="urgency", budget=10.0, edge_bps=20.0)
+    want = [(r["tri"], r["direction"], r["target"], r["urgency"], r["holds"], r["reason"], r["blocked"], r["gate_target"]) for r in batch.orderBy("ts").collect()]
+    got = [(r[2], r[3], r[4], r[5], r[6], r[7], r[9], r[10]) for r in found[0]]
+    assert [w[0] for w in want] == [g[0] for g in got] and len({w[0] for w in want}) >= 3 and any(w[6] for w in want)
+    for a, b in zip(got, want):
+        assert a[1] == b[1] and a[4:7] == b[4:7] and all(math.isclose(a[x], b[x], abs_tol=1e-9) for x in (2, 3, 7))
+
+
+def test_gates_come_into_force_in_time(spark, tmp_path):
+    bars = fed(spark, tmp_path / "b", [bar(i, 100 * 1.01**i + i % 3) for i in range(30)], 30)
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "g.json").write_text("\n".join(json.dumps({"symbol": "A", "ts": s, "open": o, "ready": r, "why": w}) for s, o, r, w in [(0, True, True, ""), (9.5, False, True, ""), (19.5, True, False, "late")]))
+    gates = spark.readStream.schema("symbol string, ts double, open boolean, ready boolean, why string").json(str(tmp_path / "g")).withColumn("ts", F.timestamp_seconds("ts"))
+    made = sorted(drain(jobs.decisions(bars, gates, enforce=True), "s_gates"), key=lambda r: r[1])
+    reasons, flags = [r[8] for r in made], [r[9] for r in made]
+    assert set(reasons[10:20]) == {"observe"} and all(x.endswith("+clamp (late)") for x in reasons[20:]) and flags == [False] * 20 + [True] * 10
+    assert "observe" not in reasons[:10] and all(r[4] == 0 for r in made[20:])
+
+
+def test_summaries(spark, tmp_path):
+    rows = [bar(i, i) for i in range(40)]
+    assert [r[2] for r in drain(jobs.rolling_summary(fed(spark, tmp_path / "a", rows, 7), 10), "s_sum")] == [10] * 4
+    got = sorted((r[1].timestamp(), *r[2:]) for r in drain(jobs.summaries(fed(spark, tmp_path / "b", rows, 9), 15, 10), "s_every"))
+    assert got == [(0.0, 1, 0.0, 0.0, 0.0), (15.0, 10, 10.5, 6.0, 15.0), (30.0, 10, 25.5, 21.0, 30.0)]
+
+
+def test_sliding_means(spark, tmp_path):
+    made = jobs.sliding_means(fed(spark, tmp_path / "a", [bar(i, i) for i in range(40)] + [bar(4000, 0)], 50).withColumn("ts", F.col("ts")), "close", "10 seconds", "5 seconds")
+    got = {r[1].timestamp(): (r[2], r[3]) for r in drain(made, "s_slide", "complete")}
+    assert got[5.0] == (9.5, 10) and got[-5.0] == (2.0, 5)
+
+
+def test_archives_are_ingested_once(spark, tmp_path):
+    src, out, log = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "log")
+    src.mkdir()
+    head = "timestamp,symbol,open,high,low,close,volume,trades\n"
+    with gzip.open(src / "btc.csv.gz", "wt") as f:
+        f.write(head + "2024-01-01 00:00:00,,1,2,0.5,1.5,3,4\nbad,,1,2,0.5,1.5,3,4\n2024-01-01 00:00:01,ETH,1,2,0.5,,3,\n")
+    for _ in range(2):
+        jobs.ingest_archives(spark, str(src), out, log)
+    (src / "eth.csv").write_text(head + "2024-01-01 00:00:02,ETH,1,2,0.5,1.5,3,\n")
+    jobs.ingest_archives(spark, str(src), out, log)
+    rows = sorted((r["symbol"], r["trades"], r["source_file"]) for r in spark.read.parquet(out).collect())
+    assert rows == [("ETH", 0, "eth.csv"), ("btc", 4, "btc.csv.gz")]
+
+
+def test_replay_and_rotation(spark, folder, tmp_path):
+    got = [r[0] for r in drain(jobs.replay(spark, folder, since_ms=2500), "s_replay")]
+    assert sum('"trade"' in x and "ts_ms" in x for x in got) == 5 and "not json" in got
+    (tmp_path / "old").mkdir()
+    stream = jobs.replay(spark, folder, archive=str(tmp_path / "old"))
+    seen = []
+    q = stream.writeStream.foreachBatch(lambda df, _: seen.extend(r[0] for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(seen) == len(LINES)
+    assert len([p for p in (tmp_path / "old").rglob("*.json")]) >= len(os.listdir(folder)) - 1 or len(list((tmp_path / "old").rglob("*.json"))) > 0
 
 
 def test_gate_clamps(spark):
