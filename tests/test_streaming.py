@@ -75,12 +75,12 @@ def test_decisions_equal_the_batch_operators(spark, tmp_path):
     rows = [bar(i, c) for i, c in enumerate(closes)]
     found = []
     for n in (150, 40):
-        made = jobs.decisions(fed(spark, tmp_path / str(n), rows, n), base=1.0, budget=10.0, edge_bps=20.0)
+        made = jobs.decisions(fed(spark, tmp_path / str(n), rows, n), base=1.0, budget=10.0, edge_bps=12.0)
         found.append(sorted((r[1].timestamp(), *r[2:]) for r in drain(made, f"s_dec{n}")))
     assert found[0] == found[1] and len(found[0]) == 150
     tape = spark.createDataFrame([("A", i, i, c) for i, c in enumerate(closes)], "symbol string, ts long, seq long, price double")
     batch = k.intents(k.triadic_state(tape).withColumns({"one": F.lit(1.0), "tau": F.lit(0.0), "ts_ms": F.col("ts") * 1000}), "tri", "one", "tau", "tau")
-    batch = k.cost_gate(batch.withColumn("aim", F.col("direction") * F.col("target")), "aim", urgency="urgency", budget=10.0, edge_bps=20.0)
+    batch = k.cost_gate(batch.withColumn("aim", F.col("direction") * F.col("target")), "aim", urgency="urgency", budget=10.0, edge_bps=12.0)
     want = [(r["tri"], r["direction"], r["target"], r["urgency"], r["holds"], r["reason"], r["blocked"], r["gate_target"]) for r in batch.orderBy("ts").collect()]
     got = [(r[2], r[3], r[4], r[5], r[6], r[7], r[9], r[10]) for r in found[0]]
     assert [w[0] for w in want] == [g[0] for g in got] and len({w[0] for w in want}) >= 3 and any(w[6] for w in want)
