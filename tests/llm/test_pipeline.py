@@ -29,3 +29,23 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_stages_with_null_keys_repeated_rows_and_long_texts(spark):
+    """Every stage judges each row by its text: null keys and repeated rows as others, nulls in other columns as nothing."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    base = [tuple(r) for r in docs.orderBy("doc_id").limit(60).collect()]
+    odd = [(None, base[0][1], None, None, None), (None, None, "en", "x", 0), (None, "", None, "x", 0), base[1], base[1], (9_000_001, base[2][1] + " " + "filler words of no harm " * 40_000, "en", None, 1)]
+    made = spark.createDataFrame(base + odd, docs.schema)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, made, SF)
+        assert kept.columns == docs.columns
+        rows = [tuple(r) for r in kept.collect()]
+        assert not set(rows) - set(base + odd), name
+        same = lambda row: sum(r == row for r in rows)  # noqa: B023, E731
+        if name == "near_duplicates":
+            assert same(base[1]) <= 1 and same(odd[0]) == same(odd[1]) == same(odd[2]) == 1
+        else:
+            assert same(base[1]) in (0, 3)
+            assert (same(odd[0]) > 0) == (base[0] in rows), name
+    assert corpus_pipeline.encoding(spark, made, SF).count() == len(base + odd)
