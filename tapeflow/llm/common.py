@@ -69,6 +69,20 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLIC
             yield batch.slice(start)
 
 
+def portions(texts, most: int = 1_000_000) -> Iterator[list]:
+    """The texts of a pandas column in runs of at most `most` characters, as text_slices cuts batches."""
+    run, held = [], 0
+    for t in texts:
+        size = len(t) if t else 0
+        if run and held + size > most:
+            yield run
+            run, held = [], 0
+        run.append(t)
+        held += size
+    if run:
+        yield run
+
+
 def mapped(df: DataFrame, column: str, make: Callable, schema: str, most: int = SLICE_BYTES) -> DataFrame:
     """make(batch) -> dict of columns, run by Arrow over slices of df; rows stay where they are."""
     fields = pa.schema([(name, _ARROW[kind]) for name, kind in (x.split() for x in schema.split(","))])

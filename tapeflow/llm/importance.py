@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, stored, text_slices, worker_cache
+from .common import mapped, portions, stored, text_slices, worker_cache
 
 #: Labelled documents of each label that the target model and the limit are fitted to, those whose key hashes lowest.
 MOST_LABELLED = 8000
@@ -125,7 +125,7 @@ def weigh(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         return {"doc_id": batch.column("doc_id"), "n_grams": n, "log_weight": weight}
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return mapped(rows, "text", make, "doc_id long,n_grams long,log_weight double")
+    return mapped(rows, "text", make, "doc_id long,n_grams long,log_weight double", most=1_000_000)
 
 
 def is_candidate(model: Model):
@@ -190,8 +190,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, share: float = 1.0, seed: int
         import pandas as pd
 
         model, out = held.value, []
-        for i in range(0, len(texts), 500):
-            n, weight = model.weights(list(texts[i : i + 500]))
+        for some in portions(texts):
+            n, weight = model.weights(some)
             out += list(np.where((n > 0) & (weight >= model.limit * n), weight, np.nan))
         return pd.Series(out, dtype=float)
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, stored, text_slices, worker_cache
+from .common import mapped, portions, stored, text_slices, worker_cache
 
 #: Labelled documents that a model is fitted to, at most so many of each label (those whose key hashes lowest).
 MOST_LABELLED = 3000
@@ -348,7 +348,7 @@ def score_documents(docs: DataFrame, field: Field, key: str = "doc_id", text: st
         return {"doc_id": batch.column("doc_id"), "score": score, "n_toxic_words": n, "starts": starts, "ends": ends}
 
     rows = docs.selectExpr(f"`{key}` AS doc_id", f"`{text}` AS text")
-    found = mapped(rows, "text", make, "doc_id long,score double,n_toxic_words long,starts array<int>,ends array<int>")
+    found = mapped(rows, "text", make, "doc_id long,score double,n_toxic_words long,starts array<int>,ends array<int>", most=1_000_000)
     return found.withColumnRenamed("doc_id", key)
 
 
@@ -376,8 +376,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, key:
         import pandas as pd
 
         field, out = held.value, []
-        for i in range(0, len(texts), 500):
-            out += list(field.documents(field.summary(*field.tokens(list(texts[i : i + 500])))) < threshold)
+        for some in portions(texts):
+            out += list(field.documents(field.summary(*field.tokens(some))) < threshold)
         return pd.Series(out, dtype=bool)
 
     return docs.where(clean(F.col(text)))
