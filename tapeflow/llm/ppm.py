@@ -28,6 +28,8 @@ ORDER = 5
 MOST_NODES = 4_000_000
 #: Groups that runs are dealt to by the last two bytes of their contexts.
 GROUPS = 1024
+#: Rows of an ending from which on it may be dealt by a byte more.
+HOT_ROWS = 2000
 #: Words whose counts go to every task, the most frequent ones; all others are looked up by a join.
 HEAD_WORDS = 200_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -200,31 +202,55 @@ def lookup(trie: Trie, table: tuple, gram: np.ndarray) -> np.ndarray:
     return out
 
 
-def group_trie(pairs: tuple[np.ndarray, np.ndarray], gram: np.ndarray, n: np.ndarray) -> Trie:
-    """The trie of runs whose contexts end alike.
+Counts = tuple[np.ndarray, np.ndarray]
 
-    pairs: the counts of all runs of two bytes, for orders 0 and 1.  A longer context shares its last two bytes with all of
-    its own endings of two bytes or more, so the group's runs make up all that the orders above depend on.
+
+def group_trie(pairs: Counts, triples: Counts, gram: np.ndarray, n: np.ndarray, asked: np.ndarray) -> Trie:
+    """The trie of runs whose contexts end alike, for the runs asked for.
+
+    pairs: the counts of all runs of two bytes, for orders 0 and 1; triples: those of three bytes with a frequent ending, for
+    order 2, as runs of such an ending are dealt by three bytes.  A longer context shares these last bytes with all of its own
+    endings, so the group's runs make up all that the orders above depend on.
     """
-    levels = [_summed([(pairs[0] & np.uint64(0xFF), pairs[1])]), _summed([pairs])]
-    levels += [_summed([(gram & np.uint64((1 << 8 * (m + 1)) - 1), n)]) for m in range(2, ORDER + 1)]
+    low = np.uint64(0xFFFFFF)
+    frequent = np.unique(triples[0] >> np.uint64(8))
+    here = np.unique(np.concatenate([gram, asked]) >> np.uint64(8) & np.uint64(0xFFFF))
+    cold = ~np.isin(gram >> np.uint64(8) & np.uint64(0xFFFF), frequent)
+    near = np.isin(triples[0] >> np.uint64(8), here)
+    levels = [_summed([(pairs[0] & np.uint64(0xFF), pairs[1])]), _summed([pairs]), _summed([(gram[cold] & low, n[cold]), (triples[0][near], triples[1][near])])]
+    levels += [_summed([(gram & np.uint64((1 << 8 * (m + 1)) - 1), n)]) for m in range(3, ORDER + 1)]
     return Trie([g for g, _ in levels], [c for _, c in levels])
 
 
 def run_costs(longest: DataFrame, asked: DataFrame) -> DataFrame:
-    """gram, cost of every run of asked (distinct), by the model of longest (gram, n: all runs of the training texts)."""
-    found = longest.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
-    pairs = longest.sparkSession.sparkContext.broadcast((found.column("gram").to_numpy().astype(np.uint64), found.column("n").to_numpy()))
+    """gram, cost of every run of asked (distinct), by the model of longest (gram, n: all runs of the training texts).
+
+    Runs are dealt to GROUPS groups by the last two bytes of their contexts, and where these two hold more than half a
+    group's share of all rows (so for 2 * GROUPS endings at most, with up to 256 runs of three bytes each) by the last three.
+    """
+    spark = longest.sparkSession
+
+    def counted(df: DataFrame) -> Counts:
+        found = df.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+        return found.column("gram").to_numpy().astype(np.uint64), found.column("n").to_numpy()
+
+    every = longest.select("gram", "n").unionByName(asked.select("gram", F.lit(None).cast("long").alias("n")))
+    two = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
+    sizes = stored(every.groupBy(two.alias("two")).count(), "ppm-endings")
+    total = sizes.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    hot = [r["two"] for r in sizes.where(F.col("count") > max(HOT_ROWS, total // (2 * GROUPS))).collect()]
+    pairs = counted(longest.select(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram"), "n"))
+    triples = counted(longest.where(two.isin(hot)).select(F.col("gram").bitwiseAND(F.lit(0xFFFFFF)).alias("gram"), "n"))
+    held = spark.sparkContext.broadcast((pairs, triples))
     schema = pa.schema([("gram", pa.int64()), ("cost", pa.float64())])
 
     def make(group: pa.Table) -> pa.Table:
         gram, known = group.column("gram").to_numpy().view(np.uint64), group.column("n").is_valid().to_numpy()
-        trie = group_trie(pairs.value, gram[known], group.column("n").drop_null().to_numpy().astype(np.int64))
         own = gram[~known]
+        trie = group_trie(*held.value, gram[known], group.column("n").drop_null().to_numpy().astype(np.int64), own)
         return pa.table([own.view(np.int64), trie.cost(own)], schema=schema)
 
-    every = longest.select("gram", "n").unionByName(asked.select("gram", F.lit(None).cast("long").alias("n")))
-    ending = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
+    ending = F.when(two.isin(hot), F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFFFF)) + F.lit(1 << 24)).otherwise(two)
     return every.withColumn("ending", F.pmod(F.hash(ending), F.lit(GROUPS))).groupBy("ending").applyInArrow(make, "gram long, cost double")
 
 

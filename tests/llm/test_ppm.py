@@ -4,8 +4,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tapeflow.llm import ppm
 from tapeflow.llm.ppm import ORDER, Trie, fold, lookup, score_texts
 
 SCHEMA = "doc_id long, text string, score string"
@@ -90,9 +92,13 @@ def test_smaller_trie_and_no_training_rows(spark):
     assert score_texts(docs.limit(0), fold() != 2).count() == 0
 
 
-def test_rare_runs_score_as_with_the_whole_table(spark):
+@pytest.mark.parametrize("rows,groups", [(10**9, 1024), (0, 1024), (0, 8)])
+def test_rare_runs_score_as_with_the_whole_table(spark, monkeypatch, rows, groups):
+    """Whether no ending, the frequent ones or every ending are dealt by three bytes."""
+    monkeypatch.setattr(ppm, "HOT_ROWS", rows)
+    monkeypatch.setattr(ppm, "GROUPS", groups)
     docs = spark.createDataFrame(TEXTS, SCHEMA).repartition(3)
     model = Naive([lower(t).encode() for i, t, _ in TEXTS if zlib.crc32(str(i).encode()) % 7 != 2])
-    for most in (0, 1, 60):
+    for most in (0, 60):
         for r in score_texts(docs, fold() != 2, order_nodes=most).collect():
             assert math.isclose(r["score"], model.score(lower(dict(t[:2] for t in TEXTS)[r["doc_id"]]).encode()), rel_tol=1e-5, abs_tol=1e-4)
