@@ -19,6 +19,20 @@ from .windows import islands, tape
 _SPARK_TO_ARROW = {"int": "int32", "long": "int64", "bigint": "int64", "double": "float64", "string": "string", "boolean": "bool_"}
 
 
+class _Rows:
+    """A batch's rows, one after the other: row[name] turns a column into values when it is asked for first."""
+
+    __slots__ = ("at", "batch", "held")
+
+    def __init__(self, batch):
+        self.batch, self.held, self.at = batch, {}, 0
+
+    def __getitem__(self, name: str):
+        if name not in self.held:
+            self.held[name] = self.batch.column(name).to_pylist()
+        return self.held[name][self.at]
+
+
 def fold(df: DataFrame, init: Callable, step: Callable, outputs: str, keys: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
     """df with the columns that step yields for each row ("name type, ..."); init() is the state at a key's first row."""
     import pyarrow as pa
@@ -31,7 +45,8 @@ def fold(df: DataFrame, init: Callable, step: Callable, outputs: str, keys: tupl
         at = state = None
         for batch in batches:
             made: list[tuple] = []
-            for row in batch.to_pylist():
+            row = _Rows(batch)
+            for row.at in range(batch.num_rows):
                 key = tuple(row[k] for k in keys)
                 if key != at:
                     at, state = key, init()
