@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeflow.operators.windows import range_block
+
 
 def asof(left: DataFrame, right: DataFrame, on: str = "ts", by: tuple[str, ...] = ("symbol",), values: tuple[str, ...] = (), tolerance: Column | None = None, at: str = "right_ts", tie: str | None = None) -> DataFrame:
     """left with the values of the last right row at or before it (of equal times the greatest `tie`), null beyond tolerance.

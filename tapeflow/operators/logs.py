@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeflow.functions import binning
-from tapeflow.operators.windows import first_exit, islands, tape  # noqa: F401
+from tapeflow.operators.windows import first_exit, islands, range_block, tape  # noqa: F401
 
 
 def share(condition: Column) -> Column:
