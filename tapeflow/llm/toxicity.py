@@ -209,7 +209,7 @@ def feature_counts(sample: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", 2_000_000):
             counts: dict[bytes, list[int]] = {}
             for m, t in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for f in {f for w in set(words_of(t)) for f in features(w)}:
@@ -233,7 +233,7 @@ def training_runs(sample: DataFrame, toxic: set[bytes], used: dict[bytes, int],
 
         kind = pa.schema([("h", pa.int64()), ("size", pa.int32()), *[(c, pa.list_(pa.int32())) for c in ("places", "features", "hits")]])
         toxic, used = held.value
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", 2_000_000):
             out = []
             for m, t in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = words_of(t)
@@ -258,7 +258,7 @@ def summaries(sample: DataFrame, field: Field) -> tuple[np.ndarray, np.ndarray]:
         rows = field.summary(*field.tokens(batch.column("text").to_pylist()))
         return {"label": batch.column("label"), "text": [None] * len(rows), **{f"x{i}": rows[:, i] for i in range(rows.shape[1])}}
 
-    found = mapped(sample.select("label", "text"), "text", make, "label int,text string,x0 double,x1 double,x2 double,x3 double").drop("text").orderBy("label", "x1", "x2", "x3").collect()
+    found = mapped(sample.select("label", "text"), "text", make, "label int,text string,x0 double,x1 double,x2 double,x3 double", most=1_000_000).drop("text").orderBy("label", "x1", "x2", "x3").collect()
     return np.array([[r[f"x{i}"] for i in range(4)] for r in found]), np.array([r["label"] for r in found])
 
 
