@@ -25,7 +25,7 @@ from .common import mapped, stored, text_slices, worker_cache
 
 ORDER = 5
 #: Byte runs whose costs go to every task, the most frequent ones; all others are looked up by a join.
-MOST_NODES = 4_000_000
+MOST_NODES = 3_000_000
 #: Groups that runs are dealt to by the last two bytes of their contexts.
 GROUPS = 1024
 #: Words whose counts go to every task, the most frequent ones; all others are looked up by a join.
