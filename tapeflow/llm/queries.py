@@ -1,4 +1,4 @@
-"""Queries op1 to op10 and the pipeline: each applies one operator to its whole table."""
+"""Queries op1 to op13: each applies one operator to its whole table."""
 
 from __future__ import annotations
 
@@ -10,8 +10,10 @@ from .bpe_automaton import encode_digests
 from .common import table
 from .cover_tree import top_k
 from .decontamination import contamination
+from .digests import edited_digests
 from .html_text import extract_text
 from .importance import resample
+from .lexical import rank_documents
 from .near_dup import near_duplicates
 from .ppm import fold, score_texts
 from .token_counts import count_tokens
@@ -59,11 +61,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_bucket_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_html_text, op3_importance_resampling, op4_warc_archive, op5_ppm_scoring, op6_bpe_automaton,
-        op7_cover_tree_top_k, op8_near_duplicates, op9_token_counts, op10_toxicity,
+        op7_cover_tree_top_k, op8_near_duplicates, op9_token_counts, op10_toxicity, op11_bucket_digests, op12_lexical_search,
     )
 }
 
@@ -84,4 +94,34 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10
     """,
+    "op12_lexical_search": r"""
+        WITH d AS (
+            SELECT doc_id, list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+                   lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS words
+            FROM documents WHERE text IS NOT NULL
+        ), i AS (
+            SELECT item_id, unnest(list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+                   lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term
+            FROM benchmark WHERE text IS NOT NULL
+        ), q AS (SELECT item_id, term, count(*) AS repeats FROM i GROUP BY ALL
+        ), totals AS (
+            SELECT count(*) AS docs, CAST(sum(len(words)) AS BIGINT) AS words FROM d WHERE len(words) > 0
+        ), p AS (
+            SELECT doc_id, term, count(*) AS tf, any_value(n) AS n
+            FROM (SELECT row_number() OVER () AS number, doc_id, len(words) AS n, unnest(words) AS term FROM d)
+            GROUP BY number, doc_id, term
+        ), w AS (
+            SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+            FROM p, totals GROUP BY term, docs
+        ), s AS (
+            SELECT q.item_id, p.doc_id,
+                   CAST(sum(q.repeats * w.weight * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * p.n * t.docs) // t.words)))) AS BIGINT) AS score
+            FROM q JOIN p USING (term) JOIN w USING (term), totals t
+            GROUP BY q.item_id, p.doc_id
+        ), r AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS "rank", doc_id, score
+            FROM s WHERE score > 0
+        )
+        SELECT item_id, "rank", doc_id, score FROM r WHERE "rank" <= 20
+    """,
 }
