@@ -16,6 +16,7 @@ from .importance import resample
 from .lexical import rank_documents
 from .near_dup import near_duplicates
 from .ppm import fold, score_texts
+from .repair import damaged, repair
 from .token_counts import count_tokens
 from .toxicity import toxicity
 from .warc import archive_pages
@@ -69,11 +70,15 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_html_text, op3_importance_resampling, op4_warc_archive, op5_ppm_scoring, op6_bpe_automaton,
-        op7_cover_tree_top_k, op8_near_duplicates, op9_token_counts, op10_toxicity, op11_bucket_digests, op12_lexical_search,
+        op7_cover_tree_top_k, op8_near_duplicates, op9_token_counts, op10_toxicity, op11_bucket_digests, op12_lexical_search, op13_conversation_repair,
     )
 }
 
@@ -124,4 +129,61 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT item_id, "rank", doc_id, score FROM r WHERE "rank" <= 20
     """,
+    "op13_conversation_repair": r"""
+        WITH RECURSIVE crc_table AS (
+            SELECT list(list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS crc
+            FROM range(256) t(i)
+        ), k AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+            FROM conversations
+        ), h AS (
+            SELECT k.*, xor(list_reduce(list_transform(range(1, length(name) + 1), lambda i: CAST(ord(name[i]) AS BIGINT)),
+                   lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS kind
+            FROM k, crc_table
+        ), d AS (
+            SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM h, range(CASE kind WHEN 3 THEN 2 ELSE 1 END) WHERE kind <> 0
+        ), o AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS k,
+                   left(role, 1) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed
+            FROM d
+        ), r AS (
+            SELECT *, CASE WHEN trimmed = '' THEN 'blank'
+                           WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+                           WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                   lag(i) OVER (PARTITION BY conv_id ORDER BY k) || i NOT IN ('su', 'ua', 'au') AS illegal
+            FROM o
+        ), steps(letter, source, target, inserts) AS (
+            VALUES ('D', 0, 0, 0), ('D', 1, 1, 0), ('D', 2, 2, 0), ('D', 3, 3, 0), ('s', 0, 1, 0),
+                   ('u', 0, 2, 0), ('u', 1, 2, 0), ('u', 3, 2, 0), ('u', 2, 2, 1), ('a', 2, 3, 0), ('a', 0, 3, 1), ('a', 1, 3, 1), ('a', 3, 3, 1)
+        ), paths AS (
+            SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, 0 AS state, {'cost': CAST(0 AS BIGINT), 'audit': '', 'text': ''} AS best FROM conversations
+            UNION ALL
+            SELECT conv_id, k, target, min({'cost': cost, 'audit': audit, 'text': text || CASE WHEN line <> '' AND text <> '' THEN chr(10) ELSE '' END || line})
+            FROM (
+                SELECT p.conv_id, r.k, s.target,
+                       p.best.cost + 5 * s.inserts + CASE WHEN s.letter = 'D' THEN 2 ELSE CASE WHEN s.letter = r.i THEN 0 ELSE 1 END + CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END END AS cost,
+                       p.best.audit || repeat('I', s.inserts) || CASE WHEN s.letter = 'D' THEN 'D' WHEN s.letter = r.i THEN 'K' ELSE 'R' END AS audit,
+                       p.best.text || CASE WHEN s.inserts = 1 THEN CASE WHEN p.best.text <> '' THEN chr(10) ELSE '' END || CASE s.letter WHEN 'u' THEN 'assistant:' ELSE 'user:' END ELSE '' END AS text,
+                       CASE WHEN s.letter = 'D' THEN '' ELSE CASE WHEN s.letter = r.i THEN r.role WHEN s.letter = 'u' THEN 'user' ELSE 'assistant' END || ':' || r.text END AS line
+                FROM paths p JOIN r ON p.conv_id IS NOT DISTINCT FROM r.conv_id AND r.k = p.k + 1
+                JOIN steps s ON s.source = p.state AND (s.letter = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (s.letter <> 's' OR r.i = 's')))
+            ) GROUP BY conv_id, k, target
+        ), ends AS (
+            SELECT conv_id, k, min({'cost': best.cost + 5 * inserts, 'audit': best.audit || repeat('I', inserts), 'text': best.text || more}) AS best
+            FROM paths JOIN (VALUES (0, 0, ''), (3, 0, ''), (2, 1, chr(10) || 'assistant:'), (1, 2, chr(10) || 'user:' || chr(10) || 'assistant:')) e(state, inserts, more) USING (state)
+            GROUP BY conv_id, k
+        ), counts AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal
+            FROM r GROUP BY conv_id
+        )
+        SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, e.best.cost AS cost, e.best.audit AS audit,
+               sha256(e.best.text) AS repaired_sha256
+        FROM ends e LEFT JOIN counts c ON e.conv_id IS NOT DISTINCT FROM c.conv_id WHERE e.k = coalesce(c.n, 0)
+    """,
 }
