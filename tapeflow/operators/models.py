@@ -121,17 +121,103 @@ def labels_of(df: DataFrame, group: str, most: int = 1000) -> list:
     return sorted(found)
 
 
-def weights_by_group(df: DataFrame, group: str, features: list[str], label: str, groups: list[str], rate: float = 0.5, l2: float = 0.01, rounds: int = 10) -> DataFrame:
-    """group, feature, weight: logistic weights of each group by full gradients, one aggregate a round; clipped to [-5, 5].
+#: The columns of each weight vector, and the vectors that labels start from, before they are normalised.
+HEADS = {
+    "score": ["vol_ratio", "curvature", "drawdown", "burstiness", "acorr_1", "var_ratio"],
+    "instrument": ["p_spot", "p_perp", "p_option"],
+    "size": ["p_size_0", "p_size_0_5", "p_size_1", "p_size_2"],
+    "tenor": ["p_opt_e_1_3", "p_opt_e_4_7", "p_opt_e_8_21", "p_opt_e_22_60", "p_opt_e_61_180"],
+    "mny": ["p_opt_m_deep_itm", "p_opt_m_itm", "p_opt_m_atm", "p_opt_m_otm", "p_opt_m_deep_otm"],
+}
+STARTS = {
+    "T": {"instrument": [1.0, 1.0, 0.5], "tenor": [0.5, 0.8, 1.0, 0.6, 0.3], "mny": [0.3, 0.6, 1.0, 0.6, 0.2]},
+    "R": {"instrument": [0.8, 0.8, 1.0], "tenor": [0.3, 0.6, 1.0, 0.8, 0.4], "mny": [0.2, 0.5, 1.0, 0.7, 0.3]},
+    "H": {"instrument": [0.2, 0.2, 0.1], "tenor": [0.1] * 5, "mny": [0.1] * 5},
+}
+
+
+def start_weights(label) -> dict[str, np.ndarray]:
+    """The vectors of a label before training, each adding up to 1: level ones where STARTS names none."""
+    own = STARTS.get(label, {})
+    return {head: np.array(own.get(head, [1.0] * len(columns))) / sum(own.get(head, [1.0] * len(columns))) for head, columns in HEADS.items()}
+
+
+def log_shares(columns: list[str]) -> list[Column]:
+    """Logs of a row's shares, at least 1e-6 each; level ones where the row isn't finite or adds up to nothing."""
+    values = [F.col(c).cast("double") for c in columns]
+    total = sum(values[1:], values[0])
+    sound = F.coalesce(~F.isnan(total) & (F.abs(total) < float("inf")) & (total > 0), F.lit(False))
+    return [F.log(F.greatest(F.when(sound, v / total).otherwise(1 / len(columns)), F.lit(1e-6))) for v in values]
+
+
+def drawn_pairs(df: DataFrame, label: str, key: str, target: str, x: list[str], rounds: int, batch: int, seed: int) -> DataFrame:
+    """round, label, y, dx: pairs of rows of a label with different targets, and the differences of their columns.
+
+    For each round, `batch` rows of each label are drawn by a hash of their keys and paired in its order; labels with fewer
+    have no pairs.  All rounds are drawn in one pass: a row goes on where its hash is small enough that eight times the
+    batch is expected, so windows sort some thousands of rows, whatever the size of a label.
+    """
+    from pyspark.sql import Window
 
-    groups are the few labels to fit; the gradients of all of them come from one pass.
+    n = df.groupBy(label).agg(F.count("*").alias("_n")).where(F.col("_n") >= batch).select(F.col(label).alias("_label"), "_n")
+    rows = df.join(F.broadcast(n), F.col(label) == F.col("_label")).select(F.col(label).alias("label"), F.col(key).alias("key"), F.col(target).alias("t"), F.array(*x).alias("x"), "_n")
+    rows = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    h = F.conv(F.substring(F.md5(F.concat_ws("/", "key", F.lit(seed), "round")), 1, 12), 16, 10).cast("long")
+    few = rows.withColumn("h", h).where((F.col("_n") <= 8 * batch) | (F.col("h") < (2.0**48 * 8 * batch) / F.col("_n")))
+    w = Window.partitionBy("round", "label").orderBy("h", "key")
+    placed = few.withColumns({"k": F.row_number().over(w), "t2": F.lead("t").over(w), "x2": F.lead("x").over(w)})
+    pairs = placed.where((F.col("k") % 2 == 1) & (F.col("k") < batch) & (F.col("t") != F.col("t2")))
+    return pairs.select("round", "label", F.signum(F.col("t") - F.col("t2")).alias("y"), F.zip_with("x", "x2", lambda a, b: a - b).alias("dx"))
+
+
+def _entropy_slope(w: np.ndarray) -> np.ndarray:
+    """The gradient of sum p log p for p = w / sum(w)."""
+    total = w.sum()
+    if not np.isfinite(total) or total <= 0:
+        return np.zeros_like(w)
+    level = np.log(np.maximum(w / total, 1e-6)) + 1.0
+    return level / total - (w * level).sum() / (total * total)
+
+
+def label_weights(
+    df: DataFrame, label: str, key: str, target: str, confidence: str | None = None, least_confidence: float = 0.6, learn: tuple[str, ...] = ("score", "instrument"),
+    rounds: int = 8, batch: int = 256, rate: float = 5e-4, clip: float = 1.0, l2: float = 1e-3, entropy: float = 1e-3, seed: int = 7, labels: list | None = None,
+) -> DataFrame:
+    """label, vector, pos, weight: five vectors of each label, fitted to rank rows of the label by their target.
+
+    A row's score is the product of the vectors with its standardised features and the logs of its shares (HEADS).  A round
+    takes pairs of the label's rows (drawn_pairs) and one projected step: the mean gradient of log(1 + exp(-y margin)) over the
+    pairs, a batch's share of it, plus a pull to the start and an entropy term, each vector's step clipped to a norm; weights are
+    held to 0 .. 1 and add up to 1.  Vectors that aren't to learn stay as they start, as do labels of fewer rows than a batch.
+    Rows without a finite target or below the least confidence take no part.
+
+    One pass draws the pairs of all rounds; a round is one aggregate over them, of a row for each label.
     """
-    w = {g: [0.0] * len(features) for g in groups}
-    for _ in range(rounds):
-        z = F.lit(None).cast("double")
-        for g in groups:
-            z = F.when(F.col(group) == g, sum((F.col(c) * x for c, x in zip(features, w[g])), F.lit(0.0))).otherwise(z)
-        miss = F.col(label) - 1 / (1 + F.exp(-z))
-        for r in df.where(F.col(group).isin(groups)).groupBy(group).agg(*[F.avg(miss * F.col(c)).alias(c) for c in features]).collect():
-            w[r[group]] = [max(-5.0, min(5.0, x + rate * ((r[c] or 0.0) - l2 * x))) for x, c in zip(w[r[group]], features)]
-    return df.sparkSession.createDataFrame([(g, c, float(x)) for g in groups for c, x in zip(features, w[g])], "group string, feature string, weight double")
+    x = [c for columns in HEADS.values() for c in columns]
+    z = standardised(df, HEADS["score"])
+    shares = {c: v for head, columns in HEADS.items() if head != "score" for c, v in zip(columns, log_shares(columns))}
+    sound = F.col(target).isNotNull() & ~F.isnan(target) & F.col(label).isNotNull()
+    rows = z.where(sound & (F.coalesce(F.col(confidence) >= least_confidence, F.lit(False)) if confidence else F.lit(True)))
+    labels = labels_of(rows, label) if labels is None else labels
+    pairs = drawn_pairs(rows.withColumns(shares).where(F.col(label).isin(labels)), label, key, target, x, rounds, batch, seed).persist()
+    start = {g: start_weights(g) for g in labels}
+    weights = {g: dict(own) for g, own in start.items()}
+    kind = dict(df.dtypes)[label]
+    for r in range(rounds):
+        now = df.sparkSession.createDataFrame([(g, [float(v) for head in HEADS for v in weights[g][head]]) for g in labels], f"label {kind}, w array<double>")
+        margin = F.aggregate(F.zip_with("dx", "w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        slope = pairs.where(F.col("round") == r).join(F.broadcast(now), "label").withColumn("g", -F.col("y") / (1 + F.exp(F.col("y") * margin)))
+        for found in slope.groupBy("label").agg(F.array(*[F.avg(F.col("g") * F.get("dx", F.lit(i))) for i in range(len(x))]).alias("g")).collect():
+            own, first, at = weights[found["label"]], start[found["label"]], 0
+            for head, columns in HEADS.items():
+                g = np.array(found["g"][at : at + len(columns)]) / batch
+                at += len(columns)
+                if head not in learn:
+                    continue
+                g = g + 2 * l2 * (own[head] - first[head]) + entropy * _entropy_slope(own[head])
+                norm = np.linalg.norm(g)
+                step = np.clip(own[head] - rate * (g * (clip / norm) if norm > clip else g), 0.0, 1.0)
+                own[head] = step / step.sum() if step.sum() > 0 else step
+    pairs.unpersist()
+    out = [(g, head, i, float(v)) for g in labels for head in HEADS for i, v in enumerate(weights[g][head])]
+    return df.sparkSession.createDataFrame(out, f"label {kind}, vector string, pos int, weight double")

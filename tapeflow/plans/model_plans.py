@@ -96,6 +96,44 @@ def m7(spark, sf_dir):
     return m.weights_from_medians(li, "ontology", "size", "l_discount")
 
 
+#: Options of the query of M6; shares are made from row numbers, some of them unknown.
+_M6 = {"rounds": 3, "batch": 64, "rate": 0.5, "l2": 0.01, "entropy": 0.01}
+_SHARES = {c: f"CASE WHEN seq % 89 = {i} THEN NULL ELSE CAST((seq * {29 + 6 * i}) % 101 AS DOUBLE) END" for i, c in enumerate(x for head in list(m.HEADS)[1:] for x in m.HEADS[head])}
+_LABEL = "CASE seq % 3 WHEN 0 THEN 'T' WHEN 1 THEN 'R' ELSE 'H' END"
+
+
+def _rank_steps() -> str:
+    """The fit of M6 as SQL: rows, pairs of all rounds, and the queries of each round."""
+    share = lambda head: [f"ln(greatest(CASE WHEN {' + '.join(m.HEADS[head])} > 0 THEN {c} / ({' + '.join(m.HEADS[head])}) ELSE 1.0 / {len(m.HEADS[head])} END, 1e-6))" for c in m.HEADS[head]]
+    z = [f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in m.HEADS["score"]]
+    starts = ", ".join(f"('{g}', '{head}', {i}, {k}, {float(v)!r}::DOUBLE)" for g in "HRT" for k, (head, i, v) in enumerate(((h, j, v) for h, w in m.start_weights(g).items() for j, v in enumerate(w)), 1))
+    out = quotients(4, 8) + f""", s AS (SELECT symbol, seq, ell, {_LABEL} AS label, {', '.join(f'{v} AS {c}' for c, v in _SHARES.items())},
+        CASE WHEN price > 0 AND lead(price, 8) {_W} > 0 THEN greatest(-0.01, least(0.01, ln(lead(price, 8) {_W} / price))) END AS target FROM steps),
+    sc AS (SELECT symbol, seq, {', '.join(z)} FROM q),
+    x AS (SELECT label, seq AS key, target AS t, CAST([{', '.join(m.HEADS['score'] + [v for head in list(m.HEADS)[1:] for v in share(head)])}] AS DOUBLE[]) AS x FROM s JOIN sc USING (symbol, seq) WHERE target IS NOT NULL AND ell >= 0.3),
+    h AS (SELECT x.*, round, CAST('0x' || substr(md5(key || '/7/' || round), 1, 12) AS BIGINT) AS h FROM x, range({_M6['rounds']}) r(round)),
+    k AS (SELECT *, row_number() OVER w AS k, lead(t) OVER w AS t2, lead(x) OVER w AS x2 FROM h WINDOW w AS (PARTITION BY round, label ORDER BY h, key)),
+    dl AS (SELECT round, label, key, sign(t - t2) AS y, unnest(range(1, 24)) AS i, unnest(list_transform(range(1, 24), lambda j: x[j] - x2[j])) AS dx FROM k WHERE k % 2 = 1 AND k < {_M6['batch']} AND t <> t2),
+    w0 AS (SELECT *, w AS first FROM (VALUES {starts}) v(label, vector, pos, i, w))"""
+    for r in range(_M6["rounds"]):
+        out += f""", m{r} AS (SELECT label, key, sum(dx * w) AS m FROM dl JOIN w{r} USING (label, i) WHERE round = {r} GROUP BY 1, 2),
+        g{r} AS (SELECT label, i, avg(-y / (1 + exp(y * m)) * dx) / {_M6['batch']} AS g FROM dl JOIN m{r} USING (label, key) WHERE round = {r} GROUP BY 1, 2),
+        e{r} AS (SELECT *, ln(greatest(w / s, 1e-6)) + 1 AS level FROM (SELECT *, sum(w) OVER (PARTITION BY label, vector) AS s FROM w{r})),
+        u{r} AS (SELECT e.*, g + 2 * {_M6['l2']} * (w - first) + {_M6['entropy']} * (level / s - sum(w * level) OVER (PARTITION BY label, vector) / (s * s)) AS slope FROM e{r} e JOIN g{r} USING (label, i)),
+        v{r} AS (SELECT *, greatest(0, least(1, w - {_M6['rate']} * slope / greatest(1, sqrt(sum(slope * slope) OVER (PARTITION BY label, vector))))) AS v FROM u{r}),
+        w{r + 1} AS (SELECT label, vector, pos, i, v / sum(v) OVER (PARTITION BY label, vector) AS w, first FROM v{r})"""
+    return out + f" SELECT label, vector, CAST(pos AS INT) AS pos, w AS weight FROM w{_M6['rounds']}"
+
+
+@query("m6_weights_by_group", _rank_steps(), "weight")
+def m6(spark, sf_dir):
+    df = w.quotient_features(steps(spark, sf_dir).select("symbol", "ts", "seq", "ell", "price"), 4, 8)
+    ahead = F.lead("price", 8).over(w.tape())
+    df = df.withColumn("target", F.when((F.col("price") > 0) & (ahead > 0), F.greatest(F.lit(-0.01), F.least(F.lit(0.01), F.log(ahead / F.col("price"))))))
+    df = df.withColumns({c: F.expr(v) for c, v in _SHARES.items()} | {"label": F.expr(_LABEL)})
+    return m.label_weights(df, "label", "seq", "target", "ell", 0.3, tuple(m.HEADS), **_M6)
+
+
 @query("m8_principal_axes")
 def m8(spark, sf_dir):
     axes, share = m.principal_axes(steps(spark, sf_dir), ["ell", "p_bad", "exposure", "price"])

@@ -192,20 +192,3 @@ def h4(spark, sf_dir):
     from .fixtures import bars
 
     return contract_problems({"bars": bars(spark, sf_dir), "click": s.where("symbol = 'click'")}, {"bars": ["close", "vwap"], "click": ["ell"]}, 1, gates)
-
-
-def _rounds(n: int) -> str:
-    """n gradient steps, one query each."""
-    out = "|g0 AS (SELECT DISTINCT symbol, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM steps)"
-    for i in range(n):
-        out += f""", e{i} AS (SELECT s.symbol, avg(miss * ell) AS ga, avg(miss * p_bad) AS gb FROM (SELECT s.*, CAST(acceptable AS INT) - 1 / (1 + exp(-(ell * a + p_bad * b))) AS miss FROM steps s JOIN g{i} USING (symbol)) s GROUP BY 1),
-        g{i + 1} AS (SELECT symbol, greatest(-5.0, least(5.0, a + 0.5 * (ga - 0.01 * a))) AS a, greatest(-5.0, least(5.0, b + 0.5 * (gb - 0.01 * b))) AS b FROM g{i} JOIN e{i} USING (symbol))"""
-    return out
-
-
-@query("m6_weights_by_group", _rounds(10) + ' SELECT symbol AS "group", \'ell\' AS feature, a AS weight FROM g10 UNION ALL SELECT symbol, \'p_bad\', b FROM g10', "weight")
-def m6(spark, sf_dir):
-    from tapeflow.operators.models import labels_of, weights_by_group
-
-    df = steps(spark, sf_dir).withColumn("y", F.col("acceptable").cast("double"))
-    return weights_by_group(df, "symbol", ["ell", "p_bad"], "y", labels_of(df, "symbol"))

@@ -1,5 +1,6 @@
 """Queries that SQL cannot express, against plain numpy and loops."""
 
+import hashlib
 import math
 import random
 
@@ -117,3 +118,53 @@ def test_head_queries_name_every_class(spark):
     assert sorted(r["label"] for r in scored) == [0, 1, 2] and all(0 <= r["accuracy"] <= 1 for r in scored)
     weights = registry.QUERIES["m3_soft_label_head"](spark, SF)
     assert weights.select("cls", "feature").distinct().count() == weights.count() == weights.where(F.abs("weight") >= 0).count()
+
+
+def test_label_weights(spark):
+    """Three rounds equal plain numpy on the same pairs; few rows, unsure rows and vectors that don't learn change nothing."""
+    rng = np.random.default_rng(8)
+    columns = [c for own in m.HEADS.values() for c in own]
+    values = rng.random((260, len(columns)))
+    values[::9, 7] = np.nan
+    labels = ["T"] * 120 + ["H"] * 100 + ["R"] * 30 + [None] * 10
+    target = [None if i % 50 == 3 else float(t) for i, t in enumerate(rng.integers(-3, 4, 260) / 300)]
+    sure = [0.1 if i % 13 == 0 else 0.9 for i in range(260)]
+    schema = "label string, key long, target double, sure double, " + ", ".join(f"{c} double" for c in columns)
+    df = spark.createDataFrame([(g, i, t, s, *map(float, v)) for i, (g, t, s, v) in enumerate(zip(labels, target, sure, values))], schema)
+    learn = ("score", "size", "mny")
+    found = m.label_weights(df, "label", "key", "target", "sure", 0.5, learn, 3, 40, 0.5, 0.002, 0.01, 0.01)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r["pos"]):
+        got.setdefault((r["label"], r["vector"]), []).append(r["weight"])
+    x = values.copy()
+    x[:, :6] = (x[:, :6] - x[:, :6].mean(0)) / x[:, :6].std(0)
+    at = 6
+    for head in list(m.HEADS)[1:]:
+        own = x[:, at : at + len(m.HEADS[head])]
+        share = own / own.sum(1, keepdims=True)
+        share[np.isnan(share).any(1)] = 1 / own.shape[1]
+        x[:, at : at + own.shape[1]] = np.log(share)
+        at += own.shape[1]
+    order = lambda i, r: (int(hashlib.md5(f"{i}/7/{r}".encode()).hexdigest()[:12], 16), i)
+    for g in ("T", "H", "R"):
+        w = m.start_weights(g)
+        rows = [i for i in range(260) if labels[i] == g and target[i] is not None and sure[i] >= 0.5]
+        for r in range(3 if len(rows) >= 40 else 0):
+            own = sorted(rows, key=lambda i: order(i, r))[:40]
+            pairs = [(a, b) for a, b in zip(own[::2], own[1::2]) if target[a] != target[b]]
+            full = np.concatenate([w[h] for h in m.HEADS])
+            slope = np.mean([-y / (1 + math.exp(y * (d @ full))) * d for a, b in pairs for y, d in [(np.sign(target[a] - target[b]), x[a] - x[b])]], axis=0) / 40
+            at = 0
+            for h, names in m.HEADS.items():
+                own_slope, at = slope[at : at + len(names)], at + len(names)
+                if h in learn:
+                    p = w[h] / w[h].sum()
+                    level = np.log(p) + 1
+                    own_slope = own_slope + 0.02 * (w[h] - m.start_weights(g)[h]) + 0.01 * (level - (p * level).sum()) / w[h].sum()
+                    norm = np.linalg.norm(own_slope)
+                    step = np.clip(w[h] - 0.5 * own_slope * min(1, 0.002 / norm), 0, 1)
+                    w[h] = step / step.sum()
+        for h in m.HEADS:
+            assert np.allclose(got[g, h], w[h], atol=1e-12)
+            assert (h in learn and g != "R") == (not np.allclose(got[g, h], m.start_weights(g)[h], atol=1e-9))
+    assert len(got) == 15
