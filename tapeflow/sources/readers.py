@@ -60,12 +60,15 @@ def ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _corrupt_record string").json(path).where("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
-def ingest_frame(df: DataFrame, symbol: str, source_file: str) -> DataFrame:
-    """A frame of bars as rows of ohlc_1s: times coerced, rows without prices dropped, symbol and trades defaulted."""
+def ingest_frame(df: DataFrame, symbol: str, source_file: str, file_column: str | None = None) -> DataFrame:
+    """A frame of bars as rows of ohlc_1s: times coerced, rows without prices dropped, symbol and trades defaulted.
+
+    source_file is the same for all rows, or is read from file_column.
+    """
     col = lambda c, kind, default=None: F.coalesce(F.col(c).try_cast(kind), F.lit(default).cast(kind)) if c in df.columns else F.lit(default).cast(kind)
     out = df.select(
         F.try_to_timestamp(F.col("timestamp").cast("string")).alias("timestamp"), col("symbol", "string", symbol).alias("symbol"), *[col(c, "double").alias(c) for c in ("open", "high", "low", "close", "volume")],
-        col("trades", "bigint", 0).alias("trades"), F.lit(source_file).alias("source_file"),
+        col("trades", "bigint", 0).alias("trades"), (F.col(file_column) if file_column else F.lit(source_file)).alias("source_file"),
     )
     return out.dropna(subset=["timestamp", "open", "high", "low", "close", "volume"])
 
@@ -150,12 +153,41 @@ def weights(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("weights").alias("ont", "m")).select("ont", F.explode("m").alias("name", "a")).select("ont", "name", F.posexplode("a").alias("pos", "w"))
 
 
-def named_logs(spark: SparkSession, path: str) -> DataFrame:
-    """CSV logs with tau_on and tau_off read from their file names."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    name = F.col("_metadata.file_name")
-    tau = lambda k: F.regexp_extract(name, rf"{k}[_=]?(\d+(?:\.\d+)?)", 1).try_cast("double").alias(k)
-    return raw.select("*", tau("tau_on"), tau("tau_off"))
+#: Where a file's lines come from, for own_columns.
+LINE = ("value", "_file", "_start", "_name")
+
+
+def csv_lines(reader, path: str, glob: str = "*") -> DataFrame:
+    """The lines of files below a path with what own_columns needs; reader: spark.read or spark.readStream.
+
+    Compressed files are read by their ending; a file that turns out to be broken ends with its last sound line.
+    """
+    lines = reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).text(path)
+    return lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.col("_metadata.file_name").alias("_name"))
+
+
+def own_columns(lines: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows of CSV files that each have a header of their own: columns as strings, and _name of the file.
+
+    lines: as csv_lines gives them, but not a stream.  Columns are found by their names in each file's first line, in any
+    order and case; one that a file doesn't have is null there.  Without columns, those are all names that any file has.  Lines
+    that repeat their file's header and empty ones are no rows; a line of too few fields has nulls at its end.
+    """
+    at = F.monotonically_increasing_id()  # in the order of lines within a split
+    first = lines.where("_start = 0").select("_file", F.struct(at.alias("at"), "value").alias("line"))
+    heads = first.groupBy("_file").agg(F.min("line").alias("line")).select("_file", F.col("line.value").alias("_head"), F.transform(_cells(F.col("line.value")), F.lower).alias("_names"))
+    if columns is None:
+        columns = sorted(r[0] for r in heads.select(F.explode("_names")).distinct().collect() if r[0])
+    rows = lines.join(heads, "_file").where("value <> _head AND trim(value) <> ''").withColumn("_cells", _cells(F.col("value")))
+    place = lambda c: F.array_position("_names", c.lower()).cast("int")
+    return rows.select(*[F.when(place(c) > 0, F.nullif(F.get("_cells", place(c) - 1), F.lit(""))).alias(c) for c in columns], "_name")
+
+
+def named_logs(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """CSV logs, each with its own header, with tau_on and tau_off read from their file names; columns as in own_columns."""
+    raw = own_columns(csv_lines(spark.read, path), columns)
+    tau = lambda k: F.regexp_extract("_name", rf"{k}[_=]?(\d+(?:\.\d+)?)", 1).try_cast("double").alias(k)
+    return raw.select(*[c for c in raw.columns if c not in ("tau_on", "tau_off", "_name")], tau("tau_on"), tau("tau_off"))
 
 
 def not_ingested(df: DataFrame, log: DataFrame, key: str = "source_file") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeflow.operators.folds import cost_gate_step
-from tapeflow.sources.readers import OHLC, TRADE, ingest_frame
+from tapeflow.sources.readers import OHLC, TRADE, csv_lines, ingest_frame, own_columns
 
 
 def lines(spark: SparkSession, folder: str, per_trigger: int = 1, archive: str | None = None) -> DataFrame:
@@ -171,17 +171,24 @@ def summaries(bars: DataFrame, seconds: int = 60, last: int = 60) -> DataFrame:
     return keyed(bars, ([], 0), step, "closes array<double>, due bigint", "n int, mean double, low double, high double", ["close"])
 
 
+#: Columns of bar archives; a file without symbol or trades, or with columns in another order, is as good as any.
+ARCHIVE = ["timestamp", "symbol", "open", "high", "low", "close", "volume", "trades"]
+
+
 def ingest_archives(spark: SparkSession, folder: str, target: str, checkpoint: str, symbol: str | None = None) -> None:
     """Appends the bars of CSV archives (gz or plain) below a folder to a table, each file once, however often it is called.
 
-    Rows without a time or prices are dropped; symbol is that of rows without one, by default the file's name.
+    Every file is read by its own header.  Rows without a time or prices are dropped, so a file without such columns, or one
+    that can't be read, gives none and stops nothing; symbol is that of rows without one, by default the file's name.
     """
-    schema = "timestamp string, symbol string, open string, high string, low string, close string, volume string, trades string"
-    raw = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*").csv(folder)
-    name = F.col("_metadata.file_name")
-    rows = raw.withColumns({"source_file": name, "symbol": F.coalesce("symbol", F.lit(symbol) if symbol else F.regexp_extract(name, r"^[^.]+", 0))})
-    bars = ingest_frame(rows, symbol or "", "").withColumn("source_file", name)
-    bars.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    def write(lines: DataFrame, batch: int) -> None:
+        rows = own_columns(lines, ARCHIVE)
+        rows = rows.withColumn("symbol", F.coalesce("symbol", F.lit(symbol) if symbol else F.regexp_extract("_name", r"^[^.]+", 0)))
+        put(ingest_frame(rows, symbol or "", "", "_name"), target, batch)
+
+    lines = csv_lines(spark.readStream, folder, "*.csv*")
+    lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def replay(spark: SparkSession, folder: str, since_ms: int = 0, per_trigger: int = 1, archive: str | None = None) -> DataFrame:
@@ -216,17 +223,56 @@ def clamped(decisions: DataFrame, gates: DataFrame) -> tuple[DataFrame, DataFram
     return out.drop("open", "why"), joined.where("clamped").select("symbol", "ts", "direction", F.coalesce("why", F.lit("missing")).alias("why"))
 
 
-def idempotent_sink(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: appends rows whose keys aren't there yet, so a batch that comes again adds nothing."""
+def put(rows: DataFrame, path: str, batch: int, *parts: str, form: str = "parquet") -> None:
+    """Writes a batch of a query into folders of its own below path, over what an earlier try of the same batch has left.
+
+    Folders are named by the query (its id is kept in its checkpoint, so a query with a new one overwrites nothing) and batch.
+    """
+    query = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+    named = rows.withColumn("_batch", F.lit(f"{query[:8]}-{batch}"))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts, "_batch").format(form).save(path)
+
+
+def idempotent_sink(path: str, keys: list[str], part: str | None = None, form: str = "parquet") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: appends rows whose keys aren't in the table yet; a batch that comes again changes nothing.
+
+    Null parts of keys are equal to each other.  part: a SQL expression of key columns that deals the table into folders, a day
+    or an hour of their time for instance; by default one of 64 by a hash.  A batch reads the keys of the folders that its
+    own rows fall into and no others, so with folders by time its cost follows from what arrives, not from the table.
+    form: parquet or json (newline-delimited).
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        kind = F.expr(part) if part else F.pmod(F.xxhash64(*keys), F.lit(64))
+        rows = batch.dropDuplicates(keys).withColumn("_part", F.coalesce(F.regexp_replace(kind.cast("string"), "[^0-9A-Za-z]", "-"), F.lit("none"))).persist()
+        touched = sorted(r[0] for r in rows.select("_part").distinct().collect())
+        if touched:
+            schema = rows.drop("_part").schema.add("_part", "string").add("_batch", "string")
+            query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+            try:
+                seen = spark.read.schema(schema).option("basePath", path).format(form).load(f"{path}/_part={{{','.join(touched)}}}")
+            except Exception as e:  # none of these folders is there yet
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                seen = spark.createDataFrame([], schema)
+            seen = seen.where(F.col("_batch") != f"{query[:8]}-{number}").select("_part", *keys)  # an earlier try of this batch doesn't count
+            same = F.col("n._part") == F.col("s._part")
+            for k in keys:
+                same = same & F.col(f"n.{k}").eqNullSafe(F.col(f"s.{k}"))
+            put(rows.alias("n").join(seen.alias("s"), same, "left_anti"), path, number, "_part", form=form)
+        rows.unpersist()
+
+    return write
+
+
+def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: gives each batch to every sink; the batch is computed once."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        rows = batch.dropDuplicates(keys)
-        try:
-            seen = batch.sparkSession.read.parquet(path).select(*keys)
-            rows = rows.join(seen, keys, "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        rows.write.mode("append").parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        for sink in sinks:
+            sink(held, number)
+        held.unpersist()
 
     return write

@@ -117,6 +117,15 @@ def test_csv_to_parquet(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "p")).collect()) == [(1, "x"), (2, "y")]
 
 
+def test_logs_of_many_layouts(spark, tmp_path):
+    (tmp_path / "run_tau_on0.7_tau_off0.4.csv").write_text("a,b\n1,x\n2,\n")
+    (tmp_path / "run_tau_on=0.5_tau_off=0.25.csv").write_text('B,c,tau_on\n"y, z",3,9\n')
+    rows = readers.named_logs(spark, str(tmp_path))
+    assert rows.columns == ["a", "b", "c", "tau_on", "tau_off"]
+    assert sorted(map(tuple, rows.collect()), key=str) == [("1", "x", None, 0.7, 0.4), ("2", None, None, 0.7, 0.4), (None, "y, z", "3", 0.5, 0.25)]
+    assert readers.named_logs(spark, str(tmp_path), ["c"]).where("c IS NOT NULL").count() == 1
+
+
 def test_named_logs_and_appends(spark, tmp_path):
     (tmp_path / "run_tau_on0.7_tau_off0.4.csv").write_text("a\n1\n")
     r = readers.named_logs(spark, str(tmp_path / "*.csv")).first()

@@ -3,6 +3,7 @@ import json
 import math
 import os
 import random
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +127,32 @@ def test_archives_are_ingested_once(spark, tmp_path):
     assert rows == [("ETH", 0, "eth.csv"), ("btc", 4, "btc.csv.gz")]
 
 
+def test_archives_of_many_layouts(spark, tmp_path):
+    """Files without symbol or trades, in another order, broken or of another kind; none stops the stream."""
+    src, out, log = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "log")
+    (src / "deep").mkdir(parents=True)
+
+    def zipped(name, *rows):
+        with gzip.open(src / name, "wt") as f:
+            f.write("\n".join(rows) + "\n")
+
+    zipped("a.csv.gz", "timestamp,open,high,low,close,volume", "2024-01-01 00:00:00,1,2,0.5,1.5,3")
+    zipped("deep/b.csv.gz", "trades,close,low,high,open,volume,Symbol,timestamp", "7,1.5,0.5,2,1,3,ETH,2024-01-01 00:00:01", '8,1.5,0.5,2,1,3,"",2024-01-01 00:00:02')
+    zipped("c.csv.gz", "x,y", "1,2")
+    (src / "d.csv.gz").write_bytes(b"\x1f\x8bnot a gzip file")
+    (src / "e.csv").write_text("")
+    jobs.ingest_archives(spark, str(src), out, log, symbol="BTC")
+    zipped("f.csv.gz", "close,timestamp,open,high,low,volume,more", "1.5,2024-01-01T00:00:03,1,2,0.5,3,z", "close,timestamp,open,high,low,volume,more", "1.5,2024-01-01 00:00:04")
+    for _ in range(2):
+        jobs.ingest_archives(spark, str(src), out, log, symbol="BTC")
+    found = spark.read.parquet(out)
+    rows = sorted((r["timestamp"].second, r["symbol"], r["trades"], r["source_file"], r["open"], r["close"]) for r in found.collect())
+    assert rows == [(0, "BTC", 0, "a.csv.gz", 1.0, 1.5), (1, "ETH", 7, "b.csv.gz", 1.0, 1.5), (2, "BTC", 8, "b.csv.gz", 1.0, 1.5), (3, "BTC", 0, "f.csv.gz", 1.0, 1.5)]
+    (tmp_path / "log2").mkdir()
+    jobs.ingest_archives(spark, str(src / "deep"), out, str(tmp_path / "log2"))  # another query overwrites nothing
+    assert spark.read.parquet(out).count() == 6
+
+
 def test_replay_and_rotation(spark, folder, tmp_path):
     got = [r[0] for r in drain(jobs.replay(spark, folder, since_ms=2500), "s_replay")]
     assert sum('"trade"' in x and "ts_ms" in x for x in got) == 5 and "not json" in got
@@ -135,7 +162,9 @@ def test_replay_and_rotation(spark, folder, tmp_path):
     q = stream.writeStream.foreachBatch(lambda df, _: seen.extend(r[0] for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert len(seen) == len(LINES)
-    assert len([p for p in (tmp_path / "old").rglob("*.json")]) >= len(os.listdir(folder)) - 1 or len(list((tmp_path / "old").rglob("*.json"))) > 0
+    names = [f"{i:03d}.json" for i in range(0, len(LINES), 3)]
+    assert sorted(os.listdir(folder)) == names[-1:]  # the newest file is held back
+    assert sorted(p.name for p in (tmp_path / "old").rglob("*.json")) == names[:-1]
 
 
 def test_gate_clamps(spark):
@@ -146,9 +175,57 @@ def test_gate_clamps(spark):
     assert [r["symbol"] for r in audit.collect()] == ["B"]
 
 
-def test_sink_is_idempotent(spark, tmp_path):
-    df = spark.createDataFrame([("r", 1, "A"), ("r", 1, "A"), ("r", 2, "A")], "run_id string, ts long, symbol string")
-    write = jobs.idempotent_sink(str(tmp_path / "t"), ["run_id", "ts", "symbol"])
-    write(df, 0)
-    write(df, 0)
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+KEYED = "run_id string, ts timestamp, symbol string, x int"
+
+
+def keyed_rows(spark, *rows):
+    return spark.createDataFrame([(r, None if t is None else datetime.fromtimestamp(t, timezone.utc), s, x) for r, t, s, x in rows], KEYED)
+
+
+@pytest.mark.parametrize("form", ["parquet", "json"])
+@pytest.mark.parametrize("part", [None, "date_format(ts, 'yyyy-MM-dd HH')"])
+def test_sink_is_idempotent(spark, tmp_path, part, form):
+    path = str(tmp_path / "t")
+    write = jobs.idempotent_sink(path, ["run_id", "ts", "symbol"], part, form)
+    read = lambda: spark.read.format(form).load(path)
+    one = keyed_rows(spark, ("r", 1, "A", 1), ("r", 1, "A", 1), ("r", 2, "A", 2), (None, 3, "A", 3), ("r", None, None, 4))
+    for _ in range(2):  # the same batch again, null key parts among its rows
+        write(one, 0)
+    assert read().count() == 4
+    write(keyed_rows(spark, ("r", 2, "A", 9), (None, 3, "A", 9), ("r", None, None, 9), ("r", 9000, "B", 5)), 1)
+    write(keyed_rows(spark), 2)
+    assert sorted(r["x"] for r in read().collect()) == [1, 2, 3, 4, 5]
+
+
+def test_sink_reads_only_folders_of_the_batch(spark, tmp_path, monkeypatch):
+    """What a batch reads doesn't grow with the table: only the hours of its own rows."""
+    path = str(tmp_path / "t")
+    write = jobs.idempotent_sink(path, ["run_id", "ts", "symbol"], "date_format(ts, 'yyyy-MM-dd HH')")
+    for hour in range(6):
+        write(keyed_rows(spark, *[("r", 3600 * hour + i, "A", i) for i in range(5)]), hour)
+    loaded = []
+    reader = type(spark.read)
+    plain = reader.load
+    monkeypatch.setattr(reader, "load", lambda self, p=None, **k: loaded.append(p) or plain(self, p, **k))
+    write(keyed_rows(spark, ("r", 3600 * 2, "A", 7), ("r", 3600 * 2 + 9, "A", 8)), 6)
+    assert [p.rpartition("/")[2] for p in loaded] == ["_part={1970-01-01-02}"]
+    assert spark.read.parquet(path).count() == 31
+
+
+def test_a_replayed_batch_adds_nothing(spark, tmp_path):
+    """A query that dies after its sinks have written a batch, but before the batch is committed, writes it again."""
+    made = fed(spark, tmp_path / "in", [bar(i, i) for i in range(6)] + [bar(3, 3)], 3)
+    table, lines = str(tmp_path / "t"), str(tmp_path / "l")
+    both = jobs.fan_out(jobs.idempotent_sink(table, ["symbol", "ts"]), jobs.idempotent_sink(lines, ["symbol", "ts"], form="json"))
+    fails = [True]
+
+    def dies(batch, number):
+        both(batch, number)
+        if number == 1 and fails.pop():
+            raise RuntimeError("lost")
+
+    go = lambda f: made.writeStream.foreachBatch(f).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="lost"):
+        go(dies).awaitTermination()
+    go(both).awaitTermination()
+    assert spark.read.parquet(table).count() == spark.read.json(lines).count() == 6
