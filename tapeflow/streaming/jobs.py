@@ -11,9 +11,9 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tapeflow.operators.folds import cost_gate_step
 from tapeflow.sources.readers import OHLC, TRADE, csv_lines, ingest_frame, own_columns
@@ -64,22 +64,62 @@ def sessions(rows: DataFrame, gap: str, lateness: str = "0 seconds") -> DataFram
     return found.select("symbol", "start", "end", "n")
 
 
-def keyed(rows: DataFrame, init: tuple, step: Callable, state_schema: str, outputs: str, columns: list[str]) -> DataFrame:
-    """step(state, row) -> (state, outputs or None) over each symbol's rows in arrival order, by time within a batch."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state = held.get if held.exists else init
-        frame = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        out = []
-        for row in frame.to_dict("records"):
-            state, made = step(state, row)
+class InOrder(StatefulProcessor):
+    """Keeps a key's rows until the watermark has passed them, then takes them through a step in the order of their times."""
+
+    def __init__(self, first: tuple, step: Callable, state: str, columns: str, outputs: list[str]):
+        self.first, self.step, self.state, self.columns, self.outputs = first, step, state, columns, outputs
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.memory = handle.getValueState("memory", self.state)
+        self.waiting = handle.getListState("waiting", f"at long, {self.columns}")
+        self.names = ["at", *[x.split()[0] for x in self.columns.split(", ")]]
+
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer(-(-at // 1000))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new = [tuple(r[c] for c in self.names) for r in rows]
+        self.waiting.appendList(new)
+        self._wake(min(r[0] for r in new))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(map(tuple, self.waiting.get()), key=lambda r: (r[0], [(v is not None, v) for v in r[1:]]))
+        n = sum(r[0] <= now for r in rows)
+        if not n:
+            return
+        state = tuple(self.memory.get()) if self.memory.exists() else self.first
+        for r in rows[:n]:
+            state, made = self.step(state, dict(zip(self.names, r, strict=True)))
             if made is not None:
-                out.append((key[0], row["ts"], *made))
-        held.update(state)
-        names = ["symbol", "ts", *[x.split()[0] for x in outputs.split(",")]]
-        yield pd.DataFrame(out, columns=names)
+                yield Row(**dict(zip(["symbol", "at", *self.outputs], (key[0], r[0], *made), strict=True)))
+        self.memory.update(state)
+        self.waiting.clear()
+        if rows[n:]:
+            self.waiting.put(rows[n:])
+            self._wake(rows[n][0])
+
+    def close(self) -> None:
+        pass
+
 
-    return rows.select("symbol", "ts", *columns).groupBy("symbol").applyInPandasWithState(run, f"symbol string, ts timestamp, {outputs}", state_schema, "append", "NoTimeout")
+def keyed(rows: DataFrame, first: tuple, step: Callable, state: str, outputs: str, columns: str, lateness: str) -> DataFrame:
+    """step(state, row) -> (state, outputs or None) over each symbol's rows in the order of their times.
+
+    A row waits in the state until the watermark, `lateness` behind the latest time of all rows, has passed it, so results
+    don't depend on how rows come in batches; rows of one time go by their columns, nulls first; later ones than
+    that are dropped.  A row's time in microseconds is its column `at`.  The state needs the RocksDB store, which this sets.
+    """
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    names = [x.split()[0] for x in columns.split(", ")]
+    timed = rows.withWatermark("ts", lateness).select("symbol", "ts", F.unix_micros("ts").alias("at"), *names)
+    made = [x.split()[0] for x in outputs.split(", ")]
+    found = timed.groupBy("symbol").transformWithState(InOrder(first, step, state, columns, made), f"symbol string, at long, {outputs}", "Append", "EventTime")
+    return found.select("symbol", F.timestamp_micros("at").alias("ts"), *made)
 
 
 def window_state(closes: list[float], dead: float = 5e-5, keep: float = 0.95) -> int:
@@ -126,12 +166,13 @@ _DECIDED = "closes array<double>, last int, age int, holding boolean, thesis int
 _DECISION = "close double, state int, direction int, target double, urgency double, holds boolean, reason string, clamped boolean, blocked boolean, gate_target double, cost double"
 
 
-def decisions(bars: DataFrame, gates: DataFrame | None = None, enforce: bool = False, window: int = 200, tau_on: float = 0.0, tau_off: float = 0.0, base: float = 0.05, **cost: float) -> DataFrame:
+def decisions(bars: DataFrame, gates: DataFrame | None = None, enforce: bool = False, window: int = 200, tau_on: float = 0.0, tau_off: float = 0.0, base: float = 0.05, lateness: str = "10 seconds", **cost: float) -> DataFrame:
     """The decision of every bar: the state of the trailing window of closes, the intent it gives, the clamp, the cost gate.
 
-    gates: a stream of symbol, ts, open, ready, why, which come into force in the order of times.  While a symbol's gate
-    isn't open its strategy observes; with enforce, a symbol that isn't ready is clamped to no direction.  Without a row of
-    gates a symbol is open, and not ready.  cost: parameters of the cost gate.
+    gates: a stream of symbol, ts, open, ready, why, which come into force in the order of times, before a bar of the same
+    time, also when they come `lateness` after the bars.  While a symbol's gate isn't open its strategy observes; with
+    enforce, a symbol that isn't ready is clamped to no direction.  Without a row of gates a symbol is open, and not ready.
+    cost: parameters of the cost gate.
     """
     options = {"rate": 0.0008, "edge_bps": 20.0, "budget": 1.0, "window_ms": 3_600_000} | cost
     gate = cost_gate_step("aim", "close", "actionability", "urgency", at_ms="at", **options)
@@ -147,7 +188,7 @@ def decisions(bars: DataFrame, gates: DataFrame | None = None, enforce: bool = F
         clamped = enforce and not ready
         if clamped:
             direction, target, urgency, holds, act, reason = 0, 0.0, 0.0, True, 0.0, f"{reason}+clamp{f' ({why})' if why else ''}"
-        asked = {"aim": direction * target, "close": close, "actionability": act, "urgency": urgency, "at": row["ts"].value // 1_000_000}
+        asked = {"aim": direction * target, "close": close, "actionability": act, "urgency": urgency, "at": row["at"] // 1000}
         (held, costs), (aim, blocked, _, due) = gate((held, deque(zip(spent_at, spent))), asked)
         kept = (closes, *memory, held, [int(t) for t, _ in costs], [float(c) for _, c in costs], is_open, ready, why)
         return kept, (close, now, direction, target, urgency, holds, reason, clamped, blocked, aim, due)
@@ -155,20 +196,20 @@ def decisions(bars: DataFrame, gates: DataFrame | None = None, enforce: bool = F
     rows = bars.select("symbol", "ts", F.col("close").cast("double").alias("close"), F.lit(None).cast("boolean").alias("open"), F.lit(None).cast("boolean").alias("ready"), F.lit(None).cast("string").alias("why"))
     if gates is not None:
         rows = gates.select("symbol", "ts", F.lit(None).cast("double").alias("close"), "open", F.coalesce("ready", F.lit(False)).alias("ready"), "why").unionByName(rows)
-    return keyed(rows, ([], 0, 0, False, 0, 0.0, [], [], True, False, ""), step, _DECIDED, _DECISION, ["close", "open", "ready", "why"])
+    return keyed(rows, ([], 0, 0, False, 0, 0.0, [], [], True, False, ""), step, _DECIDED, _DECISION, "close double, open boolean, ready boolean, why string", lateness)
 
 
-def summaries(bars: DataFrame, seconds: int = 60, last: int = 60) -> DataFrame:
+def summaries(bars: DataFrame, seconds: int = 60, last: int = 60, lateness: str = "10 seconds") -> DataFrame:
     """n, mean, low, high of a symbol's last `last` closes, at the first bar of every `seconds` seconds."""
 
     def step(state, row):
         closes, due = state
-        closes, at = [*closes, float(row["close"])][-last:], row["ts"].value // 1_000_000_000
+        closes, at = [*closes, float(row["close"])][-last:], row["at"] // 1_000_000
         if at < due:
             return (closes, due), None
         return (closes, at - at % seconds + seconds), (len(closes), sum(closes) / len(closes), min(closes), max(closes))
 
-    return keyed(bars, ([], 0), step, "closes array<double>, due bigint", "n int, mean double, low double, high double", ["close"])
+    return keyed(bars, ([], 0), step, "closes array<double>, due bigint", "n int, mean double, low double, high double", "close double", lateness)
 
 
 #: Columns of bar archives; a file without symbol or trades, or with columns in another order, is as good as any.
@@ -197,7 +238,7 @@ def replay(spark: SparkSession, folder: str, since_ms: int = 0, per_trigger: int
     return lines(spark, folder, per_trigger, archive).where(F.coalesce(at, F.lit(since_ms)) >= since_ms)
 
 
-def rolling_summary(bars: DataFrame, size: int = 60) -> DataFrame:
+def rolling_summary(bars: DataFrame, size: int = 60, lateness: str = "10 seconds") -> DataFrame:
     """n, mean, low, high of the closes of every `size` bars of a symbol."""
 
     def step(state, row):
@@ -208,7 +249,7 @@ def rolling_summary(bars: DataFrame, size: int = 60) -> DataFrame:
             return (0, 0.0, 1e300, -1e300), (n, total / n, low, high)
         return (n, total, low, high), None
 
-    return keyed(bars, (0, 0.0, 1e300, -1e300), step, "n int, total double, low double, high double", "n int, mean double, low double, high double", ["close"])
+    return keyed(bars, (0, 0.0, 1e300, -1e300), step, "n int, total double, low double, high double", "n int, mean double, low double, high double", "close double", lateness)
 
 
 def audits(decided: DataFrame) -> DataFrame:

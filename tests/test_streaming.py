@@ -54,8 +54,12 @@ def test_counts_and_duplicates(spark, folder):
     assert len(got) == 2
 
 
+#: The second of the first bar: a watermark begins at 0, and what isn't after it is late.
+BASE = 900
+
+
 def bar(i, close):
-    return json.dumps({"type": "ohlc1s", "symbol": "A", "ts_ms": 1000 * i, "open": 1, "high": 1, "low": 1, "close": close, "volume": 1})
+    return json.dumps({"type": "ohlc1s", "symbol": "A", "ts_ms": 1000 * (BASE + i), "open": 1, "high": 1, "low": 1, "close": close, "volume": 1})
 
 
 def fed(spark, folder, rows, n):
@@ -65,8 +69,16 @@ def fed(spark, folder, rows, n):
     return jobs.routed(jobs.lines(spark, str(folder)), "ohlc1s")
 
 
+#: A bar far ahead of all others, which lets the watermark pass them; it isn't passed itself.
+END = 10_000_000
+
+
+def ended(rows):
+    return [*rows, bar(END, 1.0)]
+
+
 def test_decisions_equal_the_batch_operators(spark, tmp_path):
-    """States, intents and gated targets of a stream, in batches of any size, are those of the tape operators."""
+    """States, intents and gated targets of a stream, in batches of any size and order, are those of the tape operators."""
     from tapeflow.operators import folds as k
 
     rng = random.Random(2)
@@ -74,12 +86,13 @@ def test_decisions_equal_the_batch_operators(spark, tmp_path):
     while len(closes) < 150:
         closes.append(closes[-1] * (1 + rng.gauss(0.004 if len(closes) // 25 % 2 else -0.004, 0.004)))
     rows = [bar(i, c) for i, c in enumerate(closes)]
+    mixed = [r for i in range(0, 150, 10) for r in rng.sample(rows[i : i + 10], 10)]
     found = []
-    for n in (150, 40):
-        made = jobs.decisions(fed(spark, tmp_path / str(n), rows, n), base=1.0, budget=10.0, edge_bps=12.0)
+    for n, given in ((151, rows), (40, rows), (7, mixed)):
+        made = jobs.decisions(fed(spark, tmp_path / str(n), ended(given), n), base=1.0, budget=10.0, edge_bps=12.0, lateness="30 seconds")
         found.append(sorted((r[1].timestamp(), *r[2:]) for r in drain(made, f"s_dec{n}")))
-    assert found[0] == found[1] and len(found[0]) == 150
-    tape = spark.createDataFrame([("A", i, i, c) for i, c in enumerate(closes)], "symbol string, ts long, seq long, price double")
+    assert found[0] == found[1] == found[2] and len(found[0]) == 150
+    tape = spark.createDataFrame([("A", BASE + i, i, c) for i, c in enumerate(closes)], "symbol string, ts long, seq long, price double")
     batch = k.intents(k.triadic_state(tape).withColumns({"one": F.lit(1.0), "tau": F.lit(0.0), "ts_ms": F.col("ts") * 1000}), "tri", "one", "tau", "tau")
     batch = k.cost_gate(batch.withColumn("aim", F.col("direction") * F.col("target")), "aim", urgency="urgency", budget=10.0, edge_bps=12.0)
     want = [(r["tri"], r["direction"], r["target"], r["urgency"], r["holds"], r["reason"], r["blocked"], r["gate_target"]) for r in batch.orderBy("ts").collect()]
@@ -90,27 +103,29 @@ def test_decisions_equal_the_batch_operators(spark, tmp_path):
 
 
 def test_gates_come_into_force_in_time(spark, tmp_path):
-    bars = fed(spark, tmp_path / "b", [bar(i, 100 * 1.01**i + i % 3) for i in range(30)], 30)
+    """Gates that come long after their bars count from their own times on."""
+    bars = fed(spark, tmp_path / "b", ended([bar(i, 100 * 1.01**i + i % 3) for i in range(30)]), 4)
     (tmp_path / "g").mkdir()
-    (tmp_path / "g" / "g.json").write_text("\n".join(json.dumps({"symbol": "A", "ts": s, "open": o, "ready": r, "why": w}) for s, o, r, w in [(0, True, True, ""), (9.5, False, True, ""), (19.5, True, False, "late")]))
-    gates = spark.readStream.schema("symbol string, ts double, open boolean, ready boolean, why string").json(str(tmp_path / "g")).withColumn("ts", F.timestamp_seconds("ts"))
-    made = sorted(drain(jobs.decisions(bars, gates, enforce=True), "s_gates"), key=lambda r: r[1])
+    for i, (s, o, r, w) in enumerate([(0, True, True, ""), (9.5, False, True, ""), (19.5, True, False, "late")]):
+        placed(tmp_path / "g" / f"{i}.json", json.dumps({"symbol": "A", "ts": BASE + s, "open": o, "ready": r, "why": w}), i)
+    gates = spark.readStream.schema("symbol string, ts double, open boolean, ready boolean, why string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "g")).withColumn("ts", F.timestamp_seconds("ts"))
+    made = sorted(drain(jobs.decisions(bars, gates, enforce=True, lateness="1 hour"), "s_gates"), key=lambda r: r[1])
     reasons, flags = [r[8] for r in made], [r[9] for r in made]
     assert set(reasons[10:20]) == {"observe"} and all(x.endswith("+clamp (late)") for x in reasons[20:]) and flags == [False] * 20 + [True] * 10
     assert "observe" not in reasons[:10] and all(r[4] == 0 for r in made[20:])
 
 
 def test_summaries(spark, tmp_path):
-    rows = [bar(i, i) for i in range(40)]
+    rows = ended([bar(i, i) for i in range(40)])
     assert [r[2] for r in drain(jobs.rolling_summary(fed(spark, tmp_path / "a", rows, 7), 10), "s_sum")] == [10] * 4
     got = sorted((r[1].timestamp(), *r[2:]) for r in drain(jobs.summaries(fed(spark, tmp_path / "b", rows, 9), 15, 10), "s_every"))
-    assert got == [(0.0, 1, 0.0, 0.0, 0.0), (15.0, 10, 10.5, 6.0, 15.0), (30.0, 10, 25.5, 21.0, 30.0)]
+    assert got == [(BASE + 0.0, 1, 0.0, 0.0, 0.0), (BASE + 15.0, 10, 10.5, 6.0, 15.0), (BASE + 30.0, 10, 25.5, 21.0, 30.0)]
 
 
 def test_sliding_means(spark, tmp_path):
     made = jobs.sliding_means(fed(spark, tmp_path / "a", [bar(i, i) for i in range(40)] + [bar(4000, 0)], 50).withColumn("ts", F.col("ts")), "close", "10 seconds", "5 seconds")
     got = {r[1].timestamp(): (r[2], r[3]) for r in drain(made, "s_slide", "complete")}
-    assert got[5.0] == (9.5, 10) and got[-5.0] == (2.0, 5)
+    assert got[BASE + 5.0] == (9.5, 10) and got[BASE - 5.0] == (2.0, 5)
 
 
 def test_archives_are_ingested_once(spark, tmp_path):
