@@ -9,10 +9,12 @@ from __future__ import annotations
 import math
 from collections import deque
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import numpy as np
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tapeflow.operators.folds import cost_gate_step
@@ -35,11 +37,76 @@ def routed(raw: DataFrame, kind: str) -> DataFrame:
     return row.where(f"symbol IS NOT NULL AND ts_ms IS NOT NULL AND {need} IS NOT NULL").withColumn("ts", F.timestamp_millis("ts_ms"))
 
 
+def kind_of(value: str = "value") -> Column:
+    """A line's kind: trade, ohlc1s, other, invalid."""
+    kind = F.get_json_object(value, "$.type")
+    valid = F.from_json(value, "type string").isNotNull() & kind.isNotNull()
+    return F.when(~valid, "invalid").when(kind.isin("trade", "ohlc1s"), kind).otherwise("other")
+
+
 def counts(raw: DataFrame) -> DataFrame:
-    """Lines by kind: trade, ohlc1s, other, invalid."""
-    kind = F.get_json_object("value", "$.type")
-    valid = F.from_json("value", "type string").isNotNull() & kind.isNotNull()
-    return raw.select(F.when(~valid, "invalid").when(kind.isin("trade", "ohlc1s"), kind).otherwise("other").alias("kind")).groupBy("kind").count()
+    """Lines by kind."""
+    return raw.select(kind_of().alias("kind")).groupBy("kind").count()
+
+
+def observed_lines(raw: DataFrame) -> DataFrame:
+    """raw, whose lines of each kind are counted as they pass (Metrics)."""
+    kind = kind_of()
+    at = F.get_json_object("value", "$.ts_ms").try_cast("long")
+    return raw.observe(
+        "lines", F.count(F.lit(1)).alias("lines"), F.count_if(kind == "invalid").alias("invalid_lines"), F.count_if(kind == "trade").alias("trades"),
+        F.count_if(kind == "ohlc1s").alias("ohlc"), F.max(F.when(kind == "ohlc1s", at)).alias("last_bar_ts_ms"),
+    )
+
+
+def observed_decisions(decided: DataFrame) -> DataFrame:
+    """Rows of decisions, counted as they pass (Metrics)."""
+    at = F.unix_millis("ts")
+    return decided.observe(
+        "decisions", F.count(F.lit(1)).alias("decisions"), F.count_if("blocked").alias("decisions_blocked"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost_estimate"),
+        F.count_if("clamped").alias("clamps"), F.max(F.when(F.col("direction") != 0, at)).alias("last_action_ts_ms"), F.max(at).alias("last_state_ts_ms"),
+    )
+
+
+class Metrics(StreamingQueryListener):
+    """What the queries of a session have counted, over all batches; add it with spark.streams.addListener.
+
+    Counts add up and times are the latest.  lag_ms: from the latest bar to the start of the batch that saw it; pending_rows: rows
+    and keys that the state holds; last_batch_ts_ms: when the last batch with data began; connections are queries that run.
+    """
+
+    def __init__(self):
+        self.totals = dict.fromkeys(("connections", "lines", "invalid_lines", "trades", "ohlc", "decisions", "decisions_blocked", "cost_estimate", "clamps"), 0)
+        self.latest = dict.fromkeys(("last_bar_ts_ms", "last_action_ts_ms", "last_state_ts_ms", "last_batch_ts_ms", "lag_ms"))
+        self.pending: dict = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.totals["connections"] += 1
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        began = int(datetime.fromisoformat(p.timestamp.replace("Z", "+00:00")).timestamp() * 1000)
+        self.pending[p.runId] = sum(s.numRowsTotal for s in p.stateOperators)
+        if p.numInputRows:
+            self.latest["last_batch_ts_ms"] = began
+        for row in p.observedMetrics.values():
+            for name, value in row.asDict().items():
+                if name in self.totals:
+                    self.totals[name] += value or 0
+                elif name in self.latest and value is not None:
+                    self.latest[name] = max(value, self.latest[name] or value)
+                    if name == "last_bar_ts_ms":
+                        self.latest["lag_ms"] = began - value
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.totals["connections"] -= 1
+        self.pending.pop(event.runId, None)
+
+    def snapshot(self) -> dict:
+        return {**self.totals, **self.latest, "pending_rows": sum(self.pending.values())}
 
 
 def deduplicated(trades: DataFrame, keys: list[str], lateness: str = "10 minutes") -> DataFrame:

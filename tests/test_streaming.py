@@ -3,6 +3,7 @@ import json
 import math
 import os
 import random
+import time
 from datetime import datetime, timezone
 
 import pytest
@@ -115,6 +116,29 @@ def test_gates_come_into_force_in_time(spark, tmp_path):
     assert "observe" not in reasons[:10] and all(r[4] == 0 for r in made[20:])
 
 
+def test_metrics(spark, tmp_path):
+    rows = ended([bar(i, 100.0 + i % 2) for i in range(20)]) + ["junk", '{"type":"x"}', trade("A", 5, 1.0)]
+    (tmp_path / "in").mkdir()
+    for i in range(0, len(rows), 8):
+        placed(tmp_path / "in" / f"{i:03d}.json", "\n".join(rows[i : i + 8]), i)
+    metrics = jobs.Metrics()
+    spark.streams.addListener(metrics)
+    try:
+        raw = jobs.observed_lines(jobs.lines(spark, str(tmp_path / "in")))
+        made = drain(jobs.observed_decisions(jobs.decisions(jobs.routed(raw, "ohlc1s"), enforce=True)), "s_metrics")
+        for _ in range(100):
+            found = metrics.snapshot()
+            if found["connections"] == 0 and found["decisions"]:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(metrics)
+    assert len(made) == 20
+    assert {k: found[k] for k in ("lines", "invalid_lines", "trades", "ohlc", "decisions", "decisions_blocked", "clamps")} == {"lines": 24, "invalid_lines": 1, "trades": 1, "ohlc": 21, "decisions": 20, "decisions_blocked": 0, "clamps": 20}
+    assert found["last_bar_ts_ms"] == 1000 * (BASE + END) and found["last_state_ts_ms"] == 1000 * (BASE + 19) and found["last_action_ts_ms"] is None
+    assert found["lag_ms"] == found["last_batch_ts_ms"] - found["last_bar_ts_ms"] or found["lag_ms"] > 0
+
+
 def test_summaries(spark, tmp_path):
     rows = ended([bar(i, i) for i in range(40)])
     assert [r[2] for r in drain(jobs.rolling_summary(fed(spark, tmp_path / "a", rows, 7), 10), "s_sum")] == [10] * 4
