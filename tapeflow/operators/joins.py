@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeflow.operators.windows import range_block
+from tapeflow.operators.windows import running
 
 
 def asof(left: DataFrame, right: DataFrame, on: str = "ts", by: tuple[str, ...] = ("symbol",), values: tuple[str, ...] = (), tolerance: Column | None = None, at: str = "right_ts", tie: str | None = None) -> DataFrame:
@@ -40,10 +40,14 @@ def fallback(real: DataFrame, synthetic: DataFrame, keys: list[str]) -> DataFram
     return real.withColumn("filled", F.lit(False)).unionByName(synthetic.join(real.select(*keys).distinct(), keys, "left_anti").withColumn("filled", F.lit(True)))
 
 
-def cross_lag_pairs(summaries: DataFrame, max_lag: int, window: str = "window_index", value: str = "value") -> DataFrame:
-    """Pairs of summaries whose window numbers differ by 1 .. max_lag: an equi-join on the shifted number."""
-    late = summaries.select(F.col("symbol").alias("target"), F.col(window).alias("at"), F.col(value).alias("target_value"))
-    early = summaries.select(F.col("symbol").alias("source"), F.col(window).alias("source_at"), F.col(value).alias("source_value"), F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag")).withColumn("at", F.col("source_at") + F.col("lag"))
+def cross_lag_pairs(summaries: DataFrame, max_lag: int, window: str = "window_index", value: str = "value", targets: list | None = None, sources: list | None = None) -> DataFrame:
+    """Pairs of summaries whose window numbers differ by 1 .. max_lag: an equi-join on the shifted number.
+
+    All ordered pairs of symbols come out; sources and targets, lists of symbols, choose some.
+    """
+    chosen = lambda names: F.lit(True) if names is None else F.col("symbol").isin(names)
+    late = summaries.where(chosen(targets)).select(F.col("symbol").alias("target"), F.col(window).alias("at"), F.col(value).alias("target_value"))
+    early = summaries.where(chosen(sources)).select(F.col("symbol").alias("source"), F.col(window).alias("source_at"), F.col(value).alias("source_value"), F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag")).withColumn("at", F.col("source_at") + F.col("lag"))
     return late.join(early, "at").select("target", "source", "at", "lag", (F.col("target_value") - F.col("source_value")).alias("delta"), (F.col("target_value") * F.col("source_value")).alias("product"))
 
 
@@ -55,19 +59,18 @@ def aligned(df: DataFrame, value: str, on: str = "ts") -> DataFrame:
     return one.join(one.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") == every).select(on), on, "left_semi")
 
 
-def lagged_correlations(df: DataFrame, value: str, lags: list[int], on: str = "ts", blocks: int = 64) -> DataFrame:
+def lagged_correlations(df: DataFrame, value: str, lags: list[int], on: str = "ts", blocks: int | None = None, targets: list | None = None, sources: list | None = None) -> DataFrame:
     """target, source, lag, n, score: correlation of target with source `lag` rows before on the aligned grid.
 
-    Rows of the grid are numbered by blocks, so numbering needs no single task; the lag is then an equi-join on numbers.
+    Rows of the grid are numbered by a prefix scan over ranges of times, so numbering needs no single task; the lag is then
+    an equi-join on numbers.  All ordered pairs of symbols come out; sources and targets, lists of symbols, choose some.
     """
     grid = aligned(df, value, on)
-    dealt = grid.select(on).distinct().repartitionByRange(blocks, on).withColumn("_b", F.spark_partition_id())
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    numbered = dealt.join(F.broadcast(sizes), "_b").withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(on)) + F.col("_off"))
+    numbered = running(grid.select(on).distinct(), on, {"_i": F.lit(1)}, blocks)
     long = grid.join(numbered.select(on, "_i"), on).select("_i", F.col("symbol").alias("name"), F.col(value).alias("v"))
-    source = long.select(F.col("name").alias("source"), F.col("v").alias("sv"), F.col("_i").alias("_j"), F.explode(F.array(*[F.lit(x) for x in lags])).alias("lag")).withColumn("_i", F.col("_j") + F.col("lag"))
-    pairs = long.select(F.col("name").alias("target"), F.col("v").alias("tv"), "_i").join(source, "_i").where("target <> source")
+    chosen = lambda names: F.lit(True) if names is None else F.col("name").isin(names)
+    source = long.where(chosen(sources)).select(F.col("name").alias("source"), F.col("v").alias("sv"), F.col("_i").alias("_j"), F.explode(F.array(*[F.lit(x) for x in lags])).alias("lag")).withColumn("_i", F.col("_j") + F.col("lag"))
+    pairs = long.where(chosen(targets)).select(F.col("name").alias("target"), F.col("v").alias("tv"), "_i").join(source, "_i").where("target <> source")
     return pairs.groupBy("target", "source", "lag").agg(F.count("*").alias("n"), F.corr("tv", "sv").alias("score"))
 
 

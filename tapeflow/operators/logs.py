@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeflow.functions import binning
-from tapeflow.operators.windows import first_exit, islands, range_block, tape  # noqa: F401
+from tapeflow.operators.windows import first_exit, islands, running, tape  # noqa: F401
 
 
 def share(condition: Column) -> Column:
@@ -155,20 +155,15 @@ def transition_kernel(df: DataFrame, state: str) -> DataFrame:
 
 
 def ks_distance(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
-    """One row: the largest gap between two empirical distributions of a column.
+    """One row: the largest gap between two empirical distributions of a column; null if one of them is empty.
 
-    Counts of equal values come first, then sums over blocks of values; only block sums meet in one window.
+    Counts of equal values come first, then a prefix scan over ranges of values: no task sorts more than a range.
     """
-    both = a.select(F.col(column).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(F.col(column).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))).where("v IS NOT NULL")
-    counts = both.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    blocks = counts.repartitionByRange("v").withColumn("block", F.spark_partition_id())
-    sums = blocks.groupBy("block").agg(F.sum("a").alias("ba"), F.sum("b").alias("bb"))
-    upto = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("block", F.coalesce(F.sum("ba").over(upto), F.lit(0)).alias("ca"), F.coalesce(F.sum("bb").over(upto), F.lit(0)).alias("cb"))
-    inside = Window.partitionBy("block").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    total = sums.agg(F.sum("ba").alias("na"), F.sum("bb").alias("nb"))
-    run = blocks.join(F.broadcast(before), "block").select((F.sum("a").over(inside) + F.col("ca")).alias("x"), (F.sum("b").over(inside) + F.col("cb")).alias("y"))
-    return run.crossJoin(F.broadcast(total)).agg(F.max(F.abs(F.col("x") / F.col("na") - F.col("y") / F.col("nb"))).alias("ks"))
+    side = lambda df, x, y: df.select(F.col(column).alias("v"), F.lit(x).alias("a"), F.lit(y).alias("b")).where("v IS NOT NULL")
+    counts = side(a, 1, 0).unionByName(side(b, 0, 1)).groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    run = running(counts, "v", {"x": F.col("a"), "y": F.col("b")})
+    total = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    return run.crossJoin(F.broadcast(total)).agg(F.max(F.abs(F.try_divide(F.col("x"), F.col("na")) - F.try_divide(F.col("y"), F.col("nb")))).alias("ks"))
 
 
 def edge_density(df: DataFrame, x: str = "exposure", m: str = "m", kappa: float = 0.001, eps: float = 1e-12, *keys: str) -> DataFrame:

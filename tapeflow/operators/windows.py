@@ -23,12 +23,35 @@ def trailing(n: int, end: int = 0) -> WindowSpec:
     return tape().rowsBetween(end - n + 1, end)
 
 
-def range_block(df: DataFrame, value: Column, blocks: int = 64) -> Column:
-    """The number of a value's range, of about equally many rows each: the limits are found once, so every use of the column
-    deals rows alike."""
-    at = [i / blocks for i in range(1, blocks)]
-    limits = sorted(set(df.agg(F.percentile_approx(value, at, 10 * blocks)).first()[0] or []))
-    return F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: x < value)) if limits else F.lit(0)
+def range_block(df: DataFrame, column: str, blocks: int | None = None) -> Column:
+    """The number of a value's range, of about equally many rows each (by default one for each shuffle partition, 64 to 512).
+
+    The limits are found once, by a pass of their own, and are literals of the column, so every use of it deals rows alike, however a
+    plan places or merges its partitions.  Equal values share a range; nulls have none.
+    """
+    if blocks is None:
+        blocks = min(512, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    kind = dict(df.dtypes)[column]
+    value = F.unix_micros(F.col(column).cast("timestamp")) if kind.startswith("timestamp") else F.unix_date(column) if kind == "date" else F.col(column)
+    limits = sorted(set(df.agg(F.percentile_approx(value, [i / blocks for i in range(1, blocks)], 10 * blocks)).first()[0] or []))
+    if not limits:
+        return F.when(value.isNotNull(), 0)
+    return F.when(value.isNotNull(), F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: x < value)))
+
+
+def running(df: DataFrame, column: str, sums: dict[str, Column], blocks: int | None = None) -> DataFrame:
+    """Adds running sums in the order of a column over the whole of df, as columns of the dict's names.
+
+    A prefix scan in two passes over the ranges of range_block: sums of whole ranges meet in one window, of a row for each range;
+    rows are sorted within their own range only.  Rows of one value, which share a range, all have the sum up to the last of them.
+    """
+    held = df.withColumns({"_b": range_block(df, column, blocks)} | {f"_s{k}": v for k, v in sums.items()})
+    totals = held.groupBy("_b").agg(*[F.sum(f"_s{k}").alias(f"_t{k}") for k in sums])
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("_b").alias("_ob"), *[F.coalesce(F.sum(f"_t{k}").over(before), F.lit(0)).alias(f"_o{k}") for k in sums])
+    inside = Window.partitionBy("_b").orderBy(column)
+    out = held.join(F.broadcast(offsets), F.col("_b").eqNullSafe(F.col("_ob"))).drop("_ob")
+    return out.withColumns({k: F.sum(f"_s{k}").over(inside) + F.col(f"_o{k}") for k in sums}).drop("_b", *[f"_{x}{k}" for k in sums for x in "so"])
 
 
 def returns(price: str = "price", log: bool = False) -> Column:

@@ -1,4 +1,11 @@
+import random
+
+import pytest
+
+from tapeflow.operators import joins, logs
+from tapeflow.operators.windows import running
 from tapeflow.plans import join_plans
+from pyspark.sql import functions as F
 
 
 def test_grids_of_many_symbols(spark, monkeypatch):
@@ -9,3 +16,43 @@ def test_grids_of_many_symbols(spark, monkeypatch):
     assert means == {s: (5, round(sum(v) / 5, 9)) for s, v in own.items()}
     pairs = join_plans.d7(spark, "").collect()
     assert len(pairs) == 53 * 52 * 2 and {(r["lag"], r["n"]) for r in pairs} == {(1, 4), (2, 3)}
+
+
+@pytest.fixture
+def merging(spark):
+    """Many shuffle partitions, which adaptive plans merge as they like."""
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    yield spark
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_running_sums_over_ranges(merging):
+    rng = random.Random(5)
+    rows = [(rng.randrange(300) / 7, rng.randrange(5)) for _ in range(2000)] + [(1.0, 3)] * 700 + [(None, 9)]
+    df = merging.createDataFrame(rows, "v double, n int")
+    found = running(df, "v", {"upto": F.col("n"), "rows": F.lit(1)})
+    assert found.columns == ["v", "n", "upto", "rows"]
+    for r in found.distinct().collect():
+        own = [n for v, n in rows if v is not None and r["v"] is not None and v <= r["v"]]
+        assert (r["upto"], r["rows"]) == ((9, 1) if r["v"] is None else (sum(own) + 9, len(own) + 1))
+
+
+def test_ks_distance(merging):
+    rng = random.Random(6)
+    a, b = [rng.gauss(0, 1) for _ in range(900)] + [2.0] * 500, [round(rng.gauss(0.3, 1), 1) for _ in range(700)]
+    frame = lambda x: merging.createDataFrame([(v,) for v in x], "v double")
+    share = lambda x, v: sum(u <= v for u in x) / len(x)
+    want = max(abs(share(a, v) - share(b, v)) for v in {*a, *b})
+    assert abs(logs.ks_distance(frame(a), frame([*b, None]), "v").first()["ks"] - want) < 1e-12
+    assert logs.ks_distance(frame(a), frame([]), "v").first()["ks"] is None
+
+
+def test_lags_are_numbered_alike_in_all_branches(merging):
+    rows = [(s, t, float((t * k) % 13)) for t in range(400) for s, k in (("a", 3), ("b", 5), ("c", 7))]
+    pairs = joins.lagged_correlations(merging.createDataFrame(rows, "symbol string, ts long, v double"), "v", [1, 2], targets=["a", "b"], sources=["b", "c"]).collect()
+    assert sorted((r["target"], r["source"], r["lag"], r["n"]) for r in pairs) == [(t, s, k, 400 - k) for t, s in (("a", "b"), ("a", "c"), ("b", "c")) for k in (1, 2)]
+    v = {s: [x for q, _, x in rows if q == s] for s in "abc"}
+    x, y = v["a"][2:], v["b"][:-2]
+    mx, my = sum(x) / 398, sum(y) / 398
+    want = sum((p - mx) * (q - my) for p, q in zip(x, y)) / (sum((p - mx) ** 2 for p in x) * sum((q - my) ** 2 for q in y)) ** 0.5
+    assert abs(next(r["score"] for r in pairs if (r["target"], r["source"], r["lag"]) == ("a", "b", 2)) - want) < 1e-9
