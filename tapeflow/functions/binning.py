@@ -37,8 +37,11 @@ def center(at: Column, low: float, high: float, bins: int) -> Column:
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> DataFrame:
     """One row: edges, the distinct quantiles 0, 1/bins .. 1."""
-    shares = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    return df.agg(F.array_distinct(F.percentile(column, shares)).alias("edges"))
+    from tapeflow.operators.quantiles import quantiles
+
+    names = [f"q{i}" for i in range(bins + 1)]
+    found = quantiles(df, [], column, {n: i / bins for i, n in enumerate(names)})
+    return found.select(F.array_distinct(F.array(*names)).alias("edges"))
 
 
 def by_edges(x: Column, edges: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeflow.functions import binning
+from tapeflow.operators.quantiles import quantiles
 from tapeflow.operators.windows import first_exit, islands, running, tape  # noqa: F401
 
 
@@ -63,12 +64,19 @@ def gate_metrics(df: DataFrame, direction: str = "action", ell: str = "ell") ->
     marked = df.withColumns({"_act": (F.col(direction) != 0).cast("int"), "_flip": (F.col(direction) != F.lag(direction).over(w)).cast("int")})
     whole = marked.groupBy("symbol").agg(
         F.count("*").alias("rows"), F.avg(1 - F.col("_act")).alias("hold_pct"), F.avg("_act").alias("act_pct"), F.avg("_flip").alias("flip_rate"), F.avg(ell).alias("ell_mean"),
-        *[F.percentile(ell, F.lit(q)).alias(n) for q, n in ((0.1, "ell_p10"), (0.5, "ell_p50"), (0.9, "ell_p90"))], F.avg(F.abs("exposure")).alias("exposure_mean"),
+        F.avg(F.abs("exposure")).alias("exposure_mean"),
     )
-    runs = segments(marked, "_act").groupBy("symbol").agg(
-        *[f(F.when(F.col("_act") == v, F.col("n"))).alias(f"{n}_runs_{k}") for v, n in ((1, "act"), (0, "hold")) for k, f in (("mean", F.avg), ("median", lambda c: F.percentile(c, F.lit(0.5))))]
-    )
-    return whole.join(runs, "symbol")
+    # runs of one length are counted together: their lengths are few, however long the tape is
+    lengths = segments(marked, "_act").groupBy("symbol", "_act", "n").agg(F.count("*").alias("times"))
+    of = {"act": F.when(F.col("_act") == 1, F.col("n")), "hold": F.when(F.col("_act") == 0, F.col("n"))}
+    runs = lengths.groupBy("symbol").agg(*[
+        x for k, n in of.items() for x in (
+            (F.try_divide(F.sum(n * F.col("times")), F.sum(F.when(n.isNotNull(), F.col("times"))))).alias(f"{k}_runs_mean"),
+            F.percentile(n, F.lit(0.5), F.col("times")).alias(f"{k}_runs_median"),
+        )
+    ])
+    spread = quantiles(df, ["symbol"], ell, {"ell_p10": 0.1, "ell_p50": 0.5, "ell_p90": 0.9})
+    return whole.join(runs, "symbol").join(spread, "symbol", "left")
 
 
 def confusion(df: DataFrame, *keys: str) -> DataFrame:

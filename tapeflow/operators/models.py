@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeflow.operators.quantiles import median
+
 
 def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
     from .joins import z_scored
@@ -80,7 +82,7 @@ def weights_from_medians(df: DataFrame, group: str, size: str, value: str, rate:
 
     The medians, one for each group and size, are all that reaches the driver; groups must be labels, not keys.
     """
-    rows = df.groupBy(group, size).agg(F.percentile(value, F.lit(0.5)).alias("m")).collect()
+    rows = median(df, [group, size], value, "m").collect()
     out = []
     for g in sorted({r[group] for r in rows}):
         own = sorted((r[size], r["m"]) for r in rows if r[group] == g)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeflow.operators import gates as g
 from tapeflow.operators import logs
 from tapeflow.operators import windows as w
+from tapeflow.operators.quantiles import median
 
 from .fixtures import bars, steps, table
 from .registry import query
@@ -39,7 +40,7 @@ def e29(spark, sf_dir):
 @query("e30_asymmetry_medians", f"|d AS (SELECT symbol, prev_exposure * ret AS edge, 0.001 * abs(fill) AS cost FROM steps WHERE action <> 0 AND ret IS NOT NULL) SELECT symbol, quantile_cont(edge, 0.5) AS edge_median, quantile_cont(cost, 0.5) AS cost_median, quantile_cont(cost, 0.5) > abs(quantile_cont(edge, 0.5)) AS cost_dominates FROM d GROUP BY 1", "edge_median cost_median")
 def e30(spark, sf_dir):
     d = steps(spark, sf_dir).where("action <> 0 AND ret IS NOT NULL").select("symbol", (F.col("prev_exposure") * F.col("ret")).alias("edge"), (0.001 * F.abs("fill")).alias("cost"))
-    m = d.groupBy("symbol").agg(F.percentile("edge", F.lit(0.5)).alias("edge_median"), F.percentile("cost", F.lit(0.5)).alias("cost_median"))
+    m = median(d, ["symbol"], "edge", "edge_median").join(median(d, ["symbol"], "cost", "cost_median"), "symbol")
     return m.withColumn("cost_dominates", F.col("cost_median") > F.abs("edge_median"))
 
 
@@ -94,10 +95,10 @@ def e34(spark, sf_dir):
 )
 def e35(spark, sf_dir):
     df = steps(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    m = df.groupBy("symbol", "day").agg(F.percentile("ell", F.lit(0.5)).alias("med"))
-    return df.join(m, ["symbol", "day"]).groupBy("symbol", "day").agg(
-        F.avg("ell").alias("mean"), F.first("med").alias("median"), F.percentile(F.abs(F.col("ell") - F.col("med")), F.lit(0.5)).alias("mad"), logs.share(F.col("ell") >= 0.5).alias("legitimacy_density"), logs.share(F.col("actionability").isNull()).alias("unknown_frac"), F.count("*").alias("n")
-    )
+    key = ["symbol", "day"]
+    m = median(df, key, "ell")
+    mad = median(df.join(m, key), key, F.abs(F.col("ell") - F.col("median")), "mad")
+    return m.join(mad, key).join(df.groupBy(*key).agg(F.avg("ell").alias("mean"), logs.share(F.col("ell") >= 0.5).alias("legitimacy_density"), logs.share(F.col("actionability").isNull()).alias("unknown_frac"), F.count("*").alias("n")), key)
 
 
 @query("e36_transition_buckets", f"|d AS (SELECT *, CASE WHEN p_bad > 0.8 THEN 'stress' WHEN state > 0 THEN 'long' WHEN state < 0 THEN 'short' ELSE 'flat' END AS label, CAST(floor(ell * 4) AS BIGINT) * 10 + ban AS bucket, lead(CAST(round(ell * 100) AS BIGINT)) {_W} AS nxt FROM steps), n AS (SELECT bucket, label, count(*) AS n, avg(nxt) AS mean_next FROM d WHERE nxt IS NOT NULL GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY bucket) AS total FROM n) SELECT bucket, label, n, n / total AS p, mean_next FROM t WHERE total >= 12", "p mean_next")
@@ -116,7 +117,8 @@ def e37(spark, sf_dir):
 
 @query("e38_weight_medians", "|m AS (SELECT event_type AS k, user_id % 4 AS pos, greatest(0.05, least(0.8, 0.7 * quantile_cont(value / 100, 0.5) + 0.3 * 0.25)) AS x FROM events GROUP BY 1, 2) SELECT k, pos, x / sum(x) OVER (PARTITION BY k) AS weight FROM m", "weight")
 def e38(spark, sf_dir):
-    m = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("k"), (F.col("user_id") % 4).alias("pos")).agg(F.greatest(F.lit(0.05), F.least(F.lit(0.8), 0.7 * F.percentile(F.col("value") / 100, F.lit(0.5)) + 0.3 * 0.25)).alias("x"))
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("k"), (F.col("user_id") % 4).alias("pos"), (F.col("value") / 100).alias("v"))
+    m = median(e, ["k", "pos"], "v").select("k", "pos", F.greatest(F.lit(0.05), F.least(F.lit(0.8), 0.7 * F.col("median") + 0.3 * 0.25)).alias("x"))
     return m.select("k", "pos", (F.col("x") / F.sum("x").over(Window.partitionBy("k"))).alias("weight"))
 
 

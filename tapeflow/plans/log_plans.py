@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeflow.operators import logs
 from tapeflow.operators import windows as w
+from tapeflow.operators.quantiles import matched, quantiles
 
 from .fixtures import steps, table
 from .registry import query
@@ -68,10 +69,11 @@ def e6(spark, sf_dir):
     "median iqr mean std",
 )
 def e7(spark, sf_dir):
-    q = lambda p: F.percentile("l_extendedprice", F.lit(p))
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("ontology"), F.floor(F.col("l_quantity") / 10).cast("int").alias("size_bin")).agg(
-        F.count("l_discount").alias("n"), q(0.5).alias("median"), (q(0.75) - q(0.25)).alias("iqr"), F.avg("l_extendedprice").alias("mean"), F.stddev_pop("l_extendedprice").alias("std")
-    )
+    cell = ["ontology", "size_bin"]
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("ontology"), F.floor(F.col("l_quantity") / 10).cast("int").alias("size_bin"), "l_discount", "l_extendedprice")
+    whole = li.groupBy(*cell).agg(F.count("l_discount").alias("n"), F.avg("l_extendedprice").alias("mean"), F.stddev_pop("l_extendedprice").alias("std"))
+    q = quantiles(li, cell, "l_extendedprice", {"q1": 0.25, "median": 0.5, "q3": 0.75}).select(*cell, "median", (F.col("q3") - F.col("q1")).alias("iqr"))
+    return matched(whole, q, cell, "left")
 
 
 @query("e8_exposure_control", "SELECT symbol AS log, count(*) AS rows, sum(abs(exposure)) AS exposure, arg_min(slippage, seq) AS slip_first, avg(slippage) AS slip_mean, avg(slippage) <= 0.0003 AS allowed FROM steps GROUP BY 1", "exposure slip_first slip_mean")
@@ -253,7 +255,7 @@ def e20(spark, sf_dir):
 @query("e21_tail_by_reason", "|q AS (SELECT symbol, quantile_cont(ret, 0.1) AS q FROM steps GROUP BY 1) SELECT symbol AS reason, any_value(q) AS tail_quantile, avg(ret) FILTER (ret <= q) AS tail_mean, count(ret) AS n FROM steps JOIN q USING (symbol) GROUP BY 1", "tail_quantile tail_mean")
 def e21(spark, sf_dir):
     df = steps(spark, sf_dir)
-    q = df.groupBy("symbol").agg(F.percentile("ret", F.lit(0.1)).alias("q"))
+    q = quantiles(df, ["symbol"], "ret", {"q": 0.1})
     return df.join(q, "symbol").groupBy(F.col("symbol").alias("reason")).agg(F.first("q").alias("tail_quantile"), F.avg(F.when(F.col("ret") <= F.col("q"), F.col("ret"))).alias("tail_mean"), F.count("ret").alias("n"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tapeflow.operators import models as m
 from tapeflow.operators import options as o
 from tapeflow.operators import windows as w
+from tapeflow.operators.quantiles import median
 
 from .fixtures import bars, steps, table
 from .registry import query
@@ -68,7 +69,7 @@ def m4(spark, sf_dir):
     df = _xy(spark, sf_dir)
     fit = m.huber_ridge(df, _X, "ret", delta=0.3)
     scored = df.withColumn("e", F.abs(F.col("ret") - m.linear(_X, fit)))
-    mid = scored.agg(F.percentile("e", F.lit(0.5)).alias("mid"))
+    mid = median(scored, [], "e", "mid")
     return scored.crossJoin(F.broadcast(mid)).select("symbol", "seq", F.exp(-F.log(F.lit(2.0)) * F.col("e") / F.greatest("mid", F.lit(1e-9))).alias("ell_hat"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeflow.functions import scalar as s
+from tapeflow.operators.quantiles import median, quantiles
 
 from .fixtures import steps, table
 from .registry import query
@@ -183,7 +184,7 @@ def c27(spark, sf_dir):
 def c28(spark, sf_dir):
     up = F.col("p_bad") - F.lag("p_bad").over(_w())
     d = steps(spark, sf_dir).select("symbol", "seq", "ell", F.abs(F.col("ell") - F.lag("ell").over(_w())).alias("a"), F.when(up.isNotNull(), F.greatest(up, F.lit(0.0))).alias("b"))
-    m = d.groupBy("symbol").agg(F.greatest(F.percentile("a", F.lit(0.5)), F.lit(1e-6)).alias("sa"))
+    m = median(d, ["symbol"], "a", "sa").withColumn("sa", F.greatest("sa", F.lit(1e-6)))
     part = lambda x: F.coalesce(F.exp(-F.col(x) / F.col("sa")), F.lit(1.0))
     return d.join(m, "symbol").select("symbol", "seq", part("a").alias("close_part"), (F.col("ell") * (0.7 + 0.3 * part("a") * part("b"))).alias("ell_eff"))
 
@@ -226,7 +227,7 @@ def c31(spark, sf_dir):
 
     f = trailing(20)
     z = steps(spark, sf_dir).withColumn("r", returns()).withColumns({"m": F.avg("r").over(f), "sd": F.stddev_samp("r").over(f)}).where("t >= 20")
-    q = z.groupBy("symbol").agg(F.percentile("sd", F.lit(0.75)).alias("q"))
+    q = quantiles(z, ["symbol"], "sd", {"q": 0.75})
     return z.join(q, "symbol").select("symbol", "seq", F.signum("r").cast("int").alias("ret_trit"), s.ternary_sign((F.col("r") - F.col("m")) / F.col("sd"), 0.5).alias("z_trit"), F.when(F.col("sd") > F.col("q"), 1).otherwise(0).alias("stress_trit"))
 
 

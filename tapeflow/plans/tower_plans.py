@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tapeflow.operators import spectral as sp
 from tapeflow.operators import tower as tw
 from tapeflow.operators import windows as w
+from tapeflow.operators.quantiles import matched, median
 
 from .fixtures import steps, ticks
 from .fold_plans import _folded
@@ -90,7 +91,8 @@ def c26(spark, sf_dir):
 )
 def e43(spark, sf_dir):
     df = ticks(spark, sf_dir).select(F.col("symbol").alias("target"), F.weekofyear("ts").alias("iteration"), F.when(F.col("seq") % 2 == 0, "T").otherwise("R").alias("ont"), (F.col("user_id") % 3).alias("bin"), "price")
-    history = df.groupBy("target", "iteration", "ont", "bin").agg(F.count("*").alias("count"), F.percentile("price", F.lit(0.5)).alias("median"))
+    cell = ["target", "iteration", "ont", "bin"]
+    history = matched(df.groupBy(*cell).agg(F.count("*").alias("count")), median(df, cell, "price"), cell, "left")
     return tw.density_gate(history, least_rows=5, least_bin=1)
 
 

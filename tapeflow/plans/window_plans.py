@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeflow.operators import windows as w
+from tapeflow.operators.quantiles import quantiles
 
 from .fixtures import bars, steps
 from .registry import query
@@ -87,7 +88,7 @@ def f12(spark, sf_dir):
 @query("f13_persistence_confidence", RUNS + ", q AS (SELECT symbol, quantile_cont(abs(ret), 0.9) AS cap FROM steps GROUP BY 1) SELECT symbol, seq, CASE WHEN coalesce(abs(ret), 0) > cap THEN 0 ELSE 1 - exp(-run / 5.0) END AS confidence FROM runs JOIN q USING (symbol)", "confidence")
 def f13(spark, sf_dir):
     df = w.run_length(steps(spark, sf_dir))
-    cap = df.groupBy("symbol").agg(F.percentile(F.abs("ret"), F.lit(0.9)).alias("cap"))
+    cap = quantiles(df, ["symbol"], F.abs("ret"), {"cap": 0.9})
     return df.join(cap, "symbol").select("symbol", "seq", F.when(F.coalesce(F.abs("ret"), F.lit(0.0)) > F.col("cap"), 0.0).otherwise(1 - F.exp(-F.col("run") / 5)).alias("confidence"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeflow.operators.quantiles import median
+
 TRADE = "type string, symbol string, ts_ms long, price double, qty double"
 OHLC = "type string, symbol string, ts_ms long, open double, high double, low double, close double, volume double, trades long"
 #: The column names that price files use, in lower case, by our name.
@@ -51,8 +53,9 @@ def prices(spark: SparkSession, path: str, least_rows: int = 10) -> DataFrame:
     volume = cell("volume").try_cast("double")
     df = raw.select(source_tag(F.col("_file")).alias("symbol"), F.try_to_timestamp(cell("ts")).alias("at"), (F.col("ts") > 0).alias("dated"), cell("close").try_cast("double").alias("close"), F.when(volume > 0, volume).alias("volume"))
     df = df.where("close IS NOT NULL AND NOT isnan(close) AND (at IS NOT NULL OR NOT dated)").withColumnRenamed("at", "ts").drop("dated")
-    usual = df.groupBy("symbol").agg(F.coalesce(F.percentile("volume", F.lit(0.5)), F.lit(1e6)).alias("_v"), F.count("*").alias("_n"))
-    return df.join(usual, "symbol").where(F.col("_n") >= least_rows).select("symbol", "ts", "close", F.coalesce("volume", "_v").alias("volume"), F.xxhash64("ts", "close").alias("seq"))
+    usual = df.groupBy("symbol").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_rows)
+    filled = df.join(usual, "symbol").join(median(df, ["symbol"], "volume", "_v"), "symbol", "left")
+    return filled.select("symbol", "ts", "close", F.coalesce("volume", "_v", F.lit(1e6)).alias("volume"), F.xxhash64("ts", "close").alias("seq"))
 
 
 def ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:
