@@ -145,12 +145,21 @@ def latest(df: DataFrame, *keys: str, order: tuple[str, ...] = ORDER, n: int = 1
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
+def whole_median(df: DataFrame, value: Column, out: str) -> DataFrame:
+    """Adds the median of a value that is never null over each symbol's whole tape: the middle rows in its order."""
+    whole = Window.partitionBy(KEY)
+    at = F.row_number().over(whole.orderBy("_x"))
+    placed = df.withColumn("_x", value).withColumns({"_at": at, "_all": F.count("*").over(whole)})
+    middle = (F.col("_at") * 2).between(F.col("_all"), F.col("_all") + 2)
+    return placed.withColumn(out, F.avg(F.when(middle, F.col("_x"))).over(whole)).drop("_x", "_at", "_all")
+
+
 def structural_stress(df: DataFrame, window: int = 100, vol_z: float = 1.5, flips: float = 0.4, price: str = "price", state: str = "state") -> DataFrame:
     """Adds p_stress and stressed: volatility against its median and MAD over the symbol's whole tape, jumps, and flips.
 
     The first `window` volatilities are filled from the first full one; the first row counts as a flip.
     """
-    w, whole = tape(), Window.partitionBy(KEY)
+    w = tape()
     flip = (~F.col(state).eqNullSafe(F.lag(state).over(w)) | (F.row_number().over(w) == 1)).cast("double")
     out = df.withColumns({"_r": F.coalesce(returns(price), F.lit(0.0)), "_flip": flip, "_n": F.row_number().over(w) - 1})
     out = block_frames(out, window, "_n", {"_t": F.col("_r"), "_q": F.col("_r") * F.col("_r"), "_fs": F.col("_flip")})
@@ -158,9 +167,9 @@ def structural_stress(df: DataFrame, window: int = 100, vol_z: float = 1.5, flip
     spread = F.sqrt(F.greatest(F.col("_q") - F.col("_t") * F.col("_t") / window, F.lit(0.0)) / (window - 1))
     out = out.withColumns({"_v": F.when(ready, spread), "_f": F.when(ready, F.col("_fs") / window).otherwise(0.0)})
     out = out.withColumn("_v", F.coalesce("_v", next_known(F.col("_v")), F.lit(0.0)))
-    # Over whole tapes, which the windows above have brought together already: nothing is evaluated twice.
-    out = out.withColumn("_m", F.percentile("_v", F.lit(0.5)).over(whole))
-    out = out.withColumn("_mad", F.percentile(F.abs(F.col("_v") - F.col("_m")), F.lit(0.5)).over(whole) + 1e-9)
+    # Over whole tapes, which the windows above have brought together already: sorts, which spill, and nothing evaluated twice.
+    out = whole_median(out, F.col("_v"), "_m")
+    out = whole_median(out, F.abs(F.col("_v") - F.col("_m")), "_mad").withColumn("_mad", F.col("_mad") + 1e-9)
     score = F.greatest((F.col("_v") - F.col("_m")) / F.col("_mad") / vol_z, F.lit(0.0)) + F.abs("_r") / (F.col("_v") + 1e-9) + F.col("_f") / flips
     out = out.withColumn("p_stress", score / (1 + score)).withColumn("stressed", F.col("p_stress") > 0.7)
     return out.drop("_r", "_v", "_m", "_mad", "_f", "_flip", "_fs", "_n", "_t", "_q")
