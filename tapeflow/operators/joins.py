@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeflow.operators.cells import earlier_alike, nearest_rows
 from tapeflow.operators.windows import running
 
 
@@ -75,42 +76,13 @@ def lagged_correlations(df: DataFrame, value: str, lags: list[int], on: str = "t
 
 
 def nearest(left: DataFrame, right: DataFrame, features: list[str], k: int, id_column: str = "id", block: int = 2000) -> DataFrame:
-    """left_id, right_id, distance, rank: the k nearest right rows of each left row, by blocks of left rows.
+    """left_id, right_id, distance, rank: the k nearest right rows of each left row, which is the stated query set.
 
-    left is the stated query set: it is cut into blocks that are joined to blocks of right rows, and each pair of
-    blocks keeps its k best before results meet.  A row is no neighbour of its own; equal distances go to the least id.
+    Right rows are dealt to cells of pivots; a left row meets only the cells that can hold one of its k nearest
+    (cells.nearest_rows).  Rows with an unknown feature take no part.
     """
-    import numpy as np
-    import pandas as pd
-
-    n_left, n_right = max(1, -(-left.count() // block)), max(1, -(-right.count() // (4 * block)))
-    of = lambda n: F.pmod(F.xxhash64(id_column), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = left.select(id_column, *features).select("*", of(n_left).alias("_a"), every(n_right).alias("_b"))
-    b = right.select(*[F.col(c).alias(c) for c in (id_column, *features)]).select("*", every(n_left).alias("_a"), of(n_right).alias("_b"))
-
-    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"left_id": [], "right_id": [], "distance": []})
-        y = y.sort_values(id_column)
-        p, q, own, ids = x[features].to_numpy(float), y[features].to_numpy(float), x[id_column].to_numpy(), y[id_column].to_numpy()
-        picks, far = [], []
-        for i in range(len(p)):
-            d = np.sqrt(((q - p[i]) ** 2).sum(1))
-            d[ids == own[i]] = np.inf
-            near = np.argpartition(d, k)[: k + 1] if len(d) > k + 1 else np.arange(len(d))
-            near = np.nonzero(d <= d[near].max())[0] if len(d) > k + 1 else near  # all ties of the last one
-            at = near[np.argsort(d[near], kind="stable")][:k]
-            at = at[np.isfinite(d[at])]
-            picks.append(at)
-            far.append(d[at])
-        n = [len(a) for a in picks]
-        return pd.DataFrame({"left_id": np.repeat(own, n), "right_id": ids[np.concatenate(picks)], "distance": np.concatenate(far)})
-
-    kind = dict(left.dtypes)[id_column]
-    found = a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInPandas(best, f"left_id {kind}, right_id {kind}, distance double")
-    w = Window.partitionBy("left_id").orderBy("distance", "right_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    side = lambda df: df.na.drop(subset=[id_column, *features]).select(F.col(id_column).alias("id"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
+    return nearest_rows(side(left), side(right), k, block)
 
 
 def z_scored(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -127,32 +99,16 @@ def in_windows(windows: DataFrame, events: DataFrame, bucket_s: int, start: str
     return spread.join(events.withColumn("_bucket", number(ts)), "_bucket").where(F.col(ts).between(F.col(start), F.col(end))).drop("_bucket")
 
 
-def recurrence(df: DataFrame, vector: str, least: float, id_column: str, block: int = 4000, top: int = 3) -> DataFrame:
-    """id, n_earlier, links: earlier rows whose cosine similarity exceeds `least`, and the top of them, by blocks of rows."""
-    import numpy as np
-    import pandas as pd
-
-    n = max(1, -(-df.count() // block))
-    of = F.pmod(F.xxhash64(id_column), F.lit(n)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = df.select(id_column, vector)
-    again = df.select(F.col(id_column).alias(id_column), F.col(vector).alias(vector))
-    a, b = rows.select("*", of.alias("_a"), every.alias("_b")), again.select("*", every.alias("_a"), of.alias("_b"))
-
-    def alike(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "n": [], "other": [], "score": []})
-        unit = lambda d: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12))(np.stack(d[vector]).astype(float))
-        s, i, j = unit(x) @ unit(y).T, x[id_column].to_numpy(), y[id_column].to_numpy()
-        out = []
-        for k in range(len(i)):
-            ok = (s[k] > least) & (j < i[k])
-            at = np.nonzero(ok)[0]
-            at = at[np.lexsort((j[at], -s[k][at]))][:top]
-            out.append(pd.DataFrame({"id": i[k], "n": [int(ok.sum())] + [0] * len(at), "other": [-1, *j[at]], "score": [-2.0, *s[k][at]]}))
-        return pd.concat(out)
-
-    found = a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInPandas(alike, "id long, n long, other long, score double")
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
-    ranked = found.withColumn("rank", F.row_number().over(w))
-    return ranked.groupBy("id").agg(F.sum("n").alias("n_earlier"), F.array_sort(F.collect_list(F.when((F.col("rank") <= top) & (F.col("other") >= 0), F.struct("rank", "other")))).alias("l")).select("id", "n_earlier", F.transform("l", lambda x: x["other"]).alias("links"))
+def recurrence(df: DataFrame, vector: str, least: float, id_column: str, block: int = 2000, top: int = 3) -> DataFrame:
+    """id, n_earlier, links: earlier rows whose cosine similarity exceeds `least`, and the top of them.
+
+    Rows are dealt to cells of pivots by angle and to ranges of ids; a row meets the cells that its angle reaches and no
+    later ids (cells.earlier_alike).
+    """
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    found = earlier_alike(rows, least, top, block)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other")))
+    links = F.array_sort(F.collect_list(F.when((F.col("rank") <= top) & (F.col("other") >= 0), F.struct("rank", "other"))))
+    met = ranked.groupBy("id").agg(F.sum("n").alias("n_earlier"), links.alias("l")).select("id", "n_earlier", F.transform("l", lambda x: x["other"]).alias("links"))
+    # a row that meets no cell has no links
+    return rows.select("id").join(met, "id", "left").select("id", F.coalesce("n_earlier", F.lit(0)).alias("n_earlier"), F.coalesce("links", F.array().cast("array<bigint>")).alias("links"))

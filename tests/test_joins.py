@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from tapeflow.operators import joins, logs
+from tapeflow.operators import cells, joins, logs
 from tapeflow.operators.windows import running
 from tapeflow.plans import join_plans
 from pyspark.sql import functions as F
@@ -56,3 +57,53 @@ def test_lags_are_numbered_alike_in_all_branches(merging):
     mx, my = sum(x) / 398, sum(y) / 398
     want = sum((p - mx) * (q - my) for p, q in zip(x, y)) / (sum((p - mx) ** 2 for p in x) * sum((q - my) ** 2 for q in y)) ** 0.5
     assert abs(next(r["score"] for r in pairs if (r["target"], r["source"], r["lag"]) == ("a", "b", 2)) - want) < 1e-9
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_nearest_equals_all_pairs(spark, clustered):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 3)) * (20 if clustered else 0)
+    x = np.round(centres[rng.integers(0, 12, 3000)] + rng.normal(size=(3000, 3)), 2)
+    x[100:160] = x[100]  # ties
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)] + [(3001, None, 1.0, 1.0)], "id long, a double, b double, c double")
+    queries = [*range(0, 3000, 37), 105, 120]
+    found = joins.nearest(df.where(F.col("id").isin([*queries, 3001])), df, ["a", "b", "c"], 4, block=100).collect()
+    want = []
+    for i in queries:
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        order = [j for j in np.lexsort((np.arange(3000), d)) if j != i][:4]
+        want += [(i, int(j), r, round(float(d[j]), 9)) for r, j in enumerate(order, 1)]
+    assert sorted((r["left_id"], r["right_id"], r["rank"], round(r["distance"], 9)) for r in found) == sorted(want)
+
+
+def test_nearest_meets_few_cells(spark):
+    """Of all pairs of queries and cells, those that aren't ruled out."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 2))[rng.integers(0, 40, 4000)] * 50 + rng.normal(size=(4000, 2))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    made = cells.Cells(rows, block=100)
+    assert len(made.pivots) == 80 and made.counts.all() and made.counts.sum() == 4000
+    queries = rows.where("id % 40 = 0").withColumn("kth", F.lit(3.0))
+    routes = made.routed(queries, lambda far, f: made.least(far) <= f["kth"].to_numpy()[:, None])
+    assert routes.count() < 0.15 * 100 * 40
+    assert joins.nearest(spark.createDataFrame([], "id long, a double"), spark.createDataFrame([], "id long, a double"), ["a"], 2).collect() == []
+    assert joins.nearest(spark.createDataFrame([(1, 0.0)], "id long, a double"), spark.createDataFrame([(1, 0.0), (2, 5.0)], "id long, a double"), ["a"], 3).count() == 1
+
+
+@pytest.mark.parametrize("clustered, most", [(True, 0.25), (False, 0.75)])
+def test_recurrence_equals_all_pairs(spark, clustered, most):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 16))
+    if clustered:
+        x = rng.normal(size=(15, 16))[rng.integers(0, 15, 1500)] * 4 + x * 0.5
+    x[10] = 0
+    ids = rng.permutation(5000)[:1500]
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec long, e array<double>")
+    found = {r["id"]: (r["n_earlier"], r["links"]) for r in joins.recurrence(rows, "e", 0.6, "vec", block=100).collect()}
+    u = cells.unit(x)
+    s = u @ u.T
+    for k, i in enumerate(ids):
+        at = [j for j in range(1500) if ids[j] < i and s[k, j] > 0.6]
+        assert found[int(i)] == (len(at), [int(ids[j]) for j in sorted(at, key=lambda j: (-s[k, j], ids[j]))[:3]])
+    lines = cells.earlier_alike(rows.select(F.col("vec").alias("id"), F.col("e").alias("x")), 0.6, block=100)
+    assert lines.agg(F.sum("products")).first()[0] < most * 1500 * 1500
