@@ -92,11 +92,32 @@ def z_scored(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).select(*[z(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def dyadic_cover(first: Column, last: Column) -> Column:
+    """An array of (level, node): the fewest ranges of 2^level numbers from node * 2^level on that make up first .. last."""
+
+    def nodes(k: Column) -> Column:
+        low, high = -F.call_function("shiftright", -first, k), F.call_function("shiftright", last + 1, k)  # from low to before high at this level
+        some = low < high
+        return F.array(
+            F.when(some & (F.call_function("bit_get", low, F.lit(0)) == 1), F.struct(k.alias("level"), low.alias("node"))),
+            F.when(some & (F.call_function("bit_get", high, F.lit(0)) == 1), F.struct(k.alias("level"), (high - 1).alias("node"))),
+        )
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), nodes)), lambda x: x.isNotNull())
+
+
 def in_windows(windows: DataFrame, events: DataFrame, bucket_s: int, start: str = "start", end: str = "end", ts: str = "ts") -> DataFrame:
-    """Window rows with the events from start to end, both included: an equi-join on time buckets, then the bounds."""
+    """Window rows with the events from start to end, both included, by equi-joins on time buckets, then the bounds.
+
+    Windows of any length: a window of n buckets is at most 2 log n dyadic ranges of them, and an event has a copy for
+    each level of range that some window uses.
+    """
     number = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / bucket_s)
-    spread = windows.withColumn("_bucket", F.explode(F.sequence(number(start), number(end))))
-    return spread.join(events.withColumn("_bucket", number(ts)), "_bucket").where(F.col(ts).between(F.col(start), F.col(end))).drop("_bucket")
+    cover = windows.withColumn("_at", F.explode(dyadic_cover(number(start), number(end))))
+    levels = sorted(r[0] for r in cover.select("_at.level").distinct().collect())  # 63 at most
+    copies = events.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("_node", F.call_function("shiftright", number(ts), F.col("_level")))
+    held = cover.withColumns({"_level": F.col("_at.level"), "_node": F.col("_at.node")}).drop("_at")
+    return held.join(copies, ["_level", "_node"]).where(F.col(ts).between(F.col(start), F.col(end))).drop("_level", "_node")
 
 
 def recurrence(df: DataFrame, vector: str, least: float, id_column: str, block: int = 2000, top: int = 3) -> DataFrame:

@@ -107,3 +107,27 @@ def test_recurrence_equals_all_pairs(spark, clustered, most):
         assert found[int(i)] == (len(at), [int(ids[j]) for j in sorted(at, key=lambda j: (-s[k, j], ids[j]))[:3]])
     lines = cells.earlier_alike(rows.select(F.col("vec").alias("id"), F.col("e").alias("x")), 0.6, block=100)
     assert lines.agg(F.sum("products")).first()[0] < most * 1500 * 1500
+
+
+def test_dyadic_cover(spark):
+    rng = random.Random(7)
+    spans = [(a, a + rng.randrange(0, 3 ** rng.randrange(1, 9))) for a in [rng.randrange(-4000, 4000) for _ in range(200)]] + [(5, 4), (-(2**40), 2**40), (0, 0)]
+    df = spark.createDataFrame(spans, "a long, b long").withColumn("c", joins.dyadic_cover(F.col("a"), F.col("b")))
+    for r in df.collect():
+        parts = sorted((x["node"] << x["level"], (x["node"] + 1) << x["level"]) for x in r["c"])
+        assert len(parts) <= 2 * max(1, (r["b"] - r["a"] + 1).bit_length())
+        edges = [r["a"], *[e for _, e in parts]]
+        assert [s for s, _ in parts] == edges[:-1] and edges[-1] == max(r["a"], r["b"] + 1)
+
+
+def test_windows_of_any_length(spark):
+    """One window of 54 years among short ones, at buckets of a minute."""
+    rng = random.Random(8)
+    second = [rng.randrange(0, 54 * 365 * 86400) for _ in range(400)] + [0, 60, 119, 120]
+    spans = [(0, 54 * 365 * 86400), *[(s := rng.randrange(0, 10**9), s + rng.randrange(0, 10 ** rng.randrange(1, 9))) for _ in range(40)], (60, 120), (61, 61), (9, 8)]
+    windows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(spans)], "w int, a long, b long").select("w", F.timestamp_seconds("a").alias("start"), F.timestamp_seconds("b").alias("end"))
+    events = spark.createDataFrame([(i, s) for i, s in enumerate(second)], "e int, s long").select("e", F.timestamp_seconds("s").alias("ts"))
+    found = joins.in_windows(windows, events, 60)
+    assert found.columns == ["w", "start", "end", "e", "ts"]
+    assert sorted((r["w"], r["e"]) for r in found.collect()) == [(i, k) for i, (a, b) in enumerate(spans) for k, s in enumerate(second) if a <= s <= b]
+    assert joins.in_windows(windows.limit(0), events, 60).collect() == []
