@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import islands, tape
+from .windows import islands, range_block, tape
 
 _SPARK_TO_ARROW = {"int": "int32", "long": "int64", "bigint": "int64", "double": "float64", "string": "string", "boolean": "bool_"}
 
@@ -58,6 +58,66 @@ def fold(df: DataFrame, init: Callable, step: Callable, outputs: str, keys: tupl
     return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def machine(df: DataFrame, states: list[tuple], step: Callable, outputs: str, blocks: int | None = None) -> DataFrame:
+    """fold for a step with finitely many states, of which the first is the start: a tape of one symbol is many tasks' work.
+
+    Tapes are cut by ranges of time.  Every piece is a map from states to states, found by taking all states through its
+    rows at once (states that have met go on as one); the maps of a tape, one for each piece, are put together in
+    order, which gives each piece its start; then pieces are replayed, all at the same time.
+    """
+    import pandas as pd
+    import pyarrow as pa
+
+    number = {s: i for i, s in enumerate(states)}
+    cut = df.withColumn("_c", F.coalesce(range_block(df, "ts", blocks), F.lit(-1)))
+
+    def maps(batches):
+        at, now = None, {}
+        schema = pa.schema([("symbol", pa.string()), ("_c", pa.int32()), ("ends", pa.list_(pa.int32()))])
+
+        def end():
+            ends = [0] * len(states)
+            for state, starts in now.items():
+                for i in starts:
+                    ends[i] = number[state]
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.string()), pa.array([at[1]], pa.int32()), pa.array([ends], pa.list_(pa.int32()))], schema=schema)
+
+        for batch in batches:
+            row = _Rows(batch)
+            for row.at in range(batch.num_rows):
+                key = row["symbol"], row["_c"]
+                if key != at:
+                    if at is not None:
+                        yield end()
+                    at, now = key, {s: [i] for s, i in number.items()}
+                moved: dict[tuple, list[int]] = {}
+                for state, starts in now.items():
+                    to = step(state, row)[0]
+                    moved[to] = moved[to] + starts if to in moved else starts
+                now = moved
+        if at is not None:
+            yield end()
+
+    placed = cut.repartition("symbol", "_c").sortWithinPartitions("symbol", "_c", "ts", "seq")
+    found = placed.withColumn("_c", F.col("_c").cast("int")).withColumn("symbol", F.col("symbol").cast("string")).mapInArrow(maps, "symbol string, _c int, ends array<int>")
+
+    def starts(f: pd.DataFrame) -> pd.DataFrame:
+        f, at, out = f.sort_values("_c"), 0, []
+        for ends in f["ends"]:
+            out.append(at)
+            at = ends[at]
+        return f[["symbol", "_c"]].assign(_start=out)
+
+    begun = found.groupBy("symbol").applyInPandas(starts, "symbol string, _c int, _start int")
+    begun = begun.select(F.col("symbol").alias("_symbol"), F.col("_c").alias("_piece"), "_start")
+    ready = cut.join(begun, F.col("symbol").cast("string").eqNullSafe(F.col("_symbol")) & (F.col("_c") == F.col("_piece"))).drop("_symbol", "_piece")
+
+    def replayed(state, row):
+        return step(states[row["_start"]] if state is None else state, row)
+
+    return fold(ready, lambda: None, replayed, outputs, ("symbol", "_c")).drop("_c", "_start")
+
+
 def over_grid(df: DataFrame, **values: list[float]) -> DataFrame:
     """Every row for every combination of parameter values."""
     for name, options in values.items():
@@ -238,7 +298,7 @@ def thin(df: DataFrame, least_s: float, at_s: str = "ts_s", keys: tuple[str, ...
     return fold(df, lambda: None, step, "_keep boolean", keys).where("_keep").drop("_keep")
 
 
-def ontology_gate(df: DataFrame, probabilities: dict[str, str], holding: str, start: str = "H", on: float = 0.5, margin: float = 0.05, wait: int = 3) -> DataFrame:
+def ontology_gate(df: DataFrame, probabilities: dict[str, str], holding: str, start: str = "H", on: float = 0.5, margin: float = 0.05, wait: int = 3, blocks: int | None = None) -> DataFrame:
     """ontology, switched: the label moves to the likeliest one only while holding, after `wait` clear rows in a row."""
 
     def step(state, row):
@@ -254,7 +314,8 @@ def ontology_gate(df: DataFrame, probabilities: dict[str, str], holding: str, st
             return (best, 0), (best, True)
         return (now, streak), (now, False)
 
-    return fold(df, lambda: (start, 0), step, "ontology string,switched boolean")
+    states = [(k, n) for k in (start, *(k for k in probabilities if k != start)) for n in range(wait)]
+    return machine(df, states, step, "ontology string,switched boolean", blocks)
 
 
 def veto_gate(
@@ -306,7 +367,7 @@ _DOUBT = {False: (0, 0, 1), True: (1, 2, 2)}
 _PUSHED = {-1: "weaken", 0: "hold", 1: "reinforce"}
 
 
-def thesis_memory(df: DataFrame, sign: str, promote: str, p_bad: str, stress: str, flips: str, a_max: int = 50, cooldown: int = 5, low: float = 0.3, high: float = 0.7) -> DataFrame:
+def thesis_memory(df: DataFrame, sign: str, promote: str, p_bad: str, stress: str, flips: str, a_max: int = 50, cooldown: int = 5, low: float = 0.3, high: float = 0.7, blocks: int | None = None) -> DataFrame:
     """thesis, strength, age, event, why: a direction held on evidence, left when invalid, faded or too old.
 
     What evidence a row gives but for its side is a column; the fold looks up what side, strength and doubt become of it.
@@ -314,11 +375,11 @@ def thesis_memory(df: DataFrame, sign: str, promote: str, p_bad: str, stress: st
     bad, tense = F.coalesce(p_bad, F.lit(0.0)), F.coalesce(stress, F.lit(0.0))
     risk = F.when((bad >= high) | (tense >= high), -1).when((bad <= low) & (tense <= low), 1).otherwise(0)
     calm = F.when(F.coalesce(flips, F.lit(0)) > 1, -1).otherwise(1)
-    known = df.withColumns({"_risk": risk, "_calm": calm, "_opens": F.coalesce(promote, F.lit(False)) & (calm > 0) & (risk >= 0) & (F.coalesce(sign, F.lit(0)) != 0)})
+    known = df.withColumns({"_side": F.coalesce(F.signum(sign), F.lit(0)).cast("int"), "_risk": risk, "_calm": calm, "_opens": F.coalesce(promote, F.lit(False)) & (calm > 0) & (risk >= 0) & (F.coalesce(sign, F.lit(0)) != 0)})
 
     def step(state, row):
         thesis, strength, age, pause, doubt = state
-        side, pause = row[sign] or 0, max(0, pause - 1)
+        side, pause = row["_side"], max(0, pause - 1)
         if not thesis:
             opens = row["_opens"] and not pause
             kept = (side, 1, 0) if opens else (0, 0, 0)
@@ -331,7 +392,9 @@ def thesis_memory(df: DataFrame, sign: str, promote: str, p_bad: str, stress: st
             return (0, 0, 0, cooldown, 0), (0, 0, 0, "exit", ends[0])
         return (thesis, strength, age, pause, doubt), (thesis, strength, age, "update", _PUSHED[push])
 
-    return fold(known, lambda: (0, 0, 0, 0, 0), step, "thesis int,strength int,age int,event string,why string").drop("_risk", "_calm", "_opens")
+    held = [(t, n, age, 0, doubt) for t in (-1, 1) for n in (1, 2) for age in range(a_max) for doubt in (0, 1)]
+    states = [(0, 0, 0, pause, 0) for pause in range(cooldown + 1)] + held
+    return machine(known, states, step, "thesis int,strength int,age int,event string,why string", blocks).drop("_side", "_risk", "_calm", "_opens")
 
 
 #: What a counter of -1 (unknown), 0, 1 or 2 becomes by a row's evidence for its side.
@@ -340,7 +403,7 @@ _COUNTER = {"cleared": (0, 0, 0, 0), "lost": (-1, -1, -1, -1), "against": (0, 0,
 _BELIEF = (("unk", "unk", "s1", "s2"), ("unk", "flat", "s1", "s2"), ("l1", "l1", "l1", "s2"), ("l2", "l2", "l2", "conflict"))
 
 
-def belief(df: DataFrame, sign: str, steady: str, allowed: str) -> DataFrame:
+def belief(df: DataFrame, sign: str, steady: str, allowed: str, blocks: int | None = None) -> DataFrame:
     """b_plus, b_minus, belief: two counters from 0 to 2, -1 for unknown, and the label of the pair; see the tables above."""
     side = F.coalesce(F.col(sign), F.lit(0))
     evidence = lambda own: F.when(F.col(allowed) == -1, "cleared").when((side == 0) & ~F.coalesce(steady, F.lit(False)), "lost").when(side == 0, "neither").when(side == own, "for").otherwise("against")
@@ -350,7 +413,8 @@ def belief(df: DataFrame, sign: str, steady: str, allowed: str) -> DataFrame:
         p, m = (_COUNTER[row[c]][b + 1] for c, b in zip(("_long", "_short"), counters, strict=True))
         return (p, m), (p, m, _BELIEF[p + 1][m + 1])
 
-    return fold(known, lambda: (0, 0), step, "b_plus int,b_minus int,belief string").drop("_long", "_short")
+    states = sorted(((p, m) for p in range(-1, 3) for m in range(-1, 3)), key=lambda s: s != (0, 0))
+    return machine(known, states, step, "b_plus int,b_minus int,belief string", blocks).drop("_long", "_short")
 
 
 def intents(

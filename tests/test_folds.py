@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeflow.operators import folds as k
+from tapeflow.operators.windows import range_block
 from tapeflow.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -94,3 +95,29 @@ def test_belief_tables(spark):
     rows = [(1, True, 1), (1, True, 1), (-1, True, 1), (0, False, 0), (-1, True, 0), (-1, True, -1)]
     got = values(k.belief(tape(spark, rows, "s int, steady boolean, perm int"), "s", "steady", "perm"), "b_plus", "b_minus", "belief")
     assert got == [(1, 0, "l1"), (2, 0, "l2"), (1, 1, "l1"), (-1, -1, "unk"), (0, 1, "s1"), (0, 0, "flat")]
+
+
+@pytest.mark.parametrize("blocks", [2, 40])
+def test_one_symbol_over_many_tasks(spark, blocks):
+    """Machines give the same whether a tape is one piece or many, ties in time and a short tape among them."""
+    rng = random.Random(11)
+    tapes = [("hot", 700), ("cold", 3), (None, 50)]
+    rows = [(s, i // 3, i, rng.choice([-1, 0, 1, None]), rng.random() < 0.4, rng.random(), rng.randrange(3), rng.choice([True, False, None]), rng.choice([-1, 0, 1, 1])) for s, n in tapes for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, ts long, seq long, s int, yes boolean, p double, flips int, steady boolean, perm int")
+    df = df.withColumns({"a": F.col("p"), "b": F.pmod(F.col("p") * 7, F.lit(1.0)), "c": F.pmod(F.col("p") * 13, F.lit(1.0))})
+
+    def all_of(n):
+        out = k.thesis_memory(df, "s", "yes", "p", "p", "flips", a_max=9, cooldown=3, blocks=n)
+        out = k.belief(out, "s", "steady", "perm", blocks=n)
+        return k.ontology_gate(out, {"H": "a", "T": "b", "R": "c"}, "yes", on=0.3, margin=0.0, wait=3, blocks=n)
+
+    one, many = (sorted(map(tuple, all_of(n).collect()), key=str) for n in (1, blocks))
+    assert one == many and len(one) == 753
+    assert {r[-2] for r in one} == {"H", "T", "R"} and {"exit", "enter", "update", "none"} <= {x for r in one for x in r if isinstance(x, str)}
+    cut = df.withColumn("piece", range_block(df, "ts", blocks)).where("symbol = 'hot'")
+    assert cut.select("piece").distinct().count() > blocks // 3
+
+
+def test_machine_of_no_rows(spark):
+    df = spark.createDataFrame([], "symbol string, ts long, seq long, s int, steady boolean, perm int")
+    assert k.belief(df, "s", "steady", "perm").collect() == []
