@@ -18,15 +18,36 @@ def block_decimation(df: DataFrame, k: int, how: str = "last", x: str = "exposur
     return found.where(F.col("_k") == k).select("symbol", "block", "x", (F.col("_p") - 1).alias("ret"))
 
 
+def shuffled(i: Column, n: Column, key: Column, rounds: int = 12) -> Column:
+    """A place from 0 to n - 1 for each row number i from 0 to n - 1, another for every one: a bijection that the key chooses.
+
+    Each round pairs numbers by reflection and swaps a pair, or doesn't, by a bit of its greater number; so numbers are
+    dealt anew without any sort.  n up to 2^31.
+    """
+    prime, factor = F.lit(2147483647), F.lit(48271)
+    mix = lambda v: (F.pmod(v, prime) * factor) % prime
+
+    def swap(x: Column, r: Column) -> Column:
+        salt = mix(key * 7919 + r * 104729 + 1)
+        other = F.pmod(salt - x, n)
+        bit = F.floor(mix(mix(F.greatest(x, other) + salt) + salt) / 32768) % 2
+        return F.when(bit == 1, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.lit(rounds - 1).cast("bigint")), i.cast("bigint"), swap)
+
+
 def permutation_null(df: DataFrame, x: str, ret: str, replicates: int = 20, kappa: float = 0.001) -> DataFrame:
-    """symbol, rho, null_median, delta: edge over cost against that of returns dealt anew in each replicate by a hash."""
+    """symbol, rho, null_median, delta: edge over cost against that of returns dealt anew in each replicate.
+
+    A replicate takes a row's return from the row that `shuffled` names, by an equi-join on row numbers.
+    """
     w = tape()
-    base = df.withColumns({"_i": F.row_number().over(w), "_x0": F.lag(x).over(w), "_x": F.col(x), "_r": F.coalesce(ret, F.lit(0.0))}).where("_x0 IS NOT NULL").select("symbol", "_i", "_x0", "_x", "_r")
+    base = df.withColumns({"_x0": F.lag(x).over(w), "_x": F.col(x), "_r": F.coalesce(ret, F.lit(0.0))}).where("_x0 IS NOT NULL").withColumn("_i", F.row_number().over(w).cast("bigint") - 1).select("symbol", "_i", "_x0", "_x", "_r")
     rho = (F.sum(F.col("_x0") * F.col("_r")) / (F.sum(kappa * F.abs(F.col("_x") - F.col("_x0"))) + 1e-12)).alias("rho")
-    rows = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    in_order = rows.withColumn("_j", F.row_number().over(Window.partitionBy("symbol", "rep").orderBy("_i"))).drop("_r")
-    dealt = rows.withColumn("_j", F.row_number().over(Window.partitionBy("symbol", "rep").orderBy(F.md5(F.concat_ws("/", "rep", "_i")), "_i"))).select("symbol", "rep", "_j", "_r")
-    null = in_order.join(dealt, ["symbol", "rep", "_j"]).groupBy("symbol", "rep").agg(rho).groupBy("symbol").agg(F.percentile("rho", F.lit(0.5)).alias("null_median"))
+    sized = base.drop("_r").join(base.groupBy("symbol").agg(F.count("*").alias("_n")), "symbol")
+    rows = sized.withColumn("rep", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(replicates).cast("bigint")))).withColumn("_j", shuffled(F.col("_i"), F.col("_n"), F.col("rep")))
+    dealt = base.select("symbol", F.col("_i").alias("_j"), "_r")
+    null = rows.join(dealt, ["symbol", "_j"]).groupBy("symbol", "rep").agg(rho).groupBy("symbol").agg(F.percentile("rho", F.lit(0.5)).alias("null_median"))  # one value for each replicate
     return base.groupBy("symbol").agg(rho).join(null, "symbol").withColumn("delta", F.col("rho") - F.col("null_median"))
 
 

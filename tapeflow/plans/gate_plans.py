@@ -25,11 +25,17 @@ def e28(spark, sf_dir):
 _RHO = "sum(x0 * r) / (sum(0.001 * abs(x - x0)) + 1e-12)"
 
 
+_MIX = "((({}) % 2147483647) * 48271) % 2147483647"
+_SALT = _MIX.format("rep * 7919 + k * 104729 + 1")
+_OTHER = f"((({_SALT} - j) % n + n) % n)"
+_SWAP = f"CASE WHEN ({_MIX.format(_MIX.format(f'greatest(j, {_OTHER}) + {_SALT}') + ' + ' + _SALT)}) // 32768 % 2 = 1 THEN {_OTHER} ELSE j END"
+
+
 @query(
     "e29_permutation_null",
-    f"""|b AS (SELECT * FROM (SELECT symbol, t + 1 AS i, lag(exposure) {_W} AS x0, exposure AS x, coalesce(ret, 0) AS r FROM steps) WHERE x0 IS NOT NULL), k AS (SELECT b.*, unnest(range(1, 21)) AS rep FROM b),
-    o AS (SELECT symbol, rep, x0, x, row_number() OVER (PARTITION BY symbol, rep ORDER BY i) AS j FROM k), d AS (SELECT symbol, rep, r, row_number() OVER (PARTITION BY symbol, rep ORDER BY md5(rep || '/' || i), i) AS j FROM k),
-    n AS (SELECT o.symbol, rep, {_RHO} AS rho FROM o JOIN d USING (symbol, rep, j) GROUP BY 1, 2), m AS (SELECT symbol, quantile_cont(rho, 0.5) AS null_median FROM n GROUP BY 1), w AS (SELECT symbol, {_RHO} AS rho FROM b GROUP BY 1)
+    f"""|b AS (SELECT symbol, row_number() {_W.replace('ts, seq', 'i')} - 1 AS i, x0, x, r, count(*) OVER (PARTITION BY symbol) AS n FROM (SELECT symbol, t AS i, lag(exposure) {_W} AS x0, exposure AS x, coalesce(ret, 0) AS r FROM steps) WHERE x0 IS NOT NULL),
+    o AS (SELECT symbol, rep, x0, x, list_reduce(range(0, 12), lambda j, k: {_SWAP}, CAST(i AS BIGINT)) AS j FROM (SELECT b.*, unnest(range(1, 21)) AS rep FROM b)),
+    n AS (SELECT o.symbol, rep, sum(o.x0 * b.r) / (sum(0.001 * abs(o.x - o.x0)) + 1e-12) AS rho FROM o JOIN b ON b.symbol = o.symbol AND b.i = o.j GROUP BY 1, 2), m AS (SELECT symbol, quantile_cont(rho, 0.5) AS null_median FROM n GROUP BY 1), w AS (SELECT symbol, {_RHO} AS rho FROM b GROUP BY 1)
     SELECT symbol, rho, null_median, rho - null_median AS delta FROM w JOIN m USING (symbol)""",
     "rho null_median delta",
 )

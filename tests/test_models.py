@@ -168,3 +168,17 @@ def test_label_weights(spark):
             assert np.allclose(got[g, h], w[h], atol=1e-12)
             assert (h in learn and g != "R") == (not np.allclose(got[g, h], m.start_weights(g)[h], atol=1e-9))
     assert len(got) == 15
+
+
+def test_shuffles_are_bijections(spark):
+    """Every place once for each key, and no order is left."""
+    from tapeflow.operators.gates import shuffled
+
+    for n in (1, 2, 7, 500):
+        df = spark.range(n).withColumn("key", F.explode(F.array(*[F.lit(x).cast("bigint") for x in range(1, 9)])))
+        found = df.withColumn("j", shuffled(F.col("id"), F.lit(n).cast("bigint"), F.col("key"))).collect()
+        for key in range(1, 9):
+            own = sorted((r["id"], r["j"]) for r in found if r["key"] == key)
+            assert sorted(j for _, j in own) == list(range(n))
+            if n == 500:
+                assert abs(np.corrcoef(np.array(own).T)[0, 1]) < 0.2 and sum(i == j for i, j in own) < 10
