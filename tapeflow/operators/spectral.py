@@ -2,44 +2,109 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+from collections import deque
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import fold
 from .windows import tape, trailing
 
 
-def _window_features(values: pd.Series) -> pd.DataFrame:
-    out = np.full((len(values), 3), np.nan)
-    if len(values):
-        x = np.stack(values.to_numpy()).astype(float)
-        middle = np.median(x, axis=1, keepdims=True)
-        x = x / np.maximum(np.median(np.abs(x - middle), axis=1, keepdims=True), 1e-9)
-        total = np.abs(x).sum(1)
-        power = np.abs(np.fft.rfft(x, axis=1)) ** 2
-        out = np.stack([(x**2).mean(1), np.where(total > 1e-9, np.abs(x.sum(1)) / np.maximum(total, 1e-9), 0.0), power.max(1) / np.maximum(power.sum(1), 1e-9)], 1)
-    return pd.DataFrame(out, columns=["energy", "cancel", "spectral"])
+#: Windows that are transformed at a time.
+BLOCK = 4096
+
+
+def _window_features(x: np.ndarray) -> np.ndarray:
+    """Energy, cancellation and spectral share of each row's window."""
+    middle = np.median(x, axis=1, keepdims=True)
+    x = x / np.maximum(np.median(np.abs(x - middle), axis=1, keepdims=True), 1e-9)
+    total = np.abs(x).sum(1)
+    power = np.abs(np.fft.rfft(x, axis=1)) ** 2
+    return np.stack([(x**2).mean(1), np.where(total > 1e-9, np.abs(x.sum(1)) / np.maximum(total, 1e-9), 0.0), power.max(1) / np.maximum(power.sum(1), 1e-9)], 1)
 
 
 def spectral_features(df: DataFrame, returns: str, w1: int = 64, w2: int = 256) -> DataFrame:
-    """e1, c1, s1, e2, c2, s2 over both windows and their absolute differences; rows before a full window are left out."""
-    udf = F.pandas_udf(_window_features, "struct<energy:double,cancel:double,spectral:double>")
+    """e1, c1, s1, e2, c2, s2 over both windows and their absolute differences; rows before a full window are left out.
+
+    Rows stream through by symbol and time; a task keeps the last returns of a tape, so no row carries its window with it.
+    """
+    import pyarrow as pa
+
+    most = max(w1, w2)
+    names = [f"{k}{i}" for i in (1, 2) for k in "ecs"] + [f"delta_{k}" for k in "ecs"]
     held = df.where(F.col(returns).isNotNull())
-    for i, n in ((1, w1), (2, w2)):
-        held = held.withColumn(f"_a{i}", F.collect_list(returns).over(trailing(n)))
-    held = held.where((F.size("_a1") == w1) & (F.size("_a2") == w2)).withColumns({"_f1": udf("_a1"), "_f2": udf("_a2")})
-    names = {"e": "energy", "c": "cancel", "s": "spectral"}
-    out = {f"{k}{i}": F.col(f"_f{i}.{v}") for k, v in names.items() for i in (1, 2)}
-    out |= {f"delta_{k}": F.abs(F.col(f"_f1.{v}") - F.col(f"_f2.{v}")) for k, v in names.items()}
-    return held.withColumns(out).drop("_a1", "_a2", "_f1", "_f2")
+
+    def features(x: np.ndarray) -> np.ndarray:
+        """Of the rows from the most-th on."""
+        one, two = (_window_features(np.lib.stride_tricks.sliding_window_view(x, n)[most - n :]) for n in (w1, w2))
+        return np.hstack([one, two, np.abs(one - two)])
+
+    def run(batches):
+        at, tail = None, np.zeros(0)
+        for batch in batches:
+            symbols = np.array(batch.column("symbol").to_pylist(), object)
+            x = batch.column(returns).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.nonzero(symbols[1:] != symbols[:-1])[0] + 1).tolist(), len(x)]
+            for first, last in zip(cuts, cuts[1:]):
+                if first == last:
+                    continue
+                if symbols[first] != at:
+                    at, tail = symbols[first], np.zeros(0)
+                for start in range(first, last, BLOCK):
+                    end = min(last, start + BLOCK)
+                    known = np.concatenate([tail, x[start:end]])
+                    tail = known[-(most - 1) :] if most > 1 else known[:0]
+                    if len(known) >= most:
+                        made = features(known)
+                        rows = batch.slice(end - len(made), len(made))
+                        yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(c) for c in made.T]], names=[*rows.schema.names, *names])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields] + [f"{n} double" for n in names])
+    return held.repartition("symbol").sortWithinPartitions("symbol", "ts", "seq").mapInArrow(run, schema)
+
+
+def sliding(df: DataFrame, column: str, n: int, share: float, out: str, end: int = 0, nearest: bool = False, least: int = 1) -> DataFrame:
+    """Adds the quantile of a column's known values among the n rows that end `end` rows before each; null for fewer than `least`.
+
+    Interpolated, or of the nearest rank.  A value is put into a sorted list and taken out of it, so a row's cost doesn't follow
+    from sorting its window.
+    """
+
+    def step(state, row):
+        rows, order, due = state  # due: rows that aren't in the window yet
+        due.append(row[column])
+        if end == 0:
+            _enter(rows, order, due.popleft(), n)
+        found = None
+        if len(order) >= least:
+            at = share * (len(order) - 1)
+            low = math.floor(at + 0.5) if nearest else math.floor(at)
+            found = order[low] if nearest or low == at else order[low] + (order[low + 1] - order[low]) * (at - low)
+        if end and len(due) == end:
+            _enter(rows, order, due.popleft(), n)
+        return state, (found,)
+
+    return fold(df, lambda: (deque(), [], deque()), step, f"{out} double")
+
+
+def _enter(rows: deque, order: list, value, n: int) -> None:
+    """Takes a value into the last n rows and their sorted known values, and the oldest out."""
+    rows.append(value)
+    if value is not None:
+        insort(order, value)
+    if len(rows) > n:
+        gone = rows.popleft()
+        if gone is not None:
+            del order[bisect_left(order, gone)]
 
 
-def adaptive_threshold(score: str, rate: float, history: int, least: int, default: float) -> Column:
+def adaptive_threshold(df: DataFrame, score: str, out: str, rate: float, history: int, least: int, default: float) -> DataFrame:
     """The (1 - rate) quantile, nearest rank, of the `history` scores before the row; default until `least` are there."""
-    seen = F.sort_array(F.collect_list(score).over(trailing(history, -1)))
-    at = F.round((1 - rate) * (F.size(seen) - 1)).cast("int") + 1
-    return F.when(F.size(seen) >= least, F.element_at(seen, F.greatest(at, F.lit(1)))).otherwise(default)
+    return sliding(df, score, history, 1 - rate, out, end=1, nearest=True, least=least).withColumn(out, F.coalesce(out, F.lit(float(default))))
 
 
 def standardised_score(df: DataFrame, score: str, history: int, shrink: int, floor: float = 1e-3) -> DataFrame:

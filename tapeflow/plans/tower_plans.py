@@ -136,8 +136,8 @@ def f22(spark, sf_dir):
 )
 def f24(spark, sf_dir):
     v = w.tape()
-    df = steps(spark, sf_dir).where("ret IS NOT NULL").withColumn("vol", F.stddev_samp("ret").over(w.trailing(20)))
-    df = df.withColumn("med", F.percentile("vol", F.lit(0.5)).over(w.trailing(21)))
+    df = steps(spark, sf_dir).where("ret IS NOT NULL").select("symbol", "ts", "seq", "ret").withColumn("vol", F.stddev_samp("ret").over(w.trailing(20)))
+    df = sp.sliding(df, "vol", 21, 0.5, "med")
     trit = F.when(F.abs("ret") > 0.5 * F.col("vol"), F.signum("ret").cast("int")).otherwise(0)
     df = df.withColumn("pos", trit * F.when(F.col("vol") < 1.5 * F.col("med"), 1).otherwise(-1))
     df = df.withColumn("traded", (F.col("pos") != F.coalesce(F.lag("pos").over(v), F.lit(0))).cast("int"))
@@ -155,7 +155,7 @@ def f24(spark, sf_dir):
 )
 def k18(spark, sf_dir):
     df = sp.standardised_score(steps(spark, sf_dir).select("symbol", "ts", "seq", "ell"), "ell", 100, 50)
-    return df.select("symbol", "seq", "z", sp.adaptive_threshold("z", 0.1, 100, 20, 2.0).alias("threshold"))
+    return sp.adaptive_threshold(df, "z", "threshold", 0.1, 100, 20, 2.0).select("symbol", "seq", "z", "threshold")
 
 
 @query("f27_component_tracking")

@@ -182,3 +182,19 @@ def test_shuffles_are_bijections(spark):
             assert sorted(j for _, j in own) == list(range(n))
             if n == 500:
                 assert abs(np.corrcoef(np.array(own).T)[0, 1]) < 0.2 and sum(i == j for i, j in own) < 10
+
+
+@pytest.mark.parametrize("n, end, nearest", [(1, 0, False), (7, 0, False), (7, 1, True), (4, 3, False)])
+def test_sliding_quantiles(spark, n, end, nearest):
+    from tapeflow.operators.spectral import sliding
+
+    rng = random.Random(9)
+    rows = [(s, i, i, None if rng.random() < 0.2 else rng.randrange(20) / 4) for s in "ab" for i in range(60)]
+    found = {(r["symbol"], r["seq"]): r["q"] for r in sliding(spark.createDataFrame(rows, "symbol string, ts long, seq long, v double"), "v", n, 0.3, "q", end, nearest, least=2).collect()}
+    for s in "ab":
+        own = [v for q, _, _, v in rows if q == s]
+        for i in range(60):
+            seen = sorted(v for v in own[max(0, i - end - n + 1) : max(0, i - end + 1)] if v is not None)
+            at = 0.3 * (len(seen) - 1)
+            want = None if len(seen) < 2 else seen[math.floor(at + 0.5)] if nearest else float(np.quantile(seen, 0.3))
+            assert (found[s, i] is None) == (want is None) and (want is None or abs(found[s, i] - want) < 1e-12)
