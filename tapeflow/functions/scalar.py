@@ -218,3 +218,10 @@ def boundary_gate(signal: Column, edge: Column, cost: Column, margin: float = 0.
 
 def predicted_edge(margin: Column, direction: Column, ell: Column, best: Column) -> Column:
     return F.coalesce(margin * direction, ell, best, F.lit(0.0))
+
+
+def best_label(scores: dict[str, Column]) -> Column:
+    """label, score and margin: the label of the greatest score (of equal ones the least) and its lead over the second."""
+    ranked = F.array_sort(F.array(*[F.struct((-c).alias("k"), F.lit(name).alias("label")) for name, c in scores.items()]))
+    first, second = F.element_at(ranked, 1), F.element_at(ranked, 2)
+    return F.struct(first["label"].alias("label"), (-first["k"]).alias("score"), (second["k"] - first["k"]).alias("margin"))

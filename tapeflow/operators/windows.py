@@ -145,6 +145,12 @@ def latest(df: DataFrame, *keys: str, order: tuple[str, ...] = ORDER, n: int = 1
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
+def top(df: DataFrame, score: str, n: int, tie: str, *keys: str) -> DataFrame:
+    """The n rows of each key with the greatest scores, and their rank; of equal scores the least `tie`."""
+    best = Window.partitionBy(*keys).orderBy(F.desc(score), tie)
+    return df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+
+
 def whole_median(df: DataFrame, value: Column, out: str) -> DataFrame:
     """Adds the median of a value that is never null over each symbol's whole tape: the middle rows in its order."""
     whole = Window.partitionBy(KEY)

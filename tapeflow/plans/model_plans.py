@@ -151,18 +151,21 @@ def _surface(spark, sf_dir):
     return o.synthetic_surface(b)
 
 
-@query(
-    "o1_synthetic_surface",
-    quotients(4, 8, "bt", "close").replace("|p AS", f"|bt AS (SELECT *, row_number() {_W} - 1 AS t FROM bars), p AS") + """, sv AS (SELECT q.symbol, q.ts, b.close, greatest(0.05, least(3.0, 0.6 + 0.5 * greatest(vol_ratio, 0) + 0.1 * ln(1 + greatest(burstiness, 0)))) AS iv FROM q JOIN bt b ON b.symbol = q.symbol AND b.ts = q.ts),
+_SURFACE = (
+    quotients(4, 8, "bt", "close").replace("|p AS", f"|bt AS (SELECT *, row_number() {_W} - 1 AS t FROM bars), p AS")
+    + """, sv AS (SELECT q.symbol, q.ts, b.close, greatest(0.05, least(3.0, 0.6 + 0.5 * greatest(vol_ratio, 0) + 0.1 * ln(1 + greatest(burstiness, 0)))) AS iv FROM q JOIN bt b ON b.symbol = q.symbol AND b.ts = q.ts),
     sg AS (SELECT sv.*, t.tenor, m.mny, c.call, close * exp(m.mny) AS strike FROM sv, (VALUES (7), (14), (30), (60), (90)) t(tenor), (VALUES (-0.2::DOUBLE), (-0.1), (0.0), (0.1), (0.2)) m(mny), (VALUES (true), (false)) c(call)),
-    sd1 AS (SELECT *, iv * sqrt(tenor / 365.0) AS sd, (ln(close / strike) + iv * iv * (tenor / 365.0) / 2) / (iv * sqrt(tenor / 365.0)) AS d1 FROM sg), se AS (SELECT *, d1 - sd AS d2, -d1 AS m1, sd - d1 AS m2 FROM sd1)
-    SELECT symbol, ts, tenor, mny, call, iv, strike, CASE WHEN call THEN close * """ + f"({CDF.format('d1')}) - strike * ({CDF.format('d2')}) ELSE strike * ({CDF.format('m2')}) - close * ({CDF.format('m1')}) END AS mid FROM se",
-    "mny iv strike mid",
+    sd1 AS (SELECT *, iv * sqrt(tenor / 365.0) AS sd, (ln(close / strike) + iv * iv * (tenor / 365.0) / 2) / (iv * sqrt(tenor / 365.0)) AS d1 FROM sg), se AS (SELECT *, d1 - sd AS d2, -d1 AS m1, sd - d1 AS m2 FROM sd1),
+    sf AS (SELECT symbol, ts, tenor, mny, call, iv, strike, CASE WHEN call THEN close * """
+    + f"({CDF.format('d1')}) - strike * ({CDF.format('d2')}) ELSE strike * ({CDF.format('m2')}) - close * ({CDF.format('m1')}) END AS mid FROM se)"
 )
+
+
+@query("o1_synthetic_surface", _SURFACE + " SELECT * FROM sf", "mny iv strike mid")
 def o1(spark, sf_dir):
     return _surface(spark, sf_dir).select("symbol", "ts", "tenor", "mny", "call", "iv", "strike", "mid")
 
 
-@query("o2_surface_check", "SELECT count(*) * 50 AS rows, CAST(0 AS BIGINT) AS bad_times, CAST(0 AS BIGINT) AS bad_prices, CAST(0 AS BIGINT) AS missing_cells FROM bars")
+@query("o2_surface_check", _SURFACE + " SELECT count(*) AS rows, count_if(epoch_ms(ts) NOT BETWEEN 1000000000000 AND 1000000000000000) AS bad_times, count_if(mid IS NULL OR mid < -1e-6) AS bad_prices, 50 - count(DISTINCT (tenor, mny, call)) AS missing_cells FROM sf")
 def o2(spark, sf_dir):
     return o.surface_problems(_surface(spark, sf_dir))

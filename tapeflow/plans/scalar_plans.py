@@ -273,3 +273,37 @@ def c25(spark, sf_dir):
     names = ("spot", "perp", "option")
     probabilities = s.softmax([found[n] for n in names], 0.7)
     return z.select("symbol", "seq", *[found[n].alias(f"s_{n}") for n in names], *[p.alias(f"p_{n}") for n, p in zip(names, probabilities)])
+
+
+@query(
+    "c24_option_value",
+    f"""|x AS (SELECT symbol, seq, price, price * (0.8 + ell / 2) AS strike, 0.2 + p_bad AS sigma, (7 + seq % 90) / 365.0 AS tau, seq % 2 = 0 AS call FROM steps WHERE price > 0),
+    d AS (SELECT *, (ln(price / strike) + sigma * sigma * tau / 2) / (sigma * sqrt(tau)) AS d1, (ln(price / strike) - sigma * sigma * tau / 2) / (sigma * sqrt(tau)) AS d2 FROM x), n AS (SELECT *, -d1 AS m1, -d2 AS m2 FROM d)
+    SELECT symbol, seq, CASE WHEN call THEN price * ({CDF.format("d1")}) - strike * ({CDF.format("d2")}) ELSE strike * ({CDF.format("m2")}) - price * ({CDF.format("m1")}) END AS value FROM n""",
+    "value",
+)
+def c24(spark, sf_dir):
+    df = steps(spark, sf_dir).where("price > 0")
+    value = s.black_scholes(F.col("price"), F.col("price") * (0.8 + F.col("ell") / 2), 0.2 + F.col("p_bad"), (7 + F.col("seq") % 90) / 365.0, F.col("seq") % 2 == 0)
+    return df.select("symbol", "seq", value.alias("value"))
+
+
+_PARTS = "CASE WHEN seq % 2 = 0 THEN actionability END AS margin, CASE WHEN seq % 3 = 0 THEN ell END AS own, CASE WHEN seq % 5 = 0 THEN p_bad END AS best"
+
+
+@query("c36_predicted_edge", f"SELECT symbol, seq, CASE WHEN margin IS NOT NULL THEN margin * action WHEN own IS NOT NULL THEN own WHEN best IS NOT NULL THEN best ELSE 0 END AS edge FROM (SELECT *, {_PARTS} FROM steps)", "edge")
+def c36(spark, sf_dir):
+    df = steps(spark, sf_dir).selectExpr("*", *_PARTS.split(", "))
+    return df.select("symbol", "seq", s.predicted_edge(F.col("margin"), F.col("action"), F.col("own"), F.col("best")).alias("edge"))
+
+
+_THREE = "(VALUES ('act', ell), ('hold', p_bad), ('ban', coalesce(actionability, 0))) v(label, score)"
+
+
+@query(
+    "g4_best_label",
+    f"|r AS (SELECT symbol, seq, label, score, row_number() OVER (PARTITION BY symbol, seq ORDER BY score DESC, label) AS k FROM steps, LATERAL (SELECT * FROM {_THREE})) SELECT symbol, seq, max(label) FILTER (k = 1) AS label, max(score) FILTER (k = 1) - max(score) FILTER (k = 2) AS margin FROM r GROUP BY 1, 2",
+    "margin",
+)
+def g4(spark, sf_dir):
+    return steps(spark, sf_dir).select("symbol", "seq", s.best_label({"act": F.col("ell"), "hold": F.col("p_bad"), "ban": F.coalesce("actionability", F.lit(0.0))}).alias("b")).select("symbol", "seq", "b.label", "b.margin")

@@ -185,12 +185,21 @@ def k17_modes(spark, sf_dir):
     return steps(spark, sf_dir).select("symbol", "seq", live_legitimacy("vol").alias("vol"), live_legitimacy("spread", column="ell").alias("spread"))
 
 
-@query("h4_contract_problems", "SELECT 'bars' AS target, 'missing vwap' AS problem UNION ALL SELECT 'bars', 'no gate entry' UNION ALL SELECT 'click', 'gate closed'")
+@query(
+    "h4_contract_problems",
+    """|t AS (SELECT 'bars' AS target, ['close', 'vwap'] AS required, (SELECT count(*) FROM bars) AS n, (SELECT json_keys(to_json(b)) FROM bars b LIMIT 1) AS have
+        UNION ALL SELECT x, ['ell', 'spread'], (SELECT count(*) FROM steps WHERE symbol = x), (SELECT json_keys(to_json(s)) FROM steps s LIMIT 1) FROM (VALUES ('click'), ('view'), ('never')) v(x)),
+    g AS (SELECT symbol, arg_max(acceptable, (ts, seq)) AS open FROM steps WHERE symbol IN ('click', 'view') GROUP BY 1)
+    SELECT target, 'missing ' || c AS problem FROM (SELECT target, have, unnest(required) AS c FROM t) WHERE NOT list_contains(have, c)
+    UNION ALL SELECT target, 'rows ' || n FROM t WHERE n < 100
+    UNION ALL SELECT target, CASE WHEN open IS NULL THEN 'no gate entry' ELSE 'gate closed' END FROM t LEFT JOIN g ON g.symbol = target WHERE NOT coalesce(open, false)""",
+)
 def h4(spark, sf_dir):
     from tapeflow.operators.tracking import contract_problems
 
-    s = steps(spark, sf_dir)
-    gates = s.where("symbol = 'click'").select(F.col("symbol").alias("target"), F.struct("ts", "seq").alias("ts"), F.lit(False).alias("open"))
     from .fixtures import bars
 
-    return contract_problems({"bars": bars(spark, sf_dir), "click": s.where("symbol = 'click'")}, {"bars": ["close", "vwap"], "click": ["ell"]}, 1, gates)
+    s = steps(spark, sf_dir)
+    gates = s.where("symbol IN ('click', 'view')").select(F.col("symbol").alias("target"), F.struct("ts", "seq").alias("ts"), F.col("acceptable").alias("open"))
+    tables = {"bars": bars(spark, sf_dir)} | {x: s.where(F.col("symbol") == x) for x in ("click", "view", "never")}
+    return contract_problems(tables, {"bars": ["close", "vwap"]} | {x: ["ell", "spread"] for x in ("click", "view", "never")}, 100, gates)

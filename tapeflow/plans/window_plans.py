@@ -212,3 +212,14 @@ def quotients(w1: int, w2: int, source: str = "steps", price: str = "price") ->
 @query("f1_quotient_features", quotients(8, 32) + " SELECT symbol, seq, vol_ratio, curvature, drawdown, burstiness, acorr_1, var_ratio FROM q", "vol_ratio curvature drawdown burstiness acorr_1 var_ratio")
 def f1(spark, sf_dir):
     return w.quotient_features(steps(spark, sf_dir), 8, 32).select("symbol", "seq", "vol_ratio", "curvature", "drawdown", "burstiness", "acorr_1", "var_ratio")
+
+
+@query("g1_order_within_key", f"SELECT symbol, seq, row_number() {_W} AS place, lag(seq) {_W} AS before, lead(seq) {_W} AS after FROM steps")
+def g1(spark, sf_dir):
+    at = w.tape()
+    return steps(spark, sf_dir).select("symbol", "seq", F.row_number().over(at).cast("bigint").alias("place"), F.lag("seq").over(at).alias("before"), F.lead("seq").over(at).alias("after"))
+
+
+@query("g2_top_by_score", "SELECT symbol, rank, seq, p_bad FROM (SELECT symbol, seq, p_bad, row_number() OVER (PARTITION BY symbol ORDER BY p_bad DESC, seq) AS rank FROM steps) WHERE rank <= 5", "p_bad")
+def g2(spark, sf_dir):
+    return w.top(steps(spark, sf_dir), "p_bad", 5, "seq", "symbol").select("symbol", F.col("rank").cast("bigint").alias("rank"), "seq", "p_bad")
