@@ -8,7 +8,8 @@ equally likely.  A text ends with the byte FF, which UTF-8 never uses and which
 
 Counts are made in tasks and summed by Spark.  What a byte costs follows from the run of ORDER + 1 bytes that ends at it, so
 every text adds up the costs of its runs: those of the most frequent runs go to every task, all others are joined.  Costs
-are made in groups of runs whose contexts end alike, each from all counts that they depend on.
+are made in groups of runs whose contexts end alike, each from all counts that they depend on.  A cost is a whole number of
+units of 2^-26, so that a text's score is a sum of integers, the same in any order and however the costs came to its task.
 """
 
 from __future__ import annotations
@@ -26,8 +27,11 @@ from .common import mapped, stored, text_slices, worker_cache
 ORDER = 5
 #: Byte runs whose costs go to every task, the most frequent ones; all others are looked up by a join.
 MOST_NODES = 3_000_000
-#: Groups that runs are dealt to by the last two bytes of their contexts.
-GROUPS = 1024
+#: Bytes at the end of a context that runs are dealt to groups by, and groups at least; there is one for each GROUP_RUNS runs.
+ENDING = 3
+GROUPS, GROUP_RUNS = 1024, 10_000
+#: Costs are whole numbers of these units.
+UNIT = 2.0**-26
 #: Words whose counts go to every task, the most frequent ones; all others are looked up by a join.
 HEAD_WORDS = 200_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -158,10 +162,9 @@ class Trie:
 def hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.uint64]:
     """An open-addressing hash table of distinct keys: keys, values, shift."""
     bits = max(4, int(len(keys) * 2).bit_length())
-    slots, costs = np.full(1 << bits, _EMPTY), np.zeros(1 << bits, np.float32)
+    slots, costs = np.full(1 << bits, _EMPTY), np.zeros(1 << bits, values.dtype)
     shift = np.uint64(64 - bits)
     at, left = (keys * _SPREAD) >> shift, np.arange(len(keys))
-    values = values.astype(np.float32)
     while len(left):
         place = at[left]
         free = slots[place] == _EMPTY
@@ -176,7 +179,7 @@ def hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def probe(table: tuple, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The costs of runs by a table, and the places of those that it lacks (cost 0)."""
     slots, costs, shift = table
-    out = np.zeros(len(gram))
+    out = np.zeros(len(gram), np.int64 if costs.dtype.kind == "i" else float)
     at, left, missing = (gram * _SPREAD) >> shift, np.arange(len(gram)), []
     last = np.uint64(len(slots) - 1)
     while len(left):
@@ -200,46 +203,53 @@ def lookup(trie: Trie, table: tuple, gram: np.ndarray) -> np.ndarray:
     return out
 
 
-def group_trie(pairs: tuple[np.ndarray, np.ndarray], gram: np.ndarray, n: np.ndarray) -> Trie:
+def group_trie(short: tuple[np.ndarray, np.ndarray], gram: np.ndarray, n: np.ndarray) -> Trie:
     """The trie of runs whose contexts end alike.
 
-    pairs: the counts of all runs of two bytes, for orders 0 and 1.  A longer context shares its last two bytes with all of
-    its own endings of two bytes or more, so the group's runs make up all that the orders above depend on.
+    short: the counts of all runs of ENDING bytes, for the orders below ENDING.  A longer context shares its last ENDING bytes
+    with all of its own endings of as many bytes or more, so the group's runs make up all that the orders above depend on.
     """
-    levels = [_summed([(pairs[0] & np.uint64(0xFF), pairs[1])]), _summed([pairs])]
-    levels += [_summed([(gram & np.uint64((1 << 8 * (m + 1)) - 1), n)]) for m in range(2, ORDER + 1)]
+    levels = [_summed([(short[0] & np.uint64((1 << 8 * (m + 1)) - 1), short[1])]) for m in range(ENDING)]
+    levels += [_summed([(gram & np.uint64((1 << 8 * (m + 1)) - 1), n)]) for m in range(ENDING, ORDER + 1)]
     return Trie([g for g, _ in levels], [c for _, c in levels])
 
 
-def run_costs(longest: DataFrame, asked: DataFrame) -> DataFrame:
-    """gram, cost of every run of asked (distinct), by the model of longest (gram, n: all runs of the training texts)."""
-    found = longest.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
-    pairs = longest.sparkSession.sparkContext.broadcast((found.column("gram").to_numpy().astype(np.uint64), found.column("n").to_numpy()))
-    schema = pa.schema([("gram", pa.int64()), ("cost", pa.float64())])
+def run_costs(longest: DataFrame, asked: DataFrame, n_runs: int) -> DataFrame:
+    """gram, cost (in units) of every run of asked (distinct), by the model of longest (gram, n: all n_runs runs of the texts)."""
+    found = longest.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * ENDING) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    short = longest.sparkSession.sparkContext.broadcast((found.column("gram").to_numpy().astype(np.uint64), found.column("n").to_numpy()))
+    schema = pa.schema([("gram", pa.int64()), ("cost", pa.int64())])
 
     def make(group: pa.Table) -> pa.Table:
         gram, known = group.column("gram").to_numpy().view(np.uint64), group.column("n").is_valid().to_numpy()
-        trie = group_trie(pairs.value, gram[known], group.column("n").drop_null().to_numpy().astype(np.int64))
+        trie = group_trie(short.value, gram[known], group.column("n").drop_null().to_numpy().astype(np.int64))
         own = gram[~known]
-        return pa.table([own.view(np.int64), trie.cost(own)], schema=schema)
+        return pa.table([own.view(np.int64), np.rint(trie.cost(own) / UNIT).astype(np.int64)], schema=schema)
 
     every = longest.select("gram", "n").unionByName(asked.select("gram", F.lit(None).cast("long").alias("n")))
-    ending = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    return every.withColumn("ending", F.pmod(F.hash(ending), F.lit(GROUPS))).groupBy("ending").applyInArrow(make, "gram long, cost double")
+    ending = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * ENDING) - 1))
+    groups = max(GROUPS, n_runs // GROUP_RUNS)
+    return every.withColumn("ending", F.pmod(F.hash(ending), F.lit(groups))).groupBy("ending").applyInArrow(make, "gram long, cost long")
 
 
-def head_costs(longest: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs and their costs: all that are seen at least as often as fits `most` runs."""
+def frequent(counts: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """The rows of counts (column n) that are seen at least as often as fits `most` rows, and how many rows there are in all."""
     least = 1
-    frequencies = longest.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect()
-    held = 0
-    for r in frequencies:
-        held += r["count"]
-        if held > most:
-            least = r["n"] + 1
-            break
-    found = run_costs(longest, longest.where(F.col("n") >= least)).select("gram", F.col("cost").cast("float").alias("cost")).toArrow()
-    return found.column("gram").to_numpy().astype(np.uint64), found.column("cost").to_numpy()
+    held = total = 0
+    for r in counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect():
+        total += r["count"]
+        if held <= most:
+            held += r["count"]
+            if held > most:
+                least = r["n"] + 1
+    return counts.where(F.col("n") >= least), total
+
+
+def head_costs(longest: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The runs of frequent(longest, most) and their costs, and how many runs there are."""
+    head, n_runs = frequent(longest, most)
+    found = run_costs(longest, head, n_runs).select("gram", F.col("cost").cast("int").alias("cost")).toArrow()
+    return found.column("gram").to_numpy().astype(np.uint64), found.column("cost").to_numpy(), n_runs
 
 
 def score_texts(docs: DataFrame, training, order_nodes: int = MOST_NODES, head: int = HEAD_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,12 +265,13 @@ def score_texts(docs: DataFrame, training, order_nodes: int = MOST_NODES, head:
     counts = stored(training_counts(rows.where(~F.col("held_out"))), "ppm-counts")
     words = counts.where("word IS NOT NULL").select("word", "n")
     n_all, n_kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = {bytes(r["word"]): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(head).collect()}
-    ends = frequent.pop(b"", None)
-    if ends is None:
-        ends = words.where(F.length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ends = words.where(F.length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    usual = frequent(words.where(F.length("word") > 0), head)[0].toArrow()
+    logs = dict(zip(usual.column("word").to_pylist(), np.log10(usual.column("n").to_numpy() + 1.0).tolist(), strict=True))
     longest = counts.where("gram IS NOT NULL").select("gram", "n")
-    model = spark.sparkContext.broadcast((*head_costs(longest, order_nodes), {w: float(np.log10(n + 1)) for w, n in frequent.items()}))
+    *table, n_runs = head_costs(longest, order_nodes)
+    model = spark.sparkContext.broadcast((*table, logs))
+    del usual, logs, table
     stamp = f"ppm-{uuid.uuid4().hex}"
     end_value, end_known = float(np.log10(ends + 1)), int(ends > 0)
 
@@ -283,7 +294,7 @@ def score_texts(docs: DataFrame, training, order_nodes: int = MOST_NODES, head:
         gram = gram[keep]
         cost, absent = probe(costs, gram)
         lengths = end - begin + 1
-        score = -np.add.reduceat(cost, np.cumsum(lengths) - lengths)
+        units = np.add.reduceat(cost, np.cumsum(lengths) - lengths)
         of = np.repeat(np.arange(len(texts)), lengths)[absent]
         sort = np.lexsort((gram[absent], of))
         of, own = of[sort], gram[absent][sort]
@@ -291,19 +302,19 @@ def score_texts(docs: DataFrame, training, order_nodes: int = MOST_NODES, head:
         offsets = pa.array(np.searchsorted(of[first], np.arange(len(texts) + 1)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (own[first].view(np.int64), np.diff(np.append(first, len(own))).astype(np.int64))]
         out = {c: batch.column(c) for c in ("row", "doc_id", "held_out")}
-        return out | {"n_tokens": n, "known": known, "base": base, "score": score, "rare": rare, "gram": lists[0], "times": lists[1]}
+        return out | {"n_tokens": n, "known": known, "base": base, "units": units, "rare": rare, "gram": lists[0], "times": lists[1]}
 
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    scored = stored(mapped(numbered, "text", make, "row long,doc_id long,held_out boolean,n_tokens long,known long,base double,score double,rare array<binary>,gram array<long>,times array<long>", most=1_000_000), "ppm-scored")
+    scored = stored(mapped(numbered, "text", make, "row long,doc_id long,held_out boolean,n_tokens long,known long,base double,units long,rare array<binary>,gram array<long>,times array<long>", most=1_000_000), "ppm-scored")
     found = scored.select("row", F.explode("rare").alias("word")).join(words, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count("*").alias("more_known"))
     pairs = scored.select("row", F.explode(F.arrays_zip("gram", "times")).alias("p")).select("row", "p.gram", "p.times")
-    costs = run_costs(longest, pairs.select("gram").distinct())
+    costs = run_costs(longest, pairs.select("gram").distinct(), n_runs)
     rest = pairs.join(costs, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("cost")).alias("rest"))
     log_all = float(np.log10(n_all + n_kinds + 1))
     return scored.drop("rare", "gram", "times").join(found, "row", "left").join(rest, "row", "left").select(
         F.col("doc_id").alias(key), "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(log_all)).alias("base_score"),
-        (F.col("score") - F.coalesce("rest", F.lit(0.0))).alias("score"),
+        (-(F.col("units") + F.coalesce("rest", F.lit(0))) * F.lit(UNIT)).alias("score"),
     )
 
 

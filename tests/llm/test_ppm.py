@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from tapeflow.llm.ppm import ORDER, Trie, fold, lookup, score_texts
+from tapeflow.llm.ppm import ENDING, GROUPS, ORDER, Trie, fold, lookup, score_texts, training_counts
 
 SCHEMA = "doc_id long, text string, score string"
 
@@ -96,3 +96,18 @@ def test_rare_runs_score_as_with_the_whole_table(spark):
     for most in (0, 1, 60):
         for r in score_texts(docs, fold() != 2, order_nodes=most).collect():
             assert math.isclose(r["score"], model.score(lower(dict(t[:2] for t in TEXTS)[r["doc_id"]]).encode()), rel_tol=1e-5, abs_tol=1e-4)
+
+
+def test_scores_are_the_same_however_costs_come(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    one, *others = (sorted(map(tuple, score_texts(docs, fold() != 2, order_nodes=n).select("doc_id", "score").collect())) for n in (3_000_000, 0, 5000))
+    assert len(one) == 200 and all(x == one for x in others)
+
+
+def test_runs_are_dealt_evenly(spark):
+    """The largest group, which one task has to hold, is less than a hundredth of all runs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    longest = training_counts(docs).where("gram IS NOT NULL")
+    ending = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * ENDING) - 1))
+    sizes = sorted(r["count"] for r in longest.groupBy(F.pmod(F.hash(ending), F.lit(GROUPS))).count().collect())
+    assert sum(sizes) > 50_000 and sizes[-1] < 0.01 * sum(sizes)
