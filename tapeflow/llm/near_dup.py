@@ -254,15 +254,8 @@ def _named(members: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named, stored(modes.select("bucket", F.col("most.label").alias("mode"), "members", (F.col("members") - F.col("most.size")).alias("apart")), "neardup-modes")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, weight: str = "set", bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, class_id (the least key of its group), n_shingles of every row.
-
-    Words are runs of ASCII digits and letters, lower-cased, and other bytes over 7F; elements are runs of `size` words.
-    Texts without words, null ones among them, are groups of their own; rows of one key are one document; a null key
-    has a null class.  A pair of similarity s shares a bucket with probability 1 - (1 - s^rows)^bands, over 0.99999 for
-    0.8 and the defaults.
-    """
-    rows_ = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def grouped_rows(rows_: DataFrame, least: float, size: int, weight: str, bands: int, rows: int) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its group), n of every row; rows of one doc_id have equal texts."""
     signed = stored(sign(rows_, size, weight, bands, rows), "neardup-signed")
     full = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = stored(full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "neardup-classes")
@@ -311,15 +304,55 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, weight:
     found = own.where("n > 0").join(F.broadcast(grouped.where(frequent).drop("size").withColumnRenamed("class_id", "large")), on, "left")
     rest = found.where("large IS NULL").drop("large").join(grouped.where(~frequent).drop("size"), on, "left").select("doc_id", "n", "class_id")
     found = rest.unionByName(found.where("large IS NOT NULL").select("doc_id", "n", F.col("large").alias("class_id"))).unionByName(own.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("class_id")))
-    return found.select(F.col("doc_id").alias(key), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.col("n").alias("n_shingles"))
+    return found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), "n")
+
+
+def _parted(rows_: DataFrame) -> DataFrame | None:
+    """doc_id, of keys that rows with different texts share; None if there are none."""
+    texts = rows_.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    found = stored(texts.where("a <> b").select("doc_id"), "neardup-parted")
+    return found if found.limit(1).count() else None
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs whose key is the least of its group: same columns, texts whole.  Rows of a null key stay."""
-    found = stored(near_duplicates(docs, key=key, **options).select(F.col(key).alias(key), "class_id"), "neardup-groups")
+def near_duplicates(docs: DataFrame, least: float = 0.8, size: int = 5, weight: str = "set", bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, class_id (the least key of its group), n_shingles of every row.
+
+    Words are runs of ASCII digits and letters, lower-cased, and other bytes over 7F; elements are runs of `size` words.
+    Texts without words, null ones among them, are groups of their own; a null key has a null class.  Rows of one key are in
+    one group, whatever their texts, each of which has its own links; n_shingles is that of a row's own text.  A pair
+    of similarity s shares a bucket with probability 1 - (1 - s^rows)^bands, over 0.99999 for 0.8 and the defaults.
+    """
+    rows_ = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    parted = _parted(rows_)
+    if parted is None:
+        return grouped_rows(rows_, least, size, weight, bands, rows).select(F.col("doc_id").alias(key), "class_id", F.col("n").alias("n_shingles"))
+    # Texts of a key with several go by a number of their own; in the end their groups are tied by the key.
+    few = parted.count() <= MOST_BROADCAST
+    marked = rows_.join((F.broadcast(parted) if few else parted).withColumn("parted", F.lit(True)), "doc_id", "left")
+    own = F.when(F.col("parted"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    named = stored(marked.where("parted").select(own.alias("node"), F.col("doc_id").alias("name")).distinct(), "neardup-named-texts")
+    found = stored(grouped_rows(marked.select(own.alias("doc_id"), "text"), least, size, weight, bands, rows), "neardup-found")
+    nodes = found.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "class_id").distinct()
+    of = stored(nodes.join(F.broadcast(named) if named.count() <= MOST_BROADCAST else named, "node", "left").select("node", "class_id", F.coalesce("name", "node").alias("name"), F.col("name").isNotNull().alias("parted")), "neardup-nodes")
+    ties = of.where("parted").groupBy("name").agg(F.min("class_id").alias("a"), F.collect_set("class_id").alias("bs")).select("a", F.explode("bs").alias("b")).where("a <> b")
+    label = components(stored(ties, "neardup-ties")).select(F.col("node").alias("class_id"), "label")
+    tied = of.join(label, "class_id", "left").withColumn("group", F.coalesce("label", "class_id"))
+    least_name = tied.groupBy("group").agg(F.min("name").alias("least"))
+    names = stored(tied.join(least_name, "group").select(F.col("node").alias("doc_id"), "name", F.col("least").alias("class_id")), "neardup-names")
+    return found.drop("class_id").join(names, "doc_id", "left").select(F.col("name").alias(key), "class_id", F.col("n").alias("n_shingles"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs whose key is the least of its group: same columns, texts whole.
+
+    Rows of a null key stay.  Of several rows of such a key one stays, that with the least SHA-256 of its text.
+    """
+    found = stored(near_duplicates(docs, key=key, text=text, **options).select(F.col(key).alias(key), "class_id"), "neardup-groups")
     dropped = stored(found.where(F.col(key) != F.col("class_id")).select(key).distinct(), "neardup-dropped")
     kept = among(docs, dropped, key, "left_anti").select(docs.columns)
-    repeated = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count()
-    if not repeated:
+    repeated = stored(found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "neardup-repeated")
+    if not repeated.limit(1).count():
         return kept
-    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
+    several = among(kept, repeated, key, "left_semi")
+    one = several.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.sha2(text, 256), F.lit(""))).alias("_row")).select("_row.*")
+    return among(kept, repeated, key, "left_anti").unionByName(one)

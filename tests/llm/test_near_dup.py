@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -64,6 +66,21 @@ def test_keeps_the_least_of_each_class(spark):
     assert sorted((r[0] for r in kept.collect()), key=lambda x: (x is None, x)) == expected
 
 
+def test_rows_of_one_key_with_different_texts(spark):
+    """Every text has its links, and all rows of a key are in one group."""
+    rng = np.random.default_rng(5)
+    a, b, c, d = (" ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)) for _ in range(4))
+    rows = [(7, a, "x"), (7, b, "x"), (2, a + " more", "x"), (3, b + " more", "x"), (4, c, "x"), (5, c + " x", "x"), (9, d, "x"), (9, d, "x"), (8, None, "x"), (8, d + " y", "x"), (None, a, "x"), (6, "", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    found = sorted(((r["doc_id"], r["class_id"], r["n_shingles"]) for r in near_duplicates(docs).collect()), key=str)
+    want = [(7, 2, 56), (7, 2, 56), (2, 2, 57), (3, 2, 57), (4, 4, 56), (5, 4, 57), (9, 8, 56), (9, 8, 56), (8, 8, 0), (8, 8, 57), (None, None, 56), (6, 6, 0)]
+    assert found == sorted(want, key=str)
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    first = min((None, d + " y"), key=lambda t: "" if t is None else hashlib.sha256(t.encode()).hexdigest())
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(2, a + " more", "x"), (4, c, "x"), (8, first, "x"), (None, a, "x"), (6, "", "x")], key=str)
+
+
 @pytest.mark.parametrize("weight", ["set", "count"])
 def test_coordinates_agree_as_weighted_jaccard(weight):
     rng = np.random.default_rng(2)
