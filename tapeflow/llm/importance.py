@@ -166,7 +166,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = 0.5, seed: int =
     """Candidates: key, n_grams, log_weight, gumbel_key, sampled (among the share of candidates of the highest keys).
 
     Rows that fall short of the limit, null and empty texts among them, are left out.  Equal keys at the k-th place are
-    all sampled, so repeated rows fare alike.
+    all sampled, so repeated rows fare alike; rows without a key share one noise, so their weights alone order them.
     """
     model = fit(docs, labels, key=key, text=text)
     weighed = weigh(docs, model, key, text)

@@ -1,7 +1,7 @@
 """Toxicity: a linear-chain conditional random field tags toxic words; its marginals give document scores and offsets.
 
 Labels mark documents, so tokens get theirs first: a word or word beginning that stands in many labelled toxic documents
-and in hardly any clean one marks its tokens as toxic.  The field (two states, features: word and its first 3 to 6
+and in hardly any clean one marks its tokens as toxic.  The field (two states, features: word and its first 3 to 8
 letters) is fitted to these labelled tokens.  In every document, which is one chain, forward-backward gives each word's probability to be toxic; a document's score is a logistic function of the largest log odds, the
 expected number of toxic words and the number of words, and neighbouring words over one half are its offending spans.
 """
