@@ -6,7 +6,8 @@ the sink: a block is judged by its text, an element by its tag, role and class n
 Edges keep labels smooth: between neighbours in the page, heavier the closer they stand in the DOM, and between an element
 and what it holds.  The maximum flow's cut is the labelling of least total cost, and blocks on the source's side are the
 text.  So neither mark decides alone: a mark outweighs the text of its blocks, long texts outweigh their short neighbours,
-and an article that holds little of a page's text doesn't outweigh the rest.
+and an article that holds little of a page's text doesn't outweigh the rest.  Where pages have no marks, texts and links, and the
+part of the page that most of its words stand in, tell its article from what is around it.
 """
 
 from __future__ import annotations
@@ -48,12 +49,15 @@ _SCALE = 1000
 
 
 #: What fit_costs finds on pages that hold articles, adverts, menus and footers: evidence for content is positive.
-WEIGHTS = {"bias": -0.243, "words": 0.534, "links": -1.026, "heading": 0.493, "item": -1.026, "marked": -1.731, "article": 1.376, "outside": -1.716}
+WEIGHTS = {"bias": -0.196, "words": 0.546, "links": -1.016, "heading": 0.473, "item": -1.016, "apart": -1.174, "marked": -1.693, "article": 1.333, "outside": -1.174}
 #: A text's cost at most, an element's pull on each block beneath it, and the pull of neighbours in one element: a mark
 #: outweighs text and pulls together, and a pull outweighs a text.
 TEXT_MOST, PULL, NEAR = 0.6, 1.5, 0.6
 
 
+#: What share of a page's words an element holds that is taken for the page's main part.
+BULK = 0.6
+
 #: Levels of the DOM; deeper elements stand side by side on the last one, as in browsers, which limit the depth too.
 MOST_DEPTH = 128
 
@@ -71,6 +75,7 @@ class Page:
     def __init__(self):
         self.blocks: list[Block] = []
         self.parent, self.depth, self.marked, self.article = [-1], [0], [False], [False]
+        self.bulk = 0  # the main part, which features finds
 
     def add(self, parent: int, marked: bool, article: bool) -> int:
         if self.depth[parent] >= MOST_DEPTH:
@@ -296,9 +301,31 @@ def _source_side(nodes: list[int], scores: list[int], near: list[dict[int, int]]
                 level[i] = -5
 
 
+def main_part(page: Page, words: list[int]) -> int:
+    """The innermost element that holds most of a page's words (by block) in more than one text; 0 if none but the page does.
+
+    From the page on, the element beneath that holds BULK of the words is gone into, as long as there is one.
+    """
+    n, parent = len(page.parent), page.parent
+    held, texts = [0] * n, [0] * n
+    for w, b in zip(words, page.blocks):
+        held[b.holder] += w
+        texts[b.holder] = 1
+    for i in range(n - 1, 0, -1):
+        held[parent[i]] += held[i]
+        texts[parent[i]] += texts[i]
+    best = 0
+    for i in range(1, n):  # in page order, so an element comes after the one around it
+        if parent[i] == best and held[i] >= BULK * held[0] and texts[i] > 1:
+            best = i
+    return best
+
+
 def features(page: Page) -> tuple[list[dict[str, float]], list[dict[str, float]]]:
-    """What the classifier knows of each block, by its text, and of each element, by its markup.
+    """What the classifier knows of each block, by its text and place, and of each element, by its markup.
 
+    A block is apart if it stands outside of the page's main part (main_part), which no mark has a say in but that words beneath
+    marks don't count.
     Articles count as far as they hold more than half of the words that no mark covers, and so does standing outside:
     in a part of the page that holds no article beside one that does.
     """
@@ -314,8 +341,14 @@ def features(page: Page) -> tuple[list[dict[str, float]], list[dict[str, float]]
     free = sum(w for w, b in zip(words, blocks) if not covered[b.holder])
     reach = max(0.0, 2 * sum(w for w, b in zip(words, blocks) if inside[b.holder] and not covered[b.holder]) / free - 1) if free else 0.0
     of_blocks, of_elements = [], []
+    bulk = page.bulk = main_part(page, [0 if covered[b.holder] else w for w, b in zip(words, blocks)])
+    within = [i == bulk for i in range(n)]
+    for i in range(1, n):
+        within[i] |= within[parent[i]]
     for w, b in zip(words, blocks):
         found = {"bias": 1.0, "words": min(math.log2(w), 5.0), "links": b.linked, "heading": float(b.tag in _HEADINGS), "item": float(b.tag == "li")}
+        if bulk and not within[b.holder]:
+            found["apart"] = 1.0
         if reach and holds[b.holder] and not inside[b.holder]:
             found["outside"] = reach
         of_blocks.append(found)
@@ -338,14 +371,14 @@ def cost(found: dict[str, float], weights: dict[str, float]) -> float:
 
 
 _TEXT = ("bias", "words", "links", "heading", "item")
-_MARKUP = ("marked", "article", "outside")
+_MARKUP = ("apart", "marked", "article", "outside")
 
 
 def graph(page: Page, weights: dict[str, float] = WEIGHTS) -> tuple[list[int], list[tuple[int, int, int]]]:
     """Capacities to the terminals (positive: source) and edges: blocks are nodes 0.., elements follow.
 
-    An element counts once for each block beneath it, in its cost and in its edge to the element around it.  Marked elements
-    have no such edge, as what they hold tells nothing of what stands around them, and the page as a whole has no label.
+    An element counts once for each block beneath it, in its cost and in its edge to the element around it.  Marked elements and
+    the main part have no such edge, as what they hold tells nothing of what stands around them, and the page as a whole has no label.
     """
     blocks, n, parent = page.blocks, len(page.blocks), page.parent
     of_blocks, of_elements = features(page)
@@ -358,7 +391,7 @@ def graph(page: Page, weights: dict[str, float] = WEIGHTS) -> tuple[list[int], l
     scores += [round(_SCALE * cost(f, weights) * m) if f else 0 for f, m in zip(of_elements, beneath)]
     pull = round(_SCALE * PULL)
     edges = [(i, n + b.holder, pull) for i, b in enumerate(blocks) if b.holder]
-    edges += [(n + i, n + parent[i], pull * beneath[i]) for i in range(1, len(parent)) if parent[i] and beneath[i] and not page.marked[i]]
+    edges += [(n + i, n + parent[i], pull * beneath[i]) for i in range(1, len(parent)) if parent[i] and beneath[i] and not page.marked[i] and i != page.bulk]
     for i in range(1, n):
         apart = page.apart(blocks[i - 1].holder, blocks[i].holder)
         edges.append((i - 1, i, round(_SCALE * NEAR * 4 / (2 + apart) ** 2)))

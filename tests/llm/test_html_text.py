@@ -1,3 +1,4 @@
+import re
 import itertools
 import random
 import time
@@ -5,7 +6,7 @@ import time
 import pytest
 
 from tapeflow.llm import html_text
-from tapeflow.llm.html_text import WEIGHTS, extract_text, fit_costs, graph, label_blocks, main_text, min_cut, parse
+from tapeflow.llm.html_text import WEIGHTS, extract_text, fit_costs, graph, label_blocks, main_part, main_text, min_cut, parse
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div id="cookie-notice">We use cookies</div>
@@ -122,3 +123,35 @@ def test_table(spark):
     text = main_text(PAGE)
     assert found == sorted([(1, "u", text, len(text)), (2, None, "", 0), (None, "v", "", 0), (1, "u", text, len(text))], key=str)
     assert extract_text(pages.limit(0)).count() == 0
+
+
+def unmarked(html):
+    """The page with its landmark elements as plain ones, and without class names, ids and roles."""
+    html = re.sub(r"<(/?)(nav|aside|header|footer|form|article|main)(?=[\s>])", r"<\1div", html)
+    return re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", html)
+
+
+def test_pages_without_marks():
+    """What most words stand in is told from what is around it by texts, links and place alone."""
+    text = ["The first paragraph has some words of its own, enough to be read.", "A second one follows it, with as many words as the first has.", "Short one.", "And the last of them ends what the article says about its matter."]
+    page = "<body><nav><a href=/a>Home</a><a href=/b>News</a></nav><div class=ad>Buy this thing now, it is good.</div><article><h1>A title</h1>" + "".join(f"<p>{t}</p>" for t in text) + "</article><footer>&copy; 2024 some.example.org &middot; All of the rights are reserved here.</footer></body>"
+    want = " ".join(["A title", *text])
+    assert main_text(page) == want
+    assert main_text(unmarked(page)) == want
+    assert main_text(unmarked(f"<body><div><div>{page[6:-7]}</div></div></body>")) == want  # wrappers hold all words and say nothing
+
+
+def test_texts_stay_when_marks_go():
+    import pyarrow.parquet as pq
+
+    pages = [h for h in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist() if h]
+    same = [main_text(h) == main_text(unmarked(h)) for h in pages]
+    assert sum(same) >= 0.9 * len(same)
+
+
+def test_main_part():
+    page = parse("<body><div><p>one two three</p></div><div><p>a b c d</p><section><p>e f g h i</p><p>j k l m n o p q r s t u v w</p></section></div></body>")
+    words = [b.text.count(" ") + 1 for b in page.blocks]
+    best = main_part(page, words)
+    assert best and sum(w for w, b in zip(words, page.blocks) if b.holder in {i for i in range(len(page.parent)) if i == best or page.parent[i] == best}) == 19
+    assert main_part(parse("<p>one</p><p>two</p>"), [1, 1]) == 0 and main_part(parse(""), []) == 0
