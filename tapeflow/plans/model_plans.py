@@ -64,7 +64,25 @@ def m3(spark, sf_dir):
     return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(model.coefficientMatrix.toArray()) for j, v in enumerate(row)], "cls int, feature int, weight double")
 
 
-@query("m4_huber_errors")
+def _huber_rounds(n: int) -> str:
+    """Ridge by elimination, then n rounds with the rows of large errors weighed down; each round is a query of its own."""
+    k = len(_X) + 1
+    z = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS x{i}" for i, c in enumerate(_X))
+    out = f"|z AS (SELECT symbol, seq, {z}, 1.0::DOUBLE AS x{k - 1}, ret AS y FROM steps WHERE ret IS NOT NULL)"
+    error = f"abs(y - ({' + '.join(f'c{i} * x{i}' for i in range(k))}))"
+    for r in range(n + 1):
+        weight = "1.0" if r == 0 else f"CASE WHEN {error} <= 0.3 THEN 1.0 ELSE 0.3 / {error} END"
+        sums = [f"sum(w * x{i} * x{j}){' + 1' if i == j else ''} AS a{i}{j}" for i in range(k) for j in range(k)] + [f"sum(w * x{i} * y) AS b{i}" for i in range(k)]
+        out += f", w{r} AS (SELECT z.*, {weight} AS w FROM z{f', c{r - 1}' if r else ''}), e{r}_0 AS (SELECT {', '.join(sums)} FROM w{r})"
+        for p in range(k - 1):
+            cells = [f"a{i}{j} - a{i}{p} * a{p}{j} / a{p}{p} AS a{i}{j}" if i > p else f"a{i}{j}" for i in range(k) for j in range(k)]
+            out += f", e{r}_{p + 1} AS (SELECT {', '.join(cells + [f'b{i} - a{i}{p} * b{p} / a{p}{p} AS b{i}' if i > p else f'b{i}' for i in range(k)])} FROM e{r}_{p})"
+        back = [f"(b{i}{''.join(f' - a{i}{j} * c{j}' for j in range(i + 1, k))}) / a{i}{i} AS c{i}" for i in range(k - 1, -1, -1)]
+        out += f", c{r} AS (SELECT {', '.join(back)} FROM e{r}_{k - 1})"
+    return out + f", d AS (SELECT symbol, seq, {error} AS e FROM z, c{n}) SELECT symbol, seq, exp(-ln(2.0) * e / greatest((SELECT quantile_cont(e, 0.5) FROM d), 1e-9)) AS ell_hat FROM d"
+
+
+@query("m4_huber_errors", _huber_rounds(5), "ell_hat")
 def m4(spark, sf_dir):
     df = _xy(spark, sf_dir)
     fit = m.huber_ridge(df, _X, "ret", delta=0.3)

@@ -96,7 +96,21 @@ def e43(spark, sf_dir):
     return tw.density_gate(history, least_rows=5, least_bin=1)
 
 
-@query("f2_spectral_features")
+def _spectrum(n: int, i: int) -> str:
+    """Energy, cancellation and spectral share of a list of n values a{i}, as e{i}, c{i}, s{i}."""
+    wave = lambda f: f"list_sum(list_transform(range(0, {n}), lambda j: x[CAST(j + 1 AS INT)] * {f}(2 * pi() * k * j / {n})))"
+    return f"""m{i} AS (SELECT *, list_median(a{i}) AS mid FROM {'n' if i == 1 else 'q1'}), x{i} AS (SELECT * EXCLUDE (mid, a{i}), list_transform(a{i}, lambda v: v / greatest(list_median(list_transform(a{i}, lambda u: abs(u - mid))), 1e-9)) AS x FROM m{i}),
+    p{i} AS (SELECT *, list_transform(range(0, {n // 2 + 1}), lambda k: pow({wave('cos')}, 2) + pow({wave('sin')}, 2)) AS power, list_sum(list_transform(x, lambda v: abs(v))) AS total FROM x{i}),
+    q{i} AS (SELECT * EXCLUDE (x, power, total), list_sum(list_transform(x, lambda v: v * v)) / {n} AS e{i}, CASE WHEN total > 1e-9 THEN abs(list_sum(x)) / greatest(total, 1e-9) ELSE 0 END AS c{i}, list_max(power) / greatest(list_sum(power), 1e-9) AS s{i} FROM p{i})"""
+
+
+@query(
+    "f2_spectral_features",
+    f"""|r AS (SELECT symbol, ts, seq, CASE WHEN price > 0 AND lag(price) {_W} > 0 THEN ln(price) - ln(lag(price) {_W}) END AS r FROM steps),
+    n AS (SELECT * EXCLUDE (ts, r) FROM (SELECT *, list(r) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS a1, list(r) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS a2 FROM r WHERE r IS NOT NULL) WHERE len(a2) = 64),
+    {_spectrum(16, 1)}, {_spectrum(64, 2)} SELECT *, abs(e1 - e2) AS delta_e, abs(c1 - c2) AS delta_c, abs(s1 - s2) AS delta_s FROM q2""",
+    "e1 c1 s1 e2 c2 s2 delta_e delta_c delta_s",
+)
 def f2(spark, sf_dir):
     df = steps(spark, sf_dir).withColumn("r", w.returns(log=True))
     return sp.spectral_features(df.select("symbol", "ts", "seq", "r"), "r", 16, 64).drop("ts", "r")
