@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections import deque
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -256,27 +257,27 @@ def position_accounting(df: DataFrame, target: str, price: str = "price", fee: f
 
 
 def cost_gate_step(target: str, price: str, actionability: str, urgency: str, rate: float, edge_bps: float, budget: float, window_ms: int, at_ms: str) -> Callable:
-    """step(state, row) of cost_gate; the state is the position and the costs of the time window."""
-    unit = lambda x: max(0.0, min(1.0, x or 0.0))
+    """step(state, row) of cost_gate; the state is the position, all costs so far, and for each move of the time window when it
+    came and what the costs before it were, so that the window's costs are a difference."""
+    share = lambda x: max(0.0, min(1.0, x or 0.0))
 
     def step(state, row):
-        held, spent = state
-        aim, p, now = row[target] or 0.0, row[price] or 0.0, row[at_ms]
-        move = abs(aim - held) if p > 0 else 0.0
-        cost = move * p * rate
-        why = []
-        if abs(aim) > abs(held):
-            while spent and spent[0][0] < now - window_ms:
-                spent.popleft()
-            if budget > 0 and cost > max(0.0, budget - sum(c for _, c in spent)):
-                why.append("budget")
-            if edge_bps > 0 and move * p * edge_bps * 1e-4 * unit(row[actionability]) * unit(row[urgency]) < cost:
-                why.append("edge")
+        held, total, moves = state
+        aim, now, value = row[target] or 0.0, row[at_ms], max(0.0, row[price] or 0.0)
+        while moves and moves[0][0] < now - window_ms:
+            moves.popleft()
+        amount = abs(aim - held) * value
+        cost, worth = amount * rate, amount * edge_bps * 1e-4 * share(row[actionability]) * share(row[urgency])
+        left = budget - (total - moves[0][1] if moves else 0.0)
+        grows = abs(aim) > abs(held)
+        refusals = {"budget": grows and 0 < budget and max(0.0, left) < cost, "edge": grows and 0 < edge_bps and worth < cost}
+        why = "+".join(name for name, applies in refusals.items() if applies)
         if why:
-            return (held, spent), (held, True, "+".join(why), 0.0)
-        if move > 0 and budget > 0:
-            spent.append((now, cost))
-        return (aim, spent), (aim, False, "", cost)
+            return (held, total, moves), (held, True, why, 0.0)
+        if amount > 0 and budget > 0:
+            moves.append((now, total))
+            total += cost
+        return (aim, total, moves), (aim, False, "", cost)
 
     return step
 
@@ -284,7 +285,7 @@ def cost_gate_step(target: str, price: str, actionability: str, urgency: str, ra
 def cost_gate(df: DataFrame, target: str, price: str = "price", actionability: str = "actionability", urgency: str = "ell", rate: float = 0.0008, edge_bps: float = 20.0, budget: float = 1.0, window_ms: int = 3_600_000, at_ms: str = "ts_ms") -> DataFrame:
     """gate_target, blocked, why, cost: growing a position must fit the budget of a time window and pay for its cost."""
     step = cost_gate_step(target, price, actionability, urgency, rate, edge_bps, budget, window_ms, at_ms)
-    return fold(df, lambda: (0.0, deque()), step, "gate_target double,blocked boolean,why string,cost double")
+    return fold(df, lambda: (0.0, 0.0, deque()), step, "gate_target double,blocked boolean,why string,cost double")
 
 
 def thin(df: DataFrame, least_s: float, at_s: str = "ts_s", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -417,6 +418,23 @@ def belief(df: DataFrame, sign: str, steady: str, allowed: str, blocks: int | No
     return machine(known, states, step, "b_plus int,b_minus int,belief string", blocks).drop("_long", "_short")
 
 
+#: Why a row acts or doesn't: the first of these that holds for x, whose fields are all columns or all plain values.  held and free:
+#: whether the strategy holds or not; under_on, under_off: whether confidence is below the limits.
+REASONS = (
+    ("flat", lambda x: x.state == 0),
+    ("risk_stop", lambda x: (x.state == -2) & x.risk_stop),
+    ("neutral_exit", lambda x: (x.state == -2) & x.neutral_exit),
+    ("unknown", lambda x: x.state == -2),
+    ("suspended", lambda x: x.held & x.under_on),
+    ("prohibited", lambda x: x.free & x.under_off),
+    ("active_convex", lambda x: x.convex),
+    ("active", lambda x: x.state == x.state),
+)
+#: Reasons that keep the direction held, and urgencies of those that don't act (0 for others).
+HOLDING = ("observe", "unknown", "suspended")
+URGENCY = {"unwind": 1.0, "collapse": 1.0, "flat": 0.5, "neutral_exit": 0.5, "risk_stop": 0.2, "prohibited": 0.2}
+
+
 def intents(
     df: DataFrame, state: str = "state", conf: str = "ell", on: str = "tau_on", off: str = "tau_off", posture: str | None = None, collapse: str | None = None, risk_stop: str | None = None, neutral_exit: str | None = None,
     base: float = 1.0, ramp: float = 20.0, keys: tuple[str, ...] = (),
@@ -442,19 +460,23 @@ def intents(
     settles = F.when(~F.col("_live"), None).when((F.col("_s") == 0) | stopped, False).when(F.col("_s") == -2, True).when(F.col("_c") >= F.col(on), False)
     d = d.withColumn("_settles", settles)
     d = d.withColumn("_held", F.coalesce(F.last("_settles", ignorenulls=True).over(before), F.lit(False)))
-    why = (
-        F.when(~F.col("_live"), F.col("_why")).when(F.col("_s") == 0, "flat")
-        .when(F.col("_s") == -2, F.when(flag(risk_stop), "risk_stop").when(flag(neutral_exit), "neutral_exit").otherwise("unknown"))
-        .when(F.col("_held") & (F.col("_c") < F.col(on)), "suspended").when(~F.col("_held") & (F.col("_c") < F.col(off)), "prohibited")
-        .otherwise(F.when(mode == "TRADE_CONVEX", "active_convex").otherwise("active"))
+    x = SimpleNamespace(
+        state=F.col("_s"), held=F.col("_held"), free=~F.col("_held"), under_on=F.col("_c") < F.col(on), under_off=F.col("_c") < F.col(off),
+        risk_stop=flag(risk_stop), neutral_exit=flag(neutral_exit), convex=mode == "TRADE_CONVEX",
     )
+    why = F.when(~F.col("_live"), F.col("_why"))
+    for reason, applies in REASONS:
+        why = why.when(applies(x), reason)
     d = d.withColumn("_why", why).withColumn("_on", F.col("_why").startswith("active"))
     size = base * F.when(F.col("_why") == "active_convex", 2.0).otherwise(1.0) * (1 - F.exp(-F.col("_age") / ramp)) * F.col("_c")
     d = d.withColumn("_size", F.when(F.col("_on"), F.least(F.lit(1.0), size)).otherwise(0.0))
-    holds = F.col("_why").isin("observe", "unknown", "suspended")
+    holds = F.col("_why").isin(*HOLDING)
     thesis = F.when(~F.col("_live") | holds, None).otherwise(F.when(F.col("_size") > 0, F.col("_s")).otherwise(0))
     d = d.withColumn("_thesis", F.coalesce(F.last(thesis, ignorenulls=True).over(before), F.lit(0)))
-    urgency = F.when(F.col("_on"), F.least(F.lit(1.0), (0.3 + 0.1 * F.col("_age")) * F.col("_c"))).when(F.col("_why").isin("unwind", "collapse"), 1.0).when(F.col("_why").isin("flat", "neutral_exit"), 0.5).when(F.col("_why").isin("risk_stop", "prohibited"), 0.2).otherwise(0.0)
+    urgency = F.when(F.col("_on"), F.least(F.lit(1.0), (0.3 + 0.1 * F.col("_age")) * F.col("_c")))
+    for value in sorted(set(URGENCY.values())):
+        urgency = urgency.when(F.col("_why").isin(*[k for k, v in URGENCY.items() if v == value]), value)
+    urgency = urgency.otherwise(0.0)
     out = d.withColumns({
         "direction": F.when(holds, F.col("_thesis")).when(F.col("_on"), F.col("_s")).otherwise(0).cast("int"), "target": F.col("_size"), "urgency": urgency, "holds": holds,
         "actionability": F.when(F.col("_live"), F.col("_c")).otherwise(0.0), "reason": F.col("_why"),

@@ -10,6 +10,7 @@ import math
 from collections import deque
 from collections.abc import Callable, Iterator
 from datetime import datetime
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from tapeflow.operators.folds import cost_gate_step
+from tapeflow.operators.folds import HOLDING, REASONS, URGENCY, cost_gate_step
 from tapeflow.sources.readers import OHLC, TRADE, csv_lines, ingest_frame, own_columns
 
 
@@ -210,26 +211,23 @@ def window_state(closes: list[float], dead: float = 5e-5, keep: float = 0.95) ->
     return 0 if abs(z) < max(dead, 0.5 * sigma[-1]) else 1 if z > 0 else -1
 
 
-#: Urgency of what isn't active, by the reason.
-_URGENCY = {"flat": 0.5, "prohibited": 0.2}
-
-
 def next_intent(memory: tuple, state: int, conf: float, observe: bool, on: float, off: float, base: float, ramp: float = 20.0) -> tuple[tuple, tuple]:
-    """One row of operators.folds.intents: memory (last state, its age, holds, thesis) and (direction, target, urgency,
-    holds, actionability, reason); observing leaves the memory as it is."""
-    last, age, holding, thesis = memory
+    """One row of operators.folds.intents, by its tables: memory (last state, its age, holds, thesis) and (direction, target,
+    urgency, holds, actionability, reason); observing leaves the memory as it is."""
+    last, age, held, thesis = memory
     if observe:
-        return memory, (thesis, 0.0, 0.0, True, 0.0, "observe")
-    age = age + 1 if state in (1, -1) and state == last else 0
-    reason = {0: "flat", -2: "unknown"}.get(state) or ("suspended" if conf < on else "active") if holding or state in (0, -2) else "prohibited" if conf < off else "active"
-    active, holds = reason == "active", reason in ("unknown", "suspended")
-    target = min(1.0, base * (1 - math.exp(-age / ramp)) * conf) if active else 0.0
-    direction = state if active else thesis if holds else 0
-    urgency = min(1.0, (0.3 + 0.1 * age) * conf) if active else _URGENCY.get(reason, 0.0)
-    return (state, age, holds, direction if holds or target > 0 else 0), (direction, target, urgency, holds, conf, reason)
-
-
-_DECIDED = "closes array<double>, last int, age int, holding boolean, thesis int, held double, spent_at array<bigint>, spent array<double>, open boolean, ready boolean, why string"
+        return memory, (thesis, 0.0, URGENCY.get("observe", 0.0), True, 0.0, "observe")
+    x = SimpleNamespace(state=state, held=held, free=not held, under_on=conf < on, under_off=conf < off, risk_stop=False, neutral_exit=False, convex=False)
+    reason = next(name for name, applies in REASONS if applies(x))
+    holds, acts = reason in HOLDING, reason == "active"
+    age = (age + 1) * (state == last and state not in (0, -2))
+    size = acts * min(1.0, base * (1 - math.exp(-age / ramp)) * conf)
+    urgency = min(1.0, (0.3 + 0.1 * age) * conf) if acts else URGENCY.get(reason, 0.0)
+    kept = thesis if holds else state * (size > 0)
+    return (state, age, holds, kept), (thesis if holds else state * acts, size, urgency, holds, conf, reason)
+
+
+_DECIDED = "closes array<double>, last int, age int, holding boolean, thesis int, held double, total double, moved_at array<bigint>, before array<double>, open boolean, ready boolean, why string"
 _DECISION = "close double, state int, direction int, target double, urgency double, holds boolean, reason string, clamped boolean, blocked boolean, gate_target double, cost double"
 
 
@@ -245,9 +243,9 @@ def decisions(bars: DataFrame, gates: DataFrame | None = None, enforce: bool = F
     gate = cost_gate_step("aim", "close", "actionability", "urgency", at_ms="at", **options)
 
     def step(state, row):
-        closes, last, age, holding, thesis, held, spent_at, spent, is_open, ready, why = state
+        closes, last, age, holding, thesis, held, total, moved_at, before, is_open, ready, why = state
         if row["open"] is not None:
-            return (closes, last, age, holding, thesis, held, spent_at, spent, bool(row["open"]), bool(row["ready"]), row["why"] or ""), None
+            return (closes, last, age, holding, thesis, held, total, moved_at, before, bool(row["open"]), bool(row["ready"]), row["why"] or ""), None
         close = float(row["close"])
         closes = [*closes, close][-window:]
         now = window_state(closes)
@@ -256,14 +254,14 @@ def decisions(bars: DataFrame, gates: DataFrame | None = None, enforce: bool = F
         if clamped:
             direction, target, urgency, holds, act, reason = 0, 0.0, 0.0, True, 0.0, f"{reason}+clamp{f' ({why})' if why else ''}"
         asked = {"aim": direction * target, "close": close, "actionability": act, "urgency": urgency, "at": row["at"] // 1000}
-        (held, costs), (aim, blocked, _, due) = gate((held, deque(zip(spent_at, spent))), asked)
-        kept = (closes, *memory, held, [int(t) for t, _ in costs], [float(c) for _, c in costs], is_open, ready, why)
+        (held, total, moves), (aim, blocked, _, due) = gate((held, total, deque(zip(moved_at, before))), asked)
+        kept = (closes, *memory, held, total, [int(t) for t, _ in moves], [float(c) for _, c in moves], is_open, ready, why)
         return kept, (close, now, direction, target, urgency, holds, reason, clamped, blocked, aim, due)
 
     rows = bars.select("symbol", "ts", F.col("close").cast("double").alias("close"), F.lit(None).cast("boolean").alias("open"), F.lit(None).cast("boolean").alias("ready"), F.lit(None).cast("string").alias("why"))
     if gates is not None:
         rows = gates.select("symbol", "ts", F.lit(None).cast("double").alias("close"), "open", F.coalesce("ready", F.lit(False)).alias("ready"), "why").unionByName(rows)
-    return keyed(rows, ([], 0, 0, False, 0, 0.0, [], [], True, False, ""), step, _DECIDED, _DECISION, "close double, open boolean, ready boolean, why string", lateness)
+    return keyed(rows, ([], 0, 0, False, 0, 0.0, 0.0, [], [], True, False, ""), step, _DECIDED, _DECISION, "close double, open boolean, ready boolean, why string", lateness)
 
 
 def summaries(bars: DataFrame, seconds: int = 60, last: int = 60, lateness: str = "10 seconds") -> DataFrame:
