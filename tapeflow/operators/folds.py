@@ -437,10 +437,12 @@ URGENCY = {"unwind": 1.0, "collapse": 1.0, "flat": 0.5, "neutral_exit": 0.5, "ri
 
 def intents(
     df: DataFrame, state: str = "state", conf: str = "ell", on: str = "tau_on", off: str = "tau_off", posture: str | None = None, collapse: str | None = None, risk_stop: str | None = None, neutral_exit: str | None = None,
-    base: float = 1.0, ramp: float = 20.0, keys: tuple[str, ...] = (),
+    base: float = 1.0, ramp: float = 20.0, keys: tuple[str, ...] = (), grid: dict[str, list[float]] | None = None,
 ) -> DataFrame:
     """direction, target, urgency, holds, actionability, reason of every row, by windows alone.
 
+    grid: values of parameters, `on` and `off` among them; rows come once for each combination, after all that doesn't depend on them.
+
     States: 1, 0, -1, -2 unknown, -3 paradox.  Postures UNWIND and OBSERVE, a collapse and a paradox override a row and leave
     no trace: the others see the tape without it.  Of these, flat and unknown states and confident ones settle whether the
     strategy holds, less confident ones leave it as it is; so the last one that settles it counts.  The direction that is
@@ -456,6 +458,8 @@ def intents(
     d = d.withColumns({"_last": F.last(F.when(F.col("_live"), F.col("_s")), ignorenulls=True).over(before), "_n": F.count_if("_live").over(upto)})
     same = F.col("_live") & ~F.col("_s").isin(0, -2) & F.col("_s").eqNullSafe(F.col("_last"))
     d = d.withColumn("_age", F.col("_n") - F.last(F.when(F.col("_live") & ~same, F.col("_n")), ignorenulls=True).over(upto))
+    if grid:
+        d, before = over_grid(d, **grid), tape(*keys, *grid).rowsBetween(Window.unboundedPreceding, -1)
     stopped = (F.col("_s") == -2) & (flag(risk_stop) | flag(neutral_exit))
     settles = F.when(~F.col("_live"), None).when((F.col("_s") == 0) | stopped, False).when(F.col("_s") == -2, True).when(F.col("_c") >= F.col(on), False)
     d = d.withColumn("_settles", settles)
@@ -499,10 +503,10 @@ def executed(df: DataFrame, price: str = "price", direction: str = "direction",
     return fold(df, lambda: (0.0, 1.0, None), step, "exposure_out double,filled double,equity double", keys)
 
 
-def run_strategy(df: DataFrame, price: str = "price", keys: tuple[str, ...] = ("symbol",), least: float = 0.02, fee: float = 0.0005, **options) -> DataFrame:
+def run_strategy(df: DataFrame, price: str = "price", keys: tuple[str, ...] = ("symbol",), least: float = 0.02, fee: float = 0.0005, grid: dict[str, list[float]] | None = None, **options) -> DataFrame:
     """A bar log: intents and what comes of them, for each symbol and point of a grid; options are those of intents."""
-    found = intents(df, keys=tuple(k for k in keys if k != "symbol"), **options)
-    return executed(found, price, least=least, fee=fee, keys=keys)
+    found = intents(df, keys=tuple(k for k in keys if k != "symbol"), grid=grid, **options)
+    return executed(found, price, least=least, fee=fee, keys=(*keys, *(grid or {})))
 
 
 def trade_ledger(df: DataFrame, held: str = "held", price: str = "price", realized: str = "realized") -> DataFrame:

@@ -74,8 +74,12 @@ def k3(spark, sf_dir):
     return gated.groupBy("tau_on", "tau_off").agg(logs.share(F.col("direction") != 0).alias("act_pct"), logs.share(F.col("direction") == 0).alias("hold_pct"), F.count("*").alias("n"))
 
 
-_ENGAGED = """e AS (SELECT *, CASE WHEN seq % 97 = 1 THEN -3 WHEN seq % 13 = 0 THEN -2 ELSE state END AS tri, CASE WHEN seq % 41 = 0 THEN 'UNWIND' WHEN seq % 37 = 0 THEN 'OBSERVE' WHEN seq % 5 = 0 THEN 'TRADE_CONVEX' ELSE 'TRADE_NORMAL' END AS posture,
-    seq % 211 = 0 AS broken, seq % 26 = 0 AS risky, seq % 39 = 0 AS neutral FROM steps)"""
+_ENGAGED_COLUMNS = [
+    "CASE WHEN seq % 97 = 1 THEN -3 WHEN seq % 13 = 0 THEN -2 ELSE state END AS tri",
+    "CASE WHEN seq % 41 = 0 THEN 'UNWIND' WHEN seq % 37 = 0 THEN 'OBSERVE' WHEN seq % 5 = 0 THEN 'TRADE_CONVEX' ELSE 'TRADE_NORMAL' END AS posture",
+    "seq % 211 = 0 AS broken", "seq % 26 = 0 AS risky", "seq % 39 = 0 AS neutral",
+]
+_ENGAGED = f"e AS (SELECT *, {', '.join(_ENGAGED_COLUMNS)} FROM steps)"
 
 
 @query(
@@ -98,9 +102,7 @@ _ENGAGED = """e AS (SELECT *, CASE WHEN seq % 97 = 1 THEN -3 WHEN seq % 13 = 0 T
     "target urgency actionability",
 )
 def k4(spark, sf_dir):
-    tri = "CASE WHEN seq % 97 = 1 THEN -3 WHEN seq % 13 = 0 THEN -2 ELSE state END AS tri"
-    posture = "CASE WHEN seq % 41 = 0 THEN 'UNWIND' WHEN seq % 37 = 0 THEN 'OBSERVE' WHEN seq % 5 = 0 THEN 'TRADE_CONVEX' ELSE 'TRADE_NORMAL' END AS posture"
-    df = steps(spark, sf_dir).selectExpr("symbol", "ts", "seq", "ell", tri, posture, "seq % 211 = 0 AS broken", "seq % 26 = 0 AS risky", "seq % 39 = 0 AS neutral", "0.6D AS tau_on", "0.3D AS tau_off")
+    df = steps(spark, sf_dir).selectExpr("symbol", "ts", "seq", "ell", *_ENGAGED_COLUMNS, "0.6D AS tau_on", "0.3D AS tau_off")
     found = k.intents(df, "tri", posture="posture", collapse="broken", risk_stop="risky", neutral_exit="neutral")
     return found.select("symbol", "seq", "direction", "target", "urgency", "holds", "actionability", "reason")
 
@@ -297,27 +299,30 @@ def k14(spark, sf_dir):
 
 
 _BAR_LOG = _folded(
-    "0 AS prev; 0 AS age; 0 AS direction; 0.0::DOUBLE AS target; '' AS reason; 0.0::DOUBLE AS exposure; 0.0::DOUBLE AS filled; 1.0::DOUBLE AS equity; 0.0::DOUBLE AS price; false AS acceptable",
+    "0 AS prev; 0 AS age; false AS holding; 0 AS pos; 0 AS direction; 0.0::DOUBLE AS target; '' AS reason; 0.0::DOUBLE AS exposure; 0.0::DOUBLE AS filled; 1.0::DOUBLE AS equity; 0.0::DOUBLE AS price; false AS acceptable",
     [
-        "CASE WHEN state <> 0 AND state = b_prev THEN b_age + 1 ELSE 0 END AS age1, CASE WHEN b_price > 0 AND price > 0 THEN b_equity * (1 + b_exposure * (price / b_price - 1)) ELSE b_equity END AS marked",
-        "CASE WHEN state = 0 THEN 'flat' WHEN ell < 0.3 THEN 'prohibited' ELSE 'active' END AS why",
-        "CASE WHEN why = 'active' THEN least(1.0, (1 - exp(-age1 / 20.0)) * ell) ELSE 0 END AS size",
-        "size * CASE WHEN why = 'active' THEN state ELSE 0 END - b_exposure AS gap",
+        "CASE WHEN posture = 'UNWIND' THEN 'unwind' WHEN posture = 'OBSERVE' THEN 'observe' WHEN broken OR tri = -3 THEN 'collapse' END AS ov, CASE WHEN b_price > 0 AND price > 0 THEN b_equity * (1 + b_exposure * (price / b_price - 1)) ELSE b_equity END AS marked",
+        "CASE WHEN ov IS NOT NULL THEN b_age WHEN tri NOT IN (0, -2) AND tri = b_prev THEN b_age + 1 ELSE 0 END AS age1",
+        """CASE WHEN ov IS NOT NULL THEN ov WHEN tri = 0 THEN 'flat' WHEN tri = -2 AND risky THEN 'risk_stop' WHEN tri = -2 AND neutral THEN 'neutral_exit' WHEN tri = -2 THEN 'unknown'
+        WHEN b_holding AND ell < tau_on THEN 'suspended' WHEN NOT b_holding AND ell < tau_off THEN 'prohibited' WHEN posture = 'TRADE_CONVEX' THEN 'active_convex' ELSE 'active' END AS why""",
+        "why IN ('observe', 'unknown', 'suspended') AS keeps, CASE WHEN why LIKE 'active%' THEN least(1.0, CASE why WHEN 'active' THEN 1 ELSE 2 END * (1 - exp(-age1 / 20.0)) * ell) ELSE 0 END AS size",
+        "CASE WHEN keeps THEN b_pos WHEN why LIKE 'active%' THEN tri ELSE 0 END AS dirn",
+        "CASE WHEN keeps THEN 0 ELSE size * dirn - b_exposure END AS gap",
         "CASE WHEN abs(gap) >= 0.02 THEN gap ELSE 0 END AS mv",
     ],
-    "state, age1, CASE WHEN why = 'active' THEN state ELSE 0 END, size, why, b_exposure + mv, mv, marked - abs(mv) * 0.0005, price, run >= 3",
+    """CASE WHEN ov IS NULL THEN tri ELSE b_prev END, age1, CASE WHEN ov IS NULL THEN keeps ELSE b_holding END, CASE WHEN ov IS NOT NULL THEN b_pos WHEN keeps OR size > 0 THEN dirn ELSE 0 END,
+    dirn, size, why, b_exposure + mv, mv, marked - abs(mv) * 0.0005, CASE WHEN price <> 0 THEN price ELSE b_price END, run >= 3""",
     "direction, target, reason, exposure, filled, equity, acceptable", "g", "symbol, tau_on, tau_off",
-    f"""ch AS (SELECT *, CASE WHEN t = 0 OR state <> lag(state) {_W} THEN 1 ELSE 0 END AS ch FROM steps), il AS (SELECT *, sum(ch) {_W} AS island FROM ch),
+    f"""{_ENGAGED}, ch AS (SELECT *, CASE WHEN t = 0 OR state <> lag(state) {_W} THEN 1 ELSE 0 END AS ch FROM e), il AS (SELECT *, sum(ch) {_W} AS island FROM ch),
     g AS (SELECT s.*, CASE WHEN state = 0 THEN 0 ELSE row_number() OVER (PARTITION BY symbol, island, tau_on ORDER BY ts, seq) END AS run, tau_on, 0.3::DOUBLE AS tau_off FROM il s, (SELECT unnest([0.5, 0.7])::DOUBLE AS tau_on))""",
 )
 
 
 @query("k15_strategy_grid", _BAR_LOG, "target exposure filled equity")
 def k15(spark, sf_dir):
-    """Without unknown states nothing is suspended, so here the upper threshold changes no row."""
-    df = w.acceptability(steps(spark, sf_dir).select("symbol", "ts", "seq", "state", "ell", "price"))
-    grid = k.over_grid(df, tau_on=[0.5, 0.7], tau_off=[0.3])
-    run = k.run_strategy(grid, keys=("symbol", "tau_on", "tau_off"))
+    """Bar logs at two upper thresholds, with unknown and paradox states, postures, stops and collapses."""
+    df = w.acceptability(steps(spark, sf_dir).selectExpr("symbol", "ts", "seq", "state", "ell", "price", *_ENGAGED_COLUMNS))
+    run = k.run_strategy(df, grid={"tau_on": [0.5, 0.7], "tau_off": [0.3]}, state="tri", posture="posture", collapse="broken", risk_stop="risky", neutral_exit="neutral")
     return run.select("symbol", "tau_on", "tau_off", "seq", "direction", "target", "reason", F.col("exposure_out").alias("exposure"), "filled", "equity", "acceptable")
 
 
