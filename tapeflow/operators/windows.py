@@ -212,40 +212,3 @@ def block_frames(df: DataFrame, n: int, number: str, sums: dict[str, Column], lo
         out["fall"] = F.when(whole, F.col("_ufall")).otherwise(reduce(F.greatest, [before("_dfall"), F.col("_ufall"), before("_d_most") - F.col("_u_least")]))
     names = [k for k, *_ in parts]
     return held.withColumns(out).drop("_b", "_ufall", "_dfall", *[f"_{x}{k}" for k in names for x in "xud"])
-
-
-def quotient_features(df: DataFrame, w1: int = 64, w2: int = 256, eps: float = 1e-6, price: str = "price") -> DataFrame:
-    """Adds vol_ratio, curvature, drawdown, burstiness, acorr_1, var_ratio of the last w2 log returns; zeros before.
-
-    All come from sums over frames of w1 and w2 rows; a frame's first rows are taken off where a shorter one is meant.
-    """
-    w = tape()
-    known = lambda c: F.coalesce(c, F.lit(0.0))
-    lag = lambda c, n=1: F.lag(c, n).over(w)
-    out = df.withColumn("_p", F.log(F.greatest(F.col(price), F.lit(eps))))
-    out = out.withColumns({"_r": F.col("_p") - lag("_p"), "_n": F.row_number().over(w) - 1})
-    out = out.withColumns({"_rx": known(F.col("_r") * lag("_r")), "_c": known(F.col("_r") - 2 * lag("_r") + lag("_r", 2)), "_r": known(F.col("_r"))})
-    r, c = F.col("_r"), F.col("_c")
-    out = block_frames(out, w2, "_n", {"_t": r, "_l1": F.abs(r), "_q": r * r, "_tx": F.col("_rx"), "_tc": c, "_qc": c * c}, {"_lo": r}, {"_hi": r}, F.col("_p"))
-    out = block_frames(out, w1, "_n", {"_t1": r, "_q1": r * r})
-    first = {k: lag(k, w2 - 1) for k in ("_r", "_rx", "_c", "_p")}
-    out = out.withColumns({f"{k}0": v for k, v in first.items()} | {"_c1": lag("_c", w2 - 2)})
-    spread = lambda total, squares, n: F.greatest(squares / n - (total / n) * (total / n), F.lit(0.0))
-    mean, n = F.col("_t") / w2, w2 - 1
-    var, var1 = spread(F.col("_t"), F.col("_q"), w2), spread(F.col("_t1"), F.col("_q1"), w1)
-    bend = spread(F.col("_tc") - F.col("_c0") - F.col("_c1"), F.col("_qc") - F.col("_c0") * F.col("_c0") - F.col("_c1") * F.col("_c1"), w2 - 2)
-    early, late = F.col("_t") - r, F.col("_t") - F.col("_r0")
-    s01 = F.col("_tx") - F.col("_rx0") - mean * (early + late) + n * mean * mean
-    s00 = F.col("_q") - r * r - 2 * mean * early + n * mean * mean
-    s11 = F.col("_q") - F.col("_r0") * F.col("_r0") - 2 * mean * late + n * mean * mean
-    scale = F.sqrt(F.greatest(s00 * s11, F.lit(0.0)))
-    found = {
-        "vol_ratio": F.sqrt(var + eps) / (F.col("_hi") - F.col("_lo") + eps),
-        "curvature": F.log1p(F.sqrt(bend + eps)),
-        "drawdown": F.col("fall") / (F.abs(F.col("_p") - F.col("_p0")) + eps),
-        "burstiness": F.col("_l1") / (F.sqrt("_q") + eps),
-        "acorr_1": F.when(scale > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s01 / scale))).otherwise(0.0),
-        "var_ratio": F.sqrt(var1 + eps) / (F.sqrt(var + eps) + eps),
-    }
-    out = out.withColumns({k: F.when(F.col("_n") >= w2, v).otherwise(F.lit(0.0)) for k, v in found.items()})
-    return out.drop("fall", *[x for x in out.columns if x.startswith("_")])

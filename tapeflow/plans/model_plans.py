@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeflow.operators.features import quotient_features
 from tapeflow.operators import models as m
 from tapeflow.operators import options as o
 from tapeflow.operators import windows as w
@@ -146,7 +147,7 @@ def _rank_steps() -> str:
 
 @query("m6_weights_by_group", _rank_steps(), "weight")
 def m6(spark, sf_dir):
-    df = w.quotient_features(steps(spark, sf_dir).select("symbol", "ts", "seq", "ell", "price"), 4, 8)
+    df = quotient_features(steps(spark, sf_dir).select("symbol", "ts", "seq", "ell", "price"), 4, 8)
     ahead = F.lead("price", 8).over(w.tape())
     df = df.withColumn("target", F.when((F.col("price") > 0) & (ahead > 0), F.greatest(F.lit(-0.01), F.least(F.lit(0.01), F.log(ahead / F.col("price"))))))
     df = df.withColumns({c: F.expr(v) for c, v in _SHARES.items()} | {"label": F.expr(_LABEL)})
@@ -165,7 +166,7 @@ def d17(spark, sf_dir):
 
 
 def _surface(spark, sf_dir):
-    b = w.quotient_features(bars(spark, sf_dir).withColumn("price", F.col("close")), 4, 8)
+    b = quotient_features(bars(spark, sf_dir).withColumn("price", F.col("close")), 4, 8)
     return o.synthetic_surface(b)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeflow.operators.features import quotient_features
 from tapeflow.operators import spectral as sp
 from tapeflow.operators import tower as tw
 from tapeflow.operators import windows as w
@@ -49,7 +50,7 @@ def c22(spark, sf_dir):
     "ell",
 )
 def c29(spark, sf_dir):
-    df = w.quotient_features(steps(spark, sf_dir).select("symbol", "ts", "seq", "price"), 16, 64)
+    df = quotient_features(steps(spark, sf_dir).select("symbol", "ts", "seq", "price"), 16, 64)
     penalty = 0.5 * F.log1p("vol_ratio") + 0.5 * F.log1p("drawdown") + 0.2 * F.log1p(F.abs(F.col("burstiness") - 1)) + 0.3 * (1 - F.abs("acorr_1")) + 0.1 * F.col("curvature")
     return df.select("symbol", "seq", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.exp(-penalty))).alias("ell"))
 

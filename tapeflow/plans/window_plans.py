@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeflow.operators.features import FEATURES, quotient_features
 from tapeflow.operators import windows as w
 from tapeflow.operators.quantiles import quantiles
 
@@ -211,7 +212,7 @@ def quotients(w1: int, w2: int, source: str = "steps", price: str = "price") ->
 
 @query("f1_quotient_features", quotients(8, 32) + " SELECT symbol, seq, vol_ratio, curvature, drawdown, burstiness, acorr_1, var_ratio FROM q", "vol_ratio curvature drawdown burstiness acorr_1 var_ratio")
 def f1(spark, sf_dir):
-    return w.quotient_features(steps(spark, sf_dir), 8, 32).select("symbol", "seq", "vol_ratio", "curvature", "drawdown", "burstiness", "acorr_1", "var_ratio")
+    return quotient_features(steps(spark, sf_dir).select("symbol", "ts", "seq", "price"), 8, 32).select("symbol", "seq", *FEATURES)
 
 
 @query("g1_order_within_key", f"SELECT symbol, seq, row_number() {_W} AS place, lag(seq) {_W} AS before, lead(seq) {_W} AS after FROM steps")

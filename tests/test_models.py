@@ -198,3 +198,40 @@ def test_sliding_quantiles(spark, n, end, nearest):
             at = 0.3 * (len(seen) - 1)
             want = None if len(seen) < 2 else seen[math.floor(at + 0.5)] if nearest else float(np.quantile(seen, 0.3))
             assert (found[s, i] is None) == (want is None) and (want is None or abs(found[s, i] - want) < 1e-12)
+
+
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_quotient_features_of_each_window(spark, batch):
+    """Every row against its own window, in batches of any size; unknown and non-positive prices among them."""
+    from tapeflow.operators.features import FEATURES, quotient_features
+
+    rng = np.random.default_rng(12)
+    prices = {s: np.exp(np.cumsum(rng.normal(0, 0.1, 90))) for s in ("a", "b")}
+    prices["b"][[20, 21, 50]] = [np.nan, -1.0, 0.0]
+    rows = [(s, i, i, None if np.isnan(p) else float(p), "more") for s in prices for i, p in enumerate(prices[s])] + [("short", 0, 0, 1.0, "")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = {(r["symbol"], r["seq"]): r for r in quotient_features(spark.createDataFrame(rows, "symbol string, ts long, seq long, price double, x string").repartition(3), 5, 16).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == 181 and found["a", 3]["x"] == "more" and [found["short", 0][f] for f in FEATURES] == [0.0] * 6
+    e, w1, w2 = 1e-6, 5, 16
+    for s, own in prices.items():
+        p = np.log(np.where(np.isnan(own), np.nan, np.maximum(own, e)))
+        raw = np.append(np.nan, np.diff(p))
+        r, c = np.nan_to_num(raw), np.nan_to_num(raw - 2 * np.append(np.nan, raw[:-1]) + np.append([np.nan] * 2, raw[:-2]))
+        rx = np.nan_to_num(raw * np.append(np.nan, raw[:-1]))
+        for t in range(90):
+            got = [found[s, t][f] for f in FEATURES]
+            if t < w2:
+                assert got == [0.0] * 6
+                continue
+            x, ps = r[t - w2 + 1 : t + 1], p[t - w2 + 1 : t + 1]
+            v, d2 = x.var(), c[t - w2 + 3 : t + 1]
+            fall = max((ps[i] - ps[j] for i in range(w2) for j in range(i, w2) if not np.isnan(ps[i] - ps[j])), default=np.nan)
+            m = x.mean()
+            s01 = rx[t - w2 + 2 : t + 1].sum() - m * (x[:-1].sum() + x[1:].sum()) + (w2 - 1) * m * m
+            scale = math.sqrt(((x[:-1] - m) ** 2).sum() * ((x[1:] - m) ** 2).sum())
+            want = [math.sqrt(v + e) / (x.max() - x.min() + e), math.log1p(math.sqrt(d2.var() + e)), fall / (abs(ps[-1] - ps[0]) + e), np.abs(x).sum() / (math.sqrt((x * x).sum()) + e), max(-1, min(1, s01 / scale)) if scale > 0 else 0, math.sqrt(r[t - w1 + 1 : t + 1].var() + e) / (math.sqrt(v + e) + e)]
+            for f, a, b in zip(FEATURES, got, want):
+                assert (a is None and np.isnan(b)) or math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-7), (s, t, f)
