@@ -503,10 +503,16 @@ def executed(df: DataFrame, price: str = "price", direction: str = "direction",
     return fold(df, lambda: (0.0, 1.0, None), step, "exposure_out double,filled double,equity double", keys)
 
 
-def run_strategy(df: DataFrame, price: str = "price", keys: tuple[str, ...] = ("symbol",), least: float = 0.02, fee: float = 0.0005, grid: dict[str, list[float]] | None = None, **options) -> DataFrame:
-    """A bar log: intents and what comes of them, for each symbol and point of a grid; options are those of intents."""
+def run_strategy(df: DataFrame, price: str = "price", keys: tuple[str, ...] = ("symbol",), least: float = 0.02, fee: float = 0.0005, grid: dict[str, list[float]] | None = None, carry: list[str] | None = None, **options) -> DataFrame:
+    """A bar log: intents and what comes of them, for each symbol and point of a grid; options are those of intents.
+
+    carry: columns of df that the log has beside its own, keys, times and prices; all of them by default.
+    """
     found = intents(df, keys=tuple(k for k in keys if k != "symbol"), grid=grid, **options)
-    return executed(found, price, least=least, fee=fee, keys=(*keys, *(grid or {})))
+    every = (*keys, *(grid or {}))
+    if carry is not None:
+        found = found.select(*dict.fromkeys([*every, "ts", "seq", price, *carry]), "direction", "target", "urgency", "holds", "actionability", "reason")
+    return executed(found, price, least=least, fee=fee, keys=every)
 
 
 def trade_ledger(df: DataFrame, held: str = "held", price: str = "price", realized: str = "realized") -> DataFrame:

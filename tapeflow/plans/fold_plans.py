@@ -322,7 +322,7 @@ _BAR_LOG = _folded(
 def k15(spark, sf_dir):
     """Bar logs at two upper thresholds, with unknown and paradox states, postures, stops and collapses."""
     df = w.acceptability(steps(spark, sf_dir).selectExpr("symbol", "ts", "seq", "state", "ell", "price", *_ENGAGED_COLUMNS))
-    run = k.run_strategy(df, grid={"tau_on": [0.5, 0.7], "tau_off": [0.3]}, state="tri", posture="posture", collapse="broken", risk_stop="risky", neutral_exit="neutral")
+    run = k.run_strategy(df, grid={"tau_on": [0.5, 0.7], "tau_off": [0.3]}, carry=["acceptable"], state="tri", posture="posture", collapse="broken", risk_stop="risky", neutral_exit="neutral")
     return run.select("symbol", "tau_on", "tau_off", "seq", "direction", "target", "reason", F.col("exposure_out").alias("exposure"), "filled", "equity", "acceptable")
 
 
