@@ -51,7 +51,7 @@ def huber_ridge(df: DataFrame, features: list[str], label: str, lam: float = 1.0
     return w
 
 
-def softmax_head(df: DataFrame, features: list[str], weights: dict[str, str] | None = None, label: str | None = None, rounds: int = 50):
+def softmax_head(df: DataFrame, features: list[str], weights: dict[str, str] | None = None, label: str | None = None, rounds: int = 50, tol: float = 1e-6):
     """A multinomial logistic model; soft labels (class -> column of its probability) are rows of that weight."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
@@ -62,7 +62,7 @@ def softmax_head(df: DataFrame, features: list[str], weights: dict[str, str] | N
     else:
         rows = df.select(*features, F.col(label).cast("double").alias("label"), F.lit(1.0).alias("w"))
     ready = VectorAssembler(inputCols=features, outputCol="x", handleInvalid="skip").transform(rows)
-    return LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", family="multinomial", maxIter=rounds).fit(ready)
+    return LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", family="multinomial", maxIter=rounds, tol=tol).fit(ready)
 
 
 def pair_rank_loss(df: DataFrame, score: str, target: str, key: str, seed: int = 0) -> DataFrame:

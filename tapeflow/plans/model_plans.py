@@ -58,11 +58,32 @@ def m2_head(spark, sf_dir):
     return scored.groupBy("label").agg(F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("accuracy"), F.count("*").alias("n"))
 
 
-@query("m3_soft_label_head")
+def _solved(r: int, k: int) -> str:
+    """Queries from e{r}_0, which has k equations a00 .. b.., to c{r}, their solution c0 .., by elimination."""
+    out = ""
+    for p in range(k - 1):
+        cells = [f"a{i}{j} - a{i}{p} * a{p}{j} / a{p}{p} AS a{i}{j}" if i > p else f"a{i}{j}" for i in range(k) for j in range(k)]
+        out += f", e{r}_{p + 1} AS (SELECT {', '.join(cells + [f'b{i} - a{i}{p} * b{p} / a{p}{p} AS b{i}' if i > p else f'b{i}' for i in range(k)])} FROM e{r}_{p})"
+    back = [f"(b{i}{''.join(f' - a{i}{j} * c{j}' for j in range(i + 1, k))}) / a{i}{i} AS c{i}" for i in range(k - 1, -1, -1)]
+    return out + f", c{r} AS (SELECT {', '.join(back)} FROM e{r}_{k - 1})"
+
+
+def _newton_rounds(n: int) -> str:
+    """A logistic fit of the share of the second class by n steps of Newton's; its weights are halved between the classes."""
+    out = "|z AS (SELECT p_bad AS x0, exposure AS x1, 1.0::DOUBLE AS x2, 1 - ell AS y FROM steps WHERE exposure IS NOT NULL), t0 AS (SELECT 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2)"
+    for r in range(n):
+        sums = [f"sum(q * (1 - q) * x{i} * x{j}) AS a{i}{j}" for i in range(3) for j in range(3)] + [f"sum((y - q) * x{i}) AS b{i}" for i in range(3)]
+        out += f", s{r} AS (SELECT z.*, 1 / (1 + exp(-(w0 * x0 + w1 * x1 + w2))) AS q FROM z, t{r}), e{r}_0 AS (SELECT {', '.join(sums)} FROM s{r})" + _solved(r, 3)
+        out += f", t{r + 1} AS MATERIALIZED (SELECT w0 + c0 AS w0, w1 + c1 AS w1, w2 + c2 AS w2 FROM t{r}, c{r})"
+    return out + f" SELECT cls, feature, round(CASE feature WHEN 0 THEN w0 ELSE w1 END * CASE cls WHEN 0 THEN -0.5 ELSE 0.5 END, 4) AS weight FROM t{n}, (VALUES (0), (1)) c(cls), (VALUES (0), (1)) f(feature)"
+
+
+@query("m3_soft_label_head", _newton_rounds(8), "weight")
 def m3(spark, sf_dir):
     df = steps(spark, sf_dir).withColumns({"p0": F.col("ell"), "p1": 1 - F.col("ell"), "x0": F.col("p_bad"), "x1": F.col("exposure")})
-    model = m.softmax_head(df, ["x0", "x1"], weights={"spot": "p0", "perp": "p1"}, rounds=10)
-    return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(model.coefficientMatrix.toArray()) for j, v in enumerate(row)], "cls int, feature int, weight double")
+    model = m.softmax_head(df, ["x0", "x1"], weights={"spot": "p0", "perp": "p1"}, rounds=200, tol=1e-13)
+    # four digits, which the fit's last steps don't change
+    return spark.createDataFrame([(i, j, round(float(v), 4) + 0.0) for i, row in enumerate(model.coefficientMatrix.toArray()) for j, v in enumerate(row)], "cls int, feature int, weight double")
 
 
 def _huber_rounds(n: int) -> str:
@@ -75,11 +96,7 @@ def _huber_rounds(n: int) -> str:
         weight = "1.0" if r == 0 else f"CASE WHEN {error} <= 0.3 THEN 1.0 ELSE 0.3 / {error} END"
         sums = [f"sum(w * x{i} * x{j}){' + 1' if i == j else ''} AS a{i}{j}" for i in range(k) for j in range(k)] + [f"sum(w * x{i} * y) AS b{i}" for i in range(k)]
         out += f", w{r} AS (SELECT z.*, {weight} AS w FROM z{f', c{r - 1}' if r else ''}), e{r}_0 AS (SELECT {', '.join(sums)} FROM w{r})"
-        for p in range(k - 1):
-            cells = [f"a{i}{j} - a{i}{p} * a{p}{j} / a{p}{p} AS a{i}{j}" if i > p else f"a{i}{j}" for i in range(k) for j in range(k)]
-            out += f", e{r}_{p + 1} AS (SELECT {', '.join(cells + [f'b{i} - a{i}{p} * b{p} / a{p}{p} AS b{i}' if i > p else f'b{i}' for i in range(k)])} FROM e{r}_{p})"
-        back = [f"(b{i}{''.join(f' - a{i}{j} * c{j}' for j in range(i + 1, k))}) / a{i}{i} AS c{i}" for i in range(k - 1, -1, -1)]
-        out += f", c{r} AS (SELECT {', '.join(back)} FROM e{r}_{k - 1})"
+        out += _solved(r, k)
     return out + f", d AS (SELECT symbol, seq, {error} AS e FROM z, c{n}) SELECT symbol, seq, exp(-ln(2.0) * e / greatest((SELECT quantile_cont(e, 0.5) FROM d), 1e-9)) AS ell_hat FROM d"
 
 
@@ -154,7 +171,23 @@ def m6(spark, sf_dir):
     return m.label_weights(df, "label", "seq", "target", "ell", 0.3, tuple(m.HEADS), **_M6)
 
 
-@query("m8_principal_axes")
+def _jacobi(sweeps: int) -> str:
+    """Eigenvalues of the correlations of four columns, by rotations that clear one pair after the other."""
+    columns = ["ell", "p_bad", "exposure", "price"]
+    cell = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+    out = "|r0 AS (SELECT " + ", ".join(f"coalesce(corr({columns[i]}, {columns[j]}), 0) AS a{i}{j}" if i != j else f"1.0::DOUBLE AS a{i}{i}" for i in range(4) for j in range(i, 4)) + " FROM steps)"
+    k = 0
+    for p, q in [(p, q) for _ in range(sweeps) for p in range(4) for q in range(p + 1, 4)]:
+        turn = f"CASE WHEN {cell(p, q)} = 0 THEN 0.0 ELSE CASE WHEN {cell(q, q)} >= {cell(p, p)} THEN 1.0 ELSE -1.0 END * sign({cell(p, q)}) / (abs(({cell(q, q)} - {cell(p, p)}) / (2 * {cell(p, q)})) + sqrt(pow(({cell(q, q)} - {cell(p, p)}) / (2 * {cell(p, q)}), 2) + 1)) END"
+        new = {cell(p, p): f"{cell(p, p)} - t * {cell(p, q)}", cell(q, q): f"{cell(q, q)} + t * {cell(p, q)}", cell(p, q): "0.0::DOUBLE"}
+        for i in {0, 1, 2, 3} - {p, q}:
+            new[cell(i, p)], new[cell(i, q)] = f"({cell(i, p)} - t * {cell(i, q)}) / sqrt(t * t + 1)", f"(t * {cell(i, p)} + {cell(i, q)}) / sqrt(t * t + 1)"
+        out += f", q{k} AS (SELECT *, {turn} AS t FROM r{k}), r{k + 1} AS MATERIALIZED (SELECT {', '.join(f'{new[cell(i, j)]} AS {cell(i, j)}' if cell(i, j) in new else cell(i, j) for i in range(4) for j in range(i, 4))} FROM q{k})"
+        k += 1
+    return out + f" SELECT CAST(i - 1 AS INT) AS axis, list_reverse_sort([a00, a11, a22, a33])[i] / 4 AS explained FROM r{k}, (VALUES (1), (2)) v(i)"
+
+
+@query("m8_principal_axes", _jacobi(6), "explained")
 def m8(spark, sf_dir):
     axes, share = m.principal_axes(steps(spark, sf_dir), ["ell", "p_bad", "exposure", "price"])
     return spark.createDataFrame([(k, float(s)) for k, s in enumerate(share)], "axis int, explained double")
