@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Most pivots; cells grow beyond that.
 MOST_PIVOTS = 1024
-#: Rounding that bounds allow for, relative and absolute.
-SLACK = 1e-9
+#: Rounding that bounds allow for, relative and absolute: of lengths, and of angles, which a cosine near 1 gives to fewer digits.
+SLACK, ANGLE_SLACK = 1e-9, 1e-7
 
 
 def stacked(vectors: pd.Series, d: int) -> np.ndarray:
@@ -33,7 +33,7 @@ class Cells:
 
     def __init__(self, rows: DataFrame, angles: bool = False, block: int = 2000):
         """angles: distances are angles between vectors, not lengths of their differences.  block: rows that a cell aims at."""
-        self.angles, self.block = angles, block
+        self.angles, self.block, self.slack = angles, block, ANGLE_SLACK if angles else SLACK
         self.n = rows.count()
         most = min(MOST_PIVOTS, max(1, 2 * self.n // block))  # twice as many as needed, as two may fall into one cluster
         few = rows.orderBy(F.xxhash64("id"), "id").limit(8 * most).select("x").collect()
@@ -64,7 +64,7 @@ class Cells:
 
     def least(self, far: np.ndarray) -> np.ndarray:
         """What rows at these distances from the pivots are apart from each cell's rows at least."""
-        return np.maximum(far - self.radius - SLACK * (far + self.radius + 1), 0.0)
+        return np.maximum(far - self.radius - self.slack * (far + self.radius + 1), 0.0)
 
     def place(self, rows: DataFrame) -> DataFrame:
         """id, x, cell, far: each row's nearest pivot and the distance to it."""
@@ -202,5 +202,5 @@ def earlier_alike(rows: DataFrame, least: float, top: int = 3, block: int = 2000
             out.append(pd.DataFrame({"id": i[r], "n": 0, "other": j[at], "score": s[r][at], "products": 0}))
         return pd.concat(out)
 
-    routes = cells.routed(rows.withColumn("era", era.cast("int")), lambda far, f: cells.least(far) <= reach + SLACK)
+    routes = cells.routed(rows.withColumn("era", era.cast("int")), lambda far, f: cells.least(far) <= reach + ANGLE_SLACK)
     return cells.met(routes, rows, alike, schema, era, F.sequence(F.lit(0), F.col("era")))

@@ -329,6 +329,10 @@ def clamped(decisions: DataFrame, gates: DataFrame) -> tuple[DataFrame, DataFram
     return out.drop("open", "why"), joined.where("clamped").select("symbol", "ts", "direction", F.coalesce("why", F.lit("missing")).alias("why"))
 
 
+#: How text formats write times: to the microsecond, so that a key that is read again is the one that was written.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def put(rows: DataFrame, path: str, batch: int, *parts: str, form: str = "parquet") -> None:
     """Writes a batch of a query into folders of its own below path, over what an earlier try of the same batch has left.
 
@@ -336,7 +340,7 @@ def put(rows: DataFrame, path: str, batch: int, *parts: str, form: str = "parque
     """
     query = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
     named = rows.withColumn("_batch", F.lit(f"{query[:8]}-{batch}"))
-    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts, "_batch").format(form).save(path)
+    named.write.mode("overwrite").options(partitionOverwriteMode="dynamic", **_TIMES).partitionBy(*parts, "_batch").format(form).save(path)
 
 
 def idempotent_sink(path: str, keys: list[str], part: str | None = None, form: str = "parquet") -> Callable[[DataFrame, int], None]:
@@ -357,7 +361,7 @@ def idempotent_sink(path: str, keys: list[str], part: str | None = None, form: s
             schema = rows.drop("_part").schema.add("_part", "string").add("_batch", "string")
             query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
             try:
-                seen = spark.read.schema(schema).option("basePath", path).format(form).load(f"{path}/_part={{{','.join(touched)}}}")
+                seen = spark.read.schema(schema).options(basePath=path, **_TIMES).format(form).load(f"{path}/_part={{{','.join(touched)}}}")
             except Exception as e:  # none of these folders is there yet
                 if "PATH_NOT_FOUND" not in str(e):
                     raise

@@ -227,11 +227,11 @@ def test_sink_is_idempotent(spark, tmp_path, part, form):
     path = str(tmp_path / "t")
     write = jobs.idempotent_sink(path, ["run_id", "ts", "symbol"], part, form)
     read = lambda: spark.read.format(form).load(path)
-    one = keyed_rows(spark, ("r", 1, "A", 1), ("r", 1, "A", 1), ("r", 2, "A", 2), (None, 3, "A", 3), ("r", None, None, 4))
+    one = keyed_rows(spark, ("r", 1.000123, "A", 1), ("r", 1.000123, "A", 1), ("r", 2, "A", 2), (None, 3, "A", 3), ("r", None, None, 4))
     for _ in range(2):  # the same batch again, null key parts among its rows
         write(one, 0)
     assert read().count() == 4
-    write(keyed_rows(spark, ("r", 2, "A", 9), (None, 3, "A", 9), ("r", None, None, 9), ("r", 9000, "B", 5)), 1)
+    write(keyed_rows(spark, ("r", 1.000123, "A", 9), ("r", 2, "A", 9), (None, 3, "A", 9), ("r", None, None, 9), ("r", 9000, "B", 5)), 1)
     write(keyed_rows(spark), 2)
     assert sorted(r["x"] for r in read().collect()) == [1, 2, 3, 4, 5]
 
