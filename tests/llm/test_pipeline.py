@@ -1,4 +1,11 @@
+import hashlib
+
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline
+from tapeflow.llm.importance import fit, is_candidate, weigh
+from tapeflow.llm.toxicity import toxicity
 from tests.llm.test_decontamination import brute as hits
 from tests.llm.test_near_dup import brute as classes
 
@@ -21,7 +28,21 @@ def test_stages_take_effect_and_keep_clean_rows(spark):
     by_class = classes([(i, t) for i, t in rows[2].items()])
     assert set(rows[3]) == {i for i, c in by_class.items() if i == c}
     assert set(rows[4]) == {h[0] for h in hits([(i, t) for i, t in rows[3].items()], items, 10) if not h[5]}
-    assert corpus_pipeline.encoding(spark, kept[4], SF).count() == len(rows[4])
+    table = spark.read.parquet(f"{SF}/labels.parquet")
+    toxic = {r["doc_id"] for r in toxicity(kept[0], table).collect() if r["predicted"]}
+    assert set(rows[1]) == set(rows[0]) - toxic
+    model = fit(kept[1], table)
+    assert set(rows[2]) == {r["doc_id"] for r in weigh(kept[1], model).where(is_candidate(model)).collect()}
+    coded = {r["doc_id"]: r for r in corpus_pipeline.encoding(spark, kept[4], SF).collect()}
+    library = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    library.no_truncation()
+    library.no_padding()
+    assert set(coded) == set(rows[4])
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for i, text in rows[4].items():
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        want = len(ids), digest(" ".join(map(str, ids))), digest(library.decode(ids, skip_special_tokens=False))
+        assert (coded[i]["n_tokens"], coded[i]["ids_sha256"], coded[i]["decoded_sha256"]) == want
 
 
 def test_empty_documents(spark):

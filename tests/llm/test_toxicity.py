@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 import pytest
 
-from tapeflow.llm.toxicity import SEGMENT, Field, chains, forward_backward, log_odds, toxicity
+from tapeflow.llm.toxicity import SEGMENT, Field, chains, features, forward_backward, log_odds, score_documents, toxicity, words_of
 
 
 def test_marginals_equal_enumeration():
@@ -48,6 +48,26 @@ def test_a_text_is_one_chain():
         at += len(own)
 
 
+def test_document_scores_equal_enumeration(spark):
+    """score_documents against all paths of each short text: marginals, their largest log odds and sum, then the score."""
+    rng = np.random.default_rng(6)
+    weights = {f: float(rng.normal(scale=2)) for w in (b"zork", b"fine", b"so") for f in features(w)}
+    trans, start, bias, final = rng.normal(size=(2, 2)), 0.4, -0.3, np.array([-1.0, 0.8, 1.5, -0.4])
+    field = Field(weights, bias, start, trans, final)
+    texts = ["Zork fine so", "so, so!", None, "", "?!", "zork zork fine other words so zork", "Über zork"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, score string").repartition(3)
+    found = {r["doc_id"]: r for r in score_documents(docs, field).collect()}
+    for i, t in enumerate(texts):
+        words = words_of(t)
+        emit = [bias + sum(weights.get(f, 0.0) for f in features(w)) for w in words]
+        paths = list(itertools.product((0, 1), repeat=len(words)))
+        weight = [np.exp(start * p[0] + sum(e * y for e, y in zip(emit, p)) + sum(trans[a, b] for a, b in zip(p, p[1:]))) if p else 1.0 for p in paths]
+        share = np.array([sum(w for w, p in zip(weight, paths) if p[k]) / sum(weight) for k in range(len(words))])
+        odds = np.log(share / (1 - share))
+        summary = [1.0, odds.max() if words else -12.0, np.log1p(share.sum()), np.log1p(len(words))]
+        assert np.isclose(found[i]["score"], 1 / (1 + np.exp(-np.dot(summary, final)))) and found[i]["n_toxic_words"] == (odds > 0).sum()
+
+
 def test_finds_toxic_words_and_spans(spark):
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
