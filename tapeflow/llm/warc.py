@@ -305,8 +305,25 @@ def read_archives(manifest: DataFrame, payload: bool = False) -> DataFrame:
     return spread.mapInArrow(read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payload)
 
 
+def verified(found: DataFrame) -> DataFrame:
+    """read_archives' rows, if each revisit names a response with its digest and length; else an error.
+
+    Revisits of one response are one row of the join, however many there are.
+    """
+    parts = ("payload_digest", "payload_bytes")
+    named = found.where("record_type = 'revisit'").select(F.col("refers_to").alias("named"), *[F.col(c).alias(f"own_{c}") for c in parts]).distinct()
+    there = found.where("record_type = 'response'").select("page_id", *parts).distinct()
+    same = F.col("named").eqNullSafe(F.col("page_id"))
+    for c in parts:
+        same = same & (F.col(c) == F.col(f"own_{c}"))
+    wrong = named.join(there, same, "left_anti").limit(1).collect()
+    if wrong:
+        raise ValueError(f"a revisit differs from the response that it names, {wrong[0]['named']}")
+    return found
+
+
 def archive_pages(pages: DataFrame, folder: str | None = None, **sizes) -> DataFrame:
-    """Writes pages to folder (a new one in the shared folder if None) and returns read_archives of it."""
+    """Writes pages to folder (a new one in the shared folder if None) and returns read_archives of it, verified."""
     spark: SparkSession = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    return read_archives(write_archives(pages, folder, **sizes))
+    return verified(stored(read_archives(write_archives(pages, folder, **sizes)), "warc-read"))

@@ -87,3 +87,12 @@ def test_files_are_read_by_many_tasks(spark, tmp_path):
     manifest = write_archives(pages(spark, ROWS), f"file://{tmp_path}/w", shard_bytes=4000, roll_bytes=800)
     files = manifest.count()
     assert files > 8 and read_archives(manifest).rdd.getNumPartitions() == files
+
+
+def test_revisits_are_held_against_their_responses(spark):
+    schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
+    rows = [(1, "u", "response", 200, "a", None), (None, "u", "response", 300, "b", None), (2, "u", "revisit", 200, "a", 1), (3, "u", "revisit", 200, "a", 1)]
+    assert warc.verified(spark.createDataFrame(rows, schema)).count() == 4
+    for wrong in ((4, "u", "revisit", 200, "b", 1), (4, "u", "revisit", 201, "a", 1), (4, "u", "revisit", 200, "a", 2), (4, "u", "revisit", 200, "a", None)):
+        with pytest.raises(ValueError, match="revisit"):
+            warc.verified(spark.createDataFrame([*rows, wrong], schema))
