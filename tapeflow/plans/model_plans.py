@@ -47,17 +47,6 @@ def m2(spark, sf_dir):
     return m.direction_features(steps(spark, sf_dir), "ell", 3, 5, 0.1)
 
 
-@query("m2_direction_head")
-def m2_head(spark, sf_dir):
-    df = m2(spark, sf_dir)
-    from pyspark.ml.feature import VectorAssembler
-
-    xs = ["x0", "x1", "x2"]
-    model = m.softmax_head(df, xs, label="label", rounds=20)
-    scored = model.transform(VectorAssembler(inputCols=xs, outputCol="x").transform(df))
-    return scored.groupBy("label").agg(F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("accuracy"), F.count("*").alias("n"))
-
-
 def _solved(r: int, k: int) -> str:
     """Queries from e{r}_0, which has k equations a00 .. b.., to c{r}, their solution c0 .., by elimination."""
     out = ""
@@ -68,6 +57,34 @@ def _solved(r: int, k: int) -> str:
     return out + f", c{r} AS (SELECT {', '.join(back)} FROM e{r}_{k - 1})"
 
 
+def _softmax_rounds(n: int) -> str:
+    """Three classes by n steps of Newton's, the middle one's weights held at 0; then the share of each label that is met."""
+    w = [f"w{i}" for i in range(8)]  # four for class 0, four for class 2
+    z = [" + ".join(f"w{4 * c + i} * x{i}" for i in range(4)) for c in (0, 1)]
+    out = """|f AS (SELECT ell AS x0, lag(ell, 1) OVER w AS x1, lag(ell, 2) OVER w AS x2, 1.0::DOUBLE AS x3, CASE WHEN lead(price, 5) OVER w / nullif(price, 0) - 1 > 0.1 THEN 2 WHEN lead(price, 5) OVER w / nullif(price, 0) - 1 < -0.1 THEN 0 WHEN lead(price, 5) OVER w IS NOT NULL THEN 1 END AS label FROM steps WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)),
+    z AS MATERIALIZED (SELECT * FROM f WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND label IS NOT NULL), t0 AS (SELECT """ + ", ".join(f"0.0::DOUBLE AS {x}" for x in w) + ")"
+    for r in range(n):
+        cell = lambda a, b: f"p{a} * ({1 if a == b else 0} - p{b})"
+        sums = [f"sum({cell(i // 4, j // 4)} * x{i % 4} * x{j % 4}) AS a{i}{j}" for i in range(8) for j in range(8)]
+        sums += [f"sum((CASE WHEN label = {2 * (i // 4)} THEN 1 ELSE 0 END - p{i // 4}) * x{i % 4}) AS b{i}" for i in range(8)]
+        out += f""", s{r} AS (SELECT *, exp({z[0]}) / (1 + exp({z[0]}) + exp({z[1]})) AS p0, exp({z[1]}) / (1 + exp({z[0]}) + exp({z[1]})) AS p1 FROM z, t{r}),
+        e{r}_0 AS MATERIALIZED (SELECT {', '.join(sums)} FROM s{r})""" + _solved(r, 8).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+        out += f", t{r + 1} AS MATERIALIZED (SELECT {', '.join(f'w{i} + c{i} AS w{i}' for i in range(8))} FROM t{r}, c{r})"
+    best = f"CASE WHEN {z[0]} >= greatest(0, {z[1]}) THEN 0 WHEN {z[1]} > 0 THEN 2 ELSE 1 END"
+    return out + f" SELECT label, avg(CAST({best} = label AS INT)) AS accuracy, count(*) AS n FROM z, t{n} GROUP BY 1"
+
+
+@query("m2_direction_head", _softmax_rounds(7), "accuracy")
+def m2_head(spark, sf_dir):
+    df = m2(spark, sf_dir)
+    from pyspark.ml.feature import VectorAssembler
+
+    xs = ["x0", "x1", "x2"]
+    model = m.softmax_head(df, xs, label="label", rounds=300, tol=1e-13)
+    scored = model.transform(VectorAssembler(inputCols=xs, outputCol="x").transform(df))
+    return scored.groupBy("label").agg(F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("accuracy"), F.count("*").alias("n"))
+
+
 def _newton_rounds(n: int) -> str:
     """A logistic fit of the share of the second class by n steps of Newton's; its weights are halved between the classes."""
     out = "|z AS (SELECT p_bad AS x0, exposure AS x1, 1.0::DOUBLE AS x2, 1 - ell AS y FROM steps WHERE exposure IS NOT NULL), t0 AS (SELECT 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2)"
