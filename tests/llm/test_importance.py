@@ -86,3 +86,15 @@ def test_gumbel_noise_is_fixed_by_key_and_seed(spark):
     df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(0.0).alias("log_weight"))
     a, b = (sorted(r[0] for r in df.repartition(n).select(gumbel_key()).collect()) for n in (1, 5))
     assert a == b and abs(np.mean(a) - 0.5772) < 0.1
+
+
+def test_rows_without_a_key_share_one_noise(spark):
+    """Of rows without a key those of the highest weights are drawn; keyed rows by their own noise."""
+    rows, labels = corpus()
+    docs = spark.createDataFrame([*rows, *[(None, " ".join(t.split()[: 5 + i]), "x") for i, (_, t, _) in enumerate(rows[1:60])]], SCHEMA)
+    found = resample(docs, spark.createDataFrame(labels, "doc_id long, quality int"), 0.5).collect()
+    unnamed = [r for r in found if r["doc_id"] is None]
+    assert len({round(r["gumbel_key"] - r["log_weight"], 6) for r in unnamed}) == 1 < len({round(r["gumbel_key"] - r["log_weight"], 6) for r in found})
+    drawn, left = [r["log_weight"] for r in unnamed if r["sampled"]], [r["log_weight"] for r in unnamed if not r["sampled"]]
+    assert not drawn or not left or min(drawn) >= max(left)
+    assert sum(r["sampled"] for r in found) >= round(0.5 * len(found))
