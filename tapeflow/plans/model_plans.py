@@ -235,6 +235,6 @@ def o1(spark, sf_dir):
     return _surface(spark, sf_dir).select("symbol", "ts", "tenor", "mny", "call", "iv", "strike", "mid")
 
 
-@query("o2_surface_check", _SURFACE + " SELECT count(*) AS rows, count_if(epoch_ms(ts) NOT BETWEEN 1000000000000 AND 1000000000000000) AS bad_times, count_if(mid IS NULL OR mid < -1e-6) AS bad_prices, 50 - count(DISTINCT (tenor, mny, call)) AS missing_cells FROM sf")
+@query("o2_surface_check", _SURFACE + " SELECT count(*) AS rows, CAST(count_if(epoch_ms(ts) NOT BETWEEN 1000000000000 AND 1000000000000000) AS BIGINT) AS bad_times, CAST(count_if(mid IS NULL OR mid < -1e-6) AS BIGINT) AS bad_prices, 50 - count(DISTINCT (tenor, mny, call)) AS missing_cells FROM sf")
 def o2(spark, sf_dir):
     return o.surface_problems(_surface(spark, sf_dir))
