@@ -192,7 +192,11 @@ def ewma(df: DataFrame, column: str, alpha: float, out: str, chunk: int = 10_000
 
 
 def triadic_state(df: DataFrame, price: str = "price", window: int = 200, dead: float = 5e-5, keep: float = 0.95, out: str = "tri") -> DataFrame:
-    """1, 0, -1 by the smoothed normalised return against a dead zone; -2 where price or volatility are unknown; 0 first."""
+    """1, 0, -1 by the smoothed normalised return against a dead zone; -2 where price or volatility are unknown; 0 first.
+
+    A return from a price of 0 is infinite or no number: while the window holds one, its volatility is beyond all bounds, rows count
+    as a return at the upper limit and lie in the dead zone.
+    """
 
     def init():
         return None, deque(maxlen=window), 0.0
@@ -205,10 +209,12 @@ def triadic_state(df: DataFrame, price: str = "price", window: int = 200, dead:
             return ((p if known else math.nan), seen, z), (0,)
         if not known or not math.isfinite(before):
             return ((p if known else math.nan), seen, z), (-2,)
-        r = p / before - 1.0
+        r = p / before - 1.0 if before else math.nan
         seen.append(r)
         mean = math.fsum(seen) / len(seen)
-        sigma = math.sqrt(math.fsum((x - mean) ** 2 for x in seen) / len(seen))
+        if len(seen) > 1 and not math.isfinite(mean):
+            return (p, seen, keep * z + (1 - keep) * 5.0), (0,)
+        sigma = math.sqrt(math.fsum((x - mean) ** 2 for x in seen) / len(seen)) if len(seen) > 1 else 0.0
         if sigma < 1e-12:
             return (p, seen, z), (-2,)
         z = keep * z + (1 - keep) * max(-5.0, min(5.0, r / (sigma + 1e-9)))

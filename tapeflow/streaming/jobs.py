@@ -195,20 +195,22 @@ def window_state(closes: list[float], dead: float = 5e-5, keep: float = 0.95) ->
     p = np.asarray(closes, float)
     if len(p) < 2:
         return 0
-    r = p[1:] / p[:-1] - 1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = p[1:] / p[:-1] - 1
     known = np.isfinite(p[1:]) & np.isfinite(p[:-1])
     n = np.maximum(np.cumsum(known), 1)
-    x = np.where(known, r, 0.0)
+    wild = np.logical_or.accumulate(known & ~np.isfinite(r)) & (n > 1)  # a return from a price of 0, see operators.folds.triadic_state
+    x = np.where(known & np.isfinite(r), r, 0.0)
     mean = np.cumsum(x) / n
     sigma = np.sqrt(np.maximum(np.cumsum(x * x) / n - mean * mean, 0.0))
-    counts = known & (sigma >= 1e-12)
-    step = np.clip(x / (sigma + 1e-9), -5.0, 5.0)
+    counts = known & (wild | (sigma >= 1e-12))
+    step = np.where(wild, 5.0, np.clip(x / (sigma + 1e-9), -5.0, 5.0))
     z = 0.0
     for v in step[counts]:
         z = keep * z + (1 - keep) * v
     if not counts[-1]:
         return -2
-    return 0 if abs(z) < max(dead, 0.5 * sigma[-1]) else 1 if z > 0 else -1
+    return 0 if wild[-1] or abs(z) < max(dead, 0.5 * sigma[-1]) else 1 if z > 0 else -1
 
 
 def next_intent(memory: tuple, state: int, conf: float, observe: bool, on: float, off: float, base: float, ramp: float = 20.0) -> tuple[tuple, tuple]:
