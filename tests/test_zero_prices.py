@@ -24,7 +24,7 @@ def zeros(spark, tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["c5_forward_return", "f8_triadic_state"])
+@pytest.mark.parametrize("name", ["c5_forward_return", "f8_triadic_state", "m2_direction_features", "m2_direction_head"])
 def test_equals_sql(spark, zeros, name):
     folder, con = zeros
     df = registry.QUERIES[name](spark, folder)
