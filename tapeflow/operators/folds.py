@@ -262,28 +262,36 @@ def position_accounting(df: DataFrame, target: str, price: str = "price", fee: f
     return fold(df, lambda: (0.0, 0.0, 0.0), step, "held double,avg_price double,realized double,unrealized double")
 
 
+def cost_units(cost: float) -> int:
+    """A cost in whole units of 2^-60, whose running sums are exact."""
+    return int(min(cost, 1e200) * 2.0**60)
+
+
 def cost_gate_step(target: str, price: str, actionability: str, urgency: str, rate: float, edge_bps: float, budget: float, window_ms: int, at_ms: str) -> Callable:
-    """step(state, row) of cost_gate; the state is the position, all costs so far, and for each move of the time window when it
-    came and what the costs before it were, so that the window's costs are a difference."""
+    """step(state, row) of cost_gate; the state is the position, the moves of the time window, each with its time and cost, and
+    the sum of these costs in cost_units.  Where that is too close to tell, the costs are added up in the order of the moves."""
     share = lambda x: max(0.0, min(1.0, x or 0.0))
 
     def step(state, row):
-        held, total, moves = state
+        held, moves, total = state
         aim, now, value = row[target] or 0.0, row[at_ms], max(0.0, row[price] or 0.0)
         while moves and moves[0][0] < now - window_ms:
-            moves.popleft()
+            total -= cost_units(moves.popleft()[1])
         amount = abs(aim - held) * value
-        cost, worth = amount * rate, amount * edge_bps * 1e-4 * share(row[actionability]) * share(row[urgency])
-        left = budget - (total - moves[0][1] if moves else 0.0)
-        grows = abs(aim) > abs(held)
-        refusals = {"budget": grows and 0 < budget and max(0.0, left) < cost, "edge": grows and 0 < edge_bps and worth < cost}
+        cost, worth = amount * rate, amount * edge_bps * 1e-4 * (share(row[actionability]) * share(row[urgency]))
+        grows, spent = abs(aim) > abs(held), total * 2.0**-60
+        if grows and abs(budget - spent - cost) <= 1e-9 * (budget + spent + cost):
+            spent = 0.0
+            for _, c in moves:  # not sum, which corrects its rounding
+                spent += c
+        refusals = {"budget": grows and 0 < budget and max(0.0, budget - spent) < cost, "edge": grows and 0 < edge_bps and worth < cost}
         why = "+".join(name for name, applies in refusals.items() if applies)
         if why:
-            return (held, total, moves), (held, True, why, 0.0)
+            return (held, moves, total), (held, True, why, 0.0)
         if amount > 0 and budget > 0:
-            moves.append((now, total))
-            total += cost
-        return (aim, total, moves), (aim, False, "", cost)
+            moves.append((now, cost))
+            total += cost_units(cost)
+        return (aim, moves, total), (aim, False, "", cost)
 
     return step
 
@@ -291,7 +299,7 @@ def cost_gate_step(target: str, price: str, actionability: str, urgency: str, ra
 def cost_gate(df: DataFrame, target: str, price: str = "price", actionability: str = "actionability", urgency: str = "ell", rate: float = 0.0008, edge_bps: float = 20.0, budget: float = 1.0, window_ms: int = 3_600_000, at_ms: str = "ts_ms") -> DataFrame:
     """gate_target, blocked, why, cost: growing a position must fit the budget of a time window and pay for its cost."""
     step = cost_gate_step(target, price, actionability, urgency, rate, edge_bps, budget, window_ms, at_ms)
-    return fold(df, lambda: (0.0, 0.0, deque()), step, "gate_target double,blocked boolean,why string,cost double")
+    return fold(df, lambda: (0.0, deque(), 0), step, "gate_target double,blocked boolean,why string,cost double")
 
 
 def thin(df: DataFrame, least_s: float, at_s: str = "ts_s", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

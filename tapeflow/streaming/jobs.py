@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from tapeflow.operators.folds import HOLDING, REASONS, URGENCY, cost_gate_step
+from tapeflow.operators.folds import HOLDING, REASONS, URGENCY, cost_gate_step, cost_units
 from tapeflow.sources.readers import OHLC, TRADE, csv_lines, ingest_frame, own_columns
 
 
@@ -229,7 +229,7 @@ def next_intent(memory: tuple, state: int, conf: float, observe: bool, on: float
     return (state, age, holds, kept), (thesis if holds else state * acts, size, urgency, holds, conf, reason)
 
 
-_DECIDED = "closes array<double>, last int, age int, holding boolean, thesis int, held double, total double, moved_at array<bigint>, before array<double>, open boolean, ready boolean, why string"
+_DECIDED = "closes array<double>, last int, age int, holding boolean, thesis int, held double, moved_at array<bigint>, costs array<double>, open boolean, ready boolean, why string"
 _DECISION = "close double, state int, direction int, target double, urgency double, holds boolean, reason string, clamped boolean, blocked boolean, gate_target double, cost double"
 
 
@@ -245,9 +245,9 @@ def decisions(bars: DataFrame, gates: DataFrame | None = None, enforce: bool = F
     gate = cost_gate_step("aim", "close", "actionability", "urgency", at_ms="at", **options)
 
     def step(state, row):
-        closes, last, age, holding, thesis, held, total, moved_at, before, is_open, ready, why = state
+        closes, last, age, holding, thesis, held, moved_at, costs, is_open, ready, why = state
         if row["open"] is not None:
-            return (closes, last, age, holding, thesis, held, total, moved_at, before, bool(row["open"]), bool(row["ready"]), row["why"] or ""), None
+            return (closes, last, age, holding, thesis, held, moved_at, costs, bool(row["open"]), bool(row["ready"]), row["why"] or ""), None
         close = float(row["close"])
         closes = [*closes, close][-window:]
         now = window_state(closes)
@@ -256,14 +256,14 @@ def decisions(bars: DataFrame, gates: DataFrame | None = None, enforce: bool = F
         if clamped:
             direction, target, urgency, holds, act, reason = 0, 0.0, 0.0, True, 0.0, f"{reason}+clamp{f' ({why})' if why else ''}"
         asked = {"aim": direction * target, "close": close, "actionability": act, "urgency": urgency, "at": row["at"] // 1000}
-        (held, total, moves), (aim, blocked, _, due) = gate((held, total, deque(zip(moved_at, before))), asked)
-        kept = (closes, *memory, held, total, [int(t) for t, _ in moves], [float(c) for _, c in moves], is_open, ready, why)
+        (held, moves, _), (aim, blocked, _, due) = gate((held, deque(zip(moved_at, costs)), sum(map(cost_units, costs))), asked)
+        kept = (closes, *memory, held, [int(t) for t, _ in moves], [float(c) for _, c in moves], is_open, ready, why)
         return kept, (close, now, direction, target, urgency, holds, reason, clamped, blocked, aim, due)
 
     rows = bars.select("symbol", "ts", F.col("close").cast("double").alias("close"), F.lit(None).cast("boolean").alias("open"), F.lit(None).cast("boolean").alias("ready"), F.lit(None).cast("string").alias("why"))
     if gates is not None:
         rows = gates.select("symbol", "ts", F.lit(None).cast("double").alias("close"), "open", F.coalesce("ready", F.lit(False)).alias("ready"), "why").unionByName(rows)
-    return keyed(rows, ([], 0, 0, False, 0, 0.0, 0.0, [], [], True, False, ""), step, _DECIDED, _DECISION, "close double, open boolean, ready boolean, why string", lateness)
+    return keyed(rows, ([], 0, 0, False, 0, 0.0, [], [], True, False, ""), step, _DECIDED, _DECISION, "close double, open boolean, ready boolean, why string", lateness)
 
 
 def summaries(bars: DataFrame, seconds: int = 60, last: int = 60, lateness: str = "10 seconds") -> DataFrame:

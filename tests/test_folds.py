@@ -53,6 +53,26 @@ def test_cost_gate_blocks_growth_only(spark):
     assert got == [(1.0, False, ""), (1.0, True, "budget+edge"), (0.5, False, ""), (0.5, True, "budget")]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_cost_gate_decides_close_calls_as_a_plain_sum(seed):
+    """Costs are multiples of a thousandth here, so what is left of the budget often equals a cost but for rounding."""
+    rng = random.Random(seed)
+    step = k.cost_gate_step("aim", "price", "act", "urge", 0.001, 20.0, 1.0, 50, "at")
+    state, held, spent = (0.0, k.deque(), 0), 0.0, []
+    for at in range(4000):
+        row = {"aim": rng.randrange(-9, 10) / 10, "price": float(rng.choice([10, 50, 100, 200])), "act": rng.randrange(101) / 100, "urge": rng.randrange(101) / 100, "at": at}
+        state, (got, blocked, why, cost) = step(state, row)
+        moved, grows = abs(row["aim"] - held) * row["price"], abs(row["aim"]) > abs(held)
+        spent, used = [x for x in spent if x[0] >= at - 50], 0.0
+        for _, c in spent:
+            used += c
+        due = moved * 0.001
+        over, thin = grows and due > max(0.0, 1.0 - used), grows and moved * 20.0 * 1e-4 * (row["act"] * row["urge"]) < due
+        if not over and not thin:
+            spent, held = [*spent, (at, due)] if moved > 0 else spent, row["aim"]
+        assert (got, why) == (held, "+".join(n for n, x in (("budget", over), ("edge", thin)) if x)), at
+
+
 def test_thesis_enters_holds_and_cools_down(spark):
     rows = [(1, True, 0.1, 0), (1, False, 0.1, 0), (-1, False, 0.9, 2), (-1, False, 0.9, 2), (1, True, 0.1, 0)]
     got = values(k.thesis_memory(tape(spark, rows, "sign int, promote boolean, p double, flips int"), "sign", "promote", "p", "p", "flips", cooldown=3), "thesis", "event", "why")
