@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,19 +37,43 @@ def shuffled(i: Column, n: Column, key: Column, rounds: int = 12) -> Column:
     return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.lit(rounds - 1).cast("bigint")), i.cast("bigint"), swap)
 
 
+def places(i: np.ndarray, n: np.ndarray, key: int, rounds: int = 12) -> np.ndarray:
+    """`shuffled` over whole arrays of bigints."""
+    prime, x = 2147483647, i.copy()
+    mix = lambda v: v % prime * 48271 % prime
+    for r in range(rounds):
+        salt = mix(key * 7919 + r * 104729 + 1)
+        other = (salt - x) % n
+        swapped = mix(mix(np.maximum(x, other) + salt) + salt) >> 15 & 1
+        x = np.where(swapped == 1, other, x)
+    return x
+
+
 def permutation_null(df: DataFrame, x: str, ret: str, replicates: int = 20, kappa: float = 0.001) -> DataFrame:
     """symbol, rho, null_median, delta: edge over cost against that of returns dealt anew in each replicate.
 
-    A replicate takes a row's return from the row that `shuffled` names, by an equi-join on row numbers.
+    A replicate takes a row's return from the row that `shuffled` names (by its form for arrays, as lambdas aren't compiled), by an equi-join on row numbers; costs are the same in
+    all replicates.  Rows are dealt by their numbers first, so the replicates of one symbol are many tasks' work.
     """
     w = tape()
     base = df.withColumns({"_x0": F.lag(x).over(w), "_x": F.col(x), "_r": F.coalesce(ret, F.lit(0.0))}).where("_x0 IS NOT NULL").withColumn("_i", F.row_number().over(w).cast("bigint") - 1).select("symbol", "_i", "_x0", "_x", "_r")
-    rho = (F.sum(F.col("_x0") * F.col("_r")) / (F.sum(kappa * F.abs(F.col("_x") - F.col("_x0"))) + 1e-12)).alias("rho")
-    sized = base.drop("_r").join(base.groupBy("symbol").agg(F.count("*").alias("_n")), "symbol")
-    rows = sized.withColumn("rep", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(replicates).cast("bigint")))).withColumn("_j", shuffled(F.col("_i"), F.col("_n"), F.col("rep")))
-    dealt = base.select("symbol", F.col("_i").alias("_j"), "_r")
-    null = rows.join(dealt, ["symbol", "_j"]).groupBy("symbol", "rep").agg(rho).groupBy("symbol").agg(F.percentile("rho", F.lit(0.5)).alias("null_median"))  # one value for each replicate
-    return base.groupBy("symbol").agg(rho).join(null, "symbol").withColumn("delta", F.col("rho") - F.col("null_median"))
+    cost = F.sum(kappa * F.abs(F.col("_x") - F.col("_x0"))) + 1e-12
+    whole = base.groupBy("symbol").agg(F.count("*").alias("_n"), cost.alias("_cost"), (F.sum(F.col("_x0") * F.col("_r")) / cost).alias("rho"))
+
+    def replicated(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            i, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_i", "_n"))
+            for rep in range(1, replicates + 1):
+                yield pa.RecordBatch.from_arrays([batch.column("symbol"), pa.array(np.full(len(i), rep, np.int64)), pa.array(places(i, n, rep)), batch.column("_x0")], names=["symbol", "rep", "_j", "_x0"])
+
+    rows = base.select("symbol", "_i", "_x0").repartition("symbol", "_i").join(whole.select("symbol", "_n"), "symbol").select("symbol", "_i", "_n", F.col("_x0").cast("double"))
+    rows = rows.mapInArrow(replicated, "symbol string, rep long, _j long, _x0 double")
+    dealt = base.select("symbol", F.col("_i").alias("_j"), "_r").hint("shuffle_hash")
+    null = rows.join(dealt, ["symbol", "_j"]).groupBy("symbol", "rep").agg(F.sum(F.col("_x0") * F.col("_r")).alias("_edge"))
+    null = null.join(whole.select("symbol", "_cost"), "symbol").groupBy("symbol").agg(F.percentile(F.col("_edge") / F.col("_cost"), F.lit(0.5)).alias("null_median"))  # one value for each replicate
+    return whole.select("symbol", "rho").join(null, "symbol").withColumn("delta", F.col("rho") - F.col("null_median"))
 
 
 def readiness(df: DataFrame, window: int = 8, required: int = 6, ready: str = "ready", reason: str = "reason", target: str = "target") -> DataFrame:

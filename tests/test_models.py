@@ -235,3 +235,14 @@ def test_quotient_features_of_each_window(spark, batch):
             want = [math.sqrt(v + e) / (x.max() - x.min() + e), math.log1p(math.sqrt(d2.var() + e)), fall / (abs(ps[-1] - ps[0]) + e), np.abs(x).sum() / (math.sqrt((x * x).sum()) + e), max(-1, min(1, s01 / scale)) if scale > 0 else 0, math.sqrt(r[t - w1 + 1 : t + 1].var() + e) / (math.sqrt(v + e) + e)]
             for f, a, b in zip(FEATURES, got, want):
                 assert (a is None and np.isnan(b)) or math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-7), (s, t, f)
+
+
+def test_places_are_those_of_shuffled(spark):
+    from tapeflow.operators.gates import places, shuffled
+
+    for n in (1, 2, 7, 100, 2_000_000_011):
+        i = np.unique(np.linspace(0, n - 1, 40).astype(np.int64))
+        df = spark.createDataFrame([(int(x), key) for x in i for key in (1, 5)], "id long, key long")
+        found = {(r["id"], r["key"]): r["j"] for r in df.withColumn("j", shuffled(F.col("id"), F.lit(n).cast("bigint"), F.col("key"))).collect()}
+        for key in (1, 5):
+            assert places(i, np.full(len(i), n, np.int64), key).tolist() == [found[int(x), key] for x in i]
