@@ -76,13 +76,11 @@ def _softmax_rounds(n: int) -> str:
 
 @query("m2_direction_head", _softmax_rounds(7), "accuracy")
 def m2_head(spark, sf_dir):
-    df = m2(spark, sf_dir)
-    from pyspark.ml.feature import VectorAssembler
-
-    xs = ["x0", "x1", "x2"]
-    model = m.softmax_head(df, xs, label="label", rounds=300, tol=1e-13)
-    scored = model.transform(VectorAssembler(inputCols=xs, outputCol="x").transform(df))
-    return scored.groupBy("label").agg(F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("accuracy"), F.count("*").alias("n"))
+    df, xs = m2(spark, sf_dir), ["x0", "x1", "x2"]
+    weights = m.newton_head(df, xs, "label", held=1, others=[0, 2])
+    down, up = m.linear(xs, weights[0]), m.linear(xs, weights[2])
+    best = F.when(down >= F.greatest(F.lit(0.0), up), 0).when(up > 0, 2).otherwise(1)
+    return df.groupBy("label").agg(F.avg((best == F.col("label")).cast("int")).alias("accuracy"), F.count("*").alias("n"))
 
 
 def _newton_rounds(n: int) -> str:

@@ -113,6 +113,26 @@ def test_softmax_heads(spark, soft):
     assert np.allclose(got, c, atol=2e-3)
 
 
+def test_direction_head_to_the_last_digits(spark):
+    """Weights as those of many plain steps, also from rows dealt in another way."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 101, (3000, 2)) / 100
+    label = np.where(rng.random(3000) < 0.3 + 0.3 * x[:, 0], 1, np.where(rng.random(3000) < x[:, 1], 2, 0))
+    rows = [(float(a), float(b), int(c)) for (a, b), c in zip(x, label)]
+    df = spark.createDataFrame(rows, "x0 double, x1 double, label int")
+    got = m.newton_head(df, ["x0", "x1"], "label", 1, [0, 2])
+    design, w = np.column_stack([x, np.ones(3000)]), np.zeros((2, 3))
+    y = np.stack([label == 0, label == 2]).astype(float)
+    for _ in range(30):
+        e = np.exp(w @ design.T)
+        p = e / (1 + e.sum(0))
+        h = np.block([[(design * (p[a] * ((a == b) - p[b]))[:, None]).T @ design for b in (0, 1)] for a in (0, 1)])
+        w += np.linalg.solve(h, ((y - p) @ design).ravel()).reshape(2, 3)
+    assert np.allclose([got[0], got[2]], w, rtol=1e-10, atol=1e-12)
+    again = m.newton_head(df.orderBy(F.xxhash64("x0", "x1")).repartition(7), ["x0", "x1"], "label", 1, [0, 2])
+    assert np.allclose([again[0], again[2]], w, rtol=1e-10, atol=1e-12)
+
+
 def test_head_queries_name_every_class(spark):
     scored = registry.QUERIES["m2_direction_head"](spark, SF).collect()
     assert sorted(r["label"] for r in scored) == [0, 1, 2] and all(0 <= r["accuracy"] <= 1 for r in scored)
