@@ -109,6 +109,21 @@ def test_recurrence_equals_all_pairs(spark, clustered, most):
     assert lines.agg(F.sum("products")).first()[0] < most * 1500 * 1500
 
 
+def test_recurrence_meets_few_large_cells_where_angles_rule_out_little(spark):
+    """Copies of rows grow with the cells that a row meets; equal vectors count as others do, and go by their ids."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 32))
+    x[1::2] = x[::2]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    lines = cells.earlier_alike(rows, 0.4, block=20).persist()
+    assert lines.where("products > 0").count() <= 4000 * 4 * cells.FEW_BLOCKS
+    s = cells.unit(x) @ cells.unit(x).T
+    got = {r["id"]: r["n"] for r in lines.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    assert [got.get(i, 0) for i in range(4000)] == [int((s[i, :i] > 0.4).sum()) for i in range(4000)]
+    assert {r["id"]: r["other"] for r in lines.where("other >= 0 AND score > 0.999999").collect()} == {i: i - 1 for i in range(1, 4000, 2)}
+    lines.unpersist()
+
+
 def test_dyadic_cover(spark):
     rng = random.Random(7)
     spans = [(a, a + rng.randrange(0, 3 ** rng.randrange(1, 9))) for a in [rng.randrange(-4000, 4000) for _ in range(200)]] + [(5, 4), (-(2**40), 2**40), (0, 0)]
