@@ -39,6 +39,22 @@ def range_block(df: DataFrame, column: str, blocks: int | None = None) -> Column
     return F.when(value.isNotNull(), F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: x < value)))
 
 
+def pieces(df: DataFrame, blocks: int | None = None) -> DataFrame:
+    """df with _key, a symbol's text that is never null, and _c, the range of times of a row: pieces of tapes, which follow one another."""
+    return df.withColumns({"_key": F.coalesce(F.concat(F.lit("="), F.col(KEY).cast("string")), F.lit("")), "_c": F.coalesce(range_block(df, "ts", blocks), F.lit(-1))})
+
+
+def piece() -> WindowSpec:
+    return Window.partitionBy("_key", "_c").orderBy(*ORDER)
+
+
+def with_before(df: DataFrame) -> DataFrame:
+    """df, cut to pieces, and for each piece the row before its first one once more, with _halo true."""
+    ends = df.groupBy("_key", "_c").agg(F.max_by(F.struct(*[c for c in df.columns if c not in ("_key", "_c")]), F.struct(*ORDER)).alias("_e"))
+    later = ends.withColumn("_c", F.lead("_c").over(Window.partitionBy("_key").orderBy("_c"))).where("_c IS NOT NULL")
+    return df.withColumn("_halo", F.lit(False)).unionByName(later.select("_key", "_c", "_e.*", F.lit(True).alias("_halo")))
+
+
 def running(df: DataFrame, column: str, sums: dict[str, Column], blocks: int | None = None) -> DataFrame:
     """Adds running sums in the order of a column over the whole of df, as columns of the dict's names.
 

@@ -9,7 +9,7 @@ from tapeflow.operators import folds as k
 from tapeflow.operators import logs
 from tapeflow.operators import windows as w
 
-from .fixtures import bars, steps, ticks
+from .fixtures import bars, pieced_steps, steps, ticks
 from .registry import query
 
 
@@ -69,8 +69,7 @@ _GRID = "g AS (SELECT s.*, tau_on, tau_off FROM steps s, (SELECT unnest([0.5, 0.
     "act_pct hold_pct",
 )
 def k3(spark, sf_dir):
-    grid = k.over_grid(steps(spark, sf_dir), tau_on=[0.5, 0.6, 0.7], tau_off=[0.3, 0.4, 0.5]).where("tau_on >= tau_off")
-    gated = k.toggling_gate(grid, F.col("tau_on"), F.col("tau_off"), keys=("tau_on", "tau_off"))
+    gated = k.toggling_gates(pieced_steps(spark, sf_dir), [0.5, 0.6, 0.7], [0.3, 0.4, 0.5])
     return gated.groupBy("tau_on", "tau_off").agg(logs.share(F.col("direction") != 0).alias("act_pct"), logs.share(F.col("direction") == 0).alias("hold_pct"), F.count("*").alias("n"))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeflow.operators import folds as k
-from tapeflow.operators.windows import range_block
+from tapeflow.operators.windows import pieces, range_block
 from tapeflow.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -41,6 +41,25 @@ def test_hysteresis_equals_loop(spark, k_on, k_off):
     assert got == want
 
 
+@pytest.mark.parametrize("blocks", [1, 7, 60])
+def test_gates_of_pieces_equal_gates_of_tapes(spark, blocks):
+    """Pieces without a decided row, with one row, symbols without a name and equal times."""
+    rng = random.Random(blocks)
+    rows = [(rng.choice(["a", "", None, "="]), rng.randrange(300), i, rng.choice([-1, 0, 1, 1, 1]), 0.45 if i % 1200 < 700 else rng.random()) for i in range(2400)]
+    df = spark.createDataFrame(rows, "symbol string, ts long, seq long, state int, ell double")
+    own = "symbol", "tau_on", "tau_off", "seq", "direction"
+    grid = k.over_grid(df, tau_on=[0.5, 0.7], tau_off=[0.3, 0.6]).where("tau_on >= tau_off")
+    want = k.toggling_gate(grid, F.col("tau_on"), F.col("tau_off"), keys=("tau_on", "tau_off")).select(*own).collect()
+    plan = k.toggling_gates(pieces(df, blocks), [0.5, 0.7], [0.3, 0.6]).select(*own)
+    assert sorted(map(repr, plan.collect())) == sorted(map(repr, want)) and len(want) == 3 * 2400
+
+
+def test_k3_puts_no_tape_in_one_task(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    whole = "], [symbol#"  # windows of whole tapes
+    assert whole in plan(registry.QUERIES["k2_toggling_gate"](spark, SF)) and whole not in plan(registry.QUERIES["k3_tau_sweep"](spark, SF))
+
+
 def test_position_accounting(spark):
     rows = [(1.0, 10.0), (2.0, 12.0), (1.0, 15.0), (-1.0, 14.0), (0.0, 10.0)]
     got = values(k.position_accounting(tape(spark, rows, "target double, price double"), "target", fee=0.0, slip=0.0), "held", "avg_price", "realized", "unrealized")
