@@ -8,10 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """left joined with right, which has a row at most for each value of the keys; nulls are equal."""
+#: Tasks that the rows of one key are dealt to where they meet the key's figures.
+SPREAD = 16
+
+
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", spread: list[str] | None = None) -> DataFrame:
+    """left joined with right, which has a row at most for each value of the keys; nulls are equal.
+
+    spread: columns of left by which the rows of one key are dealt to several tasks, of which each gets the key's row of right.
+    """
     if not keys:
         return left.crossJoin(F.broadcast(right))
+    if spread:
+        left = left.withColumn("_spread", F.pmod(F.xxhash64(*spread), F.lit(SPREAD)))
+        right = right.withColumn("_spread", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+        return matched(left, right, [*keys, "_spread"], how).drop("_spread")
     own = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     return left.join(own, reduce(lambda a, b: a & b, same), how).drop(*[f"_k_{k}" for k in keys])
@@ -38,7 +49,7 @@ def quantiles(df: DataFrame, keys: list[str], value: Column | str, shares: dict[
     whole = F.col("_n") <= accuracy  # in a small group the sketch's limits are less than a row apart
     inside = whole | reduce(lambda a, b: a | b, [a & b for a, b in zip(over, under, strict=True)])
     block = F.when(whole, 0).otherwise(reduce(lambda a, b: a + b, [x.cast("int") for x in over]))
-    counted = matched(base, sketch, keys).select(*keys, "_n", block.alias("_b"), F.when(inside, v).alias("_v")).groupBy(*keys, "_n", "_b", "_v").agg(F.count("*").alias("_c"))
+    counted = matched(base, sketch, keys, spread=["_v"]).select(*keys, "_n", block.alias("_b"), F.when(inside, v).alias("_v")).groupBy(*keys, "_n", "_b", "_v").agg(F.count("*").alias("_c"))
     # what is outside lies above all that is inside and has as many lower limits below it
     upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b", F.asc_nulls_last("_v")).rowsBetween(Window.unboundedPreceding, 0))
     placed = counted.withColumn("_upto", upto)

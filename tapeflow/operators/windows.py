@@ -167,37 +167,47 @@ def top(df: DataFrame, score: str, n: int, tie: str, *keys: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
-def whole_median(df: DataFrame, value: Column, out: str) -> DataFrame:
-    """Adds the median of a value that is never null over each symbol's whole tape: the middle rows in its order."""
-    whole = Window.partitionBy(KEY)
-    at = F.row_number().over(whole.orderBy("_x"))
-    placed = df.withColumn("_x", value).withColumns({"_at": at, "_all": F.count("*").over(whole)})
-    middle = (F.col("_at") * 2).between(F.col("_all"), F.col("_all") + 2)
-    return placed.withColumn(out, F.avg(F.when(middle, F.col("_x"))).over(whole)).drop("_x", "_at", "_all")
+def numbered(df: DataFrame, out: str = "_n") -> DataFrame:
+    """df, cut to pieces, with the number of a row in its whole tape, from 0."""
+    own = df.withColumn(out, F.row_number().over(piece()) - 1)
+    before = Window.partitionBy("_key").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy("_key", "_c").agg(F.count("*").alias("_all")).select("_key", "_c", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_o"))
+    return own.join(sizes, ["_key", "_c"]).withColumn(out, F.col(out) + F.col("_o")).drop("_o")
 
 
-def structural_stress(df: DataFrame, window: int = 100, vol_z: float = 1.5, flips: float = 0.4, price: str = "price", state: str = "state") -> DataFrame:
+def structural_stress(df: DataFrame, window: int = 100, vol_z: float = 1.5, flips: float = 0.4, price: str = "price", state: str = "state", stretch: int = 200) -> DataFrame:
     """Adds p_stress and stressed: volatility against its median and MAD over the symbol's whole tape, jumps, and flips.
 
-    The first `window` volatilities are filled from the first full one; the first row counts as a flip.
+    The first `window` volatilities are filled from the first full one; the first row counts as a flip.  No tape has to fit into a
+    task: it is cut to stretches of `stretch` windows by number, each with what its frames reach back to from the one before.
     """
-    w = tape()
-    flip = (~F.col(state).eqNullSafe(F.lag(state).over(w)) | (F.row_number().over(w) == 1)).cast("double")
-    out = df.withColumns({"_r": F.coalesce(returns(price), F.lit(0.0)), "_flip": flip, "_n": F.row_number().over(w) - 1})
-    out = block_frames(out, window, "_n", {"_t": F.col("_r"), "_q": F.col("_r") * F.col("_r"), "_fs": F.col("_flip")})
+    from .quantiles import matched, median
+
+    size, key = window * stretch, ("_key", "_part")
+    w = Window.partitionBy(*key).orderBy("_n")
+    rows = numbered(df if "_c" in df.columns else pieces(df)).withColumn("_part", F.floor(F.col("_n") / size))
+    also = F.when(F.col("_n") % size >= size - window - 1, F.array("_part", F.col("_part") + 1)).otherwise(F.array("_part"))
+    # a number of partitions, as adaptive plans would merge them up to sizes at which the sorts below take most memory
+    rows = rows.withColumn("_part", F.explode(also)).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    before = F.lag(state).over(w)
+    flip = (~F.col(state).eqNullSafe(before) | (F.col("_n") == 0)).cast("double")
+    out = rows.withColumns({"_r": F.coalesce(F.try_divide(F.col(price), F.lag(price).over(w)) - 1, F.lit(0.0)), "_flip": flip})
+    out = block_frames(out, window, "_n", {"_t": F.col("_r"), "_q": F.col("_r") * F.col("_r"), "_fs": F.col("_flip")}, keys=key, order=("_n",))
     ready = F.col("_n") >= window - 1
     spread = F.sqrt(F.greatest(F.col("_q") - F.col("_t") * F.col("_t") / window, F.lit(0.0)) / (window - 1))
     out = out.withColumns({"_v": F.when(ready, spread), "_f": F.when(ready, F.col("_fs") / window).otherwise(0.0)})
-    out = out.withColumn("_v", F.coalesce("_v", next_known(F.col("_v")), F.lit(0.0)))
-    # Over whole tapes, which the windows above have brought together already: sorts, which spill, and nothing evaluated twice.
-    out = whole_median(out, F.col("_v"), "_m")
-    out = whole_median(out, F.abs(F.col("_v") - F.col("_m")), "_mad").withColumn("_mad", F.col("_mad") + 1e-9)
+    # the first full volatility lies in the first stretch, as all rows that take it
+    back = Window.partitionBy(*key).orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("_v", F.coalesce("_v", F.last("_v", ignorenulls=True).over(back), F.lit(0.0)))
+    out = out.where(F.col("_n") >= F.col("_part") * size).drop("_part", "_flip", "_fs", "_n", "_t", "_q")
+    out = matched(out, median(out, ["_key"], "_v", "_m"), ["_key"], spread=list(ORDER))
+    out = matched(out, median(out, ["_key"], F.abs(F.col("_v") - F.col("_m")), "_mad"), ["_key"], spread=list(ORDER)).withColumn("_mad", F.col("_mad") + 1e-9)
     score = F.greatest((F.col("_v") - F.col("_m")) / F.col("_mad") / vol_z, F.lit(0.0)) + F.abs("_r") / (F.col("_v") + 1e-9) + F.col("_f") / flips
     out = out.withColumn("p_stress", score / (1 + score)).withColumn("stressed", F.col("p_stress") > 0.7)
-    return out.drop("_r", "_v", "_m", "_mad", "_f", "_flip", "_fs", "_n", "_t", "_q")
+    return out.select(*df.columns, "p_stress", "stressed")
 
 
-def block_frames(df: DataFrame, n: int, number: str, sums: dict[str, Column], lows: dict[str, Column] | None = None, highs: dict[str, Column] | None = None, fall: Column | None = None) -> DataFrame:
+def block_frames(df: DataFrame, n: int, number: str, sums: dict[str, Column], lows: dict[str, Column] | None = None, highs: dict[str, Column] | None = None, fall: Column | None = None, keys: tuple[str, ...] = (KEY,), order: tuple[str, ...] = ORDER) -> DataFrame:
     """Adds sums, minima and maxima over the trailing n rows, as columns of the dicts' names; right where n rows are there.
 
     With fall, the column `fall` is the largest drop from a row of the frame to a later one.  Tapes are cut into blocks of n
@@ -206,11 +216,11 @@ def block_frames(df: DataFrame, n: int, number: str, sums: dict[str, Column], lo
     """
     from functools import reduce
 
-    w = tape()
+    w = Window.partitionBy(*keys).orderBy(*order)
     held = df.withColumn("_b", F.floor(F.col(number) / n))
-    key = Window.partitionBy(KEY, "_b")
-    up = key.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    down = key.orderBy(*[F.desc(c) for c in ORDER]).rowsBetween(Window.unboundedPreceding, 0)
+    key = Window.partitionBy(*keys, "_b")
+    up = key.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    down = key.orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     parts = [(k, c, F.sum, lambda a, b: a + b) for k, c in sums.items()] + [(k, c, F.min, F.least) for k, c in (lows or {}).items()] + [(k, c, F.max, F.greatest) for k, c in (highs or {}).items()]
     if fall is not None:
         parts += [("_most", fall, F.max, F.greatest), ("_least", fall, F.min, F.least)]

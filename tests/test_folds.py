@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeflow.operators import folds as k
-from tapeflow.operators.windows import pieces, range_block
+from tapeflow.operators.windows import pieces, range_block, structural_stress
 from tapeflow.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -60,6 +60,17 @@ def test_k3_puts_no_tape_in_one_task(spark):
     assert whole in plan(registry.QUERIES["k2_toggling_gate"](spark, SF)) and whole not in plan(registry.QUERIES["k3_tau_sweep"](spark, SF))
 
 
+def test_stress_of_stretches_equals_that_of_one(spark):
+    """Tapes of many and of fewer rows than a stretch or a window; a symbol without a name; the plan has no window of whole tapes."""
+    rng = random.Random(3)
+    rows = [(None if i % 40 == 0 else "s" if i % 50 == 1 else "ab"[i % 2], i, i, float(rng.randrange(1, 90)), rng.choice([-1, 0, 1])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "symbol string, ts long, seq long, price double, state int")
+    one, many = structural_stress(df, 20, stretch=1000), structural_stress(pieces(df, 9), 20, stretch=3)
+    assert "], [symbol#" not in many._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r["seq"], r["stressed"], round(r["p_stress"], 9)) for r in many.orderBy("seq").collect()]
+    assert got == [(r["seq"], r["stressed"], round(r["p_stress"], 9)) for r in one.orderBy("seq").collect()] and len(got) == 3000
+
+
 def test_position_accounting(spark):
     rows = [(1.0, 10.0), (2.0, 12.0), (1.0, 15.0), (-1.0, 14.0), (0.0, 10.0)]
     got = values(k.position_accounting(tape(spark, rows, "target double, price double"), "target", fee=0.0, slip=0.0), "held", "avg_price", "realized", "unrealized")
