@@ -496,7 +496,9 @@ def intents(
     same = F.col("_live") & ~F.col("_s").isin(0, -2) & F.col("_s").eqNullSafe(F.col("_last"))
     d = d.withColumn("_age", F.col("_n") - F.last(F.when(F.col("_live") & ~same, F.col("_n")), ignorenulls=True).over(upto))
     if grid:
-        d, before = over_grid(d, **grid), tape(*keys, *grid).rowsBetween(Window.unboundedPreceding, -1)
+        # tapes of each combination are tasks of their own, not rows of one
+        d = over_grid(d, **grid).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol", *keys, *grid)
+        before = tape(*keys, *grid).rowsBetween(Window.unboundedPreceding, -1)
     stopped = (F.col("_s") == -2) & (flag(risk_stop) | flag(neutral_exit))
     settles = F.when(~F.col("_live"), None).when((F.col("_s") == 0) | stopped, False).when(F.col("_s") == -2, True).when(F.col("_c") >= F.col(on), False)
     d = d.withColumn("_settles", settles)

@@ -88,9 +88,11 @@ def islands(df: DataFrame, value: str, out: str = "island") -> DataFrame:
 
 def run_length(df: DataFrame, state: str = "state", out: str = "run") -> DataFrame:
     """Rows of the current run of equal non-zero states up to here; 0 in runs of zero."""
-    numbered = islands(df, state, "_island")
-    at = F.row_number().over(tape("_island"))
-    return numbered.withColumn(out, F.when(F.coalesce(F.col(state).cast("int"), F.lit(0)) == 0, 0).otherwise(at)).drop("_island")
+    w = tape()
+    changed = df.withColumn("_at", F.row_number().over(w)).withColumn("_from", F.when(~F.col(state).eqNullSafe(F.lag(state).over(w)) | (F.col("_at") == 1), F.col("_at")))
+    # by the row of the last change, in the tape's own order: a window for each run would sort the tape once more
+    at = F.col("_at") - F.last("_from", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1
+    return changed.withColumn(out, F.when(F.coalesce(F.col(state).cast("int"), F.lit(0)) == 0, 0).otherwise(at)).drop("_at", "_from")
 
 
 def flip_rate(df: DataFrame, state: str = "state", window: int = 50, out: str = "flip_rate", lagged: bool = False) -> DataFrame:

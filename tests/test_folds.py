@@ -71,6 +71,11 @@ def test_stress_of_stretches_equals_that_of_one(spark):
     assert got == [(r["seq"], r["stressed"], round(r["p_stress"], 9)) for r in one.orderBy("seq").collect()] and len(got) == 3000
 
 
+def test_grid_points_of_a_strategy_are_tasks_of_their_own(spark):
+    plan = registry.QUERIES["k15_strategy_grid"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [symbol#" in plan and plan.count("RepartitionByExpression") == 2 and "_island" not in plan
+
+
 def test_position_accounting(spark):
     rows = [(1.0, 10.0), (2.0, 12.0), (1.0, 15.0), (-1.0, 14.0), (0.0, 10.0)]
     got = values(k.position_accounting(tape(spark, rows, "target double, price double"), "target", fee=0.0, slip=0.0), "held", "avg_price", "realized", "unrealized")
